@@ -10,9 +10,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from colsift.functions.values import as_double, ref
+from colsift.functions.values import ref
 from colsift.ml import density, metrics, models, prepare
-from colsift.plans.pairs import pair_correlations
 from colsift.plans.session import cut_lineage, small_frame
 from colsift.plans.stats import TableStats
 
@@ -177,9 +176,7 @@ class ModelBench:
             rows.append(("issue", "Severe class imbalance detected", float(high / low > 10)))
         elif self.prepared.has_label and self.problem == "regression":
             rows += [("target", m, stats.fact(prepare.LABEL, m)) for m in ("mean", "std_pop", "min", "max")]
-        types = {f.name: f.dataType for f in df.schema}
-        pairs = pair_correlations(df, features, lambda c: as_double(ref(c), types[c]))
-        close = pairs.filter(F.abs("r") > 0.8).orderBy("pair").limit(5).collect()
+        close = stats.pairs_of(features).filter(F.abs("r") > 0.8).orderBy("pair").limit(5).collect()
         rows += [("correlated_pair", f"{r['c1']} ~ {r['c2']}", r["r"]) for r in close]
         recommended = RECOMMENDED[self.problem, stats.n_rows < SMALL_SAMPLE]
         rows += [("recommended_model", m, i + 1) for i, m in enumerate(recommended)]

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colsift.functions.values import as_double, is_missing, ref
 from colsift.plans import ordering
-from colsift.plans.pairs import pair_correlations
-from colsift.plans.roles import column_roles
+from colsift.plans.pairs import Moments, pair_correlations
 from colsift.plans.stats import TableStats
 
 
@@ -146,10 +145,15 @@ def correlation_analysis(stats: TableStats) -> DataFrame:
         "n_high", F.col("best.c1").alias("c1"), F.col("best.c2").alias("c2"), F.abs("best.r").alias("correlation"))
 
 
-def missing_cooccurrence(df: DataFrame, threshold: float = 0.8) -> DataFrame:
+def missing_cooccurrence(stats: TableStats, threshold: float = 0.8) -> DataFrame:
     """Pairs of columns whose null indicators correlate beyond the threshold."""
-    types = column_roles(df).types
-    return (pair_correlations(df, df.columns, lambda c: is_missing(ref(c), types[c]).cast("double"))
+    stats.need("nulls")
+    known = {}
+    for c in stats.df.columns:
+        share = stats.fact(c, "n_null") / stats.n_rows if stats.n_rows else 0.0
+        known[c] = Moments(stats.n_rows, share, share * (1 - share), share in (0.0, 1.0))
+    gap = lambda c: is_missing(ref(c), stats.roles.types[c]).cast("double")
+    return (pair_correlations(stats.df, stats.n_rows, known, gap)
             .filter(F.col("r") > threshold).select("c1", "c2", F.col("r").alias("correlation")))
 
 

@@ -17,7 +17,7 @@ MIN_DISTRIBUTION_SIZE = 11
 
 def normality_k2(stats: TableStats) -> DataFrame:
     """D'Agostino-Pearson test from the moments; a p-value above 0.05 is normal."""
-    stats.need("moments")
+    stats.need("moments", "shape")
     names = [c for c in stats.roles.numeric if stats.fact(c, "n")]
     k2 = tests.k2_statistic(F.col("n"), F.col("skew"), F.col("kurtosis"))
     return (stats.frame(["n", "skew", "kurtosis"], names).withColumn("statistic", k2)
@@ -118,7 +118,7 @@ def shape_label(skew):
 
 
 def distribution_labels(stats: TableStats) -> DataFrame:
-    stats.need("moments")
+    stats.need("moments", "shape")
     names = [c for c in stats.roles.numeric if stats.fact(c, "n")]
     skew = F.coalesce("skew", F.lit(0.0))
     return stats.frame(["n", "skew"], names).select("column_name", shape_label(skew).alias("distribution_type"))
@@ -126,7 +126,7 @@ def distribution_labels(stats: TableStats) -> DataFrame:
 
 def distributions(stats: TableStats) -> DataFrame:
     """Per numeric column with more than ten values: normality, label, shape and its automatic histogram's bins."""
-    stats.need("moments")
+    stats.need("moments", "shape")
     names = [c for c in stats.roles.numeric if (stats.fact(c, "n") or 0) >= MIN_DISTRIBUTION_SIZE]
     shape = stats.frame(["n", "skew", "kurtosis"], names).join(
         F.broadcast(is_normal(stats).select("column_name", "is_normal")), "column_name").select(

@@ -54,7 +54,7 @@ def numeric_patterns(stats: TableStats) -> DataFrame:
 def missing_patterns(stats: TableStats) -> DataFrame:
     if not stats.missing_cells:
         return stats.rows([], SCHEMA)
-    return missing_cooccurrence(stats.df).select(
+    return missing_cooccurrence(stats).select(
         F.lit("missing").alias("type"), F.col("c1").alias("column_name"),
         F.format_string("missing values occur together with '%s'", "c2").alias("pattern"))
 

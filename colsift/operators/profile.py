@@ -50,7 +50,7 @@ def distribution_label(mean: Column, median: Column, std: Column, skew: Column)
 
 def numeric_profile(stats: TableStats) -> DataFrame:
     """Per numeric column with values: centre, spread, sample skewness, label, outliers (percent of values)."""
-    stats.need("moments").need_quantiles(0.5).need_outliers()
+    stats.need("moments", "shape").need_quantiles(0.5).need_outliers()
     names = [c for c in stats.roles.numeric if stats.fact(c, "n")]
     skew = F.coalesce(unbiased_skew(F.col("n"), F.col("skew")), F.lit(0.0))
     std = F.coalesce("std_samp", F.lit(0.0))
@@ -101,7 +101,7 @@ def describe(stats: TableStats) -> DataFrame:
 
 def numeric_summary(stats: TableStats) -> DataFrame:
     """Per numeric column with values: population deviation, quartiles, range, IQR, biased skewness and kurtosis."""
-    stats.need("moments").need_quantiles(0.25, 0.5, 0.75)
+    stats.need("moments", "shape").need_quantiles(0.25, 0.5, 0.75)
     names = [c for c in stats.roles.numeric if stats.fact(c, "n")]
     found = stats.frame(["n", "mean", "std_pop", "min", "q0.25", "q0.5", "q0.75", "max", "skew", "kurtosis"], names).toDF(
         "position", "column_name", "count", "mean", "std", "min", "p25", "median", "p75", "max", "skewness", "kurtosis")
@@ -179,7 +179,7 @@ def column_detailed(stats: TableStats, column: str) -> DataFrame:
     basic = column_basic(stats, column)
     if column not in stats.roles.numeric or not stats.need("moments").fact(column, "n"):
         return basic
-    stats.need_quantiles(*DETAIL_PROBS).need_outliers()
+    stats.need("shape").need_quantiles(*DETAIL_PROBS).need_outliers()
     names = {f"q{p:g}": f"p{p * 100:.0f}" for p in DETAIL_PROBS}
     found = stats.frame([*names, "skew", "kurtosis", "n_outlier", "lower", "upper", "n"], [column])
     found = found.select("column_name", *[ref(q).alias(p) for q, p in names.items()], F.col("skew").alias("skewness"),

@@ -26,7 +26,7 @@ def _pairs(frame: DataFrame, name: str) -> DataFrame:
 
 def full_report(stats: TableStats) -> DataFrame:
     """Overview, columns, describe, correlations, normality, categories, quality, insights and readiness."""
-    stats.need("moments", "dates").need_cardinality().need_quantiles(0.25, 0.5, 0.75)
+    stats.need("moments", "shape", "dates").need_cardinality().need_quantiles(0.25, 0.5, 0.75)
     table = profile.overview(stats).withColumn("column_name", F.lit("*"))
     quality = scores.quality_score(stats).withColumn("column_name", F.lit("*"))
     ready = scores.ml_readiness(stats).withColumn("column_name", F.lit("*"))
@@ -48,7 +48,7 @@ def full_report(stats: TableStats) -> DataFrame:
 
 def quick_analysis(stats: TableStats) -> DataFrame:
     """Overview, deducting score, numeric summary, key insights and recommendations."""
-    stats.need("moments", "text").need_quantiles(0.25, 0.5, 0.75)
+    stats.need("moments", "shape", "text").need_quantiles(0.25, 0.5, 0.75)
     table = profile.overview(stats).withColumn("column_name", F.lit("*"))
     quality = scores.deducting_score(stats).withColumn("column_name", F.lit("*"))
     numeric = profile.numeric_summary(stats)

@@ -7,6 +7,7 @@ so every column is still read once and the generated code stays small.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from colsift.functions.values import as_double, is_missing, ref, strip, to_number, to_time
 from colsift.plans import frequencies, quantiles
 from colsift.plans.fingerprints import duplicate_count
-from colsift.plans.pairs import pair_correlations
+from colsift.plans.pairs import Moments, pair_correlations
 from colsift.plans.roles import DATETIME_TYPES, column_roles
 from colsift.plans.session import small_frame
 
@@ -66,8 +67,10 @@ class TableStats:
         if group == "nulls":
             return [(c, "n_null", F.count_if(is_missing(ref(c), types[c]))) for c in self.df.columns]
         if group == "moments":
-            kinds = {"n": F.count, "mean": F.avg, "min": F.min, "max": F.max, "std_samp": F.stddev_samp,
-                     "std_pop": F.stddev_pop, "var_samp": F.var_samp, "skew": F.skewness, "kurtosis": F.kurtosis}
+            kinds = {"mean": F.avg, "min": F.min, "max": F.max, "var_pop": F.var_pop}
+            return [(c, m, f(self.numeric(c))) for c in self.roles.numeric for m, f in kinds.items()]
+        if group == "shape":
+            kinds = {"skew": F.skewness, "kurtosis": F.kurtosis}
             return [(c, m, f(self.numeric(c))) for c in self.roles.numeric for m, f in kinds.items()]
         if group == "whole":
             return [(c, "n_whole", F.count_if(F.abs(self.numeric(c) - F.rint(self.numeric(c))) < 1e-10))
@@ -104,8 +107,19 @@ class TableStats:
             for i, (column, metric, _) in enumerate(part):
                 self._facts[column][metric] = row[f"m{i}"]
         self._groups.update(missing)
+        if "moments" in missing:
+            for c in self.roles.numeric:
+                self._derive_spread(self._facts[c])
         return self
 
+    def _derive_spread(self, facts: dict) -> None:
+        """Count and the deviations follow from the null count and one variance."""
+        n, var = self._n_rows - facts["n_null"], facts["var_pop"]
+        facts["n"] = n
+        facts["std_pop"] = None if var is None else math.sqrt(var)
+        facts["var_samp"] = None if var is None or n < 2 else var * n / (n - 1)
+        facts["std_samp"] = None if facts["var_samp"] is None else math.sqrt(facts["var_samp"])
+
     def need_quantiles(self, *probs: float) -> "TableStats":
         self.need("nulls")
         left = [p for p in probs if any((c, p) not in self._quantiles for c in self.roles.numeric)]
@@ -167,7 +181,13 @@ class TableStats:
     @cached_property
     def pairs(self) -> DataFrame:
         """(c1, c2, r) of the upper triangle, in column order."""
-        return pair_correlations(self.df, self.roles.numeric, self.numeric)
+        return self.pairs_of(self.roles.numeric)
+
+    def pairs_of(self, columns: list[str]) -> DataFrame:
+        self.need("moments")
+        known = {c: Moments(f["n"], f["mean"], f["var_pop"], f["min"] == f["max"])
+                 for c, f in ((c, self._facts[c]) for c in columns)}
+        return pair_correlations(self.df, self.n_rows, known, self.numeric)
 
     def frame(self, metrics: list[str], columns: list[str] | None = None) -> DataFrame:
         """One row per column: position, column_name and the asked metrics."""

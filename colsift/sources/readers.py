@@ -29,8 +29,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         for c in part:
             value = ref(c)
             whole = value.rlike(r"^\s*[+-]?[0-9]+\s*$") & value.try_cast("bigint").isNotNull()
-            fits.append(F.struct(F.bool_and(whole), F.bool_and(to_number(value).isNotNull()),
-                                 F.bool_and(value.isin("True", "TRUE", "true", "False", "FALSE", "false"))))
+            flag = value.isin("True", "TRUE", "true", "False", "FALSE", "false")
+            fits.append(F.struct(*[F.bool_and(F.when(value.isNotNull(), test)).alias(name) for name, test in (
+                ("whole", whole), ("number", to_number(value).isNotNull()), ("flag", flag))]))
         row = clean.agg(*fits).first()
         for c, (whole, number, flag) in zip(part, row):
             if whole is None:
