@@ -1 +1,189 @@
+"""Preparation, models, metrics and clustering. What depends on a random split or a forest has no SQL."""
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from colsift.ml import engine, metrics, models, prepare
+from colsift.plans.session import small_frame
+from querybook.base import given, query, r, read, rounded
+
+P = "ml_parts"
+FEATURES = ["p_partkey", "p_brand", "p_type", "p_size"]
+SIZE = "coalesce(p_size, (SELECT quantile_cont(p_size, 0.5) FROM ml_parts))"
+
+
+def _code(column):
+    return f"(dense_rank() OVER (ORDER BY coalesce({column}, 'nan')) - 1)::DOUBLE"
+
+
+@query("ml_encode", given(P) + f"SELECT p_partkey, {_code('p_brand')} AS p_brand, {_code('p_type')} AS p_type FROM {P}")
+def ml_encode(spark, folder):
+    return prepare.encode(read(spark, folder, P), ["p_brand", "p_type"])[0].select("p_partkey", "p_brand", "p_type")
+
+
+@query("ml_impute", given(P, "comissing_orders") + f"""
+    SELECT 'p_size' AS column_name, p_partkey AS id, CAST(CAST({SIZE} AS DOUBLE) AS VARCHAR) AS value FROM {P}
+    UNION ALL SELECT 'o_orderpriority', o_orderkey, coalesce(o_orderpriority, (SELECT o_orderpriority FROM comissing_orders WHERE o_orderpriority IS NOT NULL
+        GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) FROM comissing_orders""")
+def ml_impute(spark, folder):
+    sizes = prepare.impute(read(spark, folder, P), ["p_size"])
+    priorities = prepare.impute(read(spark, folder, "comissing_orders"), ["o_orderpriority"])
+    return sizes.select(F.lit("p_size").alias("column_name"), F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("value")).unionAll(
+        priorities.select(F.lit("o_orderpriority"), "o_orderkey", "o_orderpriority"))
+
+
+@query("ml_prepare", given(P) + f"""
+    SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, {_code('p_brand')} AS p_brand, {_code('p_type')} AS p_type, CAST({SIZE} AS DOUBLE) AS p_size,
+           {_code('price_class')} AS label FROM {P}""")
+def ml_prepare(spark, folder):
+    return prepare.prepare(read(spark, folder, P), "price_class", "classification", FEATURES).df
+
+
+@query("ml_analyze", given("ml_docs") + f"""
+    SELECT 'shape' AS kind, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM ml_docs
+    UNION ALL SELECT 'shape', 'features', 5.0
+    UNION ALL SELECT 'class_balance', 'max_to_min', {r("max(k) * 1.0 / min(k)")} FROM (SELECT count(*) AS k FROM ml_docs GROUP BY quality)
+    UNION ALL SELECT 'issue', 'Severe class imbalance detected', CAST(max(k) > 10 * min(k) AS DOUBLE) FROM (SELECT count(*) AS k FROM ml_docs GROUP BY quality)
+    UNION ALL SELECT 'recommended_model', unnest(CASE WHEN n < 1000 THEN ['Logistic Regression', 'Decision Tree', 'Random Forest'] ELSE ['Random Forest', 'XGBoost', 'SVM'] END),
+        unnest([1.0, 2.0, 3.0])::DOUBLE FROM (SELECT count(*) AS n FROM ml_docs)
+    UNION ALL SELECT 'target', 'mean', {r("avg(p_retailprice)")} FROM part UNION ALL SELECT 'target', 'std_pop', {r("stddev_pop(p_retailprice)")} FROM part
+    UNION ALL SELECT 'target', 'min', min(p_retailprice) FROM part UNION ALL SELECT 'target', 'max', max(p_retailprice) FROM part""")
+def ml_analyze(spark, folder):
+    docs = engine.ModelBench(read(spark, folder, "ml_docs"), "quality", "classification").analyze()
+    prices = engine.ModelBench(read(spark, folder, "part"), "p_retailprice", "regression", ["p_size"]).analyze()
+    return rounded(docs.unionAll(prices.filter("kind = 'target'")))
+
+
+@query("ml_split")
+def ml_split(spark, folder):
+    orders = read(spark, folder, "orders")
+    train, test = prepare.split(orders, 0.2, 42)
+    both = train.select(F.lit("train").alias("part"), "o_orderkey").unionAll(test.select(F.lit("test"), "o_orderkey"))
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
+
+
+def _z(column):
+    return r(f"({column} - avg({column}) OVER ()) / stddev_pop({column}) OVER ()", 6) + f" AS {column}"
+
+
+@query("ml_scale", f"SELECT {_z("o_custkey")}, {_z("o_totalprice")}, o_orderkey FROM orders")
+def ml_scale(spark, folder):
+    orders = read(spark, folder, "orders").selectExpr("double(o_custkey) AS o_custkey", "o_totalprice", "o_orderkey")
+    return rounded(prepare.Scaler.fit(orders, ["o_custkey", "o_totalprice"]).transform(orders), 6)
+
+
+def _bench(spark, folder, problem):
+    target = {"classification": "price_class", "regression": "p_retailprice"}[problem]
+    return engine.ModelBench(read(spark, folder, P), target, problem, FEATURES)
+
+
+def _trained(name, problem, model):
+    @query(name)
+    def run(spark, folder):
+        trained = _bench(spark, folder, problem).train(model)
+        return trained.metrics.select(F.lit(trained.name).alias("model_type"), "*")
+    return run
+
+
+for _name, _problem, _model in (
+        ("ml_logistic", "classification", "logistic_regression"), ("ml_random_forest_cls", "classification", "random_forest"),
+        ("ml_decision_tree_cls", "classification", "decision_tree"), ("ml_svm", "classification", "svm"),
+        ("ml_xgboost_cls", "classification", "xgboost"), ("ml_naive_bayes", "classification", "naive_bayes"),
+        ("ml_random_forest_reg", "regression", "random_forest"), ("ml_decision_tree_reg", "regression", "decision_tree"),
+        ("ml_svr", "regression", "svr"), ("ml_xgboost_reg", "regression", "xgboost")):
+    _trained(_name, _problem, _model)
+
+
+@query("ml_linear", f"""
+    SELECT 'part' AS table_name, {r("regr_slope(p_retailprice, p_partkey)", 6)} AS slope, {r("regr_intercept(p_retailprice, p_partkey)", 4)} AS intercept FROM part
+    UNION ALL SELECT 'lineitem', {r("regr_slope(l_extendedprice * (1 - l_discount), l_extendedprice)", 6)},
+        {r("regr_intercept(l_extendedprice * (1 - l_discount), l_extendedprice)", 4)} FROM lineitem""")
+def ml_linear(spark, folder):
+    found = []
+    for table, x, y in (("part", "p_partkey", "p_retailprice"), ("lineitem", "l_extendedprice", "l_extendedprice * (1 - l_discount)")):
+        data = VectorAssembler(inputCols=["x"], outputCol=prepare.FEATURES).transform(
+            read(spark, folder, table).selectExpr(f"double({x}) AS x", f"{y} AS label"))
+        model = models.estimator("regression", "Linear Regression").fit(data)
+        found.append({"table_name": table, "slope": float(model.coefficients[0]), "intercept": model.intercept})
+    return rounded(small_frame(spark, found, "table_name string, slope double, intercept double"), 6, intercept=4)
+
+
+def _customers(spark, folder):
+    return engine.ModelBench(read(spark, folder, "customer"), None, "clustering", ["c_acctbal", "c_nationkey"])
+
+
+@query("ml_kmeans")
+def ml_kmeans(spark, folder):
+    return _customers(spark, folder).train("kmeans").metrics
+
+
+@query("ml_dbscan")
+def ml_dbscan(spark, folder):
+    clustered = _customers(spark, folder).train("dbscan", eps=0.1, min_samples=5)
+    return clustered.predictions.groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query("ml_model_select")
+def ml_model_select(spark, folder):
+    bench, found = _bench(spark, folder, "classification"), None
+    for asked in ("Decision Tree", "Naive Bayes"):
+        trained = bench.train(asked)
+        part = trained.metrics.select(F.lit(asked).alias("asked"), F.lit(trained.name).alias("model_type"),
+                                      F.lit(type(trained.model).__name__).alias("class_name"), "accuracy")
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+LABELLED = """SELECT CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS DOUBLE) AS label,
+    CAST(CASE WHEN l_linestatus = 'F' THEN 0 WHEN l_quantity < 20 THEN 1 WHEN l_quantity < 45 THEN 2 ELSE 3 END AS DOUBLE) AS prediction FROM {lineitem}"""
+
+
+@query("ml_metrics_cls", f"""
+    WITH p AS ({LABELLED.format(lineitem="lineitem")}),
+    per AS (SELECT label, count(*) AS support, count(*) FILTER (label = prediction) AS hits, (SELECT count(*) FROM p q WHERE q.prediction = p.label) AS predicted FROM p GROUP BY label),
+    scored AS (SELECT support, hits, CASE WHEN predicted > 0 THEN hits * 1.0::DOUBLE / predicted ELSE 0 END AS pr, hits * 1.0::DOUBLE / support AS re FROM per)
+    SELECT {r("sum(hits) * 1.0::DOUBLE / sum(support)", 6)} AS accuracy, {r("sum(pr * support) / sum(support)", 6)} AS precision, {r("sum(re * support) / sum(support)", 6)} AS recall,
+           {r("sum(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END * support) / sum(support)", 6)} AS f1_score FROM scored""")
+def ml_metrics_cls(spark, folder):
+    predictions = spark.sql(LABELLED, lineitem=read(spark, folder, "lineitem"))
+    return rounded(metrics.classification_metrics(predictions), 6)
+
+
+@query("ml_metrics_reg", f"""
+    SELECT {r("avg(e * e) / 1e6", 4)} AS mse_millions, {r("sqrt(avg(e * e))", 4)} AS rmse, {r("1 - avg(e * e) / var_pop(y)", 6)} AS r2, {r("avg(abs(e))", 4)} AS mae
+    FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 2100 AS e FROM lineitem)""")
+def ml_metrics_reg(spark, folder):
+    predictions = read(spark, folder, "lineitem").selectExpr("l_extendedprice AS label", "l_quantity * 2100 AS prediction")
+    scored = metrics.regression_metrics(predictions)
+    return rounded(scored.select((F.col("mse") / 1e6).alias("mse_millions"), "rmse", "r2", "mae"), 4, r2=6)
+
+
+@query("ml_importance")
+def ml_importance(spark, folder):
+    return _bench(spark, folder, "regression").train("decision_tree").importance
+
+
+@query("ml_train")
+def ml_train(spark, folder):
+    trained = _bench(spark, folder, "regression").train("Linear Regression")
+    return trained.metrics.select(F.lit(trained.name).alias("model_type"), "mse", "rmse", "r2", "mae",
+                                  F.lit(trained.training_seconds > 0).alias("timed"))
+
+
+@query("ml_compare")
+def ml_compare(spark, folder):
+    ranked = _bench(spark, folder, "classification").compare(["logistic_regression", "decision_tree", "naive_bayes"])
+    return ranked.drop("training_seconds")
+
+
+@query("ml_predict")
+def ml_predict(spark, folder):
+    bench = _bench(spark, folder, "classification")
+    new = read(spark, folder, P).withColumn("p_type", F.when(F.col("p_partkey") % 2 == 0, "UNSEEN").otherwise(F.col("p_type")))
+    new = prepare.impute(new, ["p_size"]).select(*FEATURES, "price_class")
+    return bench.predict(bench.train("decision_tree"), new).groupBy("price_class", "prediction").agg(F.count("*").alias("n"))
+
+
+@query("ml_test_data")
+def ml_test_data(spark, folder):
+    return _bench(spark, folder, "regression").test_data()
