@@ -11,6 +11,12 @@ NA_TOKENS = [
     "n/a", "nan", "null",
 ]
 
+# A decimal number or infinity with optional white space around it.
+NUMBER = r"^\s*[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+# White space at either end.
+PADDING = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
 # Date layouts tried after Spark's own parser; the first that fits wins.
 DATE_FORMATS = ["yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM d, yyyy"]
 
@@ -34,9 +40,11 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double, NULL where it is not a plain decimal number (Java suffixes such as 1d are not)."""
-    value = F.when(~c.rlike(r"(?i)[0-9.][df]\s*$"), c.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    """Text to double, NULL where it is not a plain decimal number.
+
+    The pattern goes first: it refuses Java forms such as 1d or 0x1p3, and a failed parse costs an exception per row.
+    """
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def as_double(c: Column, dtype: T.DataType) -> Column:
@@ -45,7 +53,7 @@ def as_double(c: Column, dtype: T.DataType) -> Column:
         return to_number(c)
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
-    return no_nan(c.cast("double"), T.DoubleType())
+    return no_nan(c, dtype).cast("double")
 
 
 def lenient_number(c: Column) -> Column:
@@ -66,7 +74,12 @@ def to_time(c: Column, dtype: T.DataType) -> Column:
 
 def strip(c: Column) -> Column:
     """Drop Unicode white space at both ends (`trim` drops U+0020 only)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(c, PADDING, "")
+
+
+def is_padded(c: Column) -> Column:
+    """Whether `strip` would change the text."""
+    return c.rlike(PADDING)
 
 
 def remove_special(c: Column) -> Column:

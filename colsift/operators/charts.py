@@ -10,7 +10,6 @@ from colsift.functions.values import ref
 from colsift.operators.correlate import correlation_matrix
 from colsift.operators.distribution import histogram
 from colsift.operators.validate import outlier_samples
-from colsift.plans.frequencies import top_values
 from colsift.plans.stats import TableStats
 
 CHART_COLUMNS = 5
@@ -40,10 +39,7 @@ def boxplot_outliers(stats: TableStats, order_by: list[str], limit: int = 50) ->
 
 
 def bars(stats: TableStats, k: int = 10) -> DataFrame:
-    texts = stats.roles.categorical[:CHART_COLUMNS]
-    if not texts:
-        return stats.rows([], "column_name string, value_rank bigint, value string, cnt bigint")
-    return top_values(stats.df, texts, k)
+    return stats.top_values(stats.roles.categorical[:CHART_COLUMNS], k)
 
 
 def heatmap(stats: TableStats) -> DataFrame:

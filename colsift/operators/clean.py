@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from colsift.functions.values import as_double, is_missing, ref, standardize, to_time
 from colsift.plans import ordering
+from colsift.plans.fingerprints import duplicate_count
 from colsift.plans.frequencies import frequencies_of
 from colsift.plans.quantiles import exact_quantiles
 from colsift.plans.session import small_frame
@@ -150,7 +151,7 @@ class Cleaner:
     def remove_duplicates(self, subset: list[str] | None = None, order_by: list[str] | None = None) -> "Cleaner":
         before = self.df.count()
         kept = drop_duplicates(self.df, subset, order_by)
-        after = self.df.select(*[ref(c) for c in subset or self.df.columns]).distinct().count()
+        after = before - duplicate_count(self.df, subset)
         return self._next(kept, action="remove_duplicates", rows_before=before, rows_after=after,
                           n_changed=before - after, message=f"Removed {before - after} duplicate rows")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from colsift.functions.values import as_double, is_missing, ref
 from colsift.plans import ordering
 from colsift.plans.pairs import Moments, pair_correlations
+from colsift.plans.session import cut_lineage
 from colsift.plans.stats import TableStats
 
 
@@ -37,12 +38,13 @@ def _joint_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """(x, y, cnt) over the rows where both are present."""
     types = {f.name: f.dataType for f in df.schema}
     both = df.select(as_double(ref(a), types[a]).alias("x"), as_double(ref(b), types[b]).alias("y")).dropna()
-    return both.groupBy("x", "y").agg(F.count("*").alias("cnt"))
+    # several jobs read the counts: they are worked out once
+    return cut_lineage(both.groupBy("x", "y").agg(F.count("*").alias("cnt")), "joint")
 
 
 def average_ranks(joint: DataFrame, side: str, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> DataFrame:
     """(side, rank): the mean rank of each distinct value among all counted rows."""
-    values = joint.groupBy(side).agg(F.sum("cnt").alias("ties"))
+    values = cut_lineage(joint.groupBy(side).agg(F.sum("cnt").alias("ties")), "values")
     below = ordering.running_total(values, side, "ties", values.count(), "below", rows_per_bucket)
     return below.select(side, (F.col("below") + (F.col("ties") + 1) / 2).alias(f"rank_{side}"))
 
@@ -79,7 +81,7 @@ def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = ordering.ROWS_
     ties_x, ties_y = int(tied("x")), int(tied("y"))
     if ties_x == all_pairs or ties_y == all_pairs:
         return None
-    codes = ordering.dense_codes(joint, "y", rows_per_bucket).withColumnRenamed("level", "y")
+    codes = cut_lineage(ordering.dense_codes(joint, "y", rows_per_bucket).withColumnRenamed("level", "y"), "codes")
     bits = int(codes.agg(F.max("code")).first()[0]).bit_length()
     coded = joint.join(codes, "y").select("x", "code", "cnt")
     levels = coded.select("x", "code", "cnt", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
@@ -90,6 +92,8 @@ def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = ordering.ROWS_
     distinct_x = joint.select("x").distinct()
     points = ordering.split_points(distinct_x, ["x"], distinct_x.count(), rows_per_bucket)
     cells = cells.withColumn("_bucket", ordering.bucket_of(cells, ["x"], points))
+    if points:
+        cells = cut_lineage(cells, "cells")
     group = ["bit", "prefix", "_bucket"]
     before = Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     exact = lambda c: c.cast("decimal(38,0)")

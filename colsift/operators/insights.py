@@ -24,7 +24,7 @@ def _count_pairs(stats: TableStats, condition: Column) -> int:
 def insights(stats: TableStats) -> DataFrame:
     """Flavor E: (rank, type, title, message, action) for missing data, duplicates, cardinality, correlation, imbalance."""
     texts = stats.roles.categorical
-    stats.need_cardinality(texts)
+    stats.gather("text_cardinality", "duplicates", "pairs")
     found = []
 
     def add(kind, title, message, action):
@@ -64,6 +64,7 @@ def _many_outliers(stats: TableStats) -> list[str]:
 
 def key_insights(stats: TableStats) -> DataFrame:
     """Flavor A: short statements on size, missing data, features, correlation and outliers."""
+    stats.gather("pairs", "outliers")
     said, share = [], _share(stats)
     numbers, texts = len(stats.roles.numeric), len(stats.roles.categorical)
     if stats.n_rows > 10_000:
@@ -92,6 +93,7 @@ def key_insights(stats: TableStats) -> DataFrame:
 
 
 def recommendations(stats: TableStats) -> DataFrame:
+    stats.gather("pairs", "outliers", "duplicates")
     said = []
     if scores.deducting_score(stats).first()["quality_score"] < 70:
         said.append("Address data quality issues")
@@ -116,6 +118,7 @@ def recommendations(stats: TableStats) -> DataFrame:
 
 def insights_summary(stats: TableStats) -> DataFrame:
     """Size, quality band, issues, gaps, strong pairs and the first three key insights."""
+    stats.gather("pairs", "outliers", "duplicates")
     score = scores.deducting_score(stats).first()
     said = [f"Dataset contains {stats.n_rows:,} records with {len(stats.df.columns)} features"]
     if score["quality_score"] >= 90:

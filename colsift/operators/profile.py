@@ -71,14 +71,11 @@ def concentration_label(top_pct: Column) -> Column:
 def categorical_profile(stats: TableStats, k: int = 5) -> DataFrame:
     """Per text column its k top values with the column's distinct count, share of the top value and label."""
     texts = stats.roles.categorical
-    if not texts:
-        return stats.rows([], "column_name string, value_rank bigint, value string, cnt bigint, unique_count bigint, "
-                              "top_pct double, concentration string")
-    stats.need("nulls").need_cardinality(texts)
+    stats.need("nulls").need_cardinality(texts, top=k)
     rows = F.lit(stats.n_rows)
     totals = stats.frame(["n_null", "n_unique", "top_count"], texts)
     top = percent(F.col("top_count"), rows - F.col("n_null"))
-    return frequencies.top_values(stats.df, texts, k).join(F.broadcast(totals), "column_name").select(
+    return stats.top_values(texts, k).join(F.broadcast(totals), "column_name").select(
         "column_name", "value_rank", "value", "cnt", F.col("n_unique").alias("unique_count"),
         F.round(top, 2).alias("top_pct"), concentration_label(top).alias("concentration"))
 
@@ -111,13 +108,9 @@ def numeric_summary(stats: TableStats) -> DataFrame:
 def categorical_summary(stats: TableStats, k: int = 5) -> DataFrame:
     """Per text column its k top values, distinct count and missing count."""
     texts = stats.roles.categorical
-    stats.need("nulls").need_cardinality(texts)
+    stats.need("nulls").need_cardinality(texts, top=k)
     totals = stats.frame(["n_unique", "n_null"], texts)
-    if not texts:
-        best = stats.rows([], "column_name string, value_rank bigint, value string, cnt bigint")
-    else:
-        best = frequencies.top_values(stats.df, texts, k)
-    return F.broadcast(totals).join(best, "column_name", "left").select(
+    return totals.join(F.broadcast(stats.top_values(texts, k)), "column_name", "left").select(
         "column_name", "value_rank", "value", "cnt", F.col("n_unique").alias("unique_values"),
         F.col("n_null").alias("missing_values"))
 

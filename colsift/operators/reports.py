@@ -26,7 +26,7 @@ def _pairs(frame: DataFrame, name: str) -> DataFrame:
 
 def full_report(stats: TableStats) -> DataFrame:
     """Overview, columns, describe, correlations, normality, categories, quality, insights and readiness."""
-    stats.need("moments", "shape", "dates").need_cardinality().need_quantiles(0.25, 0.5, 0.75)
+    stats.need("moments", "shape", "dates").gather("quantiles", "cardinality", "duplicates", "pairs")
     table = profile.overview(stats).withColumn("column_name", F.lit("*"))
     quality = scores.quality_score(stats).withColumn("column_name", F.lit("*"))
     ready = scores.ml_readiness(stats).withColumn("column_name", F.lit("*"))
@@ -48,7 +48,7 @@ def full_report(stats: TableStats) -> DataFrame:
 
 def quick_analysis(stats: TableStats) -> DataFrame:
     """Overview, deducting score, numeric summary, key insights and recommendations."""
-    stats.need("moments", "shape", "text").need_quantiles(0.25, 0.5, 0.75)
+    stats.need("moments", "shape", "text").gather("outliers", "duplicates", "pairs")
     table = profile.overview(stats).withColumn("column_name", F.lit("*"))
     quality = scores.deducting_score(stats).withColumn("column_name", F.lit("*"))
     numeric = profile.numeric_summary(stats)
@@ -65,6 +65,7 @@ def quick_analysis(stats: TableStats) -> DataFrame:
 
 def comprehensive_analysis(stats: TableStats) -> DataFrame:
     """The quick analysis with high correlations and patterns."""
+    stats.need("moments", "shape", "text", "whole", "dates").gather("outliers", "cardinality", "duplicates", "pairs")
     found = patterns.detect_patterns(stats)
     return _stack([
         quick_analysis(stats),
@@ -75,6 +76,7 @@ def comprehensive_analysis(stats: TableStats) -> DataFrame:
 
 def statistical_analysis(stats: TableStats) -> DataFrame:
     """Descriptive statistics, distributions, fence outliers and normality."""
+    stats.need("moments", "shape").gather("outliers", "text_cardinality")
     shapes = distribution.distributions(stats)
     bins = shapes.withColumn("column_name", F.format_string("%s[%d]", "column_name", "bin"))
     return _stack([

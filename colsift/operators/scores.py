@@ -91,7 +91,7 @@ def deducting_score(stats: TableStats) -> DataFrame:
 def readiness_checks(stats: TableStats) -> DataFrame:
     """Five checks with status, message and how many points each costs."""
     texts = stats.roles.categorical
-    stats.need_cardinality(texts)
+    stats.gather("text_cardinality", "duplicates")
     wide = sum((stats.fact(c, "n_unique") or 0) > 50 for c in texts)
     facts = _table_facts(stats).withColumn("n_wide", F.lit(wide))
     missing = F.coalesce(F.try_divide(F.col("n_missing") * 100.0, F.col("n_cells").cast("double")), F.lit(0.0))

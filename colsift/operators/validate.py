@@ -120,7 +120,10 @@ def _samples(df: DataFrame, order_by: list[str], wanted: dict[str, Column], limi
     parts = [F.struct(F.lit(c).alias("column_name"), ref(c).cast("string").alias("value"), ok.alias("hit"))
              for c, ok in wanted.items()]
     keys = [ref(k).alias(f"_k{i}") for i, k in enumerate(order_by)]
-    flat = df.select(*keys, F.explode(F.array(*parts)).alias("t")).filter("t.hit")
+    if not parts:
+        return small_frame(df.sparkSession, [], "column_name string, value string, place bigint")
+    hit = reduce(lambda a, b: a | b, wanted.values())
+    flat = df.filter(hit).select(*keys, F.explode(F.array(*parts)).alias("t")).filter("t.hit")
     first = flat.select("t.column_name", "t.value", F.row_number().over(
         Window.partitionBy("t.column_name").orderBy(*[f"_k{i}" for i in range(len(order_by))])).alias("place"))
     return first.filter(F.col("place") <= limit).withColumn("place", F.col("place").cast("bigint"))
@@ -202,10 +205,7 @@ def high_cardinality(stats: TableStats) -> DataFrame:
 
 def low_variance_categorical(stats: TableStats) -> DataFrame:
     """Text columns where one value fills more than 95 % of all rows."""
-    texts = stats.roles.categorical
-    if not texts:
-        return stats.rows([], "column_name string, most_common_value string, most_common_pct double")
-    best = frequencies.top_values(stats.df, texts, 1)
+    best = stats.top_values(stats.roles.categorical, 1)
     pct = percent(F.col("cnt"), F.lit(stats.n_rows))
     return best.filter(pct > 95).select("column_name", F.col("value").alias("most_common_value"),
                                         F.round(pct, 2).alias("most_common_pct"))
@@ -240,7 +240,7 @@ def empty_columns(stats: TableStats) -> DataFrame:
 
 def validate_all(stats: TableStats) -> DataFrame:
     """All findings as (check_name, column_name, level, metric, message)."""
-    stats.need("moments", "text", "dates").need_cardinality().need_outliers()
+    stats.need("moments", "text", "dates").gather("cardinality", "outliers", "duplicates")
     checks = [
         missing_values(stats).select(
             F.lit("missing_values"), "column_name", "level", F.col("missing_count"),

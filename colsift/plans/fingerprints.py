@@ -20,7 +20,7 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> list[Column]
     return [F.xxhash64(nulls, *parts).alias("_h1"), F.xxhash64(F.lit("second"), *parts, nulls).alias("_h2")]
 
 
-def duplicate_count(df: DataFrame) -> int:
-    """Rows equal to an earlier one; missing equals missing."""
-    copies = df.select(*fingerprint(df)).groupBy("_h1", "_h2").agg(F.count("*").alias("copies"))
+def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> int:
+    """Rows equal to an earlier one in the columns, all by default; missing equals missing."""
+    copies = df.select(*fingerprint(df, columns)).groupBy("_h1", "_h2").agg(F.count("*").alias("copies"))
     return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]

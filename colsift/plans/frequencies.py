@@ -7,13 +7,17 @@ as a 128-bit digest plus length; the full text is fetched only for the few value
 
 from __future__ import annotations
 
+import re
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colsift.functions.values import is_missing, no_nan, ref
+from colsift.plans.session import small_frame
 
 LONG_TEXT = 64
+DIGEST = re.compile("[0-9a-f]{32}:[0-9]+")
 COUNTABLE = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
              T.DayTimeIntervalType)
 
@@ -73,45 +77,71 @@ def value_counts(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n_unique, top_count, low_count) for the columns that have any value."""
-    per_family = [
-        counts.groupBy("column_name").agg(F.count("*").alias("n_unique"), F.max("cnt").alias("top_count"),
-                                          F.min("cnt").alias("low_count"))
-        for counts in value_counts(df, columns).values()
-    ]
-    return reduce(DataFrame.unionAll, per_family)
+    return reduce(DataFrame.unionAll, [_summary(counts) for counts in value_counts(df, columns).values()])
 
 
-def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """(column_name, value_rank, value, cnt): the k most frequent values as text, ties in value order.
+def _summary(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("column_name").agg(F.count("*").alias("n_unique"), F.max("cnt").alias("top_count"),
+                                             F.min("cnt").alias("low_count"))
+
+
+def cardinality_and_top(df: DataFrame, columns: list[str], k: int) -> tuple[list[dict], list[dict]]:
+    """The rows of `cardinality`, and (column_name, value_rank, value, cnt) of the k most frequent values.
 
-    Long texts tie by digest. The rank filter becomes a window group limit, so each task passes on k rows per column.
+    Ties go in value order, those of long texts in digest order. Both come from one shuffle: the branches below share
+    their exchange. The rank filter becomes a window group limit, so each task passes on k rows per column.
     """
     types = {f.name: f.dataType for f in df.schema}
-    ranked = []
+    parts = []
     for counts in value_counts(df, columns).values():
         order = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("value"))
-        ranked.append(counts.withColumn("value_rank", F.row_number().over(order)).filter(F.col("value_rank") <= k)
-                      .select("column_name", "value_rank", F.col("value").cast("string").alias("key"), "cnt"))
-    best = reduce(DataFrame.unionAll, ranked)
-    texts = [c for c in columns if isinstance(types[c], T.StringType)]
-    timed = [c for c in columns if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
-    shown = F.col("key")
-    for c in timed:
-        stamp = (F.date_from_unix_date(F.col("key").cast("int")) if isinstance(types[c], T.DateType)
-                 else F.timestamp_micros(F.col("key").cast("bigint")))
-        shown = F.when(F.col("column_name") == c, stamp.cast("string")).otherwise(shown)
-    best = best.withColumn("value", shown)
-    if texts:
-        # at most k rows per column on the broadcast side
-        keyed = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), text_key(ref(c)).alias("key"), ref(c).alias("full"))
-            for c in texts])).alias("t")).select("t.*").filter(F.length("full") > LONG_TEXT)
-        wanted = best.filter(F.col("column_name").isin(texts) & F.col("key").rlike("^[0-9a-f]{32}:[0-9]+$"))
-        full = (keyed.join(F.broadcast(wanted.select("column_name", "key")), ["column_name", "key"])
-                .groupBy("column_name", "key").agg(F.min("full").alias("full")))
-        best = best.join(F.broadcast(full), ["column_name", "key"], "left")
-        best = best.withColumn("value", F.coalesce("full", "value")).drop("full")
-    return best.select("column_name", F.col("value_rank").cast("bigint").alias("value_rank"), "value", "cnt")
+        best = counts.withColumn("value_rank", F.row_number().over(order)).filter(F.col("value_rank") <= k)
+        parts.append(best.select("column_name", F.col("value_rank").cast("bigint"), F.col("value").cast("string").alias("key"),
+                                 "cnt", *[F.lit(None).cast("bigint").alias(c) for c in ("top_count", "low_count")]))
+        parts.append(_summary(counts).select("column_name", F.lit(0).cast("bigint"), F.lit(None).cast("string"),
+                                             "n_unique", "top_count", "low_count"))
+    rows = [r.asDict() for r in reduce(DataFrame.unionAll, parts).collect()]
+    totals = [{"column_name": r["column_name"], "n_unique": r["cnt"], "top_count": r["top_count"], "low_count": r["low_count"]}
+              for r in rows if r["value_rank"] == 0]
+    best = sorted((r for r in rows if r["value_rank"] > 0), key=lambda r: (columns.index(r["column_name"]), r["value_rank"]))
+    texts = _full_texts(df, [(r["column_name"], r["key"]) for r in best
+                             if isinstance(types[r["column_name"]], T.StringType) and DIGEST.fullmatch(r["key"])])
+    return totals, [{"column_name": r["column_name"], "value_rank": r["value_rank"], "cnt": r["cnt"],
+                     "value": texts.get((r["column_name"], r["key"])) or _shown(r["key"], types[r["column_name"]])}
+                    for r in best]
+
+
+def _shown(key: str, dtype: T.DataType) -> str:
+    """The value of a key as text."""
+    if isinstance(dtype, T.DateType):
+        return str(date(1970, 1, 1) + timedelta(days=int(key)))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return str(datetime(1970, 1, 1) + timedelta(microseconds=int(key)))
+    if isinstance(dtype, T.BooleanType):
+        return "true" if key == "1" else "false"
+    return key
+
+
+def _full_texts(df: DataFrame, wanted: list[tuple]) -> dict[tuple, str]:
+    """The texts behind the digests of the few values reported."""
+    if not wanted:
+        return {}
+    columns = sorted({c for c, _ in wanted})
+    hits = {c: text_key(ref(c)).isin([k for n, k in wanted if n == c]) for c in columns}
+    cells = F.array(*[F.when(hits[c], F.struct(F.lit(c).alias("column_name"), text_key(ref(c)).alias("key"),
+                                               ref(c).alias("full"))) for c in columns])
+    found = (df.filter(reduce(lambda a, b: a | b, hits.values())).select(F.explode(F.array_compact(cells)).alias("t"))
+             .groupBy("t.column_name", "t.key").agg(F.min("t.full").alias("full")))
+    return {(r["column_name"], r["key"]): r["full"] for r in found.collect()}
+
+
+TOP_SCHEMA = "column_name string, value_rank bigint, value string, cnt bigint"
+
+
+def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(column_name, value_rank, value, cnt): the k most frequent values of each column as text."""
+    best = cardinality_and_top(df, columns, k)[1] if columns else []
+    return small_frame(df.sparkSession, best, TOP_SCHEMA)
 
 
 def frequencies_of(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,10 @@ pure function of its key. Every job can therefore be recomputed after a lost exe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colsift.functions.values import ref
 
@@ -32,14 +35,28 @@ def split_points(df: DataFrame, keys: list[str], rows: int, rows_per_bucket: int
     return [tuple(r) for r in cuts.orderBy(*cuts.columns).collect()][: MAX_BUCKETS - 1]
 
 
+def _as_text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, datetime):
+        return value.isoformat(sep=" ")
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def bucket_of(df: DataFrame, keys: list[str], points: list[tuple]) -> Column:
     """How many split points are at or below the row's key: binary search over a literal array."""
     if not points:
         return F.lit(0)
+    names = [f"k{i}" for i in range(len(keys))]
     types = [df.schema[k].dataType for k in keys]
-    cuts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(p, types))])
-                     for p in points])
-    key = F.struct(*[ref(k).cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(keys, types))])
+    if isinstance(types[0], T.ArrayType):
+        cuts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(names, p, types)]) for p in points])
+    else:
+        # one text literal that the optimizer folds to the array, however many points there are
+        text = json.dumps([{n: _as_text(v) for n, v in zip(names, p)} for p in points])
+        cuts = F.from_json(F.lit(text), "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>").cast(
+            "array<struct<" + ",".join(f"{n}:{t.simpleString()}" for n, t in zip(names, types)) + ">>")
+    key = F.struct(*[ref(k).cast(t).alias(n) for n, k, t in zip(names, keys, types)])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(points).bit_length()))])
     return F.aggregate(
         steps, F.lit(0),

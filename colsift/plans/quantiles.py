@@ -1,36 +1,55 @@
 """Exact linear-interpolation quantiles of many columns.
 
-Up to SMALL_COUNT values Spark's `percentile` is used. Above it, its value map would not fit one task, so each wanted
-rank is bracketed instead: a scan counts exactly what lies below, at and between the bracket ends and digests the inside;
-the digest gives the next, much narrower bracket. Three or four scans settle 10^12 rows and nothing is shuffled.
+Few values go through Spark's `percentile`, whose map of values must fit one task. Beyond SMALL_COUNT the wanted ranks
+are selected instead: a scan counts equal buckets of each bracket, [min, max] at first; the bucket that holds the rank is
+the next bracket, narrowed to the values that occur in it; a bracket of few rows is fetched. Only (column, bucket) counts
+are shuffled. A bucket that holds one value settles its rank, however many rows have it.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SMALL_COUNT = 2_000_000
-COLLECT_LIMIT = 50_000
-GRID = 256
+from colsift.plans.session import together
 
+COLUMNS_PER_SCAN = 4
+SMALL_COUNT = 200_000
+BUCKETS = 4096
+FETCH_LIMIT = 8192
+# above ln of the largest and the negated ln of the smallest positive double
+LOG_SHIFT = 745.2
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """The values from lo to hi, which hold `rows` rows and have `below` rows before them."""
 
-@dataclass
-class _Rank:
     column: str
-    rank: int
     lo: float
     hi: float
-    slack: int = 2
-    outer: tuple | None = None
-    answer: float | None = None
-    inside_rank: int | None = None
+    rows: int
+    below: int
+    by_log: bool = False
+
+    def bucket(self, x: Column) -> Column:
+        scale = _log_scale if self.by_log else lambda v: v
+        start, end = scale(F.lit(self.lo)), scale(F.lit(self.hi))
+        # halves first, so that the width of the whole double range does not overflow
+        share = (scale(x) / 2 - start / 2) / (end / 2 - start / 2)
+        return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
+def _log_scale(x: Column) -> Column:
+    """A monotone scale on which doubles of all magnitudes spread out."""
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + LOG_SHIFT))
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], counts: dict[str, int], probs: list[float],
-                    small_count: int = SMALL_COUNT, collect_limit: int = COLLECT_LIMIT) -> dict[str, list]:
+                    small_count: int = SMALL_COUNT, fetch_limit: int = FETCH_LIMIT) -> dict[str, list]:
     """For each named numeric expression the quantiles at `probs`; None where there are no values."""
     small = [c for c in columns if 0 < counts[c] <= small_count]
     large = [c for c in columns if counts[c] > small_count]
@@ -41,68 +60,76 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], counts: dict[str,
                        for i, c in enumerate(part)]).first()
         for i, c in enumerate(part):
             found[c] = list(row[i])
-    if large:
-        found.update(_select_ranks(df, {c: columns[c] for c in large}, counts, probs, collect_limit))
+
+    def select(part: list[str]) -> dict[tuple, float]:
+        wanted = {c: sorted({f((counts[c] - 1) * p) for p in probs for f in (math.floor, math.ceil)}) for c in part}
+        return _select_ranks(df, {c: columns[c] for c in part}, counts, wanted, fetch_limit)
+
+    parts = [large[i:i + COLUMNS_PER_SCAN] for i in range(0, len(large), COLUMNS_PER_SCAN)]
+    for part, at in zip(parts, together(df.sparkSession, [partial(select, p) for p in parts]) if parts else []):
+        for c in part:
+            found[c] = []
+            for p in probs:
+                place = (counts[c] - 1) * p
+                low, high = at[c, math.floor(place)], at[c, math.ceil(place)]
+                found[c].append(low if low == high else low + (high - low) * (place - math.floor(place)))
     return found
 
 
-def _select_ranks(df, columns, counts, probs, collect_limit):
+def _select_ranks(df, columns, counts, wanted, fetch_limit) -> dict[tuple, float]:
+    """(column, rank) -> value, by scans that narrow the brackets of all columns at once."""
     ends = df.agg(*[f(columns[c]) for c in columns for f in (F.min, F.max)]).first()
-    spots: dict[tuple, _Rank] = {}
+    found: dict[tuple, float] = {}
+    spots: dict[tuple, _Bracket] = {}
     for i, c in enumerate(columns):
-        for p in probs:
-            place = (counts[c] - 1) * p
-            for rank in {math.floor(place), math.ceil(place)}:
-                spots[c, rank] = _Rank(c, rank, ends[2 * i], ends[2 * i + 1])
+        for rank in wanted[c]:
+            spots[c, rank] = _Bracket(c, ends[2 * i], ends[2 * i + 1], counts[c], 0)
     while True:
-        open_spots = [s for s in spots.values() if s.answer is None]
-        if not open_spots:
-            break
-        for start in range(0, len(open_spots), 20):
-            _narrow(df, columns, open_spots[start:start + 20], collect_limit)
-    result = {}
-    for c in columns:
-        result[c] = []
-        for p in probs:
-            place = (counts[c] - 1) * p
-            low, high = spots[c, math.floor(place)].answer, spots[c, math.ceil(place)].answer
-            result[c].append(low + (high - low) * (place - math.floor(place)))
-    return result
-
-
-def _narrow(df, columns, spots, collect_limit):
-    """One scan: settle the ranks that can be settled and tighten the brackets of the others."""
-    grid = [i / GRID for i in range(GRID + 1)]
-    wanted = []
-    for s in spots:
-        x = columns[s.column]
-        inner = F.when((x > s.lo) & (x < s.hi), x)
-        if s.inside_rank is not None:
-            wanted.append(F.sort_array(F.collect_list(inner))[s.inside_rank])
-            continue
-        wanted.append(F.struct(
-            F.count_if(x < s.lo).alias("below"), F.count_if(x == s.lo).alias("at_lo"), F.count(inner).alias("inner"),
-            F.count_if((x == s.hi) & (x != s.lo)).alias("at_hi"),
-            F.approx_percentile(inner, grid, 10_000).alias("digest")))
-    row = df.agg(*[w.alias(f"s{i}") for i, w in enumerate(wanted)]).first()
-    for s, got in zip(spots, row):
-        if s.inside_rank is not None:
-            s.answer = got
-            continue
-        inside = s.rank - got["below"] - got["at_lo"]
-        if s.rank < got["below"] or inside >= got["inner"] + got["at_hi"]:
-            # the digest misplaced the rank: back to the outer bracket with more room
-            (s.lo, s.hi), s.slack = s.outer, min(s.slack * 4, GRID)
-        elif inside < 0:
-            s.answer = s.lo
-        elif inside >= got["inner"]:
-            s.answer = s.hi
-        elif got["inner"] <= collect_limit:
-            s.inside_rank = inside
-        else:
-            s.outer = (s.lo, s.hi)
-            centre = inside * GRID // got["inner"]
-            low, high = centre - s.slack, centre + 1 + s.slack
-            digest = got["digest"]
-            s.lo = digest[low] if low > 0 else s.lo
-            s.hi = digest[high] if high < GRID else s.hi
+        for key, b in list(spots.items()):
+            if b.lo == b.hi:
+                found[key] = b.lo
+                del spots[key]
+        if not spots:
+            return found
+        brackets = sorted(set(spots.values()), key=lambda b: (b.column, b.lo))
+        numbers = {b: i for i, b in enumerate(brackets)}
+        tables = _count_buckets(df, columns, brackets, numbers, fetch_limit)
+        for key, b in spots.items():
+            below = b.below
+            for lo, hi, rows in tables[numbers[b]]:
+                if key[1] < below + rows:
+                    # hardly narrower: the values span magnitudes, so the other scale is next
+                    by_log = not b.by_log if rows * 16 > b.rows else False
+                    spots[key] = _Bracket(b.column, lo, hi, rows, below, by_log and lo < hi)
+                    break
+                below += rows
+
+
+def _count_buckets(df, columns, brackets, numbers, fetch_limit) -> dict[int, list]:
+    """Per bracket its occupied buckets in order as (lowest value, highest value, rows).
+
+    The brackets of a column are disjoint, so every row counts at most once per column. In a bracket of at most
+    `fetch_limit` rows each value is a bucket of its own.
+    """
+    # step by step, so that no expression is repeated inside another and the code of each step stays small
+    names = {c: f"x{i}" for i, c in enumerate(columns)}
+    staged = df.select(*[columns[c].alias(x) for c, x in names.items()])
+    number, bucket = {}, {}
+    for c, name in names.items():
+        x, number[name], bucket[name] = F.col(name), F.lit(None).cast("int"), F.lit(None).cast("int")
+        for b in (b for b in brackets if b.column == c):
+            number[name] = F.when((x >= b.lo) & (x <= b.hi), F.lit(numbers[b])).otherwise(number[name])
+            place = F.lit(-1) if b.rows <= fetch_limit else b.bucket(x)
+            bucket[name] = F.when(F.col(f"{name}_number") == numbers[b], place).otherwise(bucket[name])
+    staged = staged.select("*", *[n.alias(f"{x}_number") for x, n in number.items()])
+    staged = staged.select("*", *[b.alias(f"{x}_bucket") for x, b in bucket.items()])
+    cells = [F.struct(F.col(f"{x}_number").alias("number"), F.col(f"{x}_bucket").alias("bucket"), F.col(x).alias("x"))
+             for x in names.values()]
+    flat = staged.select(F.explode(F.array(*cells)).alias("t")).select("t.*").filter("number is not null")
+    single = F.when(F.col("bucket") < 0, F.col("x"))
+    counted = flat.groupBy("number", "bucket", single.alias("single")).agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    tables: dict[int, list] = {}
+    for row in counted.collect():
+        tables.setdefault(row["number"], []).append((row["lo"], row["hi"], row["n"]))
+    return {number: sorted(rows) for number, rows in tables.items()}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -38,6 +41,14 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, calls: list[Callable[[], object]], at_once: int = 4) -> list:
+    """Run independent jobs side by side, so that the tail of one does not leave the executors idle."""
+    if len(calls) == 1:
+        return [calls[0]()]
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
 def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A local relation from a few statistics rows; Catalyst folds what is computed on it."""
     fields = StructType.fromDDL(schema)

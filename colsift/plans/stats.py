@@ -8,18 +8,22 @@ so every column is still read once and the generated code stays small.
 from __future__ import annotations
 
 import math
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from colsift.functions.values import as_double, is_missing, ref, strip, to_number, to_time
+from colsift.functions.values import as_double, is_missing, is_padded, ref, to_number, to_time
 from colsift.plans import frequencies, quantiles
 from colsift.plans.fingerprints import duplicate_count
 from colsift.plans.pairs import Moments, pair_correlations
 from colsift.plans.roles import DATETIME_TYPES, column_roles
-from colsift.plans.session import small_frame
+from colsift.plans.session import small_frame, together
 
-EXPRESSIONS_PER_SCAN = 120
+# with many more the generated methods are too long to be compiled to machine code
+EXPRESSIONS_PER_SCAN = 32
+
+# how many of the most frequent values the reports show per text column
+TOP_VALUES = 5
 
 # Result type of every metric.
 METRIC_TYPES = {
@@ -40,6 +44,8 @@ class TableStats:
         self._groups: set[str] = set()
         self._facts: dict[str, dict] = {c: {} for c in df.columns}
         self._quantiles: dict[tuple, float] = {}
+        self._top: dict[str, list] = {}
+        self._top_k: dict[str, int] = {}
 
     @property
     def spark(self):
@@ -81,7 +87,7 @@ class TableStats:
                 number = to_number(ref(c))
                 found += [(c, "n_not_number", F.count_if(ref(c).isNotNull() & number.isNull())),
                           (c, "n_number", F.count(number)),
-                          (c, "n_padded", F.count_if(strip(ref(c)) != ref(c)))]
+                          (c, "n_padded", F.count_if(is_padded(ref(c))))]
             return found
         if group == "dates":
             found = []
@@ -100,18 +106,30 @@ class TableStats:
         wanted = [m for g in missing for m in self._metrics(g)]
         wanted.sort(key=lambda m: self.df.columns.index(m[0]))
         first = not self._groups
-        for start in range(0, max(len(wanted), 1 if first else 0), EXPRESSIONS_PER_SCAN):
-            part = wanted[start:start + EXPRESSIONS_PER_SCAN]
-            row = self.df.agg(F.count("*").alias("n_rows"), *[e.alias(f"m{i}") for i, (_, _, e) in enumerate(part)]).first()
-            self._n_rows = row["n_rows"]
-            for i, (column, metric, _) in enumerate(part):
-                self._facts[column][metric] = row[f"m{i}"]
+        if first and not wanted:
+            self._n_rows = self.df.count()
+        self._aggregate(wanted, count_rows=first)
         self._groups.update(missing)
         if "moments" in missing:
             for c in self.roles.numeric:
                 self._derive_spread(self._facts[c])
         return self
 
+    def _aggregate(self, wanted: list[tuple], count_rows: bool = False) -> None:
+        """Work out (column, metric, expression) in scans of a few columns each and keep the results."""
+        parts = [wanted[i:i + EXPRESSIONS_PER_SCAN] for i in range(0, len(wanted), EXPRESSIONS_PER_SCAN)]
+
+        def scan(part: list[tuple], size: bool) -> None:
+            rows = [F.count("*").alias("n_rows")] if size else []
+            row = self.df.agg(*[e.alias(f"m{i}") for i, (_, _, e) in enumerate(part)], *rows).first()
+            if size:
+                self._n_rows = row["n_rows"]
+            for i, (column, metric, _) in enumerate(part):
+                self._facts[column][metric] = row[i]
+
+        if parts:
+            together(self.spark, [partial(scan, p, count_rows and i == 0) for i, p in enumerate(parts)])
+
     def _derive_spread(self, facts: dict) -> None:
         """Count and the deviations follow from the null count and one variance."""
         n, var = self._n_rows - facts["n_null"], facts["var_pop"]
@@ -122,6 +140,9 @@ class TableStats:
 
     def need_quantiles(self, *probs: float) -> "TableStats":
         self.need("nulls")
+        if set(probs) & {0.25, 0.5, 0.75}:
+            # operators that share these statistics want the others as well
+            probs = tuple(sorted({*probs, 0.25, 0.5, 0.75}))
         left = [p for p in probs if any((c, p) not in self._quantiles for c in self.roles.numeric)]
         if left and self.roles.numeric:
             counts = {c: self._n_rows - self._facts[c]["n_null"] for c in self.roles.numeric}
@@ -155,25 +176,35 @@ class TableStats:
                 self._facts[c].update(lower=lower, upper=upper)
                 wanted += [(c, "n_outlier", F.count_if(out)), (c, "min_outlier", F.min(F.when(out, x))),
                            (c, "max_outlier", F.max(F.when(out, x))), (c, "n_z3", F.count_if(z > 3))]
-            for start in range(0, len(wanted), EXPRESSIONS_PER_SCAN):
-                part = wanted[start:start + EXPRESSIONS_PER_SCAN]
-                row = self.df.agg(*[e.alias(f"m{i}") for i, (_, _, e) in enumerate(part)]).first()
-                for i, (column, metric, _) in enumerate(part):
-                    self._facts[column][metric] = row[i]
+            self._aggregate(wanted)
             self._groups.add("outliers")
         return self
 
-    def need_cardinality(self, columns: list[str] | None = None) -> "TableStats":
-        columns = [c for c in (columns or self.df.columns)
-                   if "n_unique" not in self._facts[c] and frequencies.countable(self.roles.types[c])]
+    def need_cardinality(self, columns: list[str] | None = None, top: int = 0) -> "TableStats":
+        """Distinct counts, and with `top` the most frequent values as well, from the same shuffle."""
+        columns = [c for c in (columns if columns is not None else self.df.columns)
+                   if ("n_unique" not in self._facts[c] or top > self._top_k.get(c, 0))
+                   and frequencies.countable(self.roles.types[c])]
         if columns:
+            if top:
+                totals, best = frequencies.cardinality_and_top(self.df, columns, top)
+            else:
+                totals, best = [r.asDict() for r in frequencies.cardinality(self.df, columns).collect()], []
             for c in columns:
                 self._facts[c].update(n_unique=0, top_count=None, low_count=None)
-            for row in frequencies.cardinality(self.df, columns).collect():
-                self._facts[row["column_name"]].update(n_unique=row["n_unique"], top_count=row["top_count"],
-                                                       low_count=row["low_count"])
+                if top:
+                    self._top_k[c], self._top[c] = top, [r for r in best if r["column_name"] == c]
+            for r in totals:
+                self._facts[r["column_name"]].update(n_unique=r["n_unique"], top_count=r["top_count"],
+                                                     low_count=r["low_count"])
         return self
 
+    def top_values(self, columns: list[str], k: int) -> DataFrame:
+        """(column_name, value_rank, value, cnt) of the k most frequent values."""
+        self.need_cardinality(columns, top=k)
+        return self.rows([r for c in columns for r in self._top.get(c, []) if r["value_rank"] <= k],
+                         frequencies.TOP_SCHEMA)
+
     @cached_property
     def duplicate_rows(self) -> int:
         return duplicate_count(self.df)
@@ -189,6 +220,16 @@ class TableStats:
                  for c, f in ((c, self._facts[c]) for c in columns)}
         return pair_correlations(self.df, self.n_rows, known, self.numeric)
 
+    def gather(self, *wanted: str) -> "TableStats":
+        """Statistics that need scans of their own, at the same time: quantiles, outliers, cardinality, duplicates, pairs."""
+        jobs = {"quantiles": lambda: self.need_quantiles(0.5), "outliers": self.need_outliers,
+                "cardinality": lambda: self.need_cardinality(self.roles.categorical, top=TOP_VALUES).need_cardinality(),
+                "text_cardinality": lambda: self.need_cardinality(self.roles.categorical, top=TOP_VALUES),
+                "duplicates": lambda: self.duplicate_rows, "pairs": lambda: self.pairs}
+        self.need("moments")
+        together(self.spark, [jobs[w] for w in wanted])
+        return self
+
     def frame(self, metrics: list[str], columns: list[str] | None = None) -> DataFrame:
         """One row per column: position, column_name and the asked metrics."""
         names = self.df.columns if columns is None else columns

@@ -50,7 +50,7 @@ DERIVED = {
     "ml_parts": """
         SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_brand END AS p_brand, p_type,
                CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_size END AS p_size, p_retailprice,
-               CASE WHEN p_retailprice >= 950 THEN 'high' ELSE 'low' END AS price_class FROM {part}""",
+               CASE WHEN p_retailprice - 900 >= 2 * p_size THEN 'high' ELSE 'low' END AS price_class FROM {part}""",
 }
 
 
