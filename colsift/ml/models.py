@@ -41,21 +41,21 @@ def _boosted(n_classes, n_rows, **options):
 MODELS = {
     "classification": {
         "logistic_regression": _logistic,
-        "random_forest": lambda k, n, **o: RandomForestClassifier(**{"numTrees": 100, "maxDepth": TREE_DEPTH, "seed": SEED, **o}),
-        "decision_tree": lambda k, n, **o: DecisionTreeClassifier(**{"maxDepth": TREE_DEPTH, "seed": SEED, **o}),
+        "random_forest": lambda classes, rows, **o: RandomForestClassifier(**{"numTrees": 100, "maxDepth": TREE_DEPTH, "seed": SEED, **o}),
+        "decision_tree": lambda classes, rows, **o: DecisionTreeClassifier(**{"maxDepth": TREE_DEPTH, "seed": SEED, **o}),
         "svm": _svm,
         "xgboost": _boosted,
-        "naive_bayes": lambda k, n, **o: NaiveBayes(modelType="gaussian", **o),
+        "naive_bayes": lambda classes, rows, **o: NaiveBayes(modelType="gaussian", **o),
     },
     "regression": {
-        "linear_regression": lambda k, n, **o: LinearRegression(solver="normal", **o),
-        "random_forest": lambda k, n, **o: RandomForestRegressor(**{"numTrees": 100, "maxDepth": TREE_DEPTH, "seed": SEED, **o}),
-        "decision_tree": lambda k, n, **o: DecisionTreeRegressor(**{"maxDepth": TREE_DEPTH, "seed": SEED, **o}),
-        "svr": lambda k, n, **o: LinearRegression(**{"loss": "huber", "solver": "l-bfgs", "regParam": 1 / max(n, 1), **o}),
-        "xgboost": lambda k, n, **o: GBTRegressor(**{"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED, **o}),
+        "linear_regression": lambda classes, rows, **o: LinearRegression(solver="normal", **o),
+        "random_forest": lambda classes, rows, **o: RandomForestRegressor(**{"numTrees": 100, "maxDepth": TREE_DEPTH, "seed": SEED, **o}),
+        "decision_tree": lambda classes, rows, **o: DecisionTreeRegressor(**{"maxDepth": TREE_DEPTH, "seed": SEED, **o}),
+        "svr": lambda classes, rows, **o: LinearRegression(**{"loss": "huber", "solver": "l-bfgs", "regParam": 1 / max(rows, 1), **o}),
+        "xgboost": lambda classes, rows, **o: GBTRegressor(**{"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED, **o}),
     },
     "clustering": {
-        "kmeans": lambda k, n, **o: KMeans(**{"k": 8, "seed": SEED, **o}),
+        "kmeans": lambda classes, rows, **o: KMeans(**{"k": 8, "seed": SEED, **o}),
     },
 }
 

@@ -61,15 +61,16 @@ def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame
 
     Only the first is splittable; an array or an object is one document per file and read by one task per file.
     """
+    first = _first_line(spark, path)
     if layout == "auto":
-        layout = json_layout(spark, path)
+        layout = json_layout(first)
     if layout == "lines":
-        return spark.read.json(path)
+        return _in_record_order(spark.read.json(path), first)
     if layout == "records":
-        return spark.read.option("multiLine", True).json(path)
+        return _in_record_order(spark.read.option("multiLine", True).json(path), first)
     if layout != "columns":
         raise ValueError(f"unknown JSON layout: {layout}")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     cells = text.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("name", "cells"))
     cells = cells.select("name", F.explode("cells").alias("row", "cell"))
     names = [r["name"] for r in cells.select("name").distinct().orderBy("name").collect()]
@@ -77,9 +78,22 @@ def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame
     return infer_types(wide.drop("row"))
 
 
-def json_layout(spark: SparkSession, path: str) -> str:
+def _first_line(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
-    text = first[0][0].strip() if first else ""
+    return first[0][0].strip() if first else ""
+
+
+def _in_record_order(df: DataFrame, first: str) -> DataFrame:
+    """Columns as the first record names them; Spark infers them in alphabetical order."""
+    try:
+        named = list(json.JSONDecoder().raw_decode(first[first.index("{"):])[0])
+    except ValueError:
+        return df
+    known = [c for c in named if c in df.columns]
+    return df.select(*[ref(c) for c in known + [c for c in df.columns if c not in known]])
+
+
+def json_layout(text: str) -> str:
     if text.startswith("["):
         return "records"
     try:
