@@ -64,11 +64,13 @@ def lenient_number(c: Column) -> Column:
 
 
 def to_time(c: Column, dtype: T.DataType) -> Column:
-    """Text to timestamp, NULL where no layout fits; dates and timestamps pass through."""
+    """Text to timestamp, NULL where no layout fits; dates and timestamps pass, numbers count nanoseconds since 1970."""
     if isinstance(dtype, T.StringType):
         return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c
+    if isinstance(dtype, T.NumericType):
+        return F.timestamp_micros(F.floor(no_nan(c, dtype) / 1000).cast("bigint"))
     return c.cast("string").try_cast("timestamp")
 
 

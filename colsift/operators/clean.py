@@ -164,11 +164,25 @@ class Cleaner:
             return self._next(self.df, action="fill_missing", column_name=column, method=method, n_changed=0,
                               missing_before=0, missing_after=0, message=f"No missing values found in '{column}'")
         filled = fill_missing(self.df, column, method, value, order_by)
-        after = Cleaner(filled)._gaps(column) if method in ("forward_fill", "backward_fill", "mode") else 0
+        after = self._gaps_left(column, method, before, order_by)
         return self._next(filled, action="fill_missing", column_name=column, method=method, n_changed=before - after,
                           missing_before=before, missing_after=after,
                           message=f"Filled {before - after} missing values of '{column}' by {method}")
 
+    def _gaps_left(self, column: str, method: str, before: int, order_by: list[str] | None) -> int:
+        """Gaps a fill cannot reach, without running it: those ahead of the first value, or behind the last."""
+        if method == "custom":
+            return 0
+        present = ~is_missing(ref(column), self.df.schema[column].dataType)
+        key = F.when(present, F.struct(*[ref(k) for k in order_by or [column]]))
+        edge = self.df.agg((F.max if method == "backward_fill" else F.min)(key)).first()[0]
+        if edge is None:
+            return before
+        if method not in ("forward_fill", "backward_fill"):
+            return 0
+        side = ordering.bucket_of(self.df, order_by, [tuple(edge)])
+        return self.df.filter(~present & (side == (1 if method == "backward_fill" else 0))).count()
+
     def remove_outliers(self, column: str, method: str = "iqr", threshold: float = 1.5) -> "Cleaner":
         keep = inlier(self.df, column, method, threshold)
         before, after = self.df.agg(F.count("*"), F.count_if(keep)).first()

@@ -180,7 +180,7 @@ def case_inconsistency(stats: TableStats) -> DataFrame:
 
 
 def date_issues(stats: TableStats) -> DataFrame:
-    """Columns named like a date whose values do not parse as one."""
+    """Text columns named like a date whose values do not parse as one; numbers and timestamps always do."""
     stats.need("dates")
     names = [c for c in stats.df.columns if stats.fact(c, "n_bad_date")]
     return stats.frame(["n_bad_date"], names).select("position", "column_name",
@@ -189,7 +189,7 @@ def date_issues(stats: TableStats) -> DataFrame:
 
 def date_issue_samples(df: DataFrame, order_by: list[str], limit: int = 5) -> DataFrame:
     types = column_roles(df).types
-    named = [c for c in df.columns if any(w in c.lower() for w in DATE_WORDS) and frequencies.countable(types[c])]
+    named = [c for c in df.columns if any(w in c.lower() for w in DATE_WORDS) and isinstance(types[c], T.StringType)]
     return _samples(df, order_by, {c: ref(c).isNotNull() & to_time(ref(c), types[c]).isNull() for c in named}, limit)
 
 

@@ -95,7 +95,7 @@ class TableStats:
                 if isinstance(types[c], DATETIME_TYPES):
                     found += [(c, "earliest", F.min(ref(c)).cast("timestamp_ntz")),
                               (c, "latest", F.max(ref(c)).cast("timestamp_ntz"))]
-                if ("date" in c.lower() or "time" in c.lower()) and frequencies.countable(types[c]):
+                if ("date" in c.lower() or "time" in c.lower()) and isinstance(types[c], T.StringType):
                     found.append((c, "n_bad_date", F.count_if(
                         ref(c).isNotNull() & to_time(ref(c), types[c]).isNull())))
             return found

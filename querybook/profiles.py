@@ -205,7 +205,9 @@ def top_long_texts(spark, folder):
     return profile.categorical_profile(_stats(spark, folder, "documents")).select("column_name", "value_rank", "value", "cnt")
 
 
-@query("analysis_history")
+@query("analysis_history", " UNION ALL ".join(f"""
+    SELECT '{run}' AS run_id, 'quick' AS type, 'overview' AS section, '{m}' AS metric, {v} AS value FROM orders HAVING count(*) > 0""" for run in ("first", "second")
+    for m, v in (("total_rows", "CAST(count(*) AS DOUBLE)"), ("total_columns", "6.0::DOUBLE"))))
 def analysis_history(spark, folder):
     path = scratch_path(spark, "history")
     stats = _stats(spark, folder, "orders", "A")

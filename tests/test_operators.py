@@ -43,6 +43,23 @@ def test_fill_methods(spark, edge):
     assert clean.fill_missing(nan, "x", "mean").filter("x = 2").count() == 2
 
 
+@pytest.mark.parametrize("method,left", [("forward_fill", 2), ("backward_fill", 1), ("mode", 0)])
+def test_fill_report_counts_what_is_left(spark, method, left):
+    values = [None, None, 1.0, None, 4.0, None]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    step = clean.Cleaner(df).fill_missing("v", method, order_by=["k"])
+    assert step.log[0]["missing_after"] == left == step.df.filter("v is null").count()
+    assert step.log[0]["n_changed"] == 4 - left
+    empty = clean.Cleaner(df.withColumn("v", F.lit(None).cast("double"))).fill_missing("v", method, order_by=["k"])
+    assert empty.log[0]["missing_after"] == 6
+
+
+def test_numbers_are_valid_dates(spark):
+    df = spark.createDataFrame([(1_700_000_000_000_000_000, "soon")], "update_time long, due_date string")
+    assert [r["column_name"] for r in rows(validate.date_issues(TableStats(df)))] == ["due_date"]
+    assert clean.convert_type(df, "update_time", "datetime").first()["update_time"].year == 2023
+
+
 def test_outlier_rules_drop_missing_and_constant(spark, edge):
     gaps = spark.createDataFrame([(1.0,), (2.0,), (None,)], "x double")
     assert clean.drop_outliers(gaps, "x").count() == 2
