@@ -17,8 +17,15 @@ NUMBER = r"^\s*[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf
 # White space at either end.
 PADDING = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
-# Date layouts tried after Spark's own parser; the first that fits wins.
-DATE_FORMATS = ["yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM d, yyyy"]
+# Date layouts tried after Spark's own parser, each with its outline; the first that fits wins. The outline goes first,
+# because a failed parse costs an exception per row.
+DATE_FORMATS = {
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "dd MMM yyyy": r"^\d{2} [A-Za-z]{3} \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+}
 
 
 def ref(name: str) -> Column:
@@ -66,7 +73,8 @@ def lenient_number(c: Column) -> Column:
 def to_time(c: Column, dtype: T.DataType) -> Column:
     """Text to timestamp, NULL where no layout fits; dates and timestamps pass, numbers count nanoseconds since 1970."""
     if isinstance(dtype, T.StringType):
-        return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+        return F.coalesce(F.try_to_timestamp(c), *[F.when(c.rlike(outline), F.try_to_timestamp(c, F.lit(layout)))
+                                                   for layout, outline in DATE_FORMATS.items()])
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(dtype, T.NumericType):

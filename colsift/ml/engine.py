@@ -153,12 +153,19 @@ class ModelBench:
             ready = VectorAssembler(inputCols=columns, outputCol=prepare.FEATURES).transform(waves)
         else:
             ready = VectorAssembler(inputCols=features, outputCol=prepare.FEATURES).transform(scaled)
-        return trained.model.transform(ready).select(*[c for c in new.columns if c not in features], "prediction")
+        found = trained.model.transform(ready).select(*[ref(c) for c in new.columns if c not in features], "prediction")
+        return self._decoded(found, "prediction")
+
+    def _decoded(self, df: DataFrame, column: str) -> DataFrame:
+        """Class codes of a numeric target back to its values."""
+        if not self.prepared.decode:
+            return df
+        return prepare.recode(df, column, self.prepared.target_levels, "code", "level")
 
     def test_data(self, test_size: float = 0.2, seed: int = 42) -> DataFrame | None:
         """The held-out rows with their target."""
         test = self.split(test_size, seed)[1]
-        return test if test is None else test.withColumnRenamed(prepare.LABEL, self.target)
+        return test if test is None else self._decoded(test, prepare.LABEL).withColumnRenamed(prepare.LABEL, self.target)
 
     def class_distribution(self) -> DataFrame:
         return self.prepared.df.groupBy(prepare.LABEL).agg(F.count("*").alias("cnt"))

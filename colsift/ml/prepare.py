@@ -29,6 +29,13 @@ def apply_codes(df: DataFrame, column: str, levels: DataFrame, unseen: int | Non
     return joined.select(*[code.cast("double").alias(c) if c == column else ref(c) for c in df.columns])
 
 
+def recode(df: DataFrame, column: str, levels: DataFrame, source: str, result: str) -> DataFrame:
+    """Replace numeric values by the other side of a level table."""
+    table = levels.select(F.col(source).cast("double").alias("_from"), F.col(result).cast("double").alias("_to"))
+    joined = df.join(table, ref(column).cast("double") == F.col("_from"), "left")
+    return joined.select(*[F.col("_to").alias(c) if c == column else ref(c) for c in df.columns])
+
+
 def encode(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
     levels = {}
     for c in columns:
@@ -64,6 +71,13 @@ class Prepared:
     problem: str
     levels: dict[str, DataFrame] = field(default_factory=dict)
     target_levels: DataFrame | None = None
+    decode: bool = False
+
+
+def _class_codes(df: DataFrame, target: str) -> DataFrame | None:
+    """(level, code) of a numeric class target; None where the classes are 0, 1, .. already."""
+    levels = dense_codes(df.select(ref(target).cast("double").alias(target)), target)
+    return None if levels.filter("level <> code").isEmpty() else levels
 
 
 def prepare(df: DataFrame, target: str | None, problem: str, features: list[str] | None = None) -> Prepared:
@@ -75,15 +89,20 @@ def prepare(df: DataFrame, target: str | None, problem: str, features: list[str]
     if has_label:
         df = df.filter(~is_missing(ref(target), df.schema[target].dataType))
     data, levels = encode(df, texts)
-    target_levels = None
+    target_levels, decode = None, False
     if has_label and isinstance(df.schema[target].dataType, T.StringType):
         target_levels = dense_codes(data, target)
         data = apply_codes(data, target, target_levels)
+    elif has_label and problem == "classification":
+        target_levels = _class_codes(data, target)
+        if target_levels is not None:
+            data = recode(data, target, target_levels, "level", "code")
+            decode = True
     data = impute(data, names)
     types = {f.name: f.dataType for f in data.schema}
     moments = [_number(c, types[c]).alias(c) for c in names]
     label = [as_double(ref(target), types[target]).alias(LABEL)] if has_label else []
-    return Prepared(data.select(*moments, *label), names, has_label, problem, levels, target_levels)
+    return Prepared(data.select(*moments, *label), names, has_label, problem, levels, target_levels, decode)
 
 
 def _number(name: str, dtype: T.DataType):

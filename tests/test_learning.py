@@ -58,6 +58,16 @@ def test_multi_class(homes):
     assert bench.train("decision_tree").metrics.first()["accuracy"] > 0.4
 
 
+def test_numeric_classes_come_back_as_they_were(homes):
+    df = homes.withColumn("band", F.expr("if(band = 'dear', 7, -3)"))
+    bench = engine.ModelBench(df, "band", "classification", ["size", "age"])
+    trained = bench.train("logistic_regression")
+    assert trained.metrics.first()["accuracy"] > 0.6
+    found = bench.predict(trained, df.filter("size is not null").select("size", "age"))
+    assert {r["prediction"] for r in found.distinct().collect()} == {-3.0, 7.0}
+    assert {r["band"] for r in bench.test_data().select("band").distinct().collect()} == {-3.0, 7.0}
+
+
 def test_unseen_labels_count_as_the_first(homes):
     bench = engine.ModelBench(homes, "band", "classification", ["size", "city", "age"])
     trained = bench.train("decision_tree")
