@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import language, packing, token_counts
+from colsift.llm import language, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +39,9 @@ def op5(spark, folder):
 @query("op10_language_id")
 def op10(spark, folder):
     return language.predict_languages(table(spark, folder, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "neighbours", "similarity", "terms")

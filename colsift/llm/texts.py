@@ -87,13 +87,13 @@ def explode_texts(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def bounded_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
-    """At most `limit` rows of each group of (doc_id, text, group): those of the smallest hash, the same on every run.
+def bounded_sample(rows: DataFrame, group: str, limit: int, content: str = "text") -> DataFrame:
+    """At most `limit` rows of each group, those of the smallest hash of doc_id and `content`: the same on every run.
 
     The counts by group first thin the rows to about 1.2 times the limit, so that few texts are shuffled; the window then
     sets the bound. The result has at most `limit` x groups rows however large the table is.
     """
-    spread = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    spread = F.xxhash64(F.col("doc_id").cast("string"), content)
     sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
     share = F.lit(1.0)
     for value, size in sizes.items():
