@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import language, packing, token_counts, toxicity
+from colsift.llm import language, packing, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op10(spark, folder):
 def op1(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
         "doc_id", "held_out", "score", "predicted", "neighbours", "similarity", "terms")
+
+
+@query("op4_simhash_groups")
+def op4(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
