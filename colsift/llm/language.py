@@ -199,11 +199,24 @@ def scorer(model: Model):
     return score
 
 
-def identify(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """`keep` (all columns by default) with lang_pred, score (0 to 1: the best share against the next) and known_share
-    (the corrected share of the text's n-grams that the predicted language contains)."""
+    (the corrected share of the text's n-grams that the predicted language contains), their names after `prefix`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, text_column, lambda: scorer(shared.value), SCORED, keep)
+    schema = ", ".join(prefix + f for f in SCORED.split(", "))
+    return map_texts(docs, text_column, lambda: scorer(shared.value), schema, keep)
+
+
+def in_known_language(docs: DataFrame, settings: Settings = Settings(), least_share: float = 0.3, id_column: str = "doc_id",
+                      text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of `docs` whose text has a letter and of whose n-grams the predicted language knows `least_share`; all columns
+    stay. Learns from the rows of `docs` as predict_languages does."""
+    rows = narrow(docs, id_column, text_column, lang=F.col(f"`{lang_column}`").cast("string"),
+                  held_out=is_fold(id_column, 4, 2))
+    model = train(rows.filter(~F.col("held_out")).select("doc_id", "text", "lang"), settings)
+    found = identify(docs, model, text_column, prefix="_llm_")
+    return found.filter((F.col("_llm_lang_pred") != UNDETERMINED) & (F.col("_llm_known_share") >= least_share)).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def predict_languages(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import language, packing, simhash, token_counts, toxicity
+from colsift.llm import decontaminate, language, packing, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,21 @@ def op1(spark, folder):
 @query("op4_simhash_groups")
 def op4(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+OP6_SQL = """
+    WITH doc_words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    item_words AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+    doc_places AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM doc_words WHERE len(w) > 0),
+    item_places AS (SELECT item_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM item_words WHERE len(w) > 0),
+    items AS (SELECT DISTINCT item_id, array_to_string(w[i + 1:i + 5], ' ') AS shingle FROM item_places),
+    docs AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS shingle FROM doc_places),
+    sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY 1)
+    SELECT doc_id, item_id, round(count(*) / any_value(n), 6) AS containment
+    FROM docs JOIN items USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.8"""
+
+
+@query("op6_decontamination", OP6_SQL)
+def op6(spark, folder):
+    found = decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))

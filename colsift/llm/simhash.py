@@ -240,13 +240,13 @@ def star_components(links: DataFrame) -> DataFrame:
         now = cut_lineage(large.join(down, "u").select(ends.alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "links")
 
 
-def components_of(fingerprinted: DataFrame, value: str = "doc_id", name: str = "component_id") -> DataFrame:
-    """(fp, name): the smallest `value` reachable from each fingerprint of (value, fp)."""
-    least = cut_lineage(fingerprinted.groupBy("fp").agg(F.min(value).alias("d")), "fingerprints")
+def components_of(fingerprinted: DataFrame) -> DataFrame:
+    """(fp, root, component_id): a fingerprint of each component, and the smallest doc_id in it, from (doc_id, fp)."""
+    least = cut_lineage(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("d")), "fingerprints")
     stars = star_components(near_links(least.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = least.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("d").alias(name))
-    return rooted.join(smallest, "root").select("fp", name)
+    smallest = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
@@ -254,3 +254,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = cut_lineage(with_fingerprints(narrow(docs, id_column, text_column), width=width, keep=["doc_id"]), "simhash")
     return found.join(components_of(found), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
+    """One row of each near-duplicate group, that of the smallest id (nulls last; of repeated rows any); all columns stay."""
+    marked = cut_lineage(with_fingerprints(docs, "_llm_fp", width, text_column).withColumn(
+        "_llm_row", F.monotonically_increasing_id()), "simhash")
+    rows = marked.select(F.col(f"`{id_column}`").alias("doc_id"), F.col("_llm_fp").alias("fp"), "_llm_row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_llm_row")
+    first = rows.join(components_of(rows), "fp").groupBy("root").agg(F.min(order).alias("first")).select(
+        F.col("first._llm_row").alias("_llm_row"))
+    return marked.join(first, "_llm_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

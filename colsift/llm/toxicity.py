@@ -20,7 +20,9 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from colsift.llm.texts import bounded_sample, explode_texts, is_fold, map_texts, narrow
 from colsift.plans.session import cut_lineage
@@ -263,12 +265,13 @@ def build_index(vectors: DataFrame, n_terms: int, settings: Settings) -> Index:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7,
                    id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= threshold), neighbours (ids of the nearest examples), similarity (the
-    largest cosine) and terms (those met, most frequent first). Learns from fold-3 remainders other than 1."""
+    """doc_id, held_out, text_hash, score, predicted (score >= threshold), neighbours (ids of the nearest examples), similarity
+    (the largest cosine) and terms (those met, most frequent first). Learns from fold-3 remainders other than 1."""
     spark = docs.sparkSession
     marks = labels.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{label_column}`").cast("int").alias("_toxic")).filter(
         F.col("_toxic").isin(0, 1)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    rows = narrow(docs, id_column, text_column, held_out=is_fold(id_column, 3, 1))
+    rows = narrow(docs, id_column, text_column, held_out=is_fold(id_column, 3, 1),
+                  text_hash=F.xxhash64(F.col(f"`{text_column}`").cast("string")))
     marked = lambda frame: frame.join(marks, (F.col("doc_id") == F.col("_id")) & ~F.col("held_out"), "left").drop("_id")
     training = rows.filter(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("_id")).select(
         "text", F.col("_toxic").alias("toxic"))
@@ -277,12 +280,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     index = build_index(marked(vectors).withColumnRenamed("_toxic", "toxic"), len(terms), settings)
     shared = spark.sparkContext.broadcast((index, terms))
 
-    import pyarrow as pa
-    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
-
-    out = StructType([vectors.schema["doc_id"], vectors.schema["held_out"]]).add("score", DoubleType()).add(
-        "predicted", IntegerType()).add("neighbours", ArrayType(StringType())).add("similarity", DoubleType()).add(
-        "terms", ArrayType(StringType()))
+    kept = [f for f in vectors.schema if f.name not in ("term", "times")]
+    out = StructType(list(kept)).add("score", DoubleType()).add("predicted", IntegerType()).add(
+        "neighbours", ArrayType(StringType())).add("similarity", DoubleType()).add("terms", ArrayType(StringType()))
 
     def run(batches):
         index, terms = shared.value
@@ -292,8 +292,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
             score = [f[0] for f in found]
             words = [[terms[i] for _, i in sorted(zip([-n for n in t], ids_))[:5]] for ids_, t in zip(ids, times)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()),
+                [*(batch.column(f.name) for f in kept), pa.array(score, pa.float64()),
                  pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.string())),
                  pa.array([f[2] for f in found], pa.float64()), pa.array(words, pa.list_(pa.string()))], out.names)
 
     return vectors.mapInArrow(run, out)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7,
+                  id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
+    """The rows of `docs` that are not predicted toxic; all columns stay."""
+    bad = score_toxicity(docs, labels, settings, threshold, id_column, text_column, label_column).filter("predicted = 1").select(
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs[f"`{id_column}`"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[f"`{text_column}`"].cast("string")) == F.col("_hash"))
+    return docs.join(bad, same, "left_anti")
