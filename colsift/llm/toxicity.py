@@ -41,7 +41,7 @@ class Settings:
     levels: int = 3
     terms: int = 4000
     odds: float = 4.0
-    sureness: float = 3.0
+    sureness: float = 2.5
     examples_per_class: int = 2000
     neighbours: int = 15
     softening: float = 0.05
