@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import decontaminate, language, packing, simhash, token_counts, toxicity
+from colsift.llm import decontaminate, language, packing, revisits, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,46 @@ OP6_SQL = """
 def op6(spark, folder):
     found = decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
+
+
+def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records made of the pages: a full response each, a hundred seconds apart, and a not-modified revisit each. Most revisits
+    come some time after their page; every eleventh comes before it, every fifth has another entity tag."""
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    page, tag = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")))
+    pair = lambda *texts: [F.lit(t) if isinstance(t, str) else t for t in texts]
+    full = pages.select(page.alias("record_id"), "url", at(page * 100).alias("date"), F.create_map(*pair(
+        "ETag", tag, "Content-Type", "text/html", "Content-Length", F.length("html").cast("string"),
+        "Cache-Control", "max-age=60")).alias("headers"))
+    after = F.when(page % 11 == 0, -50).otherwise(50 + 100 * (page % 7))
+    revisit = pages.select((-1 - page).alias("record_id"), "url", at(page * 100 + after).alias("date"), F.create_map(*pair(
+        "etag", F.concat(F.lit("W/"), F.when(page % 5 == 0, F.lit("other")).otherwise(tag)), "content-length", "0",
+        "cache-control", F.concat(F.lit("max-age="), page % 3 * 60), "x-revisit", "1")).alias("headers"))
+    return full, revisit
+
+
+CANONICAL_SQL = """(SELECT CASE WHEN h <> '' THEN h || regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/+$', '') ||
+        CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END FROM (SELECT r,
+            regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(r, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS h,
+            list_sort(list_filter(string_split(regexp_extract(r, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS q
+        FROM (SELECT regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS r)))"""
+
+
+OP9_SQL = f"""
+    WITH p AS (SELECT page_id, {CANONICAL_SQL} AS url, md5(coalesce(html, '')) AS tag, length(html) AS n FROM pages),
+    full_ AS (SELECT url, page_id * 100 AS t, max(page_id) AS page_id, max_by(tag, page_id) AS tag, max_by(n, page_id) AS n FROM p WHERE url IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT page_id, url, page_id * 100 + CASE WHEN page_id % 11 = 0 THEN -50 ELSE 50 + 100 * (page_id % 7) END AS t,
+          CASE WHEN page_id % 5 = 0 THEN 'other' ELSE tag END AS tag FROM p),
+    j AS (SELECT r.*, f.page_id AS full_id, f.t AS full_t, f.tag AS full_tag, f.n AS full_n FROM r ASOF LEFT JOIN full_ f ON r.url = f.url AND r.t > f.t)
+    SELECT -1 - page_id AS record_id, url, CASE WHEN full_tag = tag THEN full_id END AS response_id,
+           CASE WHEN url IS NULL THEN 'no_url' WHEN full_id IS NULL THEN 'no_earlier_response' WHEN full_tag = tag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
+           CASE WHEN full_tag = tag THEN 'cache-control: max-age=' || (page_id % 3 * 60) || '; content-length: ' || full_n || '; content-type: text/html; etag: W/' || tag || '; x-revisit: 1'
+                ELSE 'cache-control: max-age=' || (page_id % 3 * 60) || '; content-length: 0; etag: W/' || tag || '; x-revisit: 1' END AS headers
+    FROM j"""
+
+
+@query("op9_revisits", OP9_SQL)
+def op9(spark, folder):
+    resolved = revisits.resolve(*captures(table(spark, folder, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return resolved.select("record_id", "url", "response_id", "outcome", F.array_join(lines, "; ").alias("headers"))
