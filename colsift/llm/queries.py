@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import decontaminate, language, packing, revisits, simhash, token_counts, toxicity
+from colsift.llm import decontaminate, fertility, language, packing, revisits, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op9(spark, folder):
     resolved = revisits.resolve(*captures(table(spark, folder, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return resolved.select("record_id", "url", "response_id", "outcome", F.array_join(lines, "; ").alias("headers"))
+
+
+@query("op7_fertility")
+def op7(spark, folder):
+    return fertility.judge(table(spark, folder, "documents"))
