@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import decontaminate, fertility, language, packing, revisits, simhash, token_counts, toxicity
+from colsift.llm import decontaminate, fertility, language, licenses, packing, revisits, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op9(spark, folder):
 @query("op7_fertility")
 def op7(spark, folder):
     return fertility.judge(table(spark, folder, "documents"))
+
+
+@query("op8_licenses")
+def op8(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
