@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import decontaminate, fertility, language, licenses, packing, revisits, simhash, token_counts, toxicity
+from colsift.llm import (decontaminate, fertility, language, licenses, maxent, packing, revisits, simhash, token_counts,
+                         toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +122,8 @@ def op7(spark, folder):
 @query("op8_licenses")
 def op8(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op3_lm_scores")
+def op3(spark, folder):
+    return maxent.score_documents(table(spark, folder, "documents"))
