@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from colsift.llm.texts import explode_texts, narrow, parts_of, tokenizer
 from colsift.plans.session import cut_lineage
 
-CACHE_PARTS = 100_000
+CACHE_PARTS = 800_000
+PARTS_AT_ONCE = 2000
 LONGEST_CACHED = 64
 SWEEPS = 4
 
@@ -30,33 +32,62 @@ Pattern = tuple[int, ...]
 
 
 class Ids:
-    """Token ids of texts as the library gives them, as little-endian 32-bit arrays; those of frequent parts are kept."""
+    """Token ids of texts as the library gives them, as little-endian 32-bit arrays; those of frequent parts are kept.
 
-    def __init__(self, name: str):
-        self.library, self.first, self.later = tokenizer(name), {}, {}
+    New parts are tokenised many at a time, each after its space; the ids are told apart by the bytes that each id stands for.
+    """
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def __init__(self, name: str):
+        self.library, self.later = tokenizer(name), {}
+        vocabulary = self.library.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # byte-level: a character for each byte
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of " " + part. Parts with white space at an end are tokenised one by one."""
+        plain = [p for p in parts if p and p == p.strip()]
+        odd = list(set(parts) - set(plain))
+        found = dict(zip(odd, self.encode([" " + p for p in odd])))
+        for at in range(0, len(plain), PARTS_AT_ONCE):
+            some = plain[at:at + PARTS_AT_ONCE]
+            ids = self.encode([" " + " ".join(some)])[0]
+            ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
+            wanted = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))) for p in some])
+            stops = (4 * (np.searchsorted(ends, wanted) + 1)).tolist()
+            found.update(zip(some, [ids[a:b] for a, b in zip([0, *stops], stops)]))
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [parts_of(t or "") for t in texts]
         new_first = list({s[0] for s in split if s})
-        new_later = list({w for s in split if s for w in s[1:]} - self.later.keys())
+        later = set()
+        for s in split:
+            if s:
+                later.update(s[1:])
+        new_later = self.encode_parts(list(later - self.later.keys()))
         whole = [t or "" for t, s in zip(texts, split) if s is None]
-        ids = self.encode([*new_first, *(" " + w for w in new_later), *whole])
+        ids = self.encode([*new_first, *whole])
         first = dict(zip(new_first, ids))
-        self.later.update(zip(new_later, ids[len(new_first):]))
-        wholes = iter(ids[len(new_first) + len(new_later):])
+        self.later.update(new_later)
+        wholes = iter(ids[len(new_first):])
         result = [next(wholes) if s is None else first[s[0]] + b"".join(map(self.later.__getitem__, s[1:])) for s in split]
-        if len(self.later) > CACHE_PARTS:
-            self.later.clear()
-        else:
-            for w in new_later:
-                if len(w) > LONGEST_CACHED:
-                    del self.later[w]
+        full = len(self.later) > CACHE_PARTS  # frequent parts came early and stay
+        for w in new_later:
+            if full or len(w) > LONGEST_CACHED:
+                del self.later[w]
         return result
 
 
+@lru_cache(maxsize=2)
+def ids_of_worker(name: str) -> Ids:
+    """Kept for all tasks of a worker process."""
+    return Ids(name)
+
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -67,7 +98,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> DataFra
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        ids_of = Ids(vocabulary)
+        ids_of = ids_of_worker(vocabulary)
 
         def add(rows):
             out = defaultdict(list)
