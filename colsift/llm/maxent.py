@@ -37,12 +37,12 @@ FIGURES = 4  # a class's training tokens, distinct words, words met once, words
 class Settings:
     """Sizes of the hashed feature tables, the training and the work units. All are fixed, whatever the corpus."""
 
-    classes: int = 32
+    classes: int = 64
     word_rows: int = 8192
     history_rows: int = 8192
     rounds: int = 2
-    rate: float = 0.12
-    batch: int = 8192
+    rate: float = 0.07
+    batch: int = 2048
     chunk_rows: int = 64
     block_bytes: int = 8 << 20
     bucket_words: int = 1_000_000
@@ -140,11 +140,11 @@ def histories(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, hashes
     return c, [(rows.astype(np.int64) + start).astype(np.uint16) for rows, start in zip((w1, w2, pair, triple), starts)]
 
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Natural log probabilities of the classes, a line per token."""
-    z = weights[rows[0]]
+def log_softmax(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the classes, a line per token: the prior's logarithms plus the rows' weights."""
+    z = weights[rows[0]] + prior
     for r in rows[1:]:
-        z = z + weights[r]
+        z += weights[r]
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
@@ -152,8 +152,8 @@ def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 class Learner:
     """Adagrad on the class weights, from given weights."""
 
-    def __init__(self, weights: np.ndarray, settings: Settings):
-        self.start, self.weights, self.settings = weights, weights.copy(), settings
+    def __init__(self, weights: np.ndarray, prior: np.ndarray, settings: Settings):
+        self.start, self.weights, self.prior, self.settings = weights, weights.copy(), prior, settings
         self.squares = np.full(weights.shape, 1e-2, np.float32)
         self.seen = np.zeros(len(weights), np.float32)
 
@@ -161,7 +161,7 @@ class Learner:
         for at in range(0, len(c), self.settings.batch):
             target = c[at:at + self.settings.batch]
             some = [r[at:at + self.settings.batch] for r in rows]
-            slope = np.exp(log_softmax(self.weights, some))
+            slope = np.exp(log_softmax(self.weights, some, self.prior))
             slope[np.arange(len(target)), target] -= 1
             for r in some:
                 order = np.argsort(r, kind="stable")
@@ -174,8 +174,8 @@ class Learner:
                 self.seen[own] += np.diff(np.r_[first, len(line)])
 
 
-def train(blocks: DataFrame, settings: Settings) -> np.ndarray:
-    """The class weights. In round r learn the blocks whose number has remainder r."""
+def train(blocks: DataFrame, prior: np.ndarray, settings: Settings) -> np.ndarray:
+    """The class weights on top of the prior. In round r learn the blocks whose number has remainder r."""
     spark = blocks.sparkSession
     weights = np.zeros((sum(settings.sizes), settings.classes), np.float32)
     per = settings.chunk_rows
@@ -184,7 +184,7 @@ def train(blocks: DataFrame, settings: Settings) -> np.ndarray:
         shared = spark.sparkContext.broadcast(weights)
 
         def steps(batches):
-            learner = Learner(shared.value, settings)
+            learner = Learner(shared.value, prior, settings)
             for batch in batches:
                 for row in range(batch.num_rows):
                     held, sizes, tokens, classes, hashes = (batch.column(n)[row].as_py() for n in (
@@ -271,21 +271,26 @@ def count_buckets(dealt: DataFrame, settings: Settings) -> DataFrame:
 SCORED = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_blocks(blocks: DataFrame, weights: np.ndarray, figures: np.ndarray, ends: int, settings: Settings) -> DataFrame:
-    """A row per document from the blocks with their returned counts. `ends` is the number of training documents."""
+def class_prior(figures: np.ndarray) -> np.ndarray:
+    """Log shares of the classes in the training tokens."""
+    tokens = figures[:, 0] + 0.1
+    return np.log(tokens / tokens.sum()).astype(np.float32)
+
+
+def score_blocks(blocks: DataFrame, weights: np.ndarray, figures: np.ndarray, settings: Settings) -> DataFrame:
+    """A row per document from the blocks with their returned counts."""
     id_field = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     out = StructType.fromDDL(f"doc_id {id_field}, held_out boolean, {SCORED}")
     schema = to_arrow_schema(out)
-    figures = figures.copy()
-    figures[0] = (ends, ends > 0, ends == 1, ends == 2)
+    ends = int(figures[0, 0])
     all_tokens, distinct = int(figures[:, 0].sum()), int(figures[:, 1].sum())
     total, kept, once, twice = figures.astype(float).T
     discount = (once + 0.5) / (once + 2 * twice + 1)
     lost = np.log10(np.where(total > 0, discount * kept / np.maximum(total, 1), 1.0))
-    shared = blocks.sparkSession.sparkContext.broadcast((weights, discount, total, lost))
+    shared = blocks.sparkSession.sparkContext.broadcast((weights, class_prior(figures), discount, total, lost))
 
     def run(batches):
-        weights, discount, total, lost = shared.value
+        weights, prior, discount, total, lost = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 value = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
@@ -306,7 +311,7 @@ def score_blocks(blocks: DataFrame, weights: np.ndarray, figures: np.ndarray, en
                 gained = word[tokens]
                 for at in range(0, len(c), settings.batch):
                     some = slice(at, at + settings.batch)
-                    line = log_softmax(weights, [r[some] for r in rows])
+                    line = log_softmax(weights, [r[some] for r in rows], prior)
                     gained[some] += line[np.arange(len(line)), c[some]] / np.log(10)
                 first = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((
@@ -330,9 +335,10 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
     for place, n in returned.filter(F.col("block").isNull()).select(F.posexplode("figures").alias("i", "n")).groupBy("i").agg(
             F.sum("n")).collect():
         figures[place // FIGURES, place % FIGURES] = n
-    weights = train(blocks, settings)
+    figures[0] = (ends, ends > 0, ends == 1, ends == 2)  # the end is no word of a bucket
+    weights = train(blocks, class_prior(figures), settings)
     back = returned.filter(F.col("block").isNotNull()).groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts")).alias("returned"))
     joined = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "classes", "hashes").join(back, "block", "left").withColumn(
         "buckets", F.lit(buckets))
-    return score_blocks(joined, weights, figures, ends, settings)
+    return score_blocks(joined, weights, figures, settings)
