@@ -132,8 +132,14 @@ def pieces_model(name: str):
 # A byte-level vocabulary cuts before each space that follows other text, so the parts between spaces can be tokenised
 # alone. Only white space on both sides of a space joins two parts.
 JOINED = re.compile(r"\s \s|  ")
+OTHER_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def parts_of(text: str) -> list[str] | None:
     """The parts of a text between single spaces, or None if it has to be tokenised whole."""
-    return None if JOINED.search(text) else text.split(" ")
+    if "  " in text:
+        return None
+    # spaces beside a line break or another white space may join parts; most texts have neither
+    if (" \n" in text or "\n " in text or not text.isascii() or any(c in text for c in OTHER_ASCII_SPACES)) and JOINED.search(text):
+        return None
+    return text.split(" ")
