@@ -3,7 +3,8 @@
 Few values go through Spark's `percentile`, whose map of values must fit one task. Beyond SMALL_COUNT the wanted ranks
 are selected instead: a scan counts equal buckets of each bracket, [min, max] at first; the bucket that holds the rank is
 the next bracket, narrowed to the values that occur in it; a bracket of few rows is fetched. Only (column, bucket) counts
-are shuffled. A bucket that holds one value settles its rank, however many rows have it.
+are shuffled. A bucket that holds one value settles its rank, however many rows have it. Infinities are counted apart, so
+that the brackets are finite. Both ways interpolate alike, so the limit between them does not show in a result.
 """
 
 from __future__ import annotations
@@ -48,9 +49,19 @@ def _log_scale(x: Column) -> Column:
     return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + LOG_SHIFT))
 
 
+def interpolate(low: float, high: float, place: float) -> float:
+    """The value at `place` between the values of the ranks around it, in the same arithmetic as `percentile`."""
+    below, above = math.floor(place), math.ceil(place)
+    return low if below == above or low == high else (above - place) * low + (place - below) * high
+
+
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], counts: dict[str, int], probs: list[float],
-                    small_count: int = SMALL_COUNT, fetch_limit: int = FETCH_LIMIT) -> dict[str, list]:
-    """For each named numeric expression the quantiles at `probs`; None where there are no values."""
+                    small_count: int = SMALL_COUNT, fetch_limit: int = FETCH_LIMIT,
+                    ends: dict[str, tuple[float, float]] | None = None) -> dict[str, list]:
+    """For each named numeric expression the quantiles at `probs`; None where there are no values.
+
+    `ends` are known smallest and largest values; where both are finite no scan is spent on them.
+    """
     small = [c for c in columns if 0 < counts[c] <= small_count]
     large = [c for c in columns if counts[c] > small_count]
     found: dict[str, list] = {c: [None] * len(probs) for c in columns}
@@ -63,27 +74,40 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], counts: dict[str,
 
     def select(part: list[str]) -> dict[tuple, float]:
         wanted = {c: sorted({f((counts[c] - 1) * p) for p in probs for f in (math.floor, math.ceil)}) for c in part}
-        return _select_ranks(df, {c: columns[c] for c in part}, counts, wanted, fetch_limit)
+        return _select_ranks(df, {c: columns[c] for c in part}, counts, wanted, fetch_limit, ends or {})
 
     parts = [large[i:i + COLUMNS_PER_SCAN] for i in range(0, len(large), COLUMNS_PER_SCAN)]
     for part, at in zip(parts, together(df.sparkSession, [partial(select, p) for p in parts]) if parts else []):
         for c in part:
-            found[c] = []
-            for p in probs:
-                place = (counts[c] - 1) * p
-                low, high = at[c, math.floor(place)], at[c, math.ceil(place)]
-                found[c].append(low if low == high else low + (high - low) * (place - math.floor(place)))
+            places = [(counts[c] - 1) * p for p in probs]
+            found[c] = [interpolate(at[c, math.floor(x)], at[c, math.ceil(x)], x) for x in places]
     return found
 
 
-def _select_ranks(df, columns, counts, wanted, fetch_limit) -> dict[tuple, float]:
+def _finite_ends(df, columns, ends) -> dict[str, tuple]:
+    """(smallest finite value, largest finite value, how many are -inf, how many are inf) per column."""
+    known = {c: (*ends[c], 0, 0) for c in columns if c in ends and all(e is not None and math.isfinite(e) for e in ends[c])}
+    open_ = [c for c in columns if c not in known]
+    if open_:
+        finite = {c: F.when(F.abs(columns[c]) < math.inf, columns[c]) for c in open_}
+        row = df.agg(*[e for c in open_ for e in (
+            F.min(finite[c]), F.max(finite[c]), F.count_if(columns[c] == -math.inf), F.count_if(columns[c] == math.inf))]).first()
+        known |= {c: tuple(row[4 * i:4 * i + 4]) for i, c in enumerate(open_)}
+    return known
+
+
+def _select_ranks(df, columns, counts, wanted, fetch_limit, ends) -> dict[tuple, float]:
     """(column, rank) -> value, by scans that narrow the brackets of all columns at once."""
-    ends = df.agg(*[f(columns[c]) for c in columns for f in (F.min, F.max)]).first()
     found: dict[tuple, float] = {}
     spots: dict[tuple, _Bracket] = {}
-    for i, c in enumerate(columns):
+    for c, (low, high, below, above) in _finite_ends(df, columns, ends).items():
         for rank in wanted[c]:
-            spots[c, rank] = _Bracket(c, ends[2 * i], ends[2 * i + 1], counts[c], 0)
+            if rank < below:
+                found[c, rank] = -math.inf
+            elif rank >= counts[c] - above:
+                found[c, rank] = math.inf
+            else:
+                spots[c, rank] = _Bracket(c, low, high, counts[c] - below - above, below)
     while True:
         for key, b in list(spots.items()):
             if b.lo == b.hi:
@@ -100,6 +124,8 @@ def _select_ranks(df, columns, counts, wanted, fetch_limit) -> dict[tuple, float
                 if key[1] < below + rows:
                     # hardly narrower: the values span magnitudes, so the other scale is next
                     by_log = not b.by_log if rows * 16 > b.rows else False
+                    if b.by_log and (lo, hi) == (b.lo, b.hi):
+                        raise RuntimeError(f"the quantiles of {b.column} do not narrow between {lo} and {hi}")
                     spots[key] = _Bracket(b.column, lo, hi, rows, below, by_log and lo < hi)
                     break
                 below += rows

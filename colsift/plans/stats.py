@@ -146,8 +146,9 @@ class TableStats:
         left = [p for p in probs if any((c, p) not in self._quantiles for c in self.roles.numeric)]
         if left and self.roles.numeric:
             counts = {c: self._n_rows - self._facts[c]["n_null"] for c in self.roles.numeric}
+            ends = {c: (f["min"], f["max"]) for c, f in self._facts.items() if "moments" in self._groups and c in self.roles.numeric}
             found = quantiles.exact_quantiles(self.df, {c: self.numeric(c) for c in self.roles.numeric}, counts, left,
-                                              self.small_count)
+                                              self.small_count, ends=ends)
             for c, values in found.items():
                 for p, value in zip(left, values):
                     self._quantiles[c, p] = value

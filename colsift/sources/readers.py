@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -47,27 +46,31 @@ def infer_types(df: DataFrame) -> DataFrame:
     return clean.select(*[casts[target[c]](c).alias(c) if c in target else ref(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True) -> DataFrame:
-    raw = spark.read.options(**CSV_OPTIONS).option("sep", sep).csv(path)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """A delimited table with a header.
+
+    Quoted fields may hold line breaks, so a file is one task; for large files without any, `multi_line=False` reads each
+    file in many tasks.
+    """
+    raw = spark.read.options(**CSV_OPTIONS).option("sep", sep).option("multiLine", multi_line).csv(path)
     return infer_types(raw) if infer else raw
 
 
-def read_tsv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    return read_csv(spark, path, "\t", infer)
+def read_tsv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, "\t", infer, multi_line)
 
 
 def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
     """JSON as lines, as one array of records, or as one object of columns {"col": {"0": value}}.
 
-    Only the first is splittable; an array or an object is one document per file and read by one task per file.
+    Only the first is splittable; an array or an object is one document per file and read by one task per file. A single
+    object is taken for columns if all its values are objects with the same row labels, else for one record.
     """
-    first = _first_line(spark, path)
     if layout == "auto":
-        layout = json_layout(first)
-    if layout == "lines":
-        return _in_record_order(spark.read.json(path), first)
-    if layout == "records":
-        return _in_record_order(spark.read.option("multiLine", True).json(path), first)
+        layout = json_layout(spark, path)
+    if layout in ("lines", "records"):
+        reader = spark.read if layout == "lines" else spark.read.option("multiLine", True)
+        return _in_record_order(reader.json(path), _first_keys(spark, path, layout))
     if layout != "columns":
         raise ValueError(f"unknown JSON layout: {layout}")
     text = spark.read.text(path, wholetext=True)
@@ -78,30 +81,36 @@ def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame
     return infer_types(wide.drop("row"))
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
-    return first[0][0].strip() if first else ""
+def _first_keys(spark: SparkSession, path: str, layout: str) -> list[str]:
+    """The field names of the first record, read on an executor; only they come back."""
+    text = spark.read.text(path, wholetext=layout == "records").filter("trim(value) <> ''")
+    record = F.when(F.substring(F.trim("value"), 1, 1) == "[", F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
+    found = text.select(F.json_object_keys(record).alias("keys")).limit(1).collect()
+    return (found[0]["keys"] or []) if found else []
 
 
-def _in_record_order(df: DataFrame, first: str) -> DataFrame:
+def _in_record_order(df: DataFrame, named: list[str]) -> DataFrame:
     """Columns as the first record names them; Spark infers them in alphabetical order."""
-    try:
-        named = list(json.JSONDecoder().raw_decode(first[first.index("{"):])[0])
-    except ValueError:
-        return df
-    known = [c for c in named if c in df.columns]
+    known = [c for c in dict.fromkeys(named) if c in df.columns]
     return df.select(*[ref(c) for c in known + [c for c in df.columns if c not in known]])
 
 
-def json_layout(text: str) -> str:
-    if text.startswith("["):
-        return "records"
-    try:
-        parsed = json.loads(text)
-    except ValueError:
-        # an object spread over several lines
+def json_layout(spark: SparkSession, path: str) -> str:
+    """lines, records or columns, from the first character, whether a first line is a whole object, and whether a second
+    one follows; a single object is looked at as a whole on the executor. A few flags come to the driver."""
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    first = lines.select(F.substring(F.trim("value"), 1, 1).alias("start"), F.json_object_keys("value").isNotNull().alias("whole"))
+    found = first.limit(2).collect()
+    if not found or found[0]["start"] == "[":
+        return "records" if found else "lines"
+    if found[0]["whole"] and len(found) > 1:
+        return "lines"
+    labels = F.transform(F.map_values(F.from_json("value", "map<string, string>")), lambda v: F.array_sort(F.json_object_keys(v)))
+    columns = (F.size(labels) > 0) & F.forall(labels, lambda v: v.isNotNull()) & (F.size(F.array_distinct(labels)) == 1)
+    texts = spark.read.text(path, wholetext=True).filter("trim(value) <> ''")
+    if texts.agg(F.bool_and(F.coalesce(columns, F.lit(False)))).first()[0]:
         return "columns"
-    return "columns" if parsed and all(isinstance(v, dict) for v in parsed.values()) else "lines"
+    return "lines" if found[0]["whole"] else "records"
 
 
 READERS = {".csv": read_csv, ".tsv": read_tsv, ".json": read_json,

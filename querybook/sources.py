@@ -21,19 +21,52 @@ def _dated(df):
     return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
-@query("src_csv", ORDERS_AS_TEXT_DATE)
+# texts with line breaks and quotes beside plain columns; empty texts read back as missing
+DOCUMENTS_AS_TEXT = " UNION ALL SELECT doc_id, n_chars, md5(nullif(text, '')), NULL, lang, source FROM documents"
+
+
+def _documents(df):
+    return df.select("doc_id", "n_chars", F.md5("text"), F.lit(None).cast("double"), "lang", "source")
+
+
+@query("src_csv", ORDERS_AS_TEXT_DATE + DOCUMENTS_AS_TEXT)
 def src_csv(spark, folder):
-    return readers.read_csv(spark, _written(spark, _dated(read(spark, folder, "orders")), "csv"))
+    back = [readers.read_csv(spark, _written(spark, t, "csv"))
+            for t in (_dated(read(spark, folder, "orders")), read(spark, folder, "documents"))]
+    orders = back[0].withColumn("o_orderstatus", F.col("o_orderstatus").cast("string"))
+    return orders.unionAll(_documents(back[1]))
 
 
-@query("src_tsv", "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer")
+@query("src_tsv", """
+    SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer
+    UNION ALL SELECT doc_id, md5(nullif(text, '')), n_chars, NULL, lang FROM documents""")
 def src_tsv(spark, folder):
-    return readers.read_tsv(spark, _written(spark, read(spark, folder, "customer"), "tsv"))
+    customer, documents = [readers.read_tsv(spark, _written(spark, read(spark, folder, t), "tsv")) for t in ("customer", "documents")]
+    return customer.unionAll(documents.select("doc_id", F.md5("text"), "n_chars", F.lit(None).cast("double"), "lang"))
 
 
-@query("src_json", "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part")
+@query("src_json", """
+    SELECT 'lines' AS layout, p_partkey, p_name, p_brand, p_retailprice FROM part
+    UNION ALL SELECT layout, p_partkey, p_name, p_brand, p_retailprice FROM part, (SELECT unnest(['nested', 'array', 'columns']) AS layout)""")
 def src_json(spark, folder):
-    return readers.read_json(spark, _written(spark, read(spark, folder, "part"), "json"))
+    part = read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    lines = readers.read_json(spark, _written(spark, part, "json"))
+    nested = readers.read_json(spark, _written(spark, part.select(
+        F.struct("p_partkey", "p_name").alias("id"), F.struct("p_brand", "p_retailprice").alias("rest")), "json"))
+    # an array, and an object of columns, made by Spark and written as one text each
+    record = F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_retailprice"))
+    array = part.agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+    cells = [F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.col(c).cast("string")))).alias(c)
+             for c in part.columns]
+    columns = part.agg(F.to_json(F.struct(*cells)).alias("value"))
+    texts = []
+    for df in (array, columns):
+        path = scratch_path(spark, "json") + ".json"
+        df.coalesce(1).write.text(path)
+        texts.append(readers.load(spark, path))
+    named = lambda df, layout: df.select(F.lit(layout).alias("layout"), "p_partkey", "p_name", "p_brand", "p_retailprice")
+    return (named(lines, "lines").unionAll(named(nested.select("id.*", "rest.*"), "nested")).unionAll(named(texts[0], "array"))
+            .unionAll(named(texts[1], "columns")))
 
 
 @query("src_parquet", "SELECT * FROM part")
@@ -88,14 +121,16 @@ def preview(spark, folder):
 
 @query("sink", " UNION ALL ".join(
     f"SELECT '{f}' AS format, count(*) AS n, count(DISTINCT o_custkey) AS customers, {r('sum(o_totalprice)', 2)} AS total FROM orders"
+    f" UNION ALL SELECT '{f}', count(*), count(DISTINCT nullif(text, '')), CAST(sum(n_chars) AS DOUBLE) FROM documents"
     for f in sinks.FORMATS))
 def sink(spark, folder):
-    orders, found = _dated(read(spark, folder, "orders")), None
+    orders, documents, found = _dated(read(spark, folder, "orders")), read(spark, folder, "documents"), None
     for f in sinks.FORMATS:
-        back = readers.load(spark, _written(spark, orders, f)).agg(
-            F.lit(f).alias("format"), F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"),
-            F.round(F.sum("o_totalprice"), 2).alias("total"))
-        found = back if found is None else found.unionAll(back)
+        for table, key, amount in ((orders, "o_custkey", "o_totalprice"), (documents, "text", "n_chars")):
+            back = readers.load(spark, _written(spark, table, f)).agg(
+                F.lit(f).alias("format"), F.count("*").alias("n"), F.count_distinct(F.expr(f"nullif({key}, '')") if key == "text" else F.col(key))
+                .alias("customers"), F.round(F.sum(amount).cast("double"), 2).alias("total"))
+            found = back if found is None else found.unionAll(back)
     return found
 
 

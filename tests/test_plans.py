@@ -37,6 +37,25 @@ def test_selected_quantiles_are_exact(spark, fetch_limit):
         assert got[c] == pytest.approx(list(np.quantile(data[c], PROBS)), rel=1e-12)
 
 
+@pytest.mark.parametrize("ends", [["inf"], ["-inf"], ["inf", "-inf", "-inf"]])
+def test_quantiles_with_infinities_agree_on_both_sides_of_the_limit(spark, ends):
+    draw = random.Random(7)
+    data = [draw.gauss(0, 1) for _ in range(3000)] + [float(e) for e in ends] * 40
+    df = spark.createDataFrame([(x,) for x in data], "x double").repartition(4)
+    found = [quantiles.exact_quantiles(df, {"x": F.col("x")}, {"x": len(data)}, PROBS, small, fetch)["x"]
+             for small, fetch in ((10**6, 16), (10, 16), (10, 100_000))]
+    # NaN, between the two infinities, is equal to itself here
+    assert [list(map(str, f)) for f in found] == [list(map(str, found[0]))] * 3
+
+
+def test_selection_interpolates_like_percentile(spark):
+    draw = random.Random(8)
+    df = spark.createDataFrame([(draw.random() * 1e3,) for _ in range(2347)], "x double")
+    probs = [i / 97 for i in range(98)]
+    assert (quantiles.exact_quantiles(df, {"x": F.col("x")}, {"x": 2347}, probs)
+            == quantiles.exact_quantiles(df, {"x": F.col("x")}, {"x": 2347}, probs, small_count=10))
+
+
 def test_small_and_empty_quantiles(spark, edge):
     stats = TableStats(edge["ages"]).need_quantiles(0.5)
     assert (stats.fact("age", "q0.25"), stats.fact("age", "q0.5"), stats.fact("age", "q0.75")) == (28, 30, 35)

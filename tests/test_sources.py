@@ -32,6 +32,30 @@ def test_json_layouts(spark, tmp_path, text):
     assert sorted((r["a"], r["b"]) for r in readers.load(spark, str(path)).collect()) == [(1, "x"), (2, None)]
 
 
+def test_lines_of_objects_are_records(spark, tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text("".join(f'{{"user": {{"id": {i}, "name": "n{i}"}}, "geo": {{"lat": {i}.5}}}}\n' for i in range(5)))
+    df = readers.load(spark, str(path))
+    assert df.columns == ["user", "geo"] and sorted(r["user"]["id"] for r in df.collect()) == list(range(5))
+
+
+@pytest.mark.parametrize("text, rows", [('{"a": 1,\n "b": "x"}', 1), ('{"user": {"id": 1}, "geo": {"lat": 2}}', 1),
+                                        ('[{"a": {"x": 1}, "b": {"x": 2}}, {"a": {"x": 3}, "b": {"x": 4}}]', 2)])
+def test_single_objects_and_arrays_are_records(spark, tmp_path, text, rows):
+    path = tmp_path / "t.json"
+    path.write_text(text)
+    df = readers.load(spark, str(path))
+    assert df.count() == rows and set(df.columns) in ({"a", "b"}, {"user", "geo"})
+
+
+def test_line_breaks_in_quoted_fields(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'two\nlines, "quoted"'), (2, "a\r\nb\t\tc"), (3, "plain")], "i bigint, s string")
+    for format in ("csv", "tsv"):
+        back = readers.load(spark, sinks.export(df, str(tmp_path / "t"), format))
+        assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+    assert readers.read_csv(spark, str(tmp_path / "t.csv"), multi_line=False).count() > 3
+
+
 def test_refusals(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n")
     with pytest.raises(ValueError):
