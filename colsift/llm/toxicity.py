@@ -34,7 +34,7 @@ LEVEL = ["", " 2", " 3", " 4", " 5"]  # what marks a term's level
 
 @dataclass(frozen=True)
 class Settings:
-    """`terms` and `examples_per_class` bound the index. A term is kept where its log odds ratio, less `sureness` standard
+    """`terms` and `examples_per_class` bound the index, `learn_per_class` the labelled ids that terms are chosen from. A term is kept where its log odds ratio, less `sureness` standard
     errors, is at least log(`odds`) either way."""
 
     gram: int = 5
@@ -42,6 +42,7 @@ class Settings:
     terms: int = 4000
     odds: float = 4.0
     sureness: float = 2.5
+    learn_per_class: int = 20000
     examples_per_class: int = 2000
     neighbours: int = 15
     softening: float = 0.05
@@ -273,8 +274,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     rows = narrow(docs, id_column, text_column, held_out=is_fold(id_column, 3, 1),
                   text_hash=F.xxhash64(F.col(f"`{text_column}`").cast("string")))
     marked = lambda frame: frame.join(marks, (F.col("doc_id") == F.col("_id")) & ~F.col("held_out"), "left").drop("_id")
-    training = rows.filter(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("_id")).select(
-        "text", F.col("_toxic").alias("toxic"))
+    ids = rows.filter(~F.col("held_out")).select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("_id")).select(
+        "doc_id", F.col("_toxic").alias("toxic"))
+    sample = F.broadcast(bounded_sample(ids, "toxic", settings.learn_per_class, "toxic"))  # at most 2 x learn_per_class ids
+    training = rows.join(sample, "doc_id").select("text", "toxic")
     terms = choose_terms(training, settings)
     vectors = cut_lineage(term_counts(rows, terms, settings), "toxicity")
     index = build_index(marked(vectors).withColumnRenamed("_toxic", "toxic"), len(terms), settings)
