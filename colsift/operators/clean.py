@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from colsift.functions.values import as_double, is_missing, ref, standardize, to_time
+from colsift.functions.values import as_double, is_missing, no_nan, ref, standardize, to_time
 from colsift.plans import ordering
 from colsift.plans.fingerprints import duplicate_count
 from colsift.plans.frequencies import frequencies_of
@@ -21,8 +21,14 @@ LOG_SCHEMA = ("step bigint, action string, column_name string, method string, ro
 TARGET_TYPES = {"int": "bigint", "float": "double", "string": "string", "datetime": "timestamp", "category": "string"}
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN made NULL, so that missing equals missing in every comparison that follows."""
+    return df.select(*[no_nan(ref(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
 def drop_duplicates(df: DataFrame, subset: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Whole-row duplicates, or the first row in the order of `order_by` per combination of `subset`."""
+    df = without_nan(df)
     if not subset:
         return df.dropDuplicates()
     if not order_by:

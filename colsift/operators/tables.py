@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from colsift.functions.values import ref
-from colsift.operators.clean import column_mode
+from colsift.operators.clean import column_mode, drop_duplicates, without_nan
 from colsift.operators.profile import column_profile
+from colsift.plans.fingerprints import fingerprint
 from colsift.plans.session import cut_lineage, small_frame
 from colsift.plans.stats import TableStats
 
@@ -15,7 +16,7 @@ JOINS = ["inner", "left", "right", "full", "left_semi", "left_anti"]
 
 def auto_clean(df: DataFrame) -> DataFrame:
     """Drop duplicate rows, then fill numeric columns by median and the others by mode."""
-    kept = cut_lineage(df.dropDuplicates(), "dedup")
+    kept = cut_lineage(drop_duplicates(df), "dedup")
     stats = TableStats(kept)
     gaps = [c for c in df.columns if stats.need("nulls").fact(c, "n_null")]
     stats.need_quantiles(0.5)
@@ -44,14 +45,23 @@ def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def diff_versions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that were added, removed or changed between two versions with the same columns."""
-    rest = [c for c in old.columns if c not in keys]
-    before = old.select(*[ref(k) for k in keys], F.struct(*[ref(c) for c in rest]).alias("_old"))
-    after = new.select(*[ref(k) for k in keys], F.struct(*[ref(c) for c in rest]).alias("_new"))
-    change = (F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
-              .when(~F.col("_old").eqNullSafe(F.col("_new")), "changed"))
-    return (before.join(after, keys, "full").select(*[ref(k) for k in keys], change.alias("change"))
-            .filter("change is not null"))
+    """Keys that were added, removed or changed between two versions with the same columns.
+
+    Missing keys are a key, missing values are equal, and a key with several rows is changed if the rows' counts differ. The
+    two versions are stacked as row fingerprints that count up and down, so no join is needed and copies collapse early.
+    """
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        df = without_nan(df.select(*[ref(c) for c in old.columns]))
+        rest = [c for c in old.columns if c not in keys]
+        return df.select(*[ref(k) for k in keys], *(fingerprint(df, rest) if rest else [F.lit(0).alias("_h1"), F.lit(0).alias("_h2")]),
+                         F.lit(sign).alias("_n"))
+
+    rows = side(old, -1).unionAll(side(new, 1)).groupBy(*[ref(k) for k in keys], "_h1", "_h2").agg(
+        F.sum("_n").alias("_net"), F.bool_or(F.col("_n") < 0).alias("_old"), F.bool_or(F.col("_n") > 0).alias("_new"))
+    found = rows.groupBy(*[ref(k) for k in keys]).agg(
+        F.bool_or(F.col("_net") != 0).alias("_differs"), F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
+    change = F.when(~F.col("_old"), "added").when(~F.col("_new"), "removed").when(F.col("_differs"), "changed")
+    return found.select(*[ref(k) for k in keys], change.alias("change")).filter("change is not null")
 
 
 class Snapshots:

@@ -28,11 +28,12 @@ def split_points(df: DataFrame, keys: list[str], rows: int, rows_per_bucket: int
     size = picked.count()
     if size == 0:
         return []
-    step = max(1, size // buckets)
-    place = F.row_number().over(Window.orderBy(*[ref(k) for k in keys]))
-    # the sample is bounded by `wanted`, so one task may sort it
-    cuts = picked.withColumn("_place", place).filter(F.col("_place") % step == 0).drop("_place").distinct()
-    return [tuple(r) for r in cuts.orderBy(*cuts.columns).collect()][: MAX_BUCKETS - 1]
+    # the sample is bounded by `wanted`, so one task may sort it; its places that begin a new bucket are the cuts
+    place = F.row_number().over(Window.orderBy(*[ref(k) for k in keys])) - 1
+    bucket = lambda p: F.floor(p * buckets / F.lit(size))
+    cuts = picked.withColumn("_place", place).filter(
+        (F.col("_place") > 0) & (bucket(F.col("_place")) != bucket(F.col("_place") - 1))).drop("_place").distinct()
+    return [tuple(r) for r in cuts.orderBy(*cuts.columns).collect()]
 
 
 def _as_text(value) -> str | None:
@@ -67,33 +68,38 @@ def bucket_of(df: DataFrame, keys: list[str], points: list[tuple]) -> Column:
 
 def fill_along(df: DataFrame, column: str, order_by: list[str], backward: bool = False,
                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Missing values take the nearest earlier (or later) one in the order of `order_by`."""
+    """Missing values take the nearest earlier (or later) one in the order of `order_by`.
+
+    Rows with equal keys come in the order of a hash of the whole row, so a key that most rows share is cut into many
+    buckets. Copies of a row get the same value wherever they fall: a random last key spreads them.
+    """
     if not order_by:
         raise ValueError("order_by is required: a DataFrame has no row order")
-    points = split_points(df, order_by, df.count(), rows_per_bucket)
-    marked = df.withColumn("_bucket", bucket_of(df, order_by, points))
-    key = F.struct(*[ref(k) for k in order_by])
     value = ref(column)
-    inside = Window.partitionBy("_bucket").orderBy(*[ref(k) for k in order_by])
+    keyed = df.withColumn("_tie", F.xxhash64(*[ref(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]))
+    keyed = keyed.withColumn("_copy", F.rand(11))
+    keys = [*order_by, "_tie", "_copy"]
+    points = split_points(keyed, keys, df.count(), rows_per_bucket)
+    marked = keyed.withColumn("_bucket", bucket_of(keyed, keys, points))
+    inside = Window.partitionBy("_bucket").orderBy(*[ref(k) for k in keys])
     if backward:
         filled = F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
     else:
         filled = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    marked = marked.withColumn("_filled", filled)
+    result = marked.withColumn("_filled", filled)
     if points:
         edge = F.min_by if backward else F.max_by
+        key = F.struct(*[ref(k) for k in keys])
         # one row per bucket, at most MAX_BUCKETS of them: a single window task and a broadcast are bounded
-        edges = df.withColumn("_bucket", bucket_of(df, order_by, points)).groupBy("_bucket").agg(
-            edge(value, F.when(value.isNotNull(), key)).alias("_edge"))
+        edges = marked.groupBy("_bucket").agg(edge(value, F.when(value.isNotNull(), key)).alias("_edge"))
         across = Window.orderBy("_bucket")
         if backward:
             carry = F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
         else:
             carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
         carried = edges.select("_bucket", carry.alias("_carry"))
-        marked = marked.join(F.broadcast(carried), "_bucket", "left")
-        marked = marked.withColumn("_filled", F.coalesce("_filled", "_carry"))
-    return marked.select(*[F.col("_filled").alias(c) if c == column else ref(c) for c in df.columns])
+        result = result.join(F.broadcast(carried), "_bucket", "left").withColumn("_filled", F.coalesce("_filled", "_carry"))
+    return result.select(*[F.col("_filled").alias(c) if c == column else ref(c) for c in df.columns])
 
 
 def running_total(df: DataFrame, key: str, amount: str, rows: int, result: str,

@@ -25,6 +25,19 @@ DERIVED = {
                CAST(1 AS BIGINT) AS const_num, 'US' AS const_txt
         FROM {lineitem}""",
     "dup_orders": "SELECT * FROM {orders} UNION ALL SELECT * FROM {orders} WHERE o_orderkey % 50 = 0",
+    # NaN and NULL in the same place of rows that are otherwise copies, missing and repeated keys
+    "holey_orders": """
+        SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 4000 END AS o_orderkey,
+               CASE WHEN o_orderkey % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_totalprice END AS o_totalprice,
+               o_orderstatus FROM {orders}
+        UNION ALL SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 4000 END,
+               CASE WHEN o_orderkey % 4 = 1 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END,
+               o_orderstatus FROM {orders} WHERE o_orderkey % 5 = 0""",
+    # an order in which a third of all rows shares one key; values are a function of the key
+    "tied_events": """
+        SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 500 ELSE event_id % 1000 END AS slot,
+               CASE WHEN (CASE WHEN event_id % 3 = 0 THEN 500 ELSE event_id % 1000 END) % 7 = 0
+                    THEN CAST(CASE WHEN event_id % 3 = 0 THEN 500 ELSE event_id % 1000 END AS DOUBLE) END AS value FROM {events}""",
     "messy_customer": """
         SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN concat('  ', c_mktsegment, ' ')
                                WHEN c_custkey % 4 = 1 THEN lower(c_mktsegment)
@@ -40,6 +53,9 @@ DERIVED = {
     "gappy_events": """
         SELECT event_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value, event_type,
                CASE WHEN user_id % 10 = 0 THEN 'yes' ELSE 'no' END AS flag FROM {events} WHERE day(ts) % 5 <> 0""",
+    "sparse_events": """
+        SELECT event_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value, event_type,
+               CASE WHEN user_id % 10 = 0 THEN 'yes' ELSE 'no' END AS flag FROM {events}""",
     "comissing_orders": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
                CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, o_orderstatus

@@ -9,9 +9,13 @@ EVENT_ORDER = ["ts", "event_id"]
 LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 
 
-@query("dedup_rows", given("dup_orders") + "SELECT DISTINCT * FROM dup_orders")
+@query("dedup_rows", given("dup_orders", "holey_orders") + """
+    SELECT DISTINCT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM dup_orders
+    UNION ALL SELECT DISTINCT o_orderkey, CASE WHEN NOT isnan(o_totalprice) THEN o_totalprice END, o_orderstatus, NULL FROM holey_orders""")
 def dedup_rows(spark, folder):
-    return clean.drop_duplicates(read(spark, folder, "dup_orders"))
+    whole = clean.drop_duplicates(read(spark, folder, "dup_orders")).select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    holey = clean.drop_duplicates(read(spark, folder, "holey_orders"))
+    return whole.unionAll(holey.withColumn("o_orderpriority", F.lit(None).cast("string")))
 
 
 @query("dedup_subset", given("dup_orders") + """
@@ -45,17 +49,28 @@ def fill_mode(spark, folder):
     return clean.fill_missing(read(spark, folder, "comissing_orders"), "o_orderpriority", "mode")
 
 
-@query("fill_forward", given("gappy_events") + """
-    SELECT * REPLACE (last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value) FROM gappy_events""")
+def _along(direction, frame):
+    """Both orders of fill_forward and fill_backward in SQL: one of distinct keys, one with ties."""
+    return given("sparse_events", "tied_events") + f"""
+    SELECT * REPLACE ({direction}(value IGNORE NULLS) OVER (ORDER BY ts, event_id {frame}) AS value) FROM sparse_events
+    UNION ALL SELECT event_id, NULL, {direction}(value IGNORE NULLS) OVER (ORDER BY slot {frame}), NULL, NULL FROM tied_events"""
+
+
+def _filled_along(spark, folder, method):
+    whole = clean.fill_missing(read(spark, folder, "sparse_events"), "value", method, order_by=EVENT_ORDER)
+    tied = clean.fill_missing(read(spark, folder, "tied_events"), "value", method, order_by=["slot"])
+    nothing = lambda c: F.lit(None).cast(whole.schema[c].dataType)
+    return whole.unionAll(tied.select("event_id", nothing("ts"), "value", nothing("event_type"), nothing("flag")))
+
+
+@query("fill_forward", _along("last_value", "ROWS UNBOUNDED PRECEDING"))
 def fill_forward(spark, folder):
-    return clean.fill_missing(read(spark, folder, "gappy_events"), "value", "forward_fill", order_by=EVENT_ORDER)
+    return _filled_along(spark, folder, "forward_fill")
 
 
-@query("fill_backward", given("gappy_events") + """
-    SELECT * REPLACE (first_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value)
-    FROM gappy_events""")
+@query("fill_backward", _along("first_value", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"))
 def fill_backward(spark, folder):
-    return clean.fill_missing(read(spark, folder, "gappy_events"), "value", "backward_fill", order_by=EVENT_ORDER)
+    return _filled_along(spark, folder, "backward_fill")
 
 
 @query("fill_custom", given("dirty_lineitem") + f"SELECT {LINE}, coalesce(l_tax, 0.5) AS l_tax FROM dirty_lineitem")
@@ -78,7 +93,7 @@ def fill_report(spark, folder):
 
 IQR = """bounds AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
     (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM dirty_lineitem))"""
-Z = "stat AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM gappy_events)"
+Z = "stat AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM sparse_events)"
 
 
 @query("outliers_iqr_drop", given("dirty_lineitem")[:-1] + f""", {IQR}
@@ -88,20 +103,20 @@ def outliers_iqr_drop(spark, folder):
     return df.selectExpr(*LINE.split(", "), "l_extendedprice")
 
 
-@query("outliers_zscore_drop", given("gappy_events")[:-1] + f""", {Z}
-    SELECT gappy_events.* FROM gappy_events, stat WHERE abs((value - m) / s) < 3""")
+@query("outliers_zscore_drop", given("sparse_events")[:-1] + f""", {Z}
+    SELECT sparse_events.* FROM sparse_events, stat WHERE abs((value - m) / s) < 3""")
 def outliers_zscore_drop(spark, folder):
-    return clean.drop_outliers(read(spark, folder, "gappy_events"), "value", "zscore", 3.0)
+    return clean.drop_outliers(read(spark, folder, "sparse_events"), "value", "zscore", 3.0)
 
 
-@query("outliers_report", given("dirty_lineitem", "gappy_events")[:-1] + f""", {IQR}, {Z},
+@query("outliers_report", given("dirty_lineitem", "sparse_events")[:-1] + f""", {IQR}, {Z},
     kept AS (SELECT 'iqr' AS method, count(*) AS rows_before, count(*) FILTER (l_extendedprice BETWEEN lo AND hi) AS rows_after
              FROM dirty_lineitem, bounds
-             UNION ALL SELECT 'zscore', count(*), count(*) FILTER (abs((value - m) / s) < 1.5) FROM gappy_events, stat)
+             UNION ALL SELECT 'zscore', count(*), count(*) FILTER (abs((value - m) / s) < 1.5) FROM sparse_events, stat)
     SELECT *, rows_before - rows_after AS n_changed FROM kept""")
 def outliers_report(spark, folder):
     first = clean.Cleaner(read(spark, folder, "dirty_lineitem")).remove_outliers("l_extendedprice", "iqr")
-    second = clean.Cleaner(read(spark, folder, "gappy_events")).remove_outliers("value", "zscore", 1.5)
+    second = clean.Cleaner(read(spark, folder, "sparse_events")).remove_outliers("value", "zscore", 1.5)
     return first.log_frame().unionAll(second.log_frame()).select("method", "rows_before", "rows_after", "n_changed")
 
 

@@ -91,13 +91,13 @@ def insights_sql(table, columns, texts, numbers):
 
 INSIGHT_TABLES = {
     T: (DIRTY, DIRTY_TEXT, ["l_extendedprice", "l_net", "l_quantity"]),
-    "gappy_events": (["event_id", "ts", "value", "event_type", "flag"], ["event_type", "flag"], ["event_id", "value"]),
+    "sparse_events": (["event_id", "ts", "value", "event_type", "flag"], ["event_type", "flag"], ["event_id", "value"]),
     "customer": (["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ["c_name", "c_mktsegment"], ["c_custkey", "c_nationkey", "c_acctbal"]),
     "orders": (ORDERS, ["o_orderstatus", "o_orderpriority"], ["o_orderkey", "o_custkey", "o_totalprice"]),
 }
 
 
-@query("insights_e", given(T, "gappy_events")[:-1] + "".join(f", said_{t} AS (SELECT * FROM {insights_sql(t, *cs)})" for t, cs in INSIGHT_TABLES.items())
+@query("insights_e", given(T, "sparse_events")[:-1] + "".join(f", said_{t} AS (SELECT * FROM {insights_sql(t, *cs)})" for t, cs in INSIGHT_TABLES.items())
        + " " + " UNION ALL ".join(f"""SELECT '{t}' AS table_name, type, title, message FROM said_{t}
        UNION ALL SELECT '{t}', 'success', 'Data Looks Great!', 'No major issues detected' FROM (SELECT count(*) AS k FROM said_{t}) WHERE k = 0""" for t in INSIGHT_TABLES))
 def insights_e(spark, folder):

@@ -6,7 +6,7 @@ from colsift.operators import tables
 from colsift.plans.session import scratch_path
 from querybook.base import given, query, r, read, rounded
 
-G = "gappy_events"
+G = "sparse_events"
 
 
 @query("auto_clean", given(G, "comissing_orders") + f"""
@@ -53,15 +53,30 @@ def compare_tables(spark, folder):
         "data_type_left", "data_type_right")
 
 
-@query("diff_versions", """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0
-    UNION ALL SELECT -o_orderkey - 1, 'added' FROM orders WHERE o_orderkey % 100 = 3""")
+HOLEY = "SELECT o_orderkey, CASE WHEN NOT isnan(o_totalprice) THEN o_totalprice END AS o_totalprice, o_orderstatus FROM holey_orders"
+
+
+@query("diff_versions", given("holey_orders") + f""", before AS ({HOLEY}),
+    after AS (SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS o_totalprice, o_orderstatus FROM before
+              WHERE o_orderkey IS NULL OR o_orderkey % 10 <> 0 UNION ALL SELECT 5000, 1, 'F' UNION ALL SELECT 5000, 1, 'F'),
+    net AS (SELECT o_orderkey, o_totalprice, o_orderstatus, sum(n) AS net, bool_or(n < 0) AS was, bool_or(n > 0) AS is_ FROM (
+        SELECT *, -1 AS n FROM before UNION ALL SELECT *, 1 FROM after) GROUP BY ALL)
+    SELECT 'unique' AS keys, o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0
+    UNION ALL SELECT 'unique', -o_orderkey - 1, 'added' FROM orders WHERE o_orderkey % 100 = 3
+    UNION ALL SELECT 'repeated', o_orderkey, CASE WHEN NOT bool_or(was) THEN 'added' WHEN NOT bool_or(is_) THEN 'removed' ELSE 'changed' END
+        FROM net GROUP BY o_orderkey HAVING bool_or(net <> 0)""")
 def diff_versions(spark, folder):
     old = read(spark, folder, "orders")
     kept = old.filter("o_orderkey % 10 <> 0").withColumn(
         "o_totalprice", F.expr("CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END"))
     added = old.filter("o_orderkey % 100 = 3").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
-    return tables.diff_versions(old, kept.unionAll(added), ["o_orderkey"])
+    unique = tables.diff_versions(old, kept.unionAll(added), ["o_orderkey"])
+    holey = read(spark, folder, "holey_orders")
+    now = holey.filter("o_orderkey IS NULL OR o_orderkey % 10 <> 0").withColumn(
+        "o_totalprice", F.expr("o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END"))
+    two = spark.range(2).select(F.lit(5000).cast("bigint").alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"), F.lit("F").alias("o_orderstatus"))
+    repeated = tables.diff_versions(holey, now.unionAll(two), ["o_orderkey"])
+    return unique.select(F.lit("unique").alias("keys"), "*").unionAll(repeated.select(F.lit("repeated").alias("keys"), "*"))
 
 
 @query("snapshot", given("dup_orders") + """

@@ -77,6 +77,38 @@ def test_fill_along_matches_pandas(spark, backward, per_bucket):
     assert np.array_equal(got["v"].to_numpy(), want.set_index("k").sort_index()["v"].to_numpy(), equal_nan=True)
 
 
+@pytest.mark.parametrize("backward", [False, True])
+def test_fill_along_a_key_that_most_rows_share(spark, backward, monkeypatch):
+    # 90 % of the rows have one key; values are a function of the key, so the order of ties does not show
+    keys = [i if i % 10 == 0 else 500 for i in range(3000)]
+    df = spark.createDataFrame([(i % 40, k, float(k) if k % 20 == 0 else None) for i, k in enumerate(keys)], "i int, k int, v double").repartition(6)
+    got = ordering.fill_along(df, "v", ["k"], backward, rows_per_bucket=100)
+    want = lambda k: float(-(-k // 20) * 20 if backward else k // 20 * 20)
+    assert all(r["v"] == want(r["k"]) or (backward and r["k"] > 2980 and r["v"] is None) for r in got.collect())
+    sizes = buckets_of_fill(spark, df, monkeypatch)
+    assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def buckets_of_fill(spark, df, monkeypatch):
+    """Rows per bucket of a fill along k."""
+    seen = []
+    real = ordering.bucket_of
+    monkeypatch.setattr(ordering, "bucket_of", lambda frame, keys, points: seen.append((frame, keys, points)) or real(frame, keys, points))
+    ordering.fill_along(df, "v", ["k"], rows_per_bucket=100)
+    frame, keys, points = seen[0]
+    return [r["count"] for r in frame.groupBy(real(frame, keys, points).alias("b")).count().collect()]
+
+
+@pytest.mark.parametrize("rows, limit", [(20_000, 64), (20_000, 63), (5000, 8)])
+def test_no_bucket_takes_the_rest(spark, monkeypatch, rows, limit):
+    monkeypatch.setattr(ordering, "MAX_BUCKETS", limit)
+    df = spark.range(rows).select((F.col("id") * 7919 % 100_003).alias("k"))
+    points = ordering.split_points(df, ["k"], rows, 1)
+    assert len(points) == limit - 1
+    sizes = sorted(r["count"] for r in df.groupBy(ordering.bucket_of(df, ["k"], points).alias("b")).count().collect())
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
 def test_fill_needs_an_order(spark, edge):
     with pytest.raises(ValueError):
         ordering.fill_along(edge["ages"], "age", [])
