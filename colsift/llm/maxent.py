@@ -1,7 +1,8 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). Classes come from a word's shape (its last characters and how it
-begins). P(class | history) is a softmax over weights of hashed features: the previous word, the word before it (a skip
+P(word | history) = P(class | history) P(word | class). A word's shape (its last characters and how it begins) is hashed to
+one of some keys; keys that stand beside the same other keys all over the training corpus share a class (correspondence
+analysis of the neighbour counts, then k-means). P(class | history) is a softmax over weights of hashed features: the previous word, the word before it (a skip
 feature), the classes of the last two words and of the last three. It is trained by distributed gradient updates: in each
 round every task runs Adagrad over mini-batches of its share of the corpus, and the tasks' steps are averaged row by row,
 weighted by how often each saw the row; every training document is used in exactly one round. P(word | class) is the word's
@@ -9,7 +10,7 @@ share of the training tokens of its class, less an absolute discount that goes t
 
 The corpus is encoded once, in blocks of some megabytes: token numbers and the block's distinct words. The words travel to
 buckets, where they are counted over all blocks, and their counts travel back; no vocabulary is broadcast or collected. To
-the driver come the weights (fixed size), and a few numbers a class.
+the driver come the neighbour counts of the keys, the weights (both of fixed size), and a few numbers a class.
 
 Null texts are empty: their only token is the end. Texts are used whole. Repeated rows and ids are learned from and scored one
 by one. A null id is held out. Without training documents every word is unknown. Extra columns are ignored.
@@ -37,7 +38,9 @@ FIGURES = 4  # a class's training tokens, distinct words, words met once, words
 class Settings:
     """Sizes of the hashed feature tables, the training and the work units. All are fixed, whatever the corpus."""
 
-    classes: int = 64
+    classes: int = 48
+    keys: int = 1024
+    dimensions: int = 24
     word_rows: int = 8192
     history_rows: int = 8192
     rounds: int = 2
@@ -62,11 +65,11 @@ def unpacked(data: bytes, kind=None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
-def class_of(word: bytes, classes: int) -> int:
-    """1 to classes - 1, by the last three bytes and the kind of the first; class 0 is the end's."""
+def shape_key(word: bytes, keys: int) -> int:
+    """The hashed shape of a word: its last three bytes and the kind of the first."""
     first = word[:1]
     kind = b"u" if first.isupper() else b"l" if first.islower() else b"d" if first.isdigit() else b"o" if first < b"\x80" else b"x"
-    return 1 + zlib.crc32(word[-3:] + kind) % (classes - 1)
+    return zlib.crc32(word[-3:] + kind) % keys
 
 
 def lowered_words(text: str | None) -> list[bytes]:
@@ -75,10 +78,10 @@ def lowered_words(text: str | None) -> list[bytes]:
 
 def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     """A row per block of (doc_id, text, held_out): its documents, their token numbers (0: end), its words in byte order and
-    for each word (the end first) training count, class and hash. Binary columns are compressed."""
+    for each word (the end first) training count, shape key and hash. Binary columns are compressed."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = StructType.fromDDL(f"doc_ids array<{id_type}>, held array<boolean>, sizes array<int>, n_words int, tokens binary, "
-                             "words binary, counts binary, classes binary, hashes binary")
+                             "words binary, counts binary, keys binary, hashes binary")
     schema = to_arrow_schema(out)
     place = docs.columns.index("text")
 
@@ -101,20 +104,20 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
                 tokens = rank[np.concatenate(numbers)]
                 learned = tokens[~np.repeat(held, sizes)]
                 counts = np.bincount(learned, minlength=len(words) + 1).astype(np.uint32)
-                kinds: dict[tuple[bytes, bytes], int] = {}
-                classes = np.zeros(len(words) + 1, np.uint8)
-                for i, w in enumerate(words):
-                    key = (w[-3:], w[:1])
-                    found = kinds.get(key)
-                    if found is None:
-                        found = kinds[key] = class_of(w, settings.classes)
-                    classes[i + 1] = found
+                shapes: dict[tuple[bytes, bytes], int] = {}
+                keys = np.full(len(words) + 1, settings.keys, np.uint16)  # the end has a key of its own
+                for i, w in enumerate(words, 1):
+                    shape = (w[-3:], w[:1])
+                    key = shapes.get(shape)
+                    if key is None:
+                        key = shapes[shape] = shape_key(w, settings.keys)
+                    keys[i] = key
                 hashes = np.zeros(len(words) + 1, np.uint32)
                 hashes[1:] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([rows["doc_id"]], schema.field("doc_ids").type), pa.array([held.tolist()], pa.list_(pa.bool_())),
                     pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()),
-                    *(pa.array([packed(x)], pa.binary()) for x in (tokens, b" ".join(words), counts, classes, hashes))],
+                    *(pa.array([packed(x)], pa.binary()) for x in (tokens, b" ".join(words), counts, keys, hashes))],
                     schema=schema)
 
     return docs.mapInArrow(run, out)
@@ -174,52 +177,100 @@ class Learner:
                 self.seen[own] += np.diff(np.r_[first, len(line)])
 
 
-def train(blocks: DataFrame, prior: np.ndarray, settings: Settings) -> np.ndarray:
+def block_rows(batches, *names):
+    """The values of the named columns, block by block."""
+    for batch in batches:
+        columns = [batch.column(n) for n in names]
+        for row in range(batch.num_rows):
+            yield [c[row].as_py() for c in columns]
+
+
+def summed(frame: DataFrame, table, shape: tuple[int, int], per: int) -> np.ndarray:
+    """The sum over the tasks of `frame` of the tables (arrays of `shape`) that `table(batches)` makes of their rows. The tables
+    travel in chunks of `per` lines, and each chunk is summed on one executor."""
+    kind = "chunk int, part binary"
+
+    def cut(batches):
+        own = table(batches).astype(np.float32)
+        places = [i for i in range(0, len(own), per) if own[i:i + per].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // per for i in places], pa.int32()),
+                                          pa.array([packed(own[i:i + per]) for i in places], pa.binary())], ["chunk", "part"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for chunk, part in block_rows(batches, "chunk", "part"):
+            part = unpacked(part, np.float32).astype(np.float64)
+            total[chunk] = total[chunk] + part if chunk in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(t) for t in total.values()], pa.binary())],
+                                         ["chunk", "part"])
+
+    result = np.zeros(shape)
+    for chunk, part in frame.mapInArrow(cut, kind).repartition("chunk").mapInArrow(add, kind).collect():
+        lines = unpacked(part, np.float64).reshape(-1, shape[1])
+        result[chunk * per:chunk * per + len(lines)] = lines
+    return result
+
+
+def neighbour_counts(blocks: DataFrame, settings: Settings) -> np.ndarray:
+    """How often each key follows each in the training documents; before a text stands the end's key."""
+    n = settings.keys + 1
+
+    def table(batches):
+        counts = np.zeros(n * n)
+        for held, sizes, tokens, keys in block_rows(batches, "held", "sizes", "tokens", "keys"):
+            sizes = np.array(sizes, np.int64)
+            key = unpacked(keys, np.uint16).astype(np.int64)[unpacked(tokens, np.uint32)]
+            before = np.r_[settings.keys, key[:-1]]
+            before[np.cumsum(sizes) - sizes] = settings.keys
+            used = ~np.repeat(np.array(held, bool), sizes)
+            counts += np.bincount(before[used] * n + key[used], minlength=n * n)
+        return counts.reshape(n, n)
+
+    return summed(blocks.select("held", "sizes", "tokens", "keys"), table, (n, n), settings.chunk_rows)
+
+
+def key_classes(counts: np.ndarray, settings: Settings) -> np.ndarray:
+    """The class of each key; the end's is 0. Weighted k-means from far-apart seeds on the keys' correspondence coordinates."""
+    smooth = counts + 0.02
+    rows, columns, total = smooth.sum(1), smooth.sum(0), smooth.sum()
+    left, strength, right = np.linalg.svd(smooth / np.sqrt(np.outer(rows, columns)))
+    some = slice(1, settings.dimensions + 1)
+    points = np.hstack([left[:, some] * strength[some] / np.sqrt(rows / total)[:, None],
+                        right[some].T * strength[some] / np.sqrt(columns / total)[:, None]])[:-1]
+    weight = columns[:-1] / total
+    centres = points[[int(weight.argmax())]]
+    far = ((points - centres[0]) ** 2).sum(1)
+    while len(centres) < settings.classes - 1:
+        centres = np.vstack([centres, points[int((far * weight).argmax())]])
+        far = np.minimum(far, ((points - centres[-1]) ** 2).sum(1))
+    for _ in range(30):
+        nearest = ((points ** 2).sum(1)[:, None] - 2 * points @ centres.T + (centres ** 2).sum(1)).argmin(1)
+        for j in range(len(centres)):
+            if (nearest == j).any():
+                centres[j] = np.average(points[nearest == j], axis=0, weights=weight[nearest == j])
+    return np.r_[nearest + 1, 0].astype(np.uint8)
+
+
+def train(blocks: DataFrame, classes: np.ndarray, prior: np.ndarray, settings: Settings) -> np.ndarray:
     """The class weights on top of the prior. In round r learn the blocks whose number has remainder r."""
-    spark = blocks.sparkSession
+    context = blocks.sparkSession.sparkContext
     weights = np.zeros((sum(settings.sizes), settings.classes), np.float32)
-    per = settings.chunk_rows
 
     for round_ in range(settings.rounds):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = context.broadcast(weights)
 
         def steps(batches):
             learner = Learner(shared.value, prior, settings)
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    held, sizes, tokens, classes, hashes = (batch.column(n)[row].as_py() for n in (
-                        "held", "sizes", "tokens", "classes", "hashes"))
-                    held, sizes = np.array(held, bool), np.array(sizes, np.int64)
-                    c, rows = histories(unpacked(tokens, np.uint32), sizes, unpacked(classes, np.uint8), unpacked(hashes, np.uint32), settings)
-                    used = ~np.repeat(held, sizes)
-                    learner.learn(c[used], [r[used] for r in rows])
-            step = (learner.weights - learner.start) * learner.seen[:, None]
-            places = [i for i in range(0, len(step), per) if learner.seen[i:i + per].any()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([i // per for i in places], pa.int32()), pa.array([packed(step[i:i + per]) for i in places], pa.binary()),
-                pa.array([packed(learner.seen[i:i + per]) for i in places], pa.binary())], ["chunk", "step", "seen"])
-
-        def sums(batches):
-            total: dict[int, list[np.ndarray]] = {}
-            for batch in batches:
-                for chunk, step, seen in zip(*(batch.column(n).to_pylist() for n in ("chunk", "step", "seen"))):
-                    step, seen = unpacked(step, np.float32).astype(np.float64), unpacked(seen, np.float32).astype(np.float64)
-                    if chunk in total:
-                        total[chunk][0] += step
-                        total[chunk][1] += seen
-                    else:
-                        total[chunk] = [step, seen]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(total), pa.int32()), pa.array([packed(s) for s, _ in total.values()], pa.binary()),
-                pa.array([packed(n) for _, n in total.values()], pa.binary())], ["chunk", "step", "seen"])
-
-        kind = "chunk int, step binary, seen binary"
-        share = blocks.filter(F.pmod("block", F.lit(settings.rounds)) == round_)
-        found = share.select("held", "sizes", "tokens", "classes", "hashes").mapInArrow(steps, kind)
-        weights = weights.copy()
-        for chunk, step, seen in found.repartition("chunk").mapInArrow(sums, kind).collect():
-            step, seen = unpacked(step, np.float64).reshape(-1, settings.classes), unpacked(seen, np.float64)
-            weights[chunk * per:chunk * per + len(seen)] += (step / np.maximum(seen, 1)[:, None]).astype(np.float32)
+            for held, sizes, tokens, keys, hashes in block_rows(batches, "held", "sizes", "tokens", "keys", "hashes"):
+                sizes = np.array(sizes, np.int64)
+                c, rows = histories(unpacked(tokens, np.uint32), sizes, classes[unpacked(keys, np.uint16)], unpacked(hashes, np.uint32), settings)
+                used = ~np.repeat(np.array(held, bool), sizes)
+                learner.learn(c[used], [r[used] for r in rows])
+            return np.c_[(learner.weights - learner.start) * learner.seen[:, None], learner.seen]
+
+        share = blocks.filter(F.pmod("block", F.lit(settings.rounds)) == round_).select("held", "sizes", "tokens", "keys", "hashes")
+        total = summed(share, steps, (len(weights), settings.classes + 1), settings.chunk_rows)
+        weights = weights + (total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32)
         shared.unpersist()
     return weights
 
@@ -245,7 +296,7 @@ def deal(blocks: DataFrame, buckets: int) -> DataFrame:
         run, "bucket int, block bigint, words binary, counts binary")
 
 
-def count_buckets(dealt: DataFrame, settings: Settings) -> DataFrame:
+def count_buckets(dealt: DataFrame, classes: np.ndarray, settings: Settings) -> DataFrame:
     """(bucket, block, counts) with the counts over all blocks; and a row with block NULL per bucket whose `figures` are the
     class figures of the bucket's words."""
     def run(table: pa.Table) -> pa.Table:
@@ -255,8 +306,8 @@ def count_buckets(dealt: DataFrame, settings: Settings) -> DataFrame:
             for w, n in zip(own, unpacked(counts, np.uint32).tolist()):
                 total[w] = total.get(w, 0) + n
         counts = np.fromiter(total.values(), np.int64, len(total))
-        classes = np.fromiter((class_of(w, settings.classes) for w in total), np.int64, len(total))
-        figures = np.stack([np.bincount(classes, weights=x, minlength=settings.classes)
+        own_class = classes[np.fromiter((shape_key(w, settings.keys) for w in total), np.int64, len(total))]
+        figures = np.stack([np.bincount(own_class, weights=x, minlength=settings.classes)
                             for x in (counts, counts > 0, counts == 1, counts == 2)], axis=1).astype(np.int64)
         bucket = table.column("bucket")[0].as_py()
         back = [packed(np.fromiter(map(total.__getitem__, own), np.uint64, len(own))) for own in words]
@@ -277,7 +328,7 @@ def class_prior(figures: np.ndarray) -> np.ndarray:
     return np.log(tokens / tokens.sum()).astype(np.float32)
 
 
-def score_blocks(blocks: DataFrame, weights: np.ndarray, figures: np.ndarray, settings: Settings) -> DataFrame:
+def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, figures: np.ndarray, settings: Settings) -> DataFrame:
     """A row per document from the blocks with their returned counts."""
     id_field = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     out = StructType.fromDDL(f"doc_id {id_field}, held_out boolean, {SCORED}")
@@ -287,16 +338,17 @@ def score_blocks(blocks: DataFrame, weights: np.ndarray, figures: np.ndarray, se
     total, kept, once, twice = figures.astype(float).T
     discount = (once + 0.5) / (once + 2 * twice + 1)
     lost = np.log10(np.where(total > 0, discount * kept / np.maximum(total, 1), 1.0))
-    shared = blocks.sparkSession.sparkContext.broadcast((weights, class_prior(figures), discount, total, lost))
+    shared = blocks.sparkSession.sparkContext.broadcast((classes, weights, class_prior(figures), discount, total, lost))
 
     def run(batches):
-        weights, prior, discount, total, lost = shared.value
+        class_of, weights, prior, discount, total, lost = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 value = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
                 sizes = np.array(value["sizes"], np.int64)
-                tokens, classes, hashes = (unpacked(value[n], k) for n, k in (
-                    ("tokens", np.uint32), ("classes", np.uint8), ("hashes", np.uint32)))
+                tokens, keys, hashes = (unpacked(value[n], k) for n, k in (
+                    ("tokens", np.uint32), ("keys", np.uint16), ("hashes", np.uint32)))
+                classes = class_of[keys]
                 counts = np.zeros(len(classes), np.int64)
                 counts[0] = ends
                 if len(classes) > 1:
@@ -330,15 +382,16 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
     entries, ends = blocks.agg(F.sum("n_words"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
     entries, ends = entries or 0, ends or 0
     buckets = max(8, -(-entries // settings.bucket_words))
-    returned = cut_lineage(count_buckets(deal(blocks, buckets), settings), "counts")
+    classes = key_classes(neighbour_counts(blocks, settings), settings)
+    returned = cut_lineage(count_buckets(deal(blocks, buckets), classes, settings), "counts")
     figures = np.zeros((settings.classes, FIGURES), np.int64)
     for place, n in returned.filter(F.col("block").isNull()).select(F.posexplode("figures").alias("i", "n")).groupBy("i").agg(
             F.sum("n")).collect():
         figures[place // FIGURES, place % FIGURES] = n
     figures[0] = (ends, ends > 0, ends == 1, ends == 2)  # the end is no word of a bucket
-    weights = train(blocks, class_prior(figures), settings)
+    weights = train(blocks, classes, class_prior(figures), settings)
     back = returned.filter(F.col("block").isNotNull()).groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts")).alias("returned"))
-    joined = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "classes", "hashes").join(back, "block", "left").withColumn(
+    joined = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "keys", "hashes").join(back, "block", "left").withColumn(
         "buckets", F.lit(buckets))
-    return score_blocks(joined, weights, figures, settings)
+    return score_blocks(joined, classes, weights, figures, settings)
