@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colsift.functions.values import ref
 from colsift.ml import density, metrics, models, prepare
-from colsift.plans.session import cut_lineage, small_frame
+from colsift.plans.session import cut_lineage, discard, small_frame
 from colsift.plans.stats import TableStats
 
 SMALL_SAMPLE = 1000
@@ -41,16 +42,31 @@ class Trained:
 
 
 class ModelBench:
-    """Prepares a table once and trains models on the same split."""
+    """Prepares a table once and trains models on the same split.
 
-    def __init__(self, df: DataFrame, target: str | None, problem: str, features: list[str] | None = None):
-        self.target, self.problem = target, problem
+    The prepared table is written to the shared folder; `close`, or leaving a `with` block, removes it.
+    """
+
+    def __init__(self, df: DataFrame, target: str | None, problem: str, features: list[str] | None = None,
+                 split_key: str | None = None):
+        self.target, self.problem, self.split_key = target, problem, split_key
         prepared = prepare.prepare(df, target, problem, features)
         # encoded once: every fit passes over the files several times
         prepared.df = cut_lineage(prepared.df, "prepared")
         self.prepared = prepared
+        self._fills: dict[str, float] | None = None
         self._parts: dict[tuple, tuple] = {}
 
+    def __enter__(self) -> "ModelBench":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove the prepared table; results not yet computed from it are lost."""
+        discard(self.prepared.df)
+
     @property
     def spark(self):
         return self.prepared.df.sparkSession
@@ -58,7 +74,7 @@ class ModelBench:
     def split(self, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
         if not self.prepared.has_label:
             return self.prepared.df, None
-        return prepare.split(self.prepared.df, test_size, seed)
+        return prepare.split(self.prepared.df, test_size, seed, self.split_key)
 
     def _scaled(self, test_size: float, seed: int):
         if (test_size, seed) not in self._parts:
@@ -93,8 +109,7 @@ class ModelBench:
             model = models.estimator(self.problem, name, **options).fit(data)
             seconds = time.time() - started
             predictions = model.transform(data)
-            scored = predictions.agg(F.lit(model.summary.trainingCost).alias("inertia"),
-                                     F.count_distinct("prediction").alias("n_clusters"))
+            scored = metrics.clustering_metrics(predictions, prepare.FEATURES, model.clusterCenters())
             return Trained(key, model, predictions, scored, seconds, scaler, options=options)
         if not self.prepared.has_label:
             raise ValueError(f"{self.problem} needs a target column")
@@ -115,20 +130,28 @@ class ModelBench:
                            "rank bigint, feature string, importance double")
 
     def compare(self, names: list[str]) -> DataFrame:
-        """One row per model that trains, the best first: by accuracy, R2 or silhouette."""
+        """One row per model, the best first: by accuracy, R2 or silhouette; models that fail come last, with their error.
+
+        `metrics` and `options` are JSON; `reason` says of the best model what it is best by.
+        """
+        measure = {"classification": "accuracy", "regression": "r2", "clustering": "silhouette"}[self.problem]
         rows = []
         for name in names:
-            trained = self.train(name)
-            if self.problem == "clustering":
-                score = self._silhouette(trained)
-            else:
-                score = trained.metrics.first()["accuracy" if self.problem == "classification" else "r2"]
-            rows.append({"model_type": trained.name, "score": score, "training_seconds": trained.training_seconds})
-        rows.sort(key=lambda r: -(r["score"] if r["score"] is not None else float("-inf")))
+            row = {"model_type": models.model_name(name), "score": None, "metrics": None, "options": None, "error": None}
+            try:
+                trained = self.train(name)
+                found = trained.metrics.first().asDict()
+                row["score"] = self._silhouette(trained) if self.problem == "clustering" else found[measure]
+                row.update(metrics=json.dumps(found), options=json.dumps(trained.options), training_seconds=trained.training_seconds)
+            except Exception as error:  # a model that cannot be trained must not end the comparison
+                row["error"] = f"{type(error).__name__}: {error}"[:500]
+            rows.append(row)
+        rows.sort(key=lambda r: (r["error"] is not None, -(r["score"] if r["score"] is not None else float("-inf"))))
         for i, r in enumerate(rows):
-            r.update(rank=i + 1, is_best=i == 0)
-        return small_frame(self.spark, rows, "rank bigint, model_type string, score double, is_best boolean, "
-                                             "training_seconds double")
+            best = i == 0 and r["score"] is not None
+            r.update(rank=i + 1, is_best=best, reason=f"highest {measure} ({r['score']:.4f}) of {len(rows)} models" if best else None)
+        return small_frame(self.spark, rows, "rank bigint, model_type string, score double, is_best boolean, training_seconds double, "
+                                             "metrics string, options string, error string, reason string")
 
     def _silhouette(self, trained: Trained) -> float | None:
         predictions = trained.predictions
@@ -138,14 +161,23 @@ class ModelBench:
             return None
         return ClusteringEvaluator().evaluate(predictions.withColumn("prediction", F.col("prediction").cast("int")))
 
+    def _medians(self) -> dict[str, float]:
+        if self._fills is None:
+            features = self.prepared.features
+            stats = TableStats(self.prepared.df.select(*[ref(c) for c in features])).need_quantiles(0.5)
+            self._fills = {c: stats.fact(c, "q0.5") for c in features}
+        return self._fills
+
     def predict(self, trained: Trained, new: DataFrame) -> DataFrame:
-        """Predictions for new rows; a label not seen in training counts as the first one."""
+        """Predictions for new rows; a label not seen in training counts as the first one, a gap as the fitted median."""
         for c, levels in self.prepared.levels.items():
             new = prepare.apply_codes(new, c, levels, unseen=0)
         types = {f.name: f.dataType for f in new.schema}
         features = self.prepared.features
         rest = [ref(c) for c in new.columns if c not in features]
-        numeric = new.select(*[prepare._number(c, types[c]).alias(c) for c in features], *rest)
+        # gaps take the median of the prepared table, which is that of the training columns
+        fills = self._medians()
+        numeric = new.select(*[F.coalesce(prepare._number(c, types[c]), F.lit(fills[c])).alias(c) for c in features], *rest)
         scaled = trained.scaler.transform(numeric)
         if trained.name in models.KERNEL_MODELS:
             waves = models.fourier_features(scaled, features)

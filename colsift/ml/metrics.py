@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -30,3 +31,11 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
     mse = F.avg(error * error)
     return predictions.agg(mse.alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop("label").alias("var")).select(
         "mse", F.sqrt("mse").alias("rmse"), (1 - F.try_divide("mse", "var")).alias("r2"), "mae")
+
+
+def clustering_metrics(predictions: DataFrame, features: str, centres: list) -> DataFrame:
+    """The sum of squared distances to the rows' own centres, and how many clusters have rows."""
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in centre]) for centre in centres])
+    own = F.element_at(table, F.col("prediction") + 1)
+    squares = F.aggregate(F.zip_with(vector_to_array(features), own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return predictions.agg(F.sum(squares).alias("inertia"), F.count_distinct("prediction").alias("n_clusters"))

@@ -113,16 +113,25 @@ def _number(name: str, dtype: T.DataType):
     return as_double(ref(name), dtype)
 
 
-def split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test by a hash of the row: the same rows on every run, copies of a row on the same side."""
-    place = F.pmod(F.xxhash64(F.lit(seed), *[ref(c) for c in df.columns]), F.lit(10_000))
+def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test by a hash: the same rows on every run, copies on the same side.
+
+    Without `key` the whole row is hashed. With the name of a key column, whole numbers or text, its md5 decides, which other
+    engines can repeat.
+    """
+    if key is None:
+        place = F.pmod(F.xxhash64(F.lit(seed), *[ref(c) for c in df.columns]), F.lit(10_000))
+    else:
+        value = ref(key) if isinstance(df.schema[key].dataType, T.StringType) else ref(key).cast("bigint").cast("string")
+        digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(value, F.lit(""))))
+        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
     cut = round(test_size * 10_000)
     return df.filter(place >= cut), df.filter(place < cut)
 
 
 @dataclass(frozen=True)
 class Scaler:
-    """z-scores with the population deviation of the data it was fitted on; a constant feature becomes 0."""
+    """z-scores with the population deviation of the data it was fitted on; a constant feature becomes 0, a gap stays one."""
 
     centre: dict[str, float]
     spread: dict[str, float]
@@ -133,6 +142,5 @@ class Scaler:
         return Scaler({c: stats.fact(c, "mean") for c in columns}, {c: stats.fact(c, "std_pop") for c in columns})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scaled = {c: F.coalesce(F.try_divide(ref(c) - F.lit(m), F.lit(self.spread[c])), F.lit(0.0))
-                  for c, m in self.centre.items()}
+        scaled = {c: (ref(c) - F.lit(m)) / F.lit(self.spread[c]) if self.spread[c] else F.lit(0.0) for c, m in self.centre.items()}
         return df.select(*[scaled.get(c, ref(c)).alias(c) for c in df.columns])

@@ -41,6 +41,15 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that `cut_lineage` wrote, once nothing reads them any more."""
+    for df in frames:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            if f"{shared_folder(df.sparkSession)}/colsift/".split(":")[-1] in f"{file}/":
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def together(spark: SparkSession, calls: list[Callable[[], object]], at_once: int = 4) -> list:
     """Run independent jobs side by side, so that the tail of one does not leave the executors idle."""
     if len(calls) == 1:

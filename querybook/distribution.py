@@ -1,6 +1,8 @@
 """Normality, histograms and outliers."""
 
+from statistics import NormalDist
 
+from colsift.functions import tests
 from colsift.operators import distribution, outliers
 from colsift.plans.stats import TableStats
 from querybook.base import DIRTY_NUMERIC, LINEITEM_NUMERIC, each, given, query, r, read, rounded
@@ -53,14 +55,37 @@ def normality_k2_a(spark, folder):
     return rounded(found[0].unionAll(found[1]), 3, p_value=6)
 
 
-@query("is_normal_shapiro")
+def _shapiro_sql(table, columns):
+    """(column_name, n, w, p_above) of Shapiro-Wilk from first principles: weights by Royston's rule from normal scores, which SQL
+    takes from a list, as it has no normal quantiles; the verdict compares the normalised ln(1 - w) with the 95 % point."""
+    sizes = {"supplier": (10, 100, 1000), "customer": (150, 1500)}[table]
+    scores = ", ".join(f"({n}, {i}, {NormalDist().inv_cdf((i - 0.375) / (n + 0.25))!r}::DOUBLE)" for n in sizes for i in range(1, n + 1))
+    poly = lambda cs, x: " + ".join(f"({c!r})::DOUBLE * power({x}, {i})" for i, c in enumerate(cs))
+    return f"""(WITH m AS (SELECT * FROM (VALUES {scores}) t(n, i, m) WHERE n = (SELECT count(*) FROM {table})),
+    total AS (SELECT n, sum(m * m) AS mm, max(m) AS last, max(m) FILTER (i = n - 1) AS second, 1 / sqrt(n) AS u FROM m GROUP BY n),
+    outer_ AS (SELECT *, {poly(tests.OUTER_WEIGHT, "u")} + last / sqrt(mm) AS a1, {poly(tests.SECOND_WEIGHT, "u")} + second / sqrt(mm) AS a2 FROM total),
+    weight AS (SELECT m.n, m.i, CASE WHEN i = 1 THEN -a1 WHEN i = m.n THEN a1 WHEN i = 2 THEN -a2 WHEN i = m.n - 1 THEN a2
+               ELSE m / sqrt((mm - 2 * last * last - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a FROM m JOIN outer_ USING (n)),
+    x AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS x, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n, avg({c}) OVER () AS mean FROM {table}" for c in columns)}),
+    w AS (SELECT column_name, n, power(sum(a * x), 2) / sum(power(x - mean, 2)) AS w FROM x JOIN weight USING (n, i) GROUP BY column_name, n)
+    SELECT column_name, n, w, CASE WHEN n <= 11 THEN (-ln({poly(tests.SMALL_GAMMA, "n")} - ln(1 - w)) - ({poly(tests.SMALL_MEAN, "n")})) / exp({poly(tests.SMALL_LOG_SD, "n")})
+        ELSE (ln(1 - w) - ({poly(tests.LARGE_MEAN, "ln(n)")})) / exp({poly(tests.LARGE_LOG_SD, "ln(n)")}) END < 1.6448536269514722 AS p_above FROM w)"""
+
+
+SHAPIRO = {"customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"]}
+
+
+@query("is_normal_shapiro", " UNION ALL ".join(
+    f"SELECT c.column_name, c.n, coalesce(p_above, false) AS is_normal FROM (SELECT unnest({cs}) AS column_name, count(*) AS n FROM {t}) c LEFT JOIN {_shapiro_sql(t, cs)} s USING (column_name)"
+    for t, cs in SHAPIRO.items()))
 def is_normal_shapiro(spark, folder):
-    return distribution.is_normal(_stats(spark, folder, "customer"))
+    found = [distribution.is_normal(_stats(spark, folder, t)) for t in SHAPIRO]
+    return found[0].unionAll(found[1])
 
 
-@query("shapiro_stat")
+@query("shapiro_stat", f"SELECT column_name, n, {r('w', 6)} AS w, p_above AS is_normal FROM {_shapiro_sql('supplier', SHAPIRO['supplier'])}")
 def shapiro_stat(spark, folder):
-    return distribution.shapiro(_stats(spark, folder, "supplier"))
+    return rounded(distribution.shapiro(_stats(spark, folder, "supplier")).drop("p_value"), 6)
 
 
 def bins_sql(table, column, size):

@@ -180,25 +180,37 @@ def insights_summary(spark, folder):
     return insights.insights_summary(_stats(spark, folder, T, "A"))
 
 
-@query("finding_text")
+# what the messages talk about, made of the orders per status: names and numbers of every kind
+FINDINGS = """SELECT o_orderstatus AS column_name, 'orders ' || o_orderstatus AS type, 'pattern ' || o_orderstatus AS pattern, 'message ' || o_orderstatus AS message,
+    o_orderstatus AS c1, min(o_orderpriority) AS c2, 'text' AS from_type, 'number' AS to_type, 'median' AS method, count(*) AS total_rows,
+    CAST(6 AS BIGINT) AS total_columns, CAST(count(*) % 101 AS BIGINT) AS quality_score, CAST(count(*) % 7 AS BIGINT) AS n_issues, CAST(count(*) % 9 AS BIGINT) AS rank,
+    round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, round(avg(o_totalprice) / max(o_totalprice), 6) AS correlation,
+    CAST(count(*) % 13 AS BIGINT) AS n_outliers, count(*) AS total_outliers, CAST(count(*) % 17 AS BIGINT) AS n_changed, count(*) AS rows_before
+    FROM {orders} GROUP BY o_orderstatus"""
+
+# The format of each message and its columns, written out again for SQL.
+FINDING_FORMATS = {
+    "dataset_overview": ("Dataset of %d rows and %d columns", "total_rows, total_columns"),
+    "data_quality": ("Quality score %d of 100, %d issues", "quality_score, n_issues"),
+    "key_insights": ("%d. %s", "rank, message"), "recommendations": ("%d. %s", "rank, message"),
+    "column_stats": ("Column ''%s'': mean %.2f, deviation %.2f", "column_name, mean, std"),
+    "patterns": ("Column ''%s'': %s", "column_name, pattern"),
+    "correlation": ("''%s'' and ''%s'' correlate at %.2f", "c1, c2, correlation"),
+    "outliers": ("Column ''%s'' has %d outliers of %d in the table", "column_name, n_outliers, total_outliers"),
+    "analysis_summary": ("%s: %d records, %d columns analysed", "type, total_rows, total_columns"),
+    "handle_missing": ("Filled %d missing values of ''%s'' by %s", "n_changed, column_name, method"),
+    "remove_duplicates": ("Removed %d duplicate rows of %d", "n_changed, rows_before"),
+    "fix_datatypes": ("Converted ''%s'' from %s to %s", "column_name, from_type, to_type"),
+    "remove_outliers": ("Removed %d rows with outliers in ''%s'' by %s", "n_changed, column_name, method"),
+    "standardize_format": ("Cleaned the text of ''%s'': %s", "column_name, method"),
+}
+
+
+@query("finding_text", f"WITH f AS ({FINDINGS.format(orders='orders')}) " + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, printf('{text}', {columns}) AS message FROM f" for kind, (text, columns) in FINDING_FORMATS.items()))
 def finding_text(spark, folder):
-    stats = _stats(spark, folder, T, "A")
-    cleaner = (clean.Cleaner(read(spark, folder, "dup_orders")).remove_duplicates().remove_outliers("o_totalprice")
-               .standardize_text("o_orderstatus", ["lowercase"]).convert_type("o_custkey", "string"))
-    log = cleaner.log_frame()
-    filled = clean.Cleaner(stats.df).fill_missing("l_quantity", "mean").log_frame()
-    frames = {
-        "dataset_overview": profile.overview(stats), "data_quality": scores.deducting_score(stats),
-        "key_insights": insights.key_insights(stats), "recommendations": insights.recommendations(stats),
-        "column_stats": profile.numeric_summary(stats), "patterns": patterns.detect_patterns(stats),
-        "correlation": correlate.high_correlations(stats, 0.1), "outliers": outliers.outlier_analysis(stats),
-        "analysis_summary": profile.overview(stats).withColumn("type", F.lit("quick")), "handle_missing": filled,
-        "remove_duplicates": log.filter("action = 'remove_duplicates'"), "fix_datatypes": log.filter("action = 'convert_type'"),
-        "remove_outliers": log.filter("action = 'remove_outliers'"),
-        "standardize_format": log.filter("action = 'standardize_text'"),
-    }
-    found = None
-    for kind, frame in frames.items():
+    frame, found = spark.sql(FINDINGS, orders=read(spark, folder, "orders")), None
+    for kind in insights.MESSAGES:
         part = insights.finding_text(frame, kind).select(F.lit(kind).alias("kind"), "message")
         found = part if found is None else found.unionAll(part)
     return found

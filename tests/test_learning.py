@@ -1,3 +1,5 @@
+import hashlib
+import os
 import random
 
 import numpy as np
@@ -151,3 +153,30 @@ def test_components_of_a_chain_a_star_and_a_loner(spark):
     got = components.components(spark.createDataFrame([(n,) for n in nodes], "node int"),
                                 spark.createDataFrame(edges, "u int, v int"))
     assert {r["node"]: r["root"] for r in got.collect()} == {n: 0 if n <= 40 else 100 if n < 500 else 500 for n in nodes}
+
+
+def test_compare_goes_on_after_a_failure_and_says_why(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7), "a" if i < 60 else "b") for i in range(120)], "x double, z double, y string")
+    with engine.ModelBench(df, "y", "classification") as bench:
+        rows = bench.compare(["no such model", "Decision Tree"]).orderBy("rank").collect()
+        folder = bench.prepared.df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert os.path.exists(folder)
+    assert not os.path.exists(folder)
+    assert [(r["model_type"], r["is_best"], r["error"] is None) for r in rows] == [("decision_tree", True, True), ("no_such_model", False, False)]
+    assert "accuracy" in rows[0]["metrics"] and "accuracy" in rows[0]["reason"] and "unknown" in rows[1]["error"]
+
+
+def test_predict_fills_gaps_with_fitted_medians(spark):
+    df = spark.createDataFrame([(float(i), "low" if i < 50 else "high") for i in range(101)], "x double, y string")
+    bench = engine.ModelBench(df, "y", "classification")
+    trained = bench.train("decision_tree")
+    new = spark.createDataFrame([(1, None), (2, 50.0)], "id int, x double")
+    got = {r["id"]: r["prediction"] for r in bench.predict(trained, new).collect()}
+    assert got[1] == got[2]
+
+
+def test_split_by_key_is_the_md5_of_the_key(spark):
+    df = spark.createDataFrame([(i, i * 2.0) for i in range(500)], "k bigint, x double")
+    train, test = prepare.split(df, 0.3, 7, "k")
+    want = {i for i in range(500) if int(hashlib.md5(f"7|{i}".encode()).hexdigest()[:8], 16) % 10_000 < 3000}
+    assert {r["k"] for r in test.collect()} == want and train.count() == 500 - len(want)
