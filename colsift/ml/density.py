@@ -3,7 +3,10 @@
 The cell side is eps / sqrt(d), so all points of one cell are neighbours of each other. A cell with min_samples points
 therefore holds core points only, and no pairs inside it are needed, however many points it holds. Only the fewer than
 min_samples points of a thin cell are compared with the neighbouring cells, which is linear work. Whether two cells with
-core points are linked is decided on bounding boxes that are split further only where they leave it open.
+core points are linked is decided on bounding boxes; those that leave it open are split until few points are left in a pair.
+
+Up to four features the neighbouring cells are listed. Beyond, neighbours are looked for in blocks of cells over the four
+features of the widest spread, and the distance over all features decides; the more features, the more this compares.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from colsift.ml.components import components
 from colsift.plans.ordering import dense_codes
 from colsift.plans.session import cut_lineage
 
-MAX_DIMENSIONS = 4
+LISTED_DIMENSIONS = 4
 SPLIT = 4
-SPLIT_ROUNDS = 4
+# box pairs of at most so many point pairs are compared point by point
+PAIRS_COMPARED = 4096
 
 
 def _distance2(a: Column, b: Column) -> Column:
@@ -43,38 +47,54 @@ def _shifted(cell: Column, offsets: list[tuple]) -> Column:
     return F.transform(table, lambda o: F.zip_with(cell, o, lambda a, b: a + b))
 
 
+def _neighbourhood(d: int, side: float, eps: float):
+    """How a cell's key follows from it, and the key offsets that lead to all cells with points within eps."""
+    if d <= LISTED_DIMENSIONS:
+        return (lambda cell: cell), _offsets(d, side, eps)
+    cells = math.ceil(eps / side)
+    block = lambda cell: F.transform(F.slice(cell, 1, LISTED_DIMENSIONS), lambda c: F.floor(c / F.lit(cells)))
+    return block, list(product((-1, 0, 1), repeat=LISTED_DIMENSIONS))
+
+
+def _widest_first(df: DataFrame, features: list[str]) -> list[str]:
+    if len(features) <= LISTED_DIMENSIONS:
+        return features
+    row = df.agg(*[F.stddev_pop(ref(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    return [c for _, _, c in sorted((-(s or 0.0), i, c) for i, (s, c) in enumerate(zip(row, features)))]
+
+
 def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """The rows with `prediction`: a cluster number from 0, or -1 for noise.
 
     A border point within reach of several clusters takes the one whose cells come first.
     """
-    d = len(features)
-    if not 1 <= d <= MAX_DIMENSIONS:
-        raise ValueError(f"dbscan takes 1 to {MAX_DIMENSIONS} features, got {d}")
+    if not features:
+        raise ValueError("dbscan needs a feature")
+    features, d = _widest_first(df, features), len(features)
     side = eps / math.sqrt(d) * (1 - 1e-9)
-    offsets = _offsets(d, side, eps)
+    key_of, offsets = _neighbourhood(d, side, eps)
     x = F.array(*[ref(c).cast("double") + F.lit(0.0) for c in features])
     points = df.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("w")).withColumn("cell", _cell_of(F.col("x"), side))
     weights = points.groupBy("cell").agg(F.sum("w").alias("cell_w"))
-    points = cut_lineage(points.join(weights, "cell"), "points")
+    points = cut_lineage(points.join(weights, "cell").withColumn("key", key_of(F.col("cell"))), "points")
 
     thin = points.filter(F.col("cell_w") < min_samples)
-    around = thin.select(F.col("x").alias("p"), F.explode(_shifted(F.col("cell"), offsets)).alias("cell"))
-    near = around.join(points.select("cell", "x", "w"), "cell").filter(_distance2(F.col("p"), F.col("x")) <= eps * eps)
+    around = thin.select(F.col("x").alias("p"), F.explode(_shifted(F.col("key"), offsets)).alias("key"))
+    near = around.join(points.select("key", "x", "w"), "key").filter(_distance2(F.col("p"), F.col("x")) <= eps * eps)
     counted = near.groupBy("p").agg(F.sum("w").alias("near_w")).filter(F.col("near_w") >= min_samples)
-    core = points.filter(F.col("cell_w") >= min_samples).select("cell", "x").unionAll(
-        thin.join(counted, F.col("x") == F.col("p"), "left_semi").select("cell", "x"))
+    core = points.filter(F.col("cell_w") >= min_samples).select("cell", "key", "x").unionAll(
+        thin.join(counted, F.col("x") == F.col("p"), "left_semi").select("cell", "key", "x"))
     core = cut_lineage(core, "core")
 
     nodes = core.select(F.col("cell").alias("node")).distinct()
-    labels = components(nodes, _linked_cells(core, offsets, side, eps))
+    labels = components(nodes, _linked_cells(core, d, offsets, side, eps))
     labels = labels.select(F.col("node").alias("cell"), F.col("root"))
     numbers = dense_codes(labels, "root")
     labels = labels.join(numbers, F.col("root") == F.col("level")).select("cell", F.col("code").alias("prediction"))
     core_labels = cut_lineage(core.join(labels, "cell"), "core-labels")
 
     rest = around.join(core.select(F.col("x").alias("p")), "p", "left_anti")
-    border = (rest.join(core_labels, "cell").filter(_distance2(F.col("p"), F.col("x")) <= eps * eps)
+    border = (rest.join(core_labels, "key").filter(_distance2(F.col("p"), F.col("x")) <= eps * eps)
               .groupBy("p").agg(F.min("prediction").alias("prediction")).select(F.col("p").alias("_x"), "prediction"))
     found = core_labels.select(F.col("x").alias("_x"), "prediction").unionAll(border)
     return (df.withColumn("_key", x).join(found, F.col("_key") == F.col("_x"), "left")
@@ -82,47 +102,45 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
 
 
 def _boxes(core: DataFrame, d: int, side: float, level: int) -> DataFrame:
-    """Per cell and box of the given level: lower corner, upper corner and one of its points."""
+    """Per cell and box of the given level: lower corner, upper corner, one of its points and how many there are."""
     fine = side / SPLIT**level
     corner = lambda f: F.array(*[f(F.col("x")[i]) for i in range(d)])
-    return (core.withColumn("box", _cell_of(F.col("x"), fine)).groupBy("cell", "box")
-            .agg(corner(F.min).alias("low"), corner(F.max).alias("high"), F.min("x").alias("some")))
+    return (core.withColumn("box", _cell_of(F.col("x"), fine)).groupBy("key", "cell", "box")
+            .agg(corner(F.min).alias("low"), corner(F.max).alias("high"), F.min("x").alias("some"), F.count("*").alias("n")))
 
 
-def _linked_cells(core: DataFrame, offsets: list[tuple], side: float, eps: float) -> DataFrame:
+def _linked_cells(core: DataFrame, d: int, offsets: list[tuple], side: float, eps: float) -> DataFrame:
     """(u, v) of the cell pairs, u before v, with core points within eps of each other."""
-    d = len(offsets[0])
-    ahead = [o for o in offsets if o > (0,) * d]
-    side_of = lambda boxes, tag: boxes.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("cell", "box", "low", "high", "some")])
+    side_of = lambda boxes, tag: boxes.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("cell", "box", "low", "high", "some", "n")])
     boxes = _boxes(core, d, side, 0)
-    left = side_of(boxes, "u").withColumn("cell_v", F.explode(_shifted(F.col("cell_u"), ahead)))
-    pairs = left.join(side_of(boxes, "v"), "cell_v")
-    links = None
-    for level in range(1, SPLIT_ROUNDS + 2):
+    left = boxes.select(
+        F.explode(_shifted(F.col("key"), offsets)).alias("key"), *[F.col(c).alias(f"{c}_u") for c in ("cell", "box", "low", "high", "some", "n")])
+    right = boxes.select("key", *[F.col(c).alias(f"{c}_v") for c in ("cell", "box", "low", "high", "some", "n")])
+    pairs = left.join(right, "key").filter(F.col("cell_u") < F.col("cell_v"))
+    links, level = None, 0
+    while True:
         gap = F.aggregate(F.zip_with(
             F.zip_with("low_u", "high_v", lambda a, b: a - b), F.zip_with("low_v", "high_u", lambda a, b: a - b),
             lambda p, q: F.greatest(p, q, F.lit(0.0)) * F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
         met = _distance2(F.col("some_u"), F.col("some_v")) <= eps * eps
         judged = cut_lineage(pairs.withColumn("linked", met).filter(F.col("linked") | (gap <= eps * eps * (1 + 1e-9)))
-                             .select("cell_u", "box_u", "cell_v", "box_v", "linked"), "boxes")
+                             .select("cell_u", "box_u", "cell_v", "box_v", "linked", (F.col("n_u") * F.col("n_v")).alias("n")), "boxes")
         sure = judged.filter("linked").select(F.col("cell_u").alias("u"), F.col("cell_v").alias("v")).distinct()
-        links = sure if links is None else links.unionAll(sure)
         undecided = judged.filter("not linked").join(
             sure, (F.col("cell_u") == F.col("u")) & (F.col("cell_v") == F.col("v")), "left_anti").drop("linked")
-        undecided = cut_lineage(undecided, "undecided")
+        # pairs of few points are compared now, the others split
+        few, close = core.withColumn("box", _cell_of(F.col("x"), side / SPLIT**level)), undecided.filter(F.col("n") <= PAIRS_COMPARED)
+        for tag in ("u", "v"):
+            close = close.join(few.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("cell", "box", "x")]), [f"cell_{tag}", f"box_{tag}"])
+        close = close.filter(_distance2(F.col("x_u"), F.col("x_v")) <= eps * eps)
+        found = sure.unionAll(close.select(F.col("cell_u").alias("u"), F.col("cell_v").alias("v"))).distinct()
+        links = found if links is None else links.unionAll(found)
+        undecided = cut_lineage(undecided.filter(F.col("n") > PAIRS_COMPARED).drop("n"), "undecided")
         if undecided.isEmpty():
             return links
-        if level > SPLIT_ROUNDS:
-            break
+        level += 1
         parent = lambda tag: F.transform(f"box_{tag}", lambda b: F.floor(b / SPLIT))
         finer = _boxes(core, d, side, level)
         pairs = undecided.withColumnsRenamed({"box_u": "up_u", "box_v": "up_v"})
         for tag in ("u", "v"):
             pairs = pairs.join(side_of(finer, tag).withColumn(f"up_{tag}", parent(tag)), [f"cell_{tag}", f"up_{tag}"])
-    # boxes this small that still leave it open hold few points: compare those
-    fine = core.withColumn("box", _cell_of(F.col("x"), side / SPLIT**SPLIT_ROUNDS))
-    for tag in ("u", "v"):
-        undecided = undecided.join(fine.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("cell", "box", "x")]),
-                                   [f"cell_{tag}", f"box_{tag}"])
-    close = undecided.filter(_distance2(F.col("x_u"), F.col("x_v")) <= eps * eps)
-    return links.unionAll(close.select(F.col("cell_u").alias("u"), F.col("cell_v").alias("v")).distinct())

@@ -118,7 +118,7 @@ def brute_force(points, eps, min_samples):
     return core, label, near
 
 
-@pytest.mark.parametrize("dimensions,eps", [(1, 0.05), (2, 0.3), (3, 0.8)])
+@pytest.mark.parametrize("dimensions,eps", [(1, 0.05), (2, 0.3), (3, 0.8), (6, 1.6)])
 def test_dbscan_matches_brute_force(spark, dimensions, eps):
     draw = random.Random(dimensions)
     points = [tuple(draw.gauss(3 * (i % 4), 0.6) for _ in range(dimensions)) for i in range(300)]
@@ -142,9 +142,14 @@ def test_dbscan_matches_brute_force(spark, dimensions, eps):
             assert got[i] in {renamed[label[j]] for j in np.flatnonzero(near[i] & core)}
 
 
-def test_dbscan_refuses_many_dimensions(spark):
+def test_dbscan_splits_crowded_boxes(spark, monkeypatch):
+    monkeypatch.setattr(density, "PAIRS_COMPARED", 4)
+    test_dbscan_matches_brute_force(spark, 2, 0.7)
+
+
+def test_dbscan_needs_a_feature(spark):
     with pytest.raises(ValueError):
-        density.dbscan(spark.range(1), ["id"] * 5)
+        density.dbscan(spark.range(1), [])
 
 
 def test_components_of_a_chain_a_star_and_a_loner(spark):
