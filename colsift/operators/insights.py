@@ -11,6 +11,53 @@ from colsift.plans.stats import TableStats
 
 SCHEMA = "rank bigint, message string"
 
+# Titles and statements of the findings of both flavors.
+FINDINGS = {
+    "missing": ("High Missing Data", "{:.1f}% of your data is missing"),
+    "duplicates": ("Duplicate Rows Detected", "Found {} duplicate rows"),
+    "cardinality": ("High Cardinality Columns", "Columns with too many unique values: {}"),
+    "correlation": ("Strong Correlations Found", "Found {} strong relationships between columns"),
+    "imbalance": ("Imbalanced Categories", "Column '{}' is heavily imbalanced"),
+    "nothing": ("Data Looks Great!", "No major issues detected"),
+}
+STATEMENTS = {
+    "large": "Large dataset suitable for complex modeling",
+    "small": "Small dataset - consider collecting more data",
+    "gaps_high": "High missing data ({:.1f}%) - consider imputation",
+    "gaps_some": "Moderate missing data ({:.1f}%)",
+    "gaps_few": "Minimal missing data - good quality",
+    "numbers_many": "Many numerical features ({})",
+    "numbers_some": "Suitable numerical features ({})",
+    "texts_many": "Multiple categorical variables ({})",
+    "close_pairs": "Found {} highly correlated pairs",
+    "outliers": "Outliers in {} columns",
+    "fix_quality": "Address data quality issues",
+    "fix_duplicates": "Remove {} duplicates",
+    "fix_gaps": "Handle high missing values in: {}",
+    "fix_outliers": "Investigate outliers in: {}",
+    "fix_pairs": "Remove highly correlated features",
+    "scale": "Scale numerical features for ML",
+    "encode": "Encode categorical variables",
+    "split": "Split data for model validation",
+    "size": "Dataset contains {:,} records with {} features",
+    "quality_best": "Excellent data quality - ready for analysis",
+    "quality_good": "Good data quality - minor issues detected",
+    "quality_poor": "Data quality needs improvement - consider cleaning",
+    "issues": "{} data quality issues to address",
+    "columns_with_gaps": "{} columns have >20% missing values",
+    "strong_pairs": "{} strong correlations found",
+}
+
+# what can be done about each finding
+ACTIONS = {
+    "missing": "Fill the gaps or drop the emptiest columns and rows",
+    "duplicates": "Drop the repeated rows before any statistics",
+    "cardinality": "Leave these columns out, or merge their rare values",
+    "correlation": "Keep one column of each close pair",
+    "imbalance": "Weight the classes or sample them evenly when training",
+    "nothing": "Go on to model building",
+}
+
 
 def _share(stats: TableStats) -> float:
     cells = stats.n_rows * len(stats.df.columns)
@@ -27,30 +74,25 @@ def insights(stats: TableStats) -> DataFrame:
     stats.gather("text_cardinality", "duplicates", "pairs")
     found = []
 
-    def add(kind, title, message, action):
-        found.append({"rank": len(found) + 1, "type": kind, "title": title, "message": message, "action": action})
+    def add(level, kind, *values):
+        title, statement = FINDINGS[kind]
+        found.append({"rank": len(found) + 1, "type": level, "title": title, "message": statement.format(*values), "action": ACTIONS[kind]})
 
     if _share(stats) > 10:
-        add("warning", "High Missing Data", f"{_share(stats):.1f}% of your data is missing",
-            "Use data cleaning tools to fill or remove missing values")
+        add("warning", "missing", _share(stats))
     if stats.duplicate_rows:
-        add("warning", "Duplicate Rows Detected", f"Found {stats.duplicate_rows} duplicate rows",
-            "Remove duplicate rows using the cleaning tools")
+        add("warning", "duplicates", stats.duplicate_rows)
     unlike = [c for c in texts if stats.fact(c, "n_unique") > 0.5 * stats.n_rows]
     if unlike:
-        add("info", "High Cardinality Columns", f"Columns with too many unique values: {', '.join(unlike)}",
-            "Group similar values or remove these columns")
+        add("info", "cardinality", ", ".join(unlike))
     strong = _count_pairs(stats, F.abs("r") > 0.8)
     if strong:
-        add("success", "Strong Correlations Found", f"Found {strong} strong relationships between columns",
-            "Review correlation analysis and consider removing redundant columns")
-    for c in texts:
-        if stats.fact(c, "n_unique") == 2 and stats.fact(c, "top_count") > 5 * stats.fact(c, "low_count"):
-            add("warning", "Imbalanced Categories", f"Column '{c}' is heavily imbalanced",
-                "Consider resampling techniques (SMOTE) or weighted training")
-            break
+        add("success", "correlation", strong)
+    uneven = [c for c in texts if stats.fact(c, "n_unique") == 2 and stats.fact(c, "top_count") > 5 * stats.fact(c, "low_count")]
+    if uneven:
+        add("warning", "imbalance", uneven[0])
     if not found:
-        add("success", "Data Looks Great!", "No major issues detected", "Proceed to machine learning model building")
+        add("success", "nothing")
     return stats.rows(found, "rank bigint, type string, title string, message string, action string")
 
 
@@ -58,6 +100,11 @@ def _numbered(stats: TableStats, messages: list[str]) -> DataFrame:
     return stats.rows([{"rank": i + 1, "message": m} for i, m in enumerate(messages)], SCHEMA)
 
 
+def _speaker(said: list[str]):
+    """Adds a statement by its name and values."""
+    return lambda name, *values: said.append(STATEMENTS[name].format(*values))
+
+
 def _many_outliers(stats: TableStats) -> list[str]:
     return [r["column_name"] for r in iqr_outliers(stats).filter("outlier_pct > 5").collect()]
 
@@ -66,53 +113,55 @@ def key_insights(stats: TableStats) -> DataFrame:
     """Flavor A: short statements on size, missing data, features, correlation and outliers."""
     stats.gather("pairs", "outliers")
     said, share = [], _share(stats)
+    say = _speaker(said)
     numbers, texts = len(stats.roles.numeric), len(stats.roles.categorical)
     if stats.n_rows > 10_000:
-        said.append("Large dataset suitable for complex modeling")
+        say("large")
     elif stats.n_rows < 100:
-        said.append("Small dataset - consider collecting more data")
+        say("small")
     if share > 20:
-        said.append(f"High missing data ({share:.1f}%) - consider imputation")
+        say("gaps_high", share)
     elif share > 5:
-        said.append(f"Moderate missing data ({share:.1f}%)")
+        say("gaps_some", share)
     else:
-        said.append("Minimal missing data - good quality")
+        say("gaps_few")
     if numbers > 10:
-        said.append(f"Many numerical features ({numbers})")
+        say("numbers_many", numbers)
     elif numbers:
-        said.append(f"Suitable numerical features ({numbers})")
+        say("numbers_some", numbers)
     if texts > 5:
-        said.append(f"Multiple categorical variables ({texts})")
+        say("texts_many", texts)
     close = high_correlations(stats, 0.8).count()
     if close:
-        said.append(f"Found {close} highly correlated pairs")
+        say("close_pairs", close)
     outlying = _many_outliers(stats)
     if outlying:
-        said.append(f"Outliers in {len(outlying)} columns")
+        say("outliers", len(outlying))
     return _numbered(stats, said)
 
 
 def recommendations(stats: TableStats) -> DataFrame:
     stats.gather("pairs", "outliers", "duplicates")
     said = []
+    say = _speaker(said)
     if scores.deducting_score(stats).first()["quality_score"] < 70:
-        said.append("Address data quality issues")
+        say("fix_quality")
     if stats.duplicate_rows:
-        said.append(f"Remove {stats.duplicate_rows} duplicates")
+        say("fix_duplicates", stats.duplicate_rows)
     # the share is rounded to two places before the comparison
     gaps = [c for c in stats.df.columns if stats.n_rows and round(stats.fact(c, "n_null") * 100 / stats.n_rows, 2) > 20]
     if gaps:
-        said.append(f"Handle high missing values in: {', '.join(gaps[:3])}")
+        say("fix_gaps", ", ".join(gaps[:3]))
     outlying = _many_outliers(stats)
     if outlying:
-        said.append(f"Investigate outliers in: {', '.join(outlying[:3])}")
+        say("fix_outliers", ", ".join(outlying[:3]))
     if high_correlations(stats, 0.9).count():
-        said.append("Remove highly correlated features")
+        say("fix_pairs")
     if stats.roles.numeric:
-        said.append("Scale numerical features for ML")
+        say("scale")
     if stats.roles.categorical:
-        said.append("Encode categorical variables")
-    said.append("Split data for model validation")
+        say("encode")
+    say("split")
     return _numbered(stats, said)
 
 
@@ -120,21 +169,23 @@ def insights_summary(stats: TableStats) -> DataFrame:
     """Size, quality band, issues, gaps, strong pairs and the first three key insights."""
     stats.gather("pairs", "outliers", "duplicates")
     score = scores.deducting_score(stats).first()
-    said = [f"Dataset contains {stats.n_rows:,} records with {len(stats.df.columns)} features"]
+    said = []
+    say = _speaker(said)
+    say("size", stats.n_rows, len(stats.df.columns))
     if score["quality_score"] >= 90:
-        said.append("Excellent data quality - ready for analysis")
+        say("quality_best")
     elif score["quality_score"] >= 70:
-        said.append("Good data quality - minor issues detected")
+        say("quality_good")
     else:
-        said.append("Data quality needs improvement - consider cleaning")
+        say("quality_poor")
     if score["n_issues"]:
-        said.append(f"{score['n_issues']} data quality issues to address")
+        say("issues", score["n_issues"])
     gaps = sum(round(stats.fact(c, "n_null") * 100 / stats.n_rows, 2) > 20 for c in stats.df.columns) if stats.n_rows else 0
     if gaps:
-        said.append(f"{gaps} columns have >20% missing values")
+        say("columns_with_gaps", gaps)
     strong = min(5, _count_pairs(stats, F.abs("r") > 0.7))
     if strong:
-        said.append(f"{strong} strong correlations found")
+        say("strong_pairs", strong)
     said += [r["message"] for r in key_insights(stats).orderBy("rank").limit(3).collect()]
     return _numbered(stats, said)
 

@@ -42,6 +42,7 @@ def unbiased_skew(n: Column, skew: Column) -> Column:
     return F.when(n > 2, F.coalesce(skew, F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+# The labels of distribution_label and concentration_label.
 def distribution_label(mean: Column, median: Column, std: Column, skew: Column) -> Column:
     return (F.when(F.abs(mean - median) < std * 0.1, "symmetric (balanced)")
             .when(skew > 1, "right-skewed (tail on right)").when(skew < -1, "left-skewed (tail on left)")

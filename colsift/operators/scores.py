@@ -59,22 +59,32 @@ def quality_score(stats: TableStats) -> DataFrame:
                          grade(overall).alias("grade"))
 
 
+# How each issue is worded.
+ISSUES = {
+    "critical": "Column '%s' has %.1f%% missing values (critical)",
+    "missing": "Column '%s' has %.1f%% missing values",
+    "minor": "Column '%s' has %.1f%% missing values (minor)",
+    "duplicates": "Found %d duplicate rows (%.1f%%)",
+    "numeric_text": "Column '%s' appears to be numeric but stored as text",
+}
+
+
 def quality_issues(stats: TableStats) -> DataFrame:
     """What lowers the deducting score: (position, column_name, issue, deduction)."""
     stats.need("text")
     pct = F.col("n_null") * 100.0 / F.lit(stats.n_rows)
     gaps = stats.frame(["n_null"]).filter((F.col("n_null") > 0) & (pct > 5)).select(
         "position", "column_name",
-        F.when(pct > 50, F.format_string("Column '%s' has %.1f%% missing values (critical)", "column_name", pct))
-        .when(pct > 20, F.format_string("Column '%s' has %.1f%% missing values", "column_name", pct))
-        .otherwise(F.format_string("Column '%s' has %.1f%% missing values (minor)", "column_name", pct)).alias("issue"),
+        F.when(pct > 50, F.format_string(ISSUES["critical"], "column_name", pct))
+        .when(pct > 20, F.format_string(ISSUES["missing"], "column_name", pct))
+        .otherwise(F.format_string(ISSUES["minor"], "column_name", pct)).alias("issue"),
         F.when(pct > 50, 15).when(pct > 20, 10).otherwise(5).cast("bigint").alias("deduction"))
     repeated = _table_facts(stats).filter("n_duplicate > 0").select(
         F.lit(None).cast("bigint"), F.lit("*"),
-        F.format_string("Found %d duplicate rows (%.1f%%)", "n_duplicate", F.expr("n_duplicate * 100.0D / n_rows")),
+        F.format_string(ISSUES["duplicates"], "n_duplicate", F.expr("n_duplicate * 100.0D / n_rows")),
         F.lit(10).cast("bigint"))
     stored = stats.frame(["n_not_number"], stats.roles.categorical).filter("n_not_number = 0").select(
-        "position", "column_name", F.format_string("Column '%s' appears to be numeric but stored as text", "column_name"),
+        "position", "column_name", F.format_string(ISSUES["numeric_text"], "column_name"),
         F.lit(5).cast("bigint"))
     return gaps.unionAll(repeated).unionAll(stored)
 
