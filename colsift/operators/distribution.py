@@ -72,44 +72,60 @@ def auto_bins(n: int, low: float, high: float, iqr: float) -> int:
     if n == 0 or spread == 0:
         return 1
     sturges = spread / (math.log2(n) + 1)
-    freedman = 2 * iqr / n ** (1 / 3)
+    freedman = 2 * iqr / n ** (1 / 3) if math.isfinite(iqr) else 0.0
     width = min(max(freedman, spread / math.sqrt(n) / 2), sturges)
     return max(1, math.ceil(spread / width))
 
 
+def _finite_ends(stats: TableStats, columns: list[str]) -> dict[str, tuple]:
+    """(smallest, largest) finite value of each column that has values; one more scan where an end is infinite."""
+    ends = {c: (stats.fact(c, "min"), stats.fact(c, "max")) for c in columns if stats.fact(c, "n")}
+    open_ = [c for c, e in ends.items() if not all(map(math.isfinite, e))]
+    if open_:
+        finite = {c: F.when(F.abs(stats.numeric(c)) < math.inf, stats.numeric(c)) for c in open_}
+        row = stats.df.agg(*[f(finite[c]) for c in open_ for f in (F.min, F.max)]).first()
+        ends |= {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(open_)}
+    return ends
+
+
 def histogram(stats: TableStats, columns: list[str], bins: int | str = 20) -> DataFrame:
     """(column_name, bin, lower, upper, cnt) of equal bins over [min, max], empty ones included, the last one closed.
 
-    All columns are counted in one shuffle of (column, bin) partial counts.
+    Infinities are counted apart: bin -1 from -inf to -inf, and the bin after the last from inf to inf, where there are any.
+    All columns are counted in one shuffle of (column, bin) partial counts; one row per column is sent out, its bins are made
+    by the executors.
     """
     stats.need("moments")
     if bins == "auto":
         stats.need_quantiles(0.25, 0.75)
-    schema = "column_name string, bin bigint, lower double, upper double"
-    layout, cells, edges = {}, [], []
-    for c in columns:
-        n, low, high = (stats.fact(c, m) for m in ("n", "min", "max"))
-        if not n or math.isinf(low) or math.isinf(high):
-            continue
-        size = auto_bins(n, low, high, stats.fact(c, "q0.75") - stats.fact(c, "q0.25")) if bins == "auto" else bins
+    layout, cells = [], []
+    for c, (low, high) in _finite_ends(stats, columns).items():
+        if low is None:
+            low = high = 0.0  # nothing but infinities
+        size = auto_bins(stats.fact(c, "n"), low, high, stats.fact(c, "q0.75") - stats.fact(c, "q0.25")) if bins == "auto" else bins
         if low == high:
             low, high = low - 0.5, high + 0.5
-        layout[c] = (low, high, size)
-    if not layout:
-        return stats.rows([], schema + ", cnt bigint")
-    for c, (low, high, size) in layout.items():
+        layout.append({"column_name": c, "low": low, "high": high, "size": size})
         x, step = stats.numeric(c), (high - low) / size
         guess = F.least(F.floor((x - low) * (size / (high - low))), F.lit(size - 1))
         # the product can land one bin off near an edge; the edges themselves decide
-        place = (F.when(x < F.lit(low) + guess * F.lit(step), guess - 1)
+        place = (F.when(x == math.inf, F.lit(size)).when(x == -math.inf, F.lit(-1))
+                 .when(x < F.lit(low) + guess * F.lit(step), guess - 1)
                  .when((guess != size - 1) & (x >= F.lit(low) + (guess + 1) * F.lit(step)), guess + 1).otherwise(guess))
         cells.append(F.struct(F.lit(c).alias("column_name"), F.when(x.isNotNull(), place).cast("bigint").alias("bin")))
-        edges += [{"column_name": c, "bin": i, "lower": low + i * step, "upper": high if i == size - 1 else low + (i + 1) * step}
-                  for i in range(size)]
+    if not layout:
+        return stats.rows([], "column_name string, bin bigint, lower double, upper double, cnt bigint")
     counted = (stats.df.select(F.explode(F.array(*cells)).alias("t")).select("t.*").filter("bin is not null")
                .groupBy("column_name", "bin").agg(F.count("*").alias("cnt")))
-    return stats.rows(edges, schema).join(counted, ["column_name", "bin"], "left").select(
-        "column_name", "bin", "lower", "upper", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    columns_ = stats.rows(layout, "column_name string, low double, high double, size bigint")
+    all_bins = columns_.select("*", F.explode(F.sequence(F.lit(-1).cast("bigint"), "size")).alias("bin"))
+    step = (F.col("high") - F.col("low")) / F.col("size")
+    outside = lambda inside: (F.when(F.col("bin") < 0, -math.inf).when(F.col("bin") == F.col("size"), math.inf).otherwise(inside))
+    upper = F.when(F.col("bin") == F.col("size") - 1, F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * step)
+    return all_bins.join(counted, ["column_name", "bin"], "left").filter(
+        F.col("bin").between(0, F.col("size") - 1) | F.col("cnt").isNotNull()).select(
+        "column_name", "bin", outside(F.col("low") + F.col("bin") * step).alias("lower"), outside(upper).alias("upper"),
+        F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 def shape_label(skew):

@@ -109,15 +109,14 @@ def bins_sql(table, column, size):
 
 AUTO = """CASE WHEN lo = hi THEN 1 ELSE ceil((hi - lo) / least(greatest(2 * (q3 - q1) / n ** (1.0::DOUBLE / 3), (hi - lo) / sqrt(n) / 2),
     (hi - lo) / (log2(n) + 1))) END"""
-SHAPED = ["l_quantity", "l_extendedprice", "l_discount", "const_num"]
 
 
-@query("histogram_20", given(T) + " UNION ALL ".join(bins_sql(T, c, "20") for c in SHAPED))
+@query("histogram_20", given(T) + " UNION ALL ".join(bins_sql(T, c, "20") for c in DIRTY_NUMERIC))
 def histogram_20(spark, folder):
-    return rounded(distribution.histogram(_stats(spark, folder), SHAPED, 20))
+    return rounded(distribution.histogram(_stats(spark, folder), DIRTY_NUMERIC, 20))
 
 
-AUTOED = {"events": ["value"], "documents": ["n_chars"], "orders": ["o_totalprice"]}
+AUTOED = {"events": ["event_id", "user_id", "value"], "documents": ["doc_id", "n_chars"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"]}
 
 
 @query("histogram_auto", " UNION ALL ".join(bins_sql(t, c, AUTO) for t, cs in AUTOED.items() for c in cs))

@@ -252,3 +252,15 @@ def test_history_appends(spark, edge, tmp_path):
     for run in ("a", "b"):
         reports.append_history(part, "quick", run, str(tmp_path / "history"))
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+
+
+def test_histogram_counts_infinities_apart(spark):
+    from colsift.operators import distribution
+    inf = float("inf")
+    df = spark.createDataFrame([(x, inf) for x in [0.0, 1.0, 2.0, 4.0, inf, inf, -inf, None, float("nan")]], "x double, y double")
+    for bins in (4, "auto"):
+        rows = {(r["column_name"], r["bin"]): r for r in distribution.histogram(TableStats(df), ["x", "y"], bins).collect()}
+        size = max(b for c, b in rows if c == "x")
+        assert (rows["x", -1]["cnt"], rows["x", size]["cnt"]) == (1, 2) and rows["x", size]["lower"] == inf
+        assert sum(r["cnt"] for (c, b), r in rows.items() if c == "x" and 0 <= b < size) == 4
+        assert sum(r["cnt"] for (c, _), r in rows.items() if c == "y") == 9 and ("y", -1) not in rows
