@@ -24,6 +24,7 @@ from colsift.plans.session import cut_lineage
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 CACHE_WORDS = 300_000
+BROADCAST_GROUPS = 10_000
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
 
@@ -146,8 +147,10 @@ def judge(docs: DataFrame, settings: Settings = Settings(), vocabulary: str = "p
         "group", F.coalesce(F.col("lang"), F.concat(F.lit("script "), F.col("script")))).drop("lang", "script"), "fertility")
     passing = measured.filter(~F.col("base_failed") & F.col("chars_per_token").isNotNull())
     overall = quartiles(None, passing).first()
-    bands = quartiles(F.col("group"), passing).filter(F.col("documents") >= settings.least_documents).select(
-        F.col("group").alias("_group"), *[F.col(m).alias(f"_{m}") for m in MEASURES])
+    bands = cut_lineage(quartiles(F.col("group"), passing).filter(F.col("documents") >= settings.least_documents).select(
+        F.col("group").alias("_group"), *[F.col(m).alias(f"_{m}") for m in MEASURES]), "bands")
+    if bands.count() <= BROADCAST_GROUPS:  # a few languages hold most rows, which a join by group would bring together
+        bands = F.broadcast(bands)
     joined = measured.join(bands, F.col("group") == F.col("_group"), "left")
     reasons = []
     for measure, reach, least in zip(MEASURES, settings.reach, settings.least):
