@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from colsift.functions.values import as_double, is_missing, ref
 from colsift.plans import ordering
 from colsift.plans.pairs import Moments, pair_correlations
-from colsift.plans.session import cut_lineage
+from colsift.plans.session import cut_lineage, discard, together
 from colsift.plans.stats import TableStats
 
 
+PAIRS_PER_SCAN = 12
+
+
 def correlation_matrix(stats: TableStats, method: str = "pearson") -> DataFrame:
     """(c1, c2, r) of every ordered pair, the diagonal included; NULL where it is undefined."""
     pairs = correlation_pairs(stats, method).select("c1", "c2", "r")
@@ -26,11 +30,14 @@ def correlation_pairs(stats: TableStats, method: str = "pearson") -> DataFrame:
     """(pair, c1, c2, r) of the upper triangle, by pearson, spearman or kendall."""
     if method == "pearson":
         return stats.pairs
-    measure = {"spearman": spearman, "kendall": kendall}.get(method)
-    if measure is None:
+    if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown method: {method}")
-    rows = [{"pair": i, "c1": a, "c2": b, "r": measure(stats.df, a, b)}
-            for i, (a, b) in enumerate(combinations(stats.roles.numeric, 2))]
+    named = list(combinations(stats.roles.numeric, 2))
+    if method == "spearman":
+        found = spearman_pairs(stats)
+    else:
+        found = together(stats.spark, [partial(kendall, stats.df, a, b) for a, b in named]) if named else []
+    rows = [{"pair": i, "c1": a, "c2": b, "r": r} for i, ((a, b), r) in enumerate(zip(named, found))]
     return stats.rows(rows, "pair bigint, c1 string, c2 string, r double")
 
 
@@ -64,6 +71,64 @@ def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int = ordering.ROWS
     return max(-1.0, min(1.0, sxy / (sxx**0.5 * syy**0.5))) if sxx and syy else None
 
 
+def spearman_pairs(stats: TableStats, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> list[float | None]:
+    """Spearman's r of every pair of numeric columns in column order, from shared jobs.
+
+    A column's ranks depend on its partner only through the partner's gaps. So each column has one ranking over all its rows,
+    and one for each column with gaps over the rows where that is present; all rankings are made in one running total over
+    (column, ranking, value), joined to the rows once, and every pair is read off the same table of ranks.
+    """
+    columns = stats.roles.numeric
+    stats.need("nulls")
+    gaps = [c for c in columns if stats.fact(c, "n_null")]
+    variant = lambda column, partner: 1 + gaps.index(partner) if partner in gaps else 0
+    x = [stats.numeric(c) for c in columns]
+    mask = F.array(F.lit(True), *[stats.numeric(c).isNotNull() for c in gaps])
+    cell = lambda i: F.struct(F.lit(i).alias("c"), x[i].alias("x"))
+    rows = cut_lineage(stats.df.select(mask.alias("mask"), F.array(*map(cell, range(len(columns)))).alias("cells")).withColumn(
+        "id", F.monotonically_increasing_id()), "cells")
+    long = rows.select("id", "mask", F.explode("cells").alias("t")).select("id", "mask", "t.*").filter("x is not null")
+    masked = long.groupBy("c", "x", "mask").agg(F.count("*").alias("n"))
+    ranked = masked.select("c", "x", "n", F.posexplode("mask").alias("v", "there")).filter("there").groupBy("c", "v", "x").agg(
+        F.sum("n").alias("ties"))
+    ranked = cut_lineage(ranked.withColumn("key", F.array(F.col("c").cast("double"), F.col("v").cast("double"), "x")), "ties")
+    sizes = {(r["c"], r["v"]): r["n"] for r in ranked.groupBy("c", "v").agg(F.sum("ties").alias("n")).collect()}
+    below = ordering.running_total(ranked, "key", "ties", ranked.count(), "below", rows_per_bucket)
+    start, starts = 0, []
+    for c, v in sorted(sizes):
+        starts.append({"c": c, "v": v, "start": start})
+        start += sizes[c, v]
+    offsets = F.broadcast(stats.rows(starts, "c int, v int, start bigint"))
+    ranks = below.join(offsets, ["c", "v"]).select("c", "x", "v", (F.col("below") - F.col("start") + (F.col("ties") + 1) / 2).alias("rank"))
+    ranks = ranks.groupBy("c", "x").agg(F.map_from_entries(F.collect_list(F.struct("v", "rank"))).alias("ranks"))
+    # rank maps of a row's columns, centred where they are read
+    wide = long.select("id", "c", "x").join(ranks, ["c", "x"]).groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("c", "ranks"))).alias("of"))
+    needed = sorted({(i, variant(a, b)) for i, a in enumerate(columns) for b in columns if a != b})
+    wide = cut_lineage(wide.select(*[F.col("of")[i][v].alias(f"r{i}_{v}") for i, v in needed]), "ranks")
+    pairs = list(combinations(range(len(columns)), 2))
+
+    def scan(some: list[tuple[int, int]]) -> list[float | None]:
+        sums = []
+        for a, b in some:
+            va, vb = variant(columns[a], columns[b]), variant(columns[b], columns[a])
+            n = sizes.get((a, va), 0)  # the rows where both are present
+            dx, dy = F.col(f"r{a}_{va}") - (n + 1) / 2, F.col(f"r{b}_{vb}") - (n + 1) / 2
+            dx, dy = F.when(dy.isNotNull(), dx), F.when(dx.isNotNull(), dy)
+            sums += [F.sum(dx * dy), F.sum(dx * dx), F.sum(dy * dy)]
+        row = wide.agg(*[e.alias(f"s{i}") for i, e in enumerate(sums)]).first()
+        found = []
+        for i in range(len(some)):
+            sxy, sxx, syy = row[3 * i:3 * i + 3]
+            found.append(max(-1.0, min(1.0, sxy / (sxx**0.5 * syy**0.5))) if sxx and syy else None)
+        return found
+
+    parts = [pairs[i:i + PAIRS_PER_SCAN] for i in range(0, len(pairs), PAIRS_PER_SCAN)]
+    result = [r for part in together(stats.spark, [partial(scan, p) for p in parts]) for r in part] if pairs else []
+    discard(rows, ranked, wide)
+    return result
+
+
 def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> float | None:
     """Tau-b from tie counts and the number of discordant pairs, without forming pairs.
 

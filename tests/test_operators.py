@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -153,6 +154,20 @@ def test_duplicate_positions_of_a_hot_group(spark):
     assert repeated == list(want[want.duplicated()]["v"].head(50))
 
 
+@pytest.mark.parametrize("per_bucket", [7, 10_000])
+def test_spearman_of_all_pairs_with_gaps(spark, per_bucket):
+    draw = random.Random(4)
+    rows = []
+    for i in range(200):
+        a = float(draw.randrange(15))
+        rows.append((a, a + draw.gauss(0, 3) if i % 5 else None, float(draw.randrange(4)) if i % 3 else None, 7.0, -a if i % 7 else None))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    want = pd.DataFrame(rows, columns=list("abcde")).corr(method="spearman")
+    got = correlate.spearman_pairs(TableStats(df), per_bucket)
+    for (x, y), r in zip(combinations("abcde", 2), got):
+        assert (r is None and "d" in (x, y)) or r == pytest.approx(want.loc[x, y], abs=1e-12)
+
+
 def brute_tau(x, y):
     con = dis = tx = ty = 0
     for i in range(len(x)):
