@@ -67,8 +67,7 @@ def viz_histograms(spark, folder):
     SELECT '{{c}}' AS column_name, {r("min({c})")} AS "min", {r("quantile_cont({c}, 0.25)")} AS q1, {r("quantile_cont({c}, 0.5)")} AS median,
            {r("quantile_cont({c}, 0.75)")} AS q3, {r("max({c})")} AS "max" FROM dirty_lineitem"""))
 def viz_boxplots(spark, folder):
-    df = read(spark, folder, "dirty_lineitem").select(*LINEITEM_NUMERIC[:5])
-    return rounded(charts.boxplots(TableStats(df)))
+    return rounded(charts.boxplots(TableStats(read(spark, folder, "dirty_lineitem"))))
 
 
 @query("viz_boxplot_outliers", """
@@ -94,12 +93,12 @@ def viz_heatmap(spark, folder):
 
 
 
-@query("viz_scatter", given(G) + " UNION ALL ".join(f"""
+@query("viz_scatter", given("sparse_events") + " UNION ALL ".join(f"""
     SELECT * FROM (SELECT '{a}' AS x_column, '{b}' AS y_column, row_number() OVER (ORDER BY ts, event_id) AS place, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y
-    FROM ({f"SELECT ts, event_id, event_id * 2 AS double_id, value FROM {G}"}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL) WHERE place <= 500"""
+    FROM ({f"SELECT ts, event_id, event_id * 2 AS double_id, value FROM sparse_events"}) WHERE {a} IS NOT NULL AND {b} IS NOT NULL) WHERE place <= 500"""
     for a, b in combinations(["event_id", "double_id", "value"], 2)))
 def viz_scatter(spark, folder):
-    df = read(spark, folder, G).selectExpr("ts", "event_id", "event_id * 2 AS double_id", "value")
+    df = read(spark, folder, "sparse_events").selectExpr("ts", "event_id", "event_id * 2 AS double_id", "value")
     return charts.scatter(TableStats(df), ["ts", "event_id"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colsift.operators import clean, correlate, insights, outliers, patterns, profile, reports, scores
 from colsift.plans.stats import TableStats
-from querybook.base import DIRTY, DIRTY_NUMERIC, DIRTY_TEXT, ORDERS, each, given, query, r, read, rounded
+from querybook.base import DIRTY, DIRTY_NUMERIC, DIRTY_TEXT, ORDERS, each, LINEITEM, given, query, r, read, rounded
 from querybook.correlation import PAIRS, gap_pairs
 from querybook.patterns import categorical_sql, numeric_sql
 from querybook.profiles import MEASURES_A, NUMERIC_A, long_sql
@@ -264,7 +264,7 @@ def ml_next_steps(spark, folder):
     return _ready(spark, folder, scores.ml_next_steps)
 
 
-CANDIDATES = [("l_quantity", 0), ("l_extendedprice", 0), ("l_returnflag", 1), ("l_linestatus", 1), ("l_linenumber", 0)]
+CANDIDATES = [(c, int(c in ("l_returnflag", "l_linestatus"))) for c in LINEITEM]
 
 
 @query("target_candidates", " UNION ALL ".join(f"""
@@ -275,8 +275,7 @@ CANDIDATES = [("l_quantity", 0), ("l_extendedprice", 0), ("l_returnflag", 1), ("
                  count(DISTINCT {c}) AS u, list_sort(list(DISTINCT CAST({c} AS VARCHAR))) AS vals FROM lineitem)
     WHERE named OR u = 2 OR ({text} = 1 AND u <= 10)""" for c, text in CANDIDATES))
 def target_candidates(spark, folder):
-    df = read(spark, folder, "lineitem").select(*[c for c, _ in CANDIDATES])
-    return scores.target_candidates(TableStats(df)).drop("position")
+    return scores.target_candidates(TableStats(read(spark, folder, "lineitem"))).drop("position")
 
 
 TARGETS = {"labels": "quality", "lineitem": "l_linestatus", "orders": "o_orderpriority"}
