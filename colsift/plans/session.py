@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _local_scratch: dict[str, str] = {}
+_watching: list[list[str]] = []  # each collects the paths handed out while it is here
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/colsift/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/colsift/{label}-{uuid.uuid4().hex}"
+    for made in _watching:
+        made.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
@@ -41,13 +45,36 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _written_folders(df: DataFrame) -> set[str]:
+    """Folders below ours that the table is read from."""
+    ours = f"{shared_folder(df.sparkSession)}/colsift/".split(":")[-1]
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles() if ours in f}
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables that `cut_lineage` wrote, once nothing reads them any more."""
     for df in frames:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            if f"{shared_folder(df.sparkSession)}/colsift/".split(":")[-1] in f"{file}/":
-                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        for folder in _written_folders(df):
+            _remove(df.sparkSession, folder)
+
+
+def materialized(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that `make` gives, written, and every other intermediate that was written meanwhile removed."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        result = cut_lineage(make(), label)
+    finally:
+        _watching.remove(made)
+    for path in made:
+        if not any(f.endswith(path.split(":")[-1].lstrip("/")) for f in _written_folders(result)):
+            _remove(spark, path)
+    return result
 
 
 def together(spark: SparkSession, calls: list[Callable[[], object]], at_once: int = 4) -> list:

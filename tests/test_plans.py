@@ -200,3 +200,15 @@ def test_exact_counts_on_wide_tables(spark):
     df = spark.range(50).select(*[(F.col("id") * i).alias(f"c.{i}") for i in range(90)])
     stats = TableStats(df).need("moments", "shape", "whole").need_outliers()
     assert stats.n_rows == 50 and stats.fact("c.2", "max") == 98.0 and stats.fact("c.89", "n_whole") == 50
+
+
+def test_materialized_leaves_one_table(spark):
+    from pathlib import Path
+
+    from colsift.plans.session import cut_lineage, discard, materialized
+    here = Path(shared_folder(spark).removeprefix("file://")) / "colsift"
+    before = set(here.glob("*")) if here.exists() else set()
+    kept = materialized(spark, lambda: cut_lineage(cut_lineage(spark.range(10), "a").filter("id > 3"), "b").filter("id > 5"), "c")
+    assert kept.count() == 4 and len(set(here.glob("*")) - before) == 1
+    discard(kept)
+    assert set(here.glob("*")) == before
