@@ -44,7 +44,7 @@ class Settings:
     word_rows: int = 8192
     history_rows: int = 8192
     rounds: int = 2
-    rate: float = 0.07
+    rate: float = 0.3
     batch: int = 2048
     chunk_rows: int = 64
     block_bytes: int = 8 << 20
@@ -143,37 +143,41 @@ def histories(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, hashes
     return c, [(rows.astype(np.int64) + start).astype(np.uint16) for rows, start in zip((w1, w2, pair, triple), starts)]
 
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, a line per token: the prior's logarithms plus the rows' weights."""
+def chances(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """The softmax over the classes, a line per token: of the prior's logarithms plus the rows' weights."""
     z = weights[rows[0]] + prior
     for r in rows[1:]:
         z += weights[r]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 class Learner:
-    """Adagrad on the class weights, from given weights."""
+    """Adagrad on the class weights, from given weights; each feature row has one sum of squared slopes."""
 
     def __init__(self, weights: np.ndarray, prior: np.ndarray, settings: Settings):
         self.start, self.weights, self.prior, self.settings = weights, weights.copy(), prior, settings
-        self.squares = np.full(weights.shape, 1e-2, np.float32)
+        self.squares = np.full(len(weights), 1e-2, np.float32)
         self.seen = np.zeros(len(weights), np.float32)
 
     def learn(self, c: np.ndarray, rows: list[np.ndarray]) -> None:
         for at in range(0, len(c), self.settings.batch):
             target = c[at:at + self.settings.batch]
             some = [r[at:at + self.settings.batch] for r in rows]
-            slope = np.exp(log_softmax(self.weights, some, self.prior))
+            slope = chances(self.weights, some, self.prior)
             slope[np.arange(len(target)), target] -= 1
             for r in some:
                 order = np.argsort(r, kind="stable")
                 line = r[order]
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 own = line[first]
-                total = np.add.reduceat(slope[order], first, axis=0)
-                self.squares[own] += total * total
-                self.weights[own] -= self.settings.rate * total / np.sqrt(self.squares[own])
+                step = np.add.reduceat(slope[order], first, axis=0)
+                squares = self.squares[own] + np.einsum("ij,ij->i", step, step)
+                self.squares[own] = squares
+                step *= (self.settings.rate / np.sqrt(squares))[:, None]
+                self.weights[own] -= step
                 self.seen[own] += np.diff(np.r_[first, len(line)])
 
 
@@ -363,8 +367,8 @@ def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, fi
                 gained = word[tokens]
                 for at in range(0, len(c), settings.batch):
                     some = slice(at, at + settings.batch)
-                    line = log_softmax(weights, [r[some] for r in rows], prior)
-                    gained[some] += line[np.arange(len(line)), c[some]] / np.log(10)
+                    line = chances(weights, [r[some] for r in rows], prior)
+                    gained[some] += np.log10(np.maximum(line[np.arange(len(line)), c[some]], 1e-30))
                 first = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((
                     value["doc_ids"], value["held"], sizes, np.add.reduceat(known[tokens].astype(np.int64), first),

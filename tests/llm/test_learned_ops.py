@@ -142,8 +142,8 @@ def test_probabilities_sum_to_one():
     tokens, sizes = pick.integers(0, 50, 200).astype(np.uint32), np.array([60, 1, 139])
     classes, hashes = pick.integers(0, 8, 50).astype(np.uint8), pick.integers(0, 2**32, 50).astype(np.uint32)
     _, rows = maxent.histories(tokens, sizes, classes, hashes, settings)
-    line = maxent.log_softmax(weights, rows, np.zeros(8, np.float32))
-    assert np.allclose(np.exp(line).sum(axis=1), 1, atol=1e-5)
+    line = maxent.chances(weights, rows, np.zeros(8, np.float32))
+    assert (line > 0).all() and np.allclose(line.sum(axis=1), 1, atol=1e-5)
     # a text's first token knows nothing of the text before it
     assert all(r[60] == r[61] == r[0] for r in rows)
 
@@ -155,8 +155,19 @@ def test_training_learns_an_order():
     learner = maxent.Learner(np.zeros((sum(settings.sizes), 6), np.float32), np.zeros(6, np.float32), settings)
     c, rows = maxent.histories(tokens, np.array([len(tokens)]), classes, hashes, settings)
     learner.learn(c, rows)
-    line = maxent.log_softmax(learner.weights, rows, learner.prior)
-    assert np.exp(line[np.arange(len(c)), c][100:]).mean() > 0.8
+    line = maxent.chances(learner.weights, rows, learner.prior)
+    assert line[np.arange(len(c)), c][100:].mean() > 0.8
+
+
+def test_keys_beside_the_same_neighbours_share_a_class():
+    settings = maxent.Settings(classes=4, keys=6, dimensions=3)
+    # keys 0, 1, 2 stand among themselves, and so do 3, 4 and 5; key 6 is the end's
+    counts = np.zeros((7, 7))
+    counts[:3, :3] = counts[3:6, 3:6] = 100
+    counts[6, :6] = counts[:6, 6] = 3
+    classes = maxent.key_classes(counts, settings)
+    assert classes[6] == 0 and min(classes[:6]) >= 1
+    assert not set(classes[:3]) & set(classes[3:6])
 
 
 def test_language_model_of_edge_rows(edge_docs, empty_docs):
