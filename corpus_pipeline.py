@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colsift.llm import decontaminate, language, packing, simhash, toxicity
-from colsift.plans.session import cut_lineage
+from colsift.plans.session import discard, materialized
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,8 +49,12 @@ ORACLE_SQL = None  # fingerprints, learned scores and packing have no SQL; tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents, each stage's rows written before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents, each stage's rows written before the next reads them; what a stage wrote on its way, and
+    the rows of the stage before, are removed once its own rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        docs = materialized(spark, lambda: stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
