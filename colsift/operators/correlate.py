@@ -75,37 +75,33 @@ def spearman_pairs(stats: TableStats, rows_per_bucket: int = ordering.ROWS_PER_B
     """Spearman's r of every pair of numeric columns in column order, from shared jobs.
 
     A column's ranks depend on its partner only through the partner's gaps. So each column has one ranking over all its rows,
-    and one for each column with gaps over the rows where that is present; all rankings are made in one running total over
-    (column, ranking, value), joined to the rows once, and every pair is read off the same table of ranks.
+    and one for each column with gaps over the rows where that is present; all rankings are made by running totals over
+    (column, value), joined to the rows once, and every pair is read off the same table of ranks.
     """
     columns = stats.roles.numeric
     stats.need("nulls")
     gaps = [c for c in columns if stats.fact(c, "n_null")]
     variant = lambda column, partner: 1 + gaps.index(partner) if partner in gaps else 0
     x = [stats.numeric(c) for c in columns]
-    mask = F.array(F.lit(True), *[stats.numeric(c).isNotNull() for c in gaps])
-    cell = lambda i: F.struct(F.lit(i).alias("c"), x[i].alias("x"))
-    rows = cut_lineage(stats.df.select(mask.alias("mask"), F.array(*map(cell, range(len(columns)))).alias("cells")).withColumn(
+    # one bit per ranking that a row takes part in; the first is that of all rows
+    mask = sum((F.when(stats.numeric(c).isNotNull(), 2 << i).otherwise(0) for i, c in enumerate(gaps)), F.lit(1)).cast("bigint")
+    rows = cut_lineage(stats.df.select(mask.alias("mask"), *[v.alias(f"x{i}") for i, v in enumerate(x)]).withColumn(
         "id", F.monotonically_increasing_id()), "cells")
-    long = rows.select("id", "mask", F.explode("cells").alias("t")).select("id", "mask", "t.*").filter("x is not null")
-    masked = long.groupBy("c", "x", "mask").agg(F.count("*").alias("n"))
-    ranked = masked.select("c", "x", "n", F.posexplode("mask").alias("v", "there")).filter("there").groupBy("c", "v", "x").agg(
-        F.sum("n").alias("ties"))
-    ranked = cut_lineage(ranked.withColumn("key", F.array(F.col("c").cast("double"), F.col("v").cast("double"), "x")), "ties")
-    sizes = {(r["c"], r["v"]): r["n"] for r in ranked.groupBy("c", "v").agg(F.sum("ties").alias("n")).collect()}
-    below = ordering.running_total(ranked, "key", "ties", ranked.count(), "below", rows_per_bucket)
-    start, starts = 0, []
-    for c, v in sorted(sizes):
-        starts.append({"c": c, "v": v, "start": start})
-        start += sizes[c, v]
-    offsets = F.broadcast(stats.rows(starts, "c int, v int, start bigint"))
-    ranks = below.join(offsets, ["c", "v"]).select("c", "x", "v", (F.col("below") - F.col("start") + (F.col("ties") + 1) / 2).alias("rank"))
-    ranks = ranks.groupBy("c", "x").agg(F.map_from_entries(F.collect_list(F.struct("v", "rank"))).alias("ranks"))
-    # rank maps of a row's columns, centred where they are read
-    wide = long.select("id", "c", "x").join(ranks, ["c", "x"]).groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("c", "ranks"))).alias("of"))
+    stacked = ", ".join(f"{i}, x{i}" for i in range(len(columns)))
+    long = rows.selectExpr("id", "mask", f"stack({len(columns)}, {stacked}) as (c, x)").filter("x is not null")
+    rankings = range(len(gaps) + 1)
+    counted = lambda v: F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << v)) != 0, 1).otherwise(0))
+    values = cut_lineage(long.groupBy("c", "x").agg(*[counted(v).alias(f"n{v}") for v in rankings]), "values")
+    totals = values.groupBy("c").agg(*[F.sum(f"n{v}").alias(f"n{v}") for v in rankings], F.count("*").alias("rows")).collect()
+    sizes = {(r["c"], v): r[f"n{v}"] for r in totals for v in rankings}
+    below = ordering.running_totals(values, "x", {f"n{v}": f"below{v}" for v in rankings}, sum(r["rows"] for r in totals),
+                                    rows_per_bucket, group="c")
+    rank = lambda v: F.when(F.col(f"n{v}") > 0, F.col(f"below{v}") + (F.col(f"n{v}") + 1) / 2)
+    ranks = below.select("c", "x", *[rank(v).alias(f"v{v}") for v in rankings])
     needed = sorted({(i, variant(a, b)) for i, a in enumerate(columns) for b in columns if a != b})
-    wide = cut_lineage(wide.select(*[F.col("of")[i][v].alias(f"r{i}_{v}") for i, v in needed]), "ranks")
+    wide = long.select("id", "c", "x").join(ranks, ["c", "x"]).groupBy("id").agg(
+        *[F.max(F.when(F.col("c") == i, F.col(f"v{v}"))).alias(f"r{i}_{v}") for i, v in needed])
+    wide = cut_lineage(wide.drop("id"), "ranks")
     pairs = list(combinations(range(len(columns)), 2))
 
     def scan(some: list[tuple[int, int]]) -> list[float | None]:
@@ -125,7 +121,7 @@ def spearman_pairs(stats: TableStats, rows_per_bucket: int = ordering.ROWS_PER_B
 
     parts = [pairs[i:i + PAIRS_PER_SCAN] for i in range(0, len(pairs), PAIRS_PER_SCAN)]
     result = [r for part in together(stats.spark, [partial(scan, p) for p in parts]) for r in part] if pairs else []
-    discard(rows, ranked, wide)
+    discard(rows, values, wide)
     return result
 
 

@@ -102,19 +102,30 @@ def fill_along(df: DataFrame, column: str, order_by: list[str], backward: bool =
     return result.select(*[F.col("_filled").alias(c) if c == column else ref(c) for c in df.columns])
 
 
+def running_totals(df: DataFrame, key: str, results: dict[str, str], rows: int, rows_per_bucket: int = ROWS_PER_BUCKET,
+                   group: str | None = None) -> DataFrame:
+    """For each amount column the sum over all smaller keys, under its name in `results`; within each `group`, if one is named.
+    The keys must be distinct, in their group; `rows` is how many there are."""
+    keys = [key] if group is None else [group, key]
+    points = split_points(df, keys, rows, rows_per_bucket)
+    marked = df.withColumn("_bucket", bucket_of(df, keys, points))
+    groups = [] if group is None else [group]
+    before = Window.partitionBy(*groups, "_bucket").orderBy(ref(key)).rowsBetween(Window.unboundedPreceding, -1)
+    summed = marked.withColumns({name: F.coalesce(F.sum(amount).over(before), F.lit(0)) for amount, name in results.items()})
+    if points:
+        totals = marked.groupBy(*groups, "_bucket").agg(*[F.sum(amount).alias(f"_total_{name}") for amount, name in results.items()])
+        across = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        base = totals.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_total_{name}").over(across), F.lit(0)).alias(f"_base_{name}")
+                                                   for name in results.values()])
+        summed = summed.join(F.broadcast(base), [*groups, "_bucket"]).withColumns(
+            {name: F.col(name) + F.col(f"_base_{name}") for name in results.values()})
+    return summed.select(*[ref(c) for c in df.columns], *results.values())
+
+
 def running_total(df: DataFrame, key: str, amount: str, rows: int, result: str,
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Sum of `amount` over all smaller keys. The keys must be distinct; `rows` is how many there are."""
-    points = split_points(df, [key], rows, rows_per_bucket)
-    marked = df.withColumn("_bucket", bucket_of(df, [key], points))
-    before = Window.partitionBy("_bucket").orderBy(ref(key)).rowsBetween(Window.unboundedPreceding, -1)
-    summed = marked.withColumn(result, F.coalesce(F.sum(amount).over(before), F.lit(0)))
-    if points:
-        totals = marked.groupBy("_bucket").agg(F.sum(amount).alias("_total"))
-        across = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        base = totals.select("_bucket", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_base"))
-        summed = summed.join(F.broadcast(base), "_bucket").withColumn(result, F.col(result) + F.col("_base"))
-    return summed.select(*[ref(c) for c in df.columns], result)
+    return running_totals(df, key, {amount: result}, rows, rows_per_bucket)
 
 
 def dense_codes(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
