@@ -31,7 +31,9 @@ REACH = 3
 MASKS = 4
 MASK_BITS = 16
 FAN = 8
+# a pattern's fingerprints are split beyond this many, or beyond eight times what an even spread would give, up to the maximum
 GROUP_ROWS = 1024
+MAX_GROUP_ROWS = 1_000_000
 BATCH_ROWS = 100_000
 PAIRS_AT_ONCE = 8192
 
@@ -200,8 +202,14 @@ def _links_of_partition(batches):
         yield from flush(pa.Table.from_batches(held).combine_chunks())
 
 
-def near_links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (u, v), u > v, that connect all distinct fingerprints (fp) within the reach, directly or through others."""
+def near_links(fps: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """Links (u, v), u > v, that connect all distinct fingerprints (fp) within the reach, directly or through others.
+
+    Splitting n fingerprints of a pattern sends each to 2 n / group_rows groups, so the bound grows with the table: only
+    patterns that stand out are split.
+    """
+    if group_rows is None:
+        group_rows = max(GROUP_ROWS, min(MAX_GROUP_ROWS, 8 * fps.count() >> MASK_BITS))
     def pattern(part: int) -> Column:
         turned = F.shiftrightunsigned(F.shiftleft("fp", MASK_BITS * part), 64 - MASK_BITS)
         return F.struct(F.lit(part).alias("part"), turned.cast("int").alias("pattern"))
