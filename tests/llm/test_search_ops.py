@@ -161,6 +161,23 @@ def test_wording_differences():
     assert [(r["license_id"], r["first_line"]) for r in two] == [("MIT notice", 0), ("CC-BY-NC-4.0 notice", 2)]
 
 
+def wrapped(text, width=7):
+    parts = text.split()
+    return "\n".join(" ".join(parts[i:i + width]) for i in range(0, len(parts), width))
+
+
+def test_third_party_notices_keep_all_their_licenses():
+    """More licenses in one window than were once compared, wrapped over lines, near twins among them."""
+    def found(*names):
+        text = "\n\n".join(f"Part {i}\n{wrapped(licenses.TEMPLATES[n][1])}" for i, n in enumerate(names))
+        return {r["license_id"] for r in licenses.scan_text(text, licenses.Settings())}
+
+    for names in (("MPL-2.0", "GPL-2.0-or-later", "Unlicense", "Apache-2.0", "ISC", "BSD-2-Clause"),
+                  ("GPL-2.0-or-later", "GPL-3.0-or-later"), ("BSD-2-Clause", "BSD-3-Clause"),
+                  ("GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0", "Unlicense", "BSD-3-Clause", "MIT")):
+        assert found(*names) == set(names)
+
+
 def test_licenses_of_the_table(documents, texts):
     line = re.compile(r"^(Licensed under CC BY-NC 4.0|This work is licensed under the GNU General Public License, version 3|"
                       r"Licensed under the Apache License, Version 2.0|Released under the MIT License)\.$", re.M)
