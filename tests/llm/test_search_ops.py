@@ -178,6 +178,36 @@ def test_third_party_notices_keep_all_their_licenses():
         assert found(*names) == set(names)
 
 
+GNU_HEADER = ("This {} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published "
+              "by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n\nThis {} is "
+              "distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY.")
+
+
+def test_gnu_headers_get_their_own_license():
+    found = lambda text: [r["license_id"] for r in licenses.scan_text(text, licenses.Settings())]
+    header = lambda thing, kind, version: GNU_HEADER.format(thing, kind, version, thing)
+    for thing in ("program", "library"):
+        assert found(header(thing, "Affero ", "3")) == ["AGPL-3.0-or-later"]
+        assert found(header(thing, "Lesser ", "3")) == ["LGPL-3.0-or-later"]
+        assert found(header(thing, "Lesser ", "2.1")) == ["LGPL-2.1-or-later"]
+        assert found(header(thing, "", "3")) == ["GPL-3.0-or-later"] and found(header(thing, "", "2")) == ["GPL-2.0-or-later"]
+    assert found(header("library", "Library ", "2")) == ["LGPL-2.0-or-later"]
+    # an unknown kind is no GPL, and does not hide the GPL behind it
+    assert found(header("program", "Lesser ", "9")) == [None]
+    both = header("program", "Lesser ", "9").replace("version 9", "version 3 (or 9)").replace("Lesser", "Library") + "\n\n" + header("program", "", "3")
+    assert found(both) == ["GPL-3.0-or-later"]
+    assert found("Licensed under CC BY NC 4.0.") == [None]
+
+
+def test_full_license_texts_are_found():
+    for name, (_, text) in licenses.full_texts().items():
+        found = [r["license_id"] for r in licenses.scan_text(f"Some words.\n\n{text if chr(10) in text else wrapped(text)}\nMore words.", licenses.Settings())]
+        assert found == [name]
+    # the full text of the Affero GPL differs from that of the GPL by its name
+    affero = licenses.full_texts()["GPL-3.0"][1].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    assert "GPL-3.0" not in {r["license_id"] for r in licenses.scan_text(affero, licenses.Settings())}
+
+
 def test_licenses_of_the_table(documents, texts):
     line = re.compile(r"^(Licensed under CC BY-NC 4.0|This work is licensed under the GNU General Public License, version 3|"
                       r"Licensed under the Apache License, Version 2.0|Released under the MIT License)\.$", re.M)
