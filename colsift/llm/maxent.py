@@ -5,11 +5,17 @@ one of some keys; keys that stand beside the same other keys all over the traini
 analysis of the neighbour counts, then k-means). P(class | history) is a softmax over weights of hashed features: the previous word, the word before it (a skip
 feature), the classes of the last two words and of the last three. It is trained by distributed gradient updates: in each
 round every task runs Adagrad over mini-batches of its share of the corpus, and the tasks' steps are averaged row by row,
-weighted by how often each saw the row; every training document is used in exactly one round. P(word | class) is the word's
-share of the training tokens of its class, less an absolute discount that goes to the class's unknown words as one outcome.
+weighted by how often each saw the row; every training document is used in exactly one round. These tables are of fixed size.
+
+P(word | class, history) grows with the corpus: it is counted, not trained. Its n-gram feature is the previous word, its skip
+feature the word before that; each with a class is a context. The training tokens after every context are counted by hashed
+(context, word) in a distributed table. A context gives a word its share, less an absolute discount that goes to what the skip
+context gives it, and from there to the word's share of the training tokens of its class, less a discount that goes to the
+class's unknown words as one outcome.
 
 The corpus is encoded once, in blocks of some megabytes: token numbers and the block's distinct words. The words travel to
-buckets, where they are counted over all blocks, and their counts travel back; no vocabulary is broadcast or collected. To
+buckets, where they are counted over all blocks, and their counts travel back; so do the contexts with the words after them. No
+vocabulary is broadcast or collected. To
 the driver come the neighbour counts of the keys, the weights (both of fixed size), and a few numbers a class.
 
 Null texts are empty: their only token is the end. Texts are used whole. Repeated rows and ids are learned from and scored one
@@ -19,6 +25,7 @@ by one. A null id is held out. Without training documents every word is unknown.
 from __future__ import annotations
 
 import zlib
+from hashlib import blake2b
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +56,7 @@ class Settings:
     chunk_rows: int = 64
     block_bytes: int = 8 << 20
     bucket_words: int = 1_000_000
+    bucket_pairs: int = 2_000_000
 
     @property
     def sizes(self) -> tuple[int, ...]:
@@ -323,6 +331,108 @@ def count_buckets(dealt: DataFrame, classes: np.ndarray, settings: Settings) ->
     return dealt.groupBy("bucket").applyInArrow(run, "bucket int, block bigint, counts binary, figures array<bigint>")
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of numbers."""
+    x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+class Pairs:
+    """The distinct (context, word) pairs of a block, by bucket and context. `of` has the pairs of each token: of the previous
+    word and of the word before it."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, words: list[bytes], buckets: int):
+        marks = np.ones(len(words) + 1, np.uint64)  # the first is the end, which also stands before a text
+        marks[1:] = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        contexts, own, self.of, size = [], [], [], 0
+        for k in (1, 2):
+            before = np.zeros(len(tokens), np.uint64)
+            before[k:] = tokens[:-k] if len(tokens) > k else tokens[:0]
+            before[place < k] = 0
+            code, of = np.unique(before << np.uint64(32) | tokens.astype(np.uint64), return_inverse=True)
+            word = (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            contexts.append(mixed(marks[(code >> np.uint64(32)).astype(np.int64)], classes[word].astype(np.uint64) * np.uint64(2) + np.uint64(k - 1)) >> np.uint64(16))
+            own.append((marks[word] >> np.uint64(32)).astype(np.uint32))
+            self.of.append((of + size).astype(np.int32))
+            size += len(code)
+            del before, code, of, word
+        context, mark = np.concatenate(contexts), np.concatenate(own)
+        del contexts, own
+        order = np.argsort(context, kind="stable")
+        self.contexts, self.marks = context[order], mark[order]
+        del context, mark
+        back = np.empty(size, np.int32)
+        back[order] = np.arange(size, dtype=np.int32)
+        self.of = [back[of] for of in self.of]
+        self.first = np.flatnonzero(np.r_[True, self.contexts[1:] != self.contexts[:-1]][:size])  # where a context begins
+        self.runs = np.diff(np.r_[self.first, size]).astype(np.uint32)
+        # 48 bits of context, in ranges: close numbers, whose differences are small
+        self.bucket = (self.contexts[self.first] // np.uint64(-(-(1 << 48) // buckets))).astype(np.int64)
+
+
+def deal_pairs(blocks: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
+    """The pairs of each block, dealt to buckets by context: the contexts, how many pairs each has, the pairs' words as hashes
+    and their training counts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches):
+        for block, held, sizes, tokens, words, keys in block_rows(batches, "block", "held", "sizes", "tokens", "words", "keys"):
+            sizes, tokens = np.array(sizes, np.int64), unpacked(tokens, np.uint32)
+            pairs = Pairs(tokens, sizes, shared.value[unpacked(keys, np.uint16)], unpacked(words).split(), buckets)
+            used = ~np.repeat(np.array(held, bool), sizes)
+            counts = sum(np.bincount(of[used], minlength=len(pairs.marks)) for of in pairs.of).astype(np.uint32)
+            ends = np.searchsorted(pairs.bucket, np.arange(buckets + 1))
+            starts = np.r_[pairs.first, len(pairs.marks)]
+            some = [b for b in range(buckets) if ends[b + 1] > ends[b]]
+            run_of, pair_of = lambda b: slice(ends[b], ends[b + 1]), lambda b: slice(starts[ends[b]], starts[ends[b + 1]])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()),
+                *(pa.array([packed(x) for x in column], pa.binary()) for column in (
+                    [np.diff(pairs.contexts[pairs.first[run_of(b)]], prepend=np.uint64(0)) for b in some], [pairs.runs[run_of(b)] for b in some],
+                    [pairs.marks[pair_of(b)] for b in some], [counts[pair_of(b)] for b in some]))],
+                ["bucket", "block", "contexts", "runs", "marks", "counts"])
+
+    return blocks.select("block", "held", "sizes", "tokens", "words", "keys").mapInArrow(
+        run, "bucket int, block bigint, contexts binary, runs binary, marks binary, counts binary")
+
+
+def count_pairs(dealt: DataFrame) -> DataFrame:
+    """(bucket, block, counts, totals, kinds): over all blocks the training tokens of each pair and context and the distinct
+    words of each context; and a row with block NULL per bucket with the number of pairs met once and twice."""
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda name, kind: [unpacked(x, kind) for x in table.column(name).to_pylist()]
+        contexts, runs, marks = [np.cumsum(c, dtype=np.uint64) for c in column("contexts", np.uint64)], column("runs", np.uint32), column("marks", np.uint32)
+        own, context_of = np.unique(np.concatenate(contexts), return_inverse=True)
+        of_run = np.repeat(context_of, np.concatenate(runs))
+        pair = mixed(own[of_run], np.concatenate(marks).astype(np.uint64))
+        _, first, of = np.unique(pair, return_index=True, return_inverse=True)
+        n = np.bincount(of, weights=np.concatenate(column("counts", np.uint32)))
+        totals = np.bincount(of_run[first], weights=n, minlength=len(own)).astype(np.uint64)
+        kinds = np.bincount(of_run[first], weights=n > 0, minlength=len(own)).astype(np.uint64)
+        once, twice = int((n == 1).sum()), int((n == 2).sum())
+        back = n[of].astype(np.uint64)
+        cut = lambda values, sizes: [packed(x) for x in np.split(values, np.cumsum(sizes)[:-1])]
+        by_run = [len(c) for c in contexts]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket] * (len(runs) + 1), pa.int32()),
+                         "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()),
+                         "counts": pa.array([*cut(back, [len(m) for m in marks]), None], pa.binary()),
+                         "totals": pa.array([*cut(totals[context_of], by_run), None], pa.binary()),
+                         "kinds": pa.array([*cut(kinds[context_of], by_run), None], pa.binary()),
+                         "figures": pa.array([*[None] * len(runs), [once, twice]], pa.list_(pa.int64()))})
+
+    return dealt.groupBy("bucket").applyInArrow(
+        run, "bucket int, block bigint, counts binary, totals binary, kinds binary, figures array<bigint>")
+
+
+def with_context(chance: np.ndarray, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, discount: float) -> np.ndarray:
+    """P(word | class, context): the word's share of the context's tokens, less a discount that goes to `chance`."""
+    known = totals > 0
+    return np.where(known, (np.maximum(counts - discount, 0) + discount * kinds * chance) / np.where(known, totals, 1), chance)
+
+
 SCORED = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -332,8 +442,9 @@ def class_prior(figures: np.ndarray) -> np.ndarray:
     return np.log(tokens / tokens.sum()).astype(np.float32)
 
 
-def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, figures: np.ndarray, settings: Settings) -> DataFrame:
-    """A row per document from the blocks with their returned counts."""
+def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, figures: np.ndarray, pair_discount: float,
+                 settings: Settings) -> DataFrame:
+    """A row per document from the blocks with their returned counts of words and pairs."""
     id_field = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     out = StructType.fromDDL(f"doc_id {id_field}, held_out boolean, {SCORED}")
     schema = to_arrow_schema(out)
@@ -364,7 +475,19 @@ def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, fi
                 word = np.where(known, np.log10(np.maximum(counts - discount[of], 1e-9) / np.maximum(total[of], 1)), lost[of])
                 base = np.log10((counts + 0.1) / (all_tokens + 0.1 * (distinct + 1)))
                 c, rows = histories(tokens, sizes, classes, hashes, settings)
-                gained = word[tokens]
+                pairs = Pairs(tokens, sizes, classes, unpacked(value["words"]).split(), value["pair_buckets"])
+                back = sorted(value["returned_pairs"], key=lambda r: r["bucket"])
+                n, all_n, kinds = (np.concatenate([unpacked(r[k], np.uint64) for r in back]) for k in ("counts", "totals", "kinds"))
+                run_of = np.repeat(np.arange(len(pairs.runs), dtype=np.int32), pairs.runs)
+                gained = np.empty(len(tokens))
+                for at in range(0, len(tokens), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    chance = 10 ** word[tokens[some]]
+                    for of in reversed(pairs.of):
+                        own = run_of[of[some]]
+                        chance = with_context(chance, n[of[some]].astype(float), all_n[own], kinds[own], pair_discount)
+                    gained[some] = np.log10(np.maximum(chance, 1e-300))
+                del pairs, back, n, all_n, kinds, run_of, value["returned_pairs"], value["words"]
                 for at in range(0, len(c), settings.batch):
                     some = slice(at, at + settings.batch)
                     line = chances(weights, [r[some] for r in rows], prior)
@@ -383,8 +506,9 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
     model) of every row. Learns from fold-10 remainders other than 0."""
     rows = narrow(docs, id_column, text_column, held_out=is_fold(id_column, 10, 0))
     blocks = cut_lineage(encode(rows, settings).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    entries, ends = blocks.agg(F.sum("n_words"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
-    entries, ends = entries or 0, ends or 0
+    entries, ends, tokens = blocks.agg(F.sum("n_words"), F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum(
+        F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()
+    entries, ends, tokens = entries or 0, ends or 0, tokens or 0
     buckets = max(8, -(-entries // settings.bucket_words))
     classes = key_classes(neighbour_counts(blocks, settings), settings)
     returned = cut_lineage(count_buckets(deal(blocks, buckets), classes, settings), "counts")
@@ -393,9 +517,15 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
             F.sum("n")).collect():
         figures[place // FIGURES, place % FIGURES] = n
     figures[0] = (ends, ends > 0, ends == 1, ends == 2)  # the end is no word of a bucket
+    pair_buckets = max(8, -(-2 * tokens // settings.bucket_pairs))
+    pairs = cut_lineage(count_pairs(deal_pairs(blocks, classes, pair_buckets)), "pairs")
+    once, twice = pairs.filter(F.col("block").isNull()).agg(F.sum(F.col("figures")[0]), F.sum(F.col("figures")[1])).first()
+    pair_discount = ((once or 0) + 0.5) / ((once or 0) + 2 * (twice or 0) + 1)
     weights = train(blocks, classes, class_prior(figures), settings)
+    back_pairs = pairs.filter(F.col("block").isNotNull()).groupBy("block").agg(
+        F.collect_list(F.struct("bucket", "counts", "totals", "kinds")).alias("returned_pairs"))
     back = returned.filter(F.col("block").isNotNull()).groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts")).alias("returned"))
-    joined = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "keys", "hashes").join(back, "block", "left").withColumn(
-        "buckets", F.lit(buckets))
-    return score_blocks(joined, classes, weights, figures, settings)
+    joined = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "keys", "hashes", "words").join(back, "block", "left").join(
+        back_pairs, "block", "left").withColumns({"buckets": F.lit(buckets), "pair_buckets": F.lit(pair_buckets)})
+    return score_blocks(joined, classes, weights, figures, pair_discount, settings)

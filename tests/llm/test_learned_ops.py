@@ -159,6 +159,65 @@ def test_training_learns_an_order():
     assert line[np.arange(len(c)), c][100:].mean() > 0.8
 
 
+def test_words_of_one_class_depend_on_the_history(spark):
+    """Words of one shape, hence one class, met equally often, each after a word of its own and after another one before that."""
+    learned = [i for i in range(400) if not held(i, 10, 0)]
+    tested = [i for i in range(400, 600) if held(i, 10, 0)][:5]
+    rows = [(i, "red one balling" if i % 2 else "blue two calling") for i in learned]
+    rows += list(zip(tested, ("red one balling", "red one calling", "blue six calling", "blue six balling", "new new balling")))
+    found = {r["doc_id"]: r["score"] for r in maxent.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near, far, skip, not_skip, _ = (found[i] for i in tested)
+    assert near > far + 1 and skip > not_skip + 1
+
+
+def test_word_chances_of_a_history_sum_to_one():
+    pick = np.random.default_rng(5)
+    start = pick.dirichlet(np.ones(12))  # the last is the unknown word
+    counts = [np.r_[pick.integers(0, 4, 11), 0].astype(float) for _ in range(2)]
+    for n in counts:
+        start = maxent.with_context(start, n, np.full(12, n.sum()), np.full(12, (n > 0).sum()), 0.7)
+        assert abs(start.sum() - 1) < 1e-12 and (start > 0).all()
+    same = maxent.with_context(start, np.zeros(12), np.zeros(12), np.zeros(12), 0.7)
+    assert (same == start).all()
+
+
+def test_context_counts_are_those_of_brute_force(spark):
+    """Over many blocks and buckets."""
+    pick = np.random.default_rng(6)
+    texts = [" ".join(f"w{n}" for n in pick.zipf(1.5, 30) % 50) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    settings = maxent.Settings(block_bytes=500)
+    blocks = maxent.encode(docs, settings).withColumn("block", F.monotonically_increasing_id()).cache()
+    classes = (np.arange(settings.keys + 1) % 7).astype(np.uint8)
+    got = {(r["block"], r["bucket"]): r for r in maxent.count_pairs(maxent.deal_pairs(blocks, classes, 5)).filter("block is not null").collect()}
+    class_of = lambda w: classes[maxent.shape_key(w.encode(), settings.keys) if w else settings.keys]
+    want = Counter()
+    for i, text in enumerate(texts):
+        if i % 5:
+            line = ["", "", *text.split(), ""]
+            want.update((k, line[j - k], w) for j, w in enumerate(line) if j > 1 for k in (1, 2))
+    totals, kinds = Counter(), Counter()
+    for (k, before, w), n in want.items():
+        totals[k, before, class_of(w)] += n
+        kinds[k, before, class_of(w)] += 1
+    for b in blocks.collect():
+        own = maxent.unpacked(b["words"]).split()
+        tokens, sizes = maxent.unpacked(b["tokens"], np.uint32), np.array(b["sizes"])
+        pairs = maxent.Pairs(tokens, sizes, classes[maxent.unpacked(b["keys"], np.uint16)], own, 5)
+        back = [got[b["block"], k] for k in range(5) if (b["block"], k) in got]
+        n, t, d = (np.concatenate([maxent.unpacked(r[name], np.uint64) for r in back]) for name in ("counts", "totals", "kinds"))
+        t, d = np.repeat(t, pairs.runs), np.repeat(d, pairs.runs)
+        at = 0
+        for i in b["doc_ids"]:
+            line = ["", "", *texts[i].split(), ""]
+            for j, w in enumerate(line[2:], 2):
+                for k in (1, 2):
+                    p = pairs.of[k - 1][at]
+                    key = k, line[j - k], class_of(w)
+                    assert (n[p], t[p], d[p]) == (want[k, line[j - k], w], totals[key], kinds[key])
+                at += 1
+
+
 def test_keys_beside_the_same_neighbours_share_a_class():
     settings = maxent.Settings(classes=4, keys=6, dimensions=3)
     # keys 0, 1, 2 stand among themselves, and so do 3, 4 and 5; key 6 is the end's
