@@ -63,8 +63,8 @@ def latest_earlier(responses: DataFrame, asked: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast(responses.schema["response"].dataType)
     timeline = responses.select("url", "date", "response", F.lit(False).alias("ask")).unionByName(
         asked.select("url", "date", nothing.alias("response"), F.lit(True).alias("ask")))
-    # answers come before responses of the same date, which are not earlier
-    timeline = cut_lineage(timeline.repartitionByRange("url", "date", "ask").withColumn("part", F.spark_partition_id()), "timeline")
+    # answers come before responses of the same date, which are not earlier; so both are to lie in one partition
+    timeline = cut_lineage(timeline.repartitionByRange("url", "date").withColumn("part", F.spark_partition_id()), "timeline")
     before = F.last("response", ignorenulls=True).over(
         Window.partitionBy("part", "url").orderBy("date", F.desc("ask")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = timeline.filter(~F.col("ask")).groupBy("part", "url").agg(F.max_by("response", "date").alias("_last"))

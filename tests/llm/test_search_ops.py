@@ -274,6 +274,20 @@ def test_revisits_of_one_hot_address(spark):
         spark.conf.set("spark.sql.shuffle.partitions", shuffle)
 
 
+def test_ties_of_one_hot_address(spark):
+    """A response and a revisit at every date of one address, with bounds of the ranges among them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        dates = spark.range(60).select(F.lit("h.example/").alias("url"), F.timestamp_seconds("id").alias("date"), F.col("id").alias("response"))
+        found = revisits.latest_earlier(dates, dates.drop("response")).select(F.unix_timestamp("date"), "response").collect()
+        assert {d: r for d, r in found} == {0: None, **{i: i - 1 for i in range(1, 60)}} and len(found) == 60
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+
+
 def test_pipeline(spark, texts):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
