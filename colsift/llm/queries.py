@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colsift.llm import (decontaminate, fertility, language, licenses, maxent, packing, revisits, simhash, token_counts,
-                         toxicity)
+from colsift.llm import (decontaminate, fertility, language, licenses, maxent, packing, resample, revisits, simhash,
+                         suffixes, token_counts, toxicity, tries)
+from colsift.plans.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +128,78 @@ def op8(spark, folder):
 @query("op3_lm_scores")
 def op3(spark, folder):
     return maxent.score_documents(table(spark, folder, "documents"))
+
+
+CRC_SQL = """CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]))) AS BIGINT)"""
+CRC_TABLE_SQL = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table"""
+
+OP11_SQL = f"""
+    WITH crc AS ({CRC_TABLE_SQL}),
+    worded AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+               FROM (SELECT 's' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+    found AS (SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded),
+    hexed AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM found)),
+    bucketed AS (SELECT f, {CRC_SQL.format(bytes="list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))")} % 10000 AS bucket FROM hexed, crc),
+    counted AS (SELECT bucket, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM found JOIN bucketed USING (f) GROUP BY 1),
+    gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counted),
+    weights AS (SELECT id, floor(sum(gain) / count(*)) AS weight FROM found JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE kind = 's' GROUP BY 1),
+    scored AS (SELECT id AS doc_id, len(w) AS n_words, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+               coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+               FROM worded LEFT JOIN weights USING (id) WHERE kind = 's'),
+    placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 25 // 100 AS drawn FROM scored WHERE n_words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+@query("op11_target_resampling", OP11_SQL)
+def op11(spark, folder):
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_suffix_dedup")
+def op13(spark, folder):
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["stop"] - s["start"])
+    return suffixes.without_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = f"""
+    WITH crc AS ({CRC_TABLE_SQL}),
+    turns AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+    opened AS (SELECT conv_id, s, {CRC_SQL.format(bytes="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))")} % 6 AS h FROM turns, crc),
+    built AS (SELECT a.conv_id, list_concat(coalesce(b.s, []::STRUCT(role VARCHAR, text VARCHAR)[])[1:h], a.s[h + 1:]) AS p
+              FROM opened a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 100),
+    members AS (SELECT conv_id, len(p) AS n, d, p[1:d] AS path FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM built)),
+    nodes AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+              CASE WHEN any_value(d) > 0 THEN any_value(path)[1:any_value(d) - 1] END AS up FROM members GROUP BY path),
+    children AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    weighted AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(n.path[depth].text) ELSE 0 END AS save
+                 FROM nodes n LEFT JOIN children USING (path)),
+    sums AS (SELECT path[1:e] AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(save) AS BIGINT) AS saved_tokens
+             FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM weighted) GROUP BY 1)
+    SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+    FROM weighted w JOIN sums USING (path) LEFT JOIN nodes u ON u.path = w.up"""
+
+
+def with_shared_openings(turns: DataFrame) -> DataFrame:
+    """Numbered turns (conv_id, k and more) of rebuilt conversations: the first h turns of the conversation whose number is rounded
+    down to a hundred, then the own turns after the first h; h is the CRC-32 of the number modulo 6."""
+    most = 5
+    convs = turns.select("conv_id").distinct().select(
+        "conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), (F.crc32(F.col("conv_id").cast("string")) % (most + 1)).alias("h"))
+    first = turns.filter(F.col("k") <= most).withColumnRenamed("conv_id", "base")
+    shared = convs.join(first, "base").filter("k <= h").drop("base", "h")
+    sizes = first.groupBy("base").agg(F.max("k").alias("there"))
+    moved = convs.join(sizes, "base", "left").withColumn("taken", F.least("h", F.coalesce("there", F.lit(0))))
+    own = turns.join(moved, "conv_id").filter("k > h").withColumn("k", F.col("k") - F.col("h") + F.col("taken"))
+    return shared.select(*turns.columns).unionByName(own.select(*turns.columns))
+
+
+@query("op12_conversation_trie", OP12_SQL)
+def op12(spark, folder):
+    turns = cut_lineage(tries.digested(tries.numbered(table(spark, folder, "conversations"))), "turns")
+    nodes = tries.trie(with_shared_openings(turns), turns.select("conv_id").distinct())
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
