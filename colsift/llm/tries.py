@@ -244,9 +244,10 @@ def _round(state: DataFrame, along: DataFrame) -> tuple[DataFrame, DataFrame]:
         "saved": F.col("saved") + F.when(F.col("on_path"), F.col("t_save")).otherwise(0),
         "size": F.col("size") - F.when(F.col("on_path") & ~F.col("is_centroid"), F.col("c_size")).otherwise(0),
         "comp": F.coalesce("moved", "comp")})
-    after = cut_lineage(after.select(*STATE, "is_centroid"), "round")
+    rest = cut_lineage(after.filter("NOT is_centroid").select(*STATE), "forest")
+    taken = cut_lineage(after.filter("is_centroid").select("node", "leaves", "saved"), "centroids")
     discard(marked)
-    return after.filter("NOT is_centroid").select(*STATE), after.filter("is_centroid").select("node", "leaves", "saved")
+    return rest, taken
 
 
 def rolled_up(nodes: DataFrame, along: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
@@ -262,9 +263,11 @@ def rolled_up(nodes: DataFrame, along: DataFrame, task_nodes: int = TASK_NODES)
     done, ready = [], []
     while True:
         whole = state.filter("node = comp").select("comp", (F.col("size") > task_nodes).alias("big"))
-        sorted_out = state.join(whole, "comp")
+        # written, so that dealing the components out is a shuffle of its own and not that of this join, which may be split
+        sorted_out = cut_lineage(state.join(whole, "comp").select(*STATE, "big"), "forest")
+        discard(state)
         ready.append(sorted_out.filter("NOT big").select(*STATE))
-        big = cut_lineage(sorted_out.filter("big").select(*STATE), "forest")
+        big = sorted_out.filter("big").select(*STATE)
         if big.isEmpty():
             break
         state, centroids = _round(big, along)
