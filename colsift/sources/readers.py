@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from colsift.functions.values import NA_TOKENS, ref, to_number
-from colsift.plans.session import small_frame
+from colsift.plans.session import scratch_path, small_frame
+from colsift.sources.ranges import array_records, column_cells, csv_records, pieces
 
 CSV_OPTIONS = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
                "ignoreTrailingWhiteSpace": False}
@@ -46,46 +47,59 @@ def infer_types(df: DataFrame) -> DataFrame:
     return clean.select(*[casts[target[c]](c).alias(c) if c in target else ref(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multi_line: bool = True) -> DataFrame:
-    """A delimited table with a header.
+def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True) -> DataFrame:
+    """A delimited table with a header, read by many tasks whether or not quoted fields hold line breaks.
 
-    Quoted fields may hold line breaks, so a file is one task; for large files without any, `multi_line=False` reads each
-    file in many tasks.
+    Lines end with LF or CRLF. Where quoted fields hold line breaks, the records are cut in ranges and written once.
     """
-    raw = spark.read.options(**CSV_OPTIONS).option("sep", sep).option("multiLine", multi_line).csv(path)
+    records = csv_records(spark, path, sep)
+    reader = spark.read.options(**CSV_OPTIONS).option("sep", sep)
+    if records is None:
+        raw = reader.csv(path)
+    else:
+        names = reader.option("multiLine", True).csv(path).columns  # only the first record is looked at
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        options = {k: str(v) for k, v in CSV_OPTIONS.items() if k not in ("header", "inferSchema")} | {"sep": sep}
+        parsed = records.select(F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+        raw = parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     return infer_types(raw) if infer else raw
 
 
-def read_tsv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
-    return read_csv(spark, path, "\t", infer, multi_line)
+def read_tsv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+    return read_csv(spark, path, "\t", infer)
 
 
 def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
-    """JSON as lines, as one array of records, or as one object of columns {"col": {"0": value}}.
+    """JSON as lines, as one array of objects, as one object of columns {"col": {"0": value}}, or as one record.
 
-    Only the first is splittable; an array or an object is one document per file and read by one task per file. A single
-    object is taken for columns if all its values are objects with the same row labels, else for one record.
+    All but a single record are read by many tasks. A single object is taken for columns if all its values are objects with the
+    same row labels, else for one record.
     """
     if layout == "auto":
         layout = json_layout(spark, path)
-    if layout in ("lines", "records"):
-        reader = spark.read if layout == "lines" else spark.read.option("multiLine", True)
-        return _in_record_order(reader.json(path), _first_keys(spark, path, layout))
+    if layout == "array":
+        lines = scratch_path(spark, "lines")
+        array_records(spark, path).write.text(lines)
+        return read_json(spark, lines, "lines")
+    if layout in ("record", "records"):
+        return _in_record_order(spark.read.option("multiLine", True).json(path), _first_keys(spark, path, True))
+    if layout == "lines":
+        return _in_record_order(spark.read.json(path), _first_keys(spark, path, False))
     if layout != "columns":
         raise ValueError(f"unknown JSON layout: {layout}")
-    text = spark.read.text(path, wholetext=True)
-    cells = text.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("name", "cells"))
-    cells = cells.select("name", F.explode("cells").alias("row", "cell"))
+    return _wide(column_cells(spark, path))
+
+
+def _wide(cells: DataFrame) -> DataFrame:
+    cells = cells.filter("row IS NOT NULL")
     names = [r["name"] for r in cells.select("name").distinct().orderBy("name").collect()]
-    wide = cells.groupBy("row").pivot("name", names).agg(F.first("cell"))
-    return infer_types(wide.drop("row"))
+    return infer_types(cells.groupBy("row").pivot("name", names).agg(F.first("cell")).drop("row"))
 
 
-def _first_keys(spark: SparkSession, path: str, layout: str) -> list[str]:
+def _first_keys(spark: SparkSession, path: str, whole: bool) -> list[str]:
     """The field names of the first record, read on an executor; only they come back."""
-    text = spark.read.text(path, wholetext=layout == "records").filter("trim(value) <> ''")
-    record = F.when(F.substring(F.trim("value"), 1, 1) == "[", F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
-    found = text.select(F.json_object_keys(record).alias("keys")).limit(1).collect()
+    text = spark.read.text(path, wholetext=whole).filter("trim(value) <> ''")
+    found = text.select(F.json_object_keys("value").alias("keys")).limit(1).collect()
     return (found[0]["keys"] or []) if found else []
 
 
@@ -96,21 +110,21 @@ def _in_record_order(df: DataFrame, named: list[str]) -> DataFrame:
 
 
 def json_layout(spark: SparkSession, path: str) -> str:
-    """lines, records or columns, from the first character, whether a first line is a whole object, and whether a second
-    one follows; a single object is looked at as a whole on the executor. A few flags come to the driver."""
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    first = lines.select(F.substring(F.trim("value"), 1, 1).alias("start"), F.json_object_keys("value").isNotNull().alias("whole"))
-    found = first.limit(2).collect()
-    if not found or found[0]["start"] == "[":
-        return "records" if found else "lines"
-    if found[0]["whole"] and len(found) > 1:
+    """array, lines, columns or record, from pieces between commas: the first character, whether one object follows another
+    without a comma, and whether the first value is an object; then the cells' names and labels decide. Flags come to the driver."""
+    parts = pieces(spark, path, ",").filter("trim(BOTH ' \t\r\n' FROM piece) <> ''")
+    first = parts.select(F.regexp_extract("piece", r"^\s*(\S)", 1).alias("start"),
+                         F.col("piece").rlike(r'^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{').alias("nested")).limit(1).collect()
+    if not first or first[0]["start"] == "[":
+        return "array" if first else "lines"
+    if not parts.filter(F.col("piece").rlike(r"\}\s*[\r\n]\s*\{")).isEmpty():
         return "lines"
-    labels = F.transform(F.map_values(F.from_json("value", "map<string, string>")), lambda v: F.array_sort(F.json_object_keys(v)))
-    columns = (F.size(labels) > 0) & F.forall(labels, lambda v: v.isNotNull()) & (F.size(F.array_distinct(labels)) == 1)
-    texts = spark.read.text(path, wholetext=True).filter("trim(value) <> ''")
-    if texts.agg(F.bool_and(F.coalesce(columns, F.lit(False)))).first()[0]:
-        return "columns"
-    return "lines" if found[0]["whole"] else "records"
+    if not first[0]["nested"]:
+        return "record"
+    label = F.xxhash64("row")
+    columns = column_cells(spark, path).groupBy("name").agg(F.count("row").alias("n"), F.bit_xor(label).alias("x"), F.bool_or("plain").alias("plain"))
+    flags = columns.agg(F.count_distinct("n", F.coalesce("x", F.lit(0))).alias("kinds"), F.bool_or("plain").alias("plain")).first()
+    return "columns" if flags["kinds"] == 1 and not flags["plain"] else "record"
 
 
 READERS = {".csv": read_csv, ".tsv": read_tsv, ".json": read_json,

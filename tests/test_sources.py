@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from colsift.sources import readers, sinks
+from colsift.sources import ranges, readers, sinks
 
 
 def test_csv_types_and_missing_tokens(spark, tmp_path):
@@ -53,7 +54,71 @@ def test_line_breaks_in_quoted_fields(spark, tmp_path):
     for format in ("csv", "tsv"):
         back = readers.load(spark, sinks.export(df, str(tmp_path / "t"), format))
         assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
-    assert readers.read_csv(spark, str(tmp_path / "t.csv"), multi_line=False).count() > 3
+
+
+@pytest.fixture(params=[97, 700])
+def small_ranges(spark, request):
+    """Files read in ranges of a few bytes."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def odd_csv(seed):
+    """Records with line breaks, doubled quotes, quotes in plain fields, text after a closing quote, and empty lines."""
+    pick = random.Random(seed)
+    fields = ["plain", "", '"a ""b"""', '"two\nlines"', '"\n\n,\n"', '5" pipe', '"x"', '"""\n"', 'ends"', '"né,\n""""\n"', "x y", '"' + "long\n" * 9 + '"']
+    return "h1,h 2,\"h\n3\"\n" + "".join(",".join(pick.choice(fields) for _ in range(3)) + "\n" + "\n" * (pick.random() < 0.1) for _ in range(25))
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_ranges_of_csv_equal_the_whole_file(spark, tmp_path, small_ranges, line_end):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    for seed in (1, 2):
+        (folder / f"{seed}.csv").write_bytes(odd_csv(seed).replace("\n", line_end).encode())
+    want = spark.read.options(**readers.CSV_OPTIONS).option("multiLine", True).csv(str(folder))
+    got = readers.read_csv(spark, str(folder), infer=False)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ranges.pieces(spark, str(folder), "\n").rdd.getNumPartitions() > 2
+
+
+def test_csv_that_ends_inside_quotes(spark, tmp_path, small_ranges):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,"open\nto the end\n')
+    want = spark.read.options(**readers.CSV_OPTIONS).option("multiLine", True).csv(str(path))
+    got = readers.read_csv(spark, str(path), infer=False)
+    assert [(r[0], r[1].strip()) for r in sorted(got.collect())] == [(r[0], r[1].strip()) for r in sorted(want.collect())]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_ranges_of_json_arrays_and_columns(spark, tmp_path, small_ranges, indent):
+    pick = random.Random(3)
+    texts = ["}{", "[,]", 'q"q', "back\\", '\\"}', "é\n", "", "plain, text", "}\n{"]
+    rows = [{"k": i, "s": pick.choice(texts), "n": {"x": [i, 2 * i], "y": [{"z": pick.choice(texts)}]}, "t": pick.choice(texts) if i % 3 else None} for i in range(16)]
+    path = tmp_path / "array.json"
+    path.write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+    got = readers.load(spark, str(path))
+    assert got.columns == ["k", "s", "n", "t"]
+    want = spark.read.option("multiLine", True).json(str(path)).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 16
+    path = tmp_path / "columns.json"
+    path.write_text(json.dumps({c: {str(r["k"]): r[c] for r in rows} for c in ("k", "s", "t")}, indent=indent, ensure_ascii=False))
+    assert readers.json_layout(spark, str(path)) == "columns"
+    cells = readers.load(spark, str(path))
+    missing = lambda v: None if v in (None, "") else v
+    assert sorted(map(str, ((r["k"], r["s"], r["t"]) for r in cells.collect()))) == sorted(str((r["k"], missing(r["s"]), missing(r["t"]))) for r in rows)
+    assert ranges.pieces(spark, str(path), ",").rdd.getNumPartitions() > 2 or small_ranges > 64
+
+
+@pytest.mark.parametrize("text, layout", [("", "lines"), ("[]", "array"), ("{}", "record"), ('{"a": {}}', "columns"), ('{"a": {"0": 1}, "b": 5}', "record"),
+                                          ('{"a": {"0": 1}, "b": {"1": 5}}', "record"), ('{"a": 1}\n\n{"a": 2}', "lines"), ('\n {"a": {"0": "}\\n{"}}', "columns")])
+def test_layouts(spark, tmp_path, text, layout):
+    path = tmp_path / "t.json"
+    path.write_text(text)
+    assert readers.json_layout(spark, str(path)) == layout
 
 
 def test_refusals(spark, tmp_path):
