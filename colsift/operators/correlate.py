@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from colsift.functions.values import as_double, is_missing, ref
-from colsift.plans import ordering
+from colsift.plans import concordance, ordering
 from colsift.plans.pairs import Moments, pair_correlations
 from colsift.plans.session import cut_lineage, discard, together
 from colsift.plans.stats import TableStats
@@ -36,7 +36,7 @@ def correlation_pairs(stats: TableStats, method: str = "pearson") -> DataFrame:
     if method == "spearman":
         found = spearman_pairs(stats)
     else:
-        found = together(stats.spark, [partial(kendall, stats.df, a, b) for a, b in named]) if named else []
+        found = concordance.kendall_pairs(stats.df.select(*[stats.numeric(c).alias(f"x{i}") for i, c in enumerate(stats.roles.numeric)]))
     rows = [{"pair": i, "c1": a, "c2": b, "r": r} for i, ((a, b), r) in enumerate(zip(named, found))]
     return stats.rows(rows, "pair bigint, c1 string, c2 string, r double")
 
@@ -125,48 +125,10 @@ def spearman_pairs(stats: TableStats, rows_per_bucket: int = ordering.ROWS_PER_B
     return result
 
 
-def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = ordering.ROWS_PER_BUCKET) -> float | None:
-    """Tau-b from tie counts and the number of discordant pairs, without forming pairs.
-
-    With y as a dense code, two values first differ at one bit: the discordant pairs of that bit are those where, among
-    the codes with the same higher bits, a one comes before a zero in the order of x. Counts per (bit, prefix, x) are
-    summed per x bucket first, so the highest bits, whose groups are the whole table, stay distributed as well.
-    """
-    joint = _joint_counts(df, a, b)
-    pairs = lambda c: c.cast("decimal(38,0)") * (c - 1) / 2
-    tied = lambda side: joint.groupBy(side).agg(F.sum("cnt").alias("t")).agg(F.sum(pairs(F.col("t")))).first()[0]
-    n, both = joint.agg(F.sum("cnt"), F.sum(pairs(F.col("cnt")))).first()
-    if not n or n < 2:
-        return None
-    all_pairs = n * (n - 1) // 2
-    ties_x, ties_y = int(tied("x")), int(tied("y"))
-    if ties_x == all_pairs or ties_y == all_pairs:
-        return None
-    codes = cut_lineage(ordering.dense_codes(joint, "y", rows_per_bucket).withColumnRenamed("level", "y"), "codes")
-    bits = int(codes.agg(F.max("code")).first()[0]).bit_length()
-    coded = joint.join(codes, "y").select("x", "code", "cnt")
-    levels = coded.select("x", "code", "cnt", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
-    one = F.expr("shiftright(code, bit) & 1") == 1
-    cells = levels.groupBy("bit", F.expr("shiftright(code, bit + 1)").alias("prefix"), "x").agg(
-        F.coalesce(F.sum(F.when(one, F.col("cnt"))), F.lit(0)).alias("ones"),
-        F.coalesce(F.sum(F.when(~one, F.col("cnt"))), F.lit(0)).alias("zeros"))
-    distinct_x = joint.select("x").distinct()
-    points = ordering.split_points(distinct_x, ["x"], distinct_x.count(), rows_per_bucket)
-    cells = cells.withColumn("_bucket", ordering.bucket_of(cells, ["x"], points))
-    if points:
-        cells = cut_lineage(cells, "cells")
-    group = ["bit", "prefix", "_bucket"]
-    before = Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    exact = lambda c: c.cast("decimal(38,0)")
-    inside = cells.select(exact(F.col("zeros")) * F.coalesce(F.sum("ones").over(before), F.lit(0)))
-    swapped = inside.toDF("d").agg(F.sum("d")).first()[0] or 0
-    if points:
-        totals = cells.groupBy(*group).agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-        earlier = Window.partitionBy("bit", "prefix").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        across = totals.select(exact(F.col("zeros")) * F.coalesce(F.sum("ones").over(earlier), F.lit(0)))
-        swapped += across.toDF("d").agg(F.sum("d")).first()[0] or 0
-    surplus = all_pairs - ties_x - ties_y + int(both) - 2 * int(swapped)
-    return surplus / ((all_pairs - ties_x) ** 0.5 * (all_pairs - ties_y) ** 0.5)
+def kendall(df: DataFrame, a: str, b: str, rows_per_bucket: int = concordance.ROWS_PER_BUCKET) -> float | None:
+    """Tau-b of one pair of columns."""
+    types = {f.name: f.dataType for f in df.schema}
+    return concordance.kendall_pairs(df.select(*[as_double(ref(c), types[c]).alias(f"x{i}") for i, c in enumerate((a, b))]), rows_per_bucket)[0]
 
 
 def strong_pairs(stats: TableStats, threshold: float = 0.7) -> DataFrame:

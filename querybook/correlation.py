@@ -46,27 +46,25 @@ def corr_spearman(spark, folder):
     return rounded(correlate.correlation_pairs(TableStats(read(spark, folder, T)), "spearman").drop("pair"), 6)
 
 
-TAU = ["l_quantity", "l_discount", "l_linenumber"]
-
-
 def _tau(a, b):
-    # every pair of distinct value pairs, weighted by how often each occurs
+    # two values of y first differ at one bit of their dense code; swapped are those where a one comes before a zero in x
+    cells = f"cells_{a}_{b}"
+    running = "sum(CASE WHEN one THEN k ELSE 0 END) OVER (PARTITION BY bit, prefix ORDER BY x RANGE UNBOUNDED PRECEDING)"
+    peers = "sum(CASE WHEN one THEN k ELSE 0 END) OVER (PARTITION BY bit, prefix, x)"
+    tied = lambda group: f"(SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(k) AS t FROM {cells} GROUP BY {group}))"
     return f"""
-    SELECT '{a}' AS c1, '{b}' AS c2, {r("(con - dis) / (sqrt(n0 - n1) * sqrt(n0 - n2))", 6)} AS r FROM (
-        SELECT sum(CASE WHEN (p.x - q.x) * (p.y - q.y) > 0 THEN p.k * q.k ELSE 0 END) / 2.0 AS con,
-               sum(CASE WHEN (p.x - q.x) * (p.y - q.y) < 0 THEN p.k * q.k ELSE 0 END) / 2.0 AS dis
-        FROM cells_{a}_{b} p CROSS JOIN cells_{a}_{b} q),
-        (SELECT CAST(sum(k) AS DOUBLE) * (sum(k) - 1) / 2 AS n0 FROM cells_{a}_{b}),
-        (SELECT sum(t * (t - 1) / 2) AS n1 FROM (SELECT CAST(sum(k) AS DOUBLE) AS t FROM cells_{a}_{b} GROUP BY x)),
-        (SELECT sum(t * (t - 1) / 2) AS n2 FROM (SELECT CAST(sum(k) AS DOUBLE) AS t FROM cells_{a}_{b} GROUP BY y))"""
+    SELECT '{a}' AS c1, '{b}' AS c2, CASE WHEN n1 < n0 AND n2 < n0 THEN {r("(n0 - n1 - n2 + n3 - 2 * dis) / (sqrt(n0 - n1) * sqrt(n0 - n2))", 6)} END AS r FROM (
+        SELECT coalesce(sum(CASE WHEN one THEN 0 ELSE k * before END), 0) AS dis FROM (SELECT k, one, {running} - {peers} AS before FROM (
+            SELECT x, k, bit, code >> (bit + 1) AS prefix, (code >> bit) & 1 = 1 AS one FROM (SELECT x, k, dense_rank() OVER (ORDER BY y) - 1 AS code FROM {cells}), range(20) bits(bit)
+            WHERE bit < (SELECT bit_length(bin(count(DISTINCT y))) / 8 FROM {cells})))),
+        (SELECT (SELECT sum(k) * (sum(k) - 1) / 2 FROM {cells}) AS n0, {tied("x")} AS n1, {tied("y")} AS n2, {tied("x, y")} AS n3)"""
 
 
 @query("corr_kendall", given(T)[:-1] + "".join(
     f""", cells_{a}_{b} AS (SELECT {a} AS x, {b} AS y, CAST(count(*) AS DOUBLE) AS k FROM {T} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)"""
-    for a, b in combinations(TAU, 2)) + " " + " UNION ALL ".join(_tau(a, b) for a, b in combinations(TAU, 2)))
+    for a, b in combinations(DIRTY_NUMERIC, 2)) + " " + " UNION ALL ".join(_tau(a, b) for a, b in combinations(DIRTY_NUMERIC, 2)))
 def corr_kendall(spark, folder):
-    stats = TableStats(read(spark, folder, T).select(*TAU))
-    return rounded(correlate.correlation_pairs(stats, "kendall").drop("pair"), 6)
+    return rounded(correlate.correlation_pairs(_stats(spark, folder), "kendall").drop("pair"), 6)
 
 
 @query("high_corr_a", PAIRS + f"""SELECT c1, c2, {r("r", 6)} AS correlation, {SIGN} AS type FROM pairs WHERE abs(r) >= 0.005""")
