@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colsift.llm.texts import free_name
 from colsift.plans.session import cut_lineage
 
 WIDTH = 5
@@ -91,6 +92,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that contain no item; all columns stay."""
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs[f"`{id_column}`"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[f"`{text_column}`"].cast("string")) == F.col("_hash"))
+    bad_id, bad_hash = free_name(docs, "_doc"), free_name(docs, "_hash")
+    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    same = docs[f"`{id_column}`"].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[f"`{text_column}`"].cast("string")) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")

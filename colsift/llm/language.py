@@ -214,8 +214,11 @@ def in_known_language(docs: DataFrame, settings: Settings = Settings(), least_sh
     rows = narrow(docs, id_column, text_column, lang=F.col(f"`{lang_column}`").cast("string"),
                   held_out=is_fold(id_column, 4, 2))
     model = train(rows.filter(~F.col("held_out")).select("doc_id", "text", "lang"), settings)
-    found = identify(docs, model, text_column, prefix="_llm_")
-    return found.filter((F.col("_llm_lang_pred") != UNDETERMINED) & (F.col("_llm_known_share") >= least_share)).select(
+    prefix = "_llm_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    found = identify(docs, model, text_column, prefix=prefix)
+    return found.filter((F.col(f"{prefix}lang_pred") != UNDETERMINED) & (F.col(f"{prefix}known_share") >= least_share)).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 

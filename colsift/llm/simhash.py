@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from colsift.llm.texts import map_texts, narrow
+from colsift.llm.texts import free_name, map_texts, narrow
 from colsift.plans.session import cut_lineage
 
 SEED = 42
@@ -266,10 +266,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
     """One row of each near-duplicate group, that of the smallest id (nulls last; of repeated rows any); all columns stay."""
-    marked = cut_lineage(with_fingerprints(docs, "_llm_fp", width, text_column).withColumn(
-        "_llm_row", F.monotonically_increasing_id()), "simhash")
-    rows = marked.select(F.col(f"`{id_column}`").alias("doc_id"), F.col("_llm_fp").alias("fp"), "_llm_row")
+    fp, number = free_name(docs, "_llm_fp"), free_name(docs, "_llm_row")
+    marked = cut_lineage(with_fingerprints(docs, fp, width, text_column).withColumn(number, F.monotonically_increasing_id()), "simhash")
+    rows = marked.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(fp).alias("fp"), F.col(number).alias("_llm_row"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_llm_row")
     first = rows.join(components_of(rows), "fp").groupBy("root").agg(F.min(order).alias("first")).select(
-        F.col("first._llm_row").alias("_llm_row"))
-    return marked.join(first, "_llm_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("first._llm_row").alias(number))
+    return marked.join(first, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from colsift.llm.texts import bounded_sample, explode_texts, is_fold, map_texts, narrow
+from colsift.llm.texts import bounded_sample, explode_texts, free_name, is_fold, map_texts, narrow
 from colsift.plans.session import cut_lineage
 
 WORDS = re.compile(r"\w+")
@@ -305,7 +305,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7,
                   id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """The rows of `docs` that are not predicted toxic; all columns stay."""
+    bad_id, bad_hash = free_name(docs, "_doc"), free_name(docs, "_hash")
     bad = score_toxicity(docs, labels, settings, threshold, id_column, text_column, label_column).filter("predicted = 1").select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs[f"`{id_column}`"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[f"`{text_column}`"].cast("string")) == F.col("_hash"))
+        F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    same = docs[f"`{id_column}`"].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[f"`{text_column}`"].cast("string")) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")

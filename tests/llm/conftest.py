@@ -2,12 +2,13 @@ import pytest
 
 LONG = " ".join(f"word{i % 977} of the long text" for i in range(8000))
 CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, predicted string, fp string, " \
-           "block string, term string, lang_pred string, piece string, held_out string, text_hash string, length string"
+           "block string, term string, lang_pred string, piece string, held_out string, text_hash string, length string, " \
+           "_doc string, _hash string, _llm_fp string, _llm_row string, _llm_lang_pred string, _llm_score string, _llm_known_share string"
 
 
 def rows(pairs):
     """Documents with every clashing column from (doc_id, text, lang)."""
-    return [(i, t, lang, "s", None if t is None else len(t), *["x"] * 10) for i, t, lang in pairs]
+    return [(i, t, lang, "s", None if t is None else len(t), *["x"] * 17) for i, t, lang in pairs]
 
 
 EDGE = [(1, None, "en"), (2, "", "en"), (3, " \n\t", "de"), (4, LONG, "en"), (5, "the same text twice and again", "en"),

@@ -237,3 +237,9 @@ def test_language_model_of_edge_rows(edge_docs, empty_docs):
     assert maxent.score_documents(empty_docs).count() == 0
     untaught = maxent.score_documents(edge_docs.filter("doc_id is null")).collect()
     assert untaught[0]["train_tokens"] == 0 and untaught[0]["held_out"] and math.isfinite(untaught[0]["score"])
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["the words of a text", "½ ² ① Ⅷ", "x²", "漢"])]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found[1] == "und" and found[2] != "und" and found[3] != "und"
