@@ -98,7 +98,7 @@ def histogram(stats: TableStats, columns: list[str], bins: int | str = 20) -> Da
     stats.need("moments")
     if bins == "auto":
         stats.need_quantiles(0.25, 0.75)
-    layout, cells = [], []
+    layout = []
     for c, (low, high) in _finite_ends(stats, columns).items():
         if low is None:
             low = high = 0.0  # nothing but infinities
@@ -106,17 +106,23 @@ def histogram(stats: TableStats, columns: list[str], bins: int | str = 20) -> Da
         if low == high:
             low, high = low - 0.5, high + 0.5
         layout.append({"column_name": c, "low": low, "high": high, "size": size})
-        x, step = stats.numeric(c), (high - low) / size
-        guess = F.least(F.floor((x - low) * (size / (high - low))), F.lit(size - 1))
-        # the product can land one bin off near an edge; the edges themselves decide
-        place = (F.when(x == math.inf, F.lit(size)).when(x == -math.inf, F.lit(-1))
-                 .when(x < F.lit(low) + guess * F.lit(step), guess - 1)
-                 .when((guess != size - 1) & (x >= F.lit(low) + (guess + 1) * F.lit(step)), guess + 1).otherwise(guess))
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.when(x.isNotNull(), place).cast("bigint").alias("bin")))
     if not layout:
         return stats.rows([], "column_name string, bin bigint, lower double, upper double, cnt bigint")
-    counted = (stats.df.select(F.explode(F.array(*cells)).alias("t")).select("t.*").filter("bin is not null")
-               .groupBy("column_name", "bin").agg(F.count("*").alias("cnt")))
+    # one expression for all columns: each value looks its column's layout up by the column's number
+    of = lambda value: F.array(*[F.lit(value(r)) for r in layout])[F.col("number")]
+    low, size = of(lambda r: float(r["low"])), of(lambda r: r["size"])
+    step = of(lambda r: (r["high"] - r["low"]) / r["size"])
+    x = F.col("x")
+    guess = F.least(F.floor((x - low) * of(lambda r: r["size"] / (r["high"] - r["low"]))), size - 1)
+    # the product can land one bin off near an edge; the edges themselves decide
+    place = (F.when(x == math.inf, size).when(x == -math.inf, F.lit(-1)).when(x < low + F.col("guess") * step, F.col("guess") - 1)
+             .when((F.col("guess") != size - 1) & (x >= low + (F.col("guess") + 1) * step), F.col("guess") + 1)
+             .otherwise(F.col("guess")))
+    cells = F.array(*[stats.numeric(r["column_name"]).cast("double") for r in layout])
+    names = F.array(*[F.lit(r["column_name"]) for r in layout])
+    counted = (stats.df.select(F.posexplode(cells).alias("number", "x")).filter("x is not null").withColumn("guess", guess)
+               .select("number", place.cast("bigint").alias("bin")).groupBy("number", "bin").agg(F.count("*").alias("cnt"))
+               .select(names[F.col("number")].alias("column_name"), "bin", "cnt"))
     columns_ = stats.rows(layout, "column_name string, low double, high double, size bigint")
     all_bins = columns_.select("*", F.explode(F.sequence(F.lit(-1).cast("bigint"), "size")).alias("bin"))
     step = (F.col("high") - F.col("low")) / F.col("size")
