@@ -4,11 +4,12 @@ Lines with a cue ("license", "copyright", ...) and what lies between near ones f
 notice of its own; if some hold no license, the block is scanned with the lines around it, as a wrapped text may begin or end
 on lines without a cue. Long blocks are cut into windows that overlap by more than the longest
 template. A block is compressed with zstandard, plain and with each license template as
-raw dictionary; the bytes it saves rank the templates. All templates whose words the block has, in any order, are compared by
-their exact wording differences: a template holds if enough of its words stand in the block in order, its key words among
-them, if no word beside them names another license, and if it does not cover words of a better match. Full license texts
-(folder `license_texts`) are looked for in the same way first, in all lines of a text with a cue; they are no candidates. What is left of the block is compared again until no template holds.
-A block without a confirmed license is reported with the best candidate and no license.
+raw dictionary, each whose words the block has in any order; the bytes it saves rank the templates. They are tried in this
+order, as long as they save a byte: a template holds if its exact wording differences show enough of its words in the block in
+order, its key words among them, and if no word beside them names another license. The first that holds takes its words, and the
+words left are compressed and ranked again until no template holds. Full license texts (folder `license_texts`) are looked for in
+the same way first, in all lines of a text with a cue; they are no candidates. The parts of an SPDX expression count as
+identifiers of their own. A block without a confirmed license is reported with the best candidate and no license.
 
 Every text is scanned whole; texts without a cue, empty and null texts give no rows. Rows of the same id are scanned one by
 one. Ties in rank go to the first template by name. Extra columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colsift.llm.texts import explode_texts, narrow
 
-CUE = r"(?i)licen[cs]e|copyright|spdx|warrant|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc[ -]by\b|public domain"
+CUE = r"(?i)licen[cs]e|copyright|spdx|warrant|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc[ -]by\b|public domain|\b[al]?gpl"
 WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 
 # Wording of public licenses and of the notices that refer to them, with the words that name the license.
@@ -106,6 +107,26 @@ TEMPLATES: dict[str, tuple[str, str]] = {
                   "any purpose, commercial or non-commercial, and by any means."),
 }
 
+# Short names of licenses in running text and the identifiers of SPDX tags.
+TEMPLATES |= {
+    "MIT alternative": ("or mit", "or the MIT license"),
+    "GPL-2.0 name": ("gpl v2", "under the GNU GPL v2"),
+    "GPL-3.0 name": ("gpl v3", "under the GNU GPL v3"),
+    "LGPL-2.1 name": ("lgpl v2.1", "under the GNU LGPL v2.1"),
+    "LGPL-3.0 name": ("lgpl v3", "under the GNU LGPL v3"),
+    "AGPL-3.0 name": ("agpl v3", "under the GNU AGPL v3"),
+    "CC-BY-4.0 name": ("attribution 4.0", "under the Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0 name": ("attribution-sharealike 4.0", "under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0 name": ("attribution-noncommercial 4.0", "under the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND-4.0 name": ("attribution-noderivatives 4.0", "under the Creative Commons Attribution-NoDerivatives 4.0 International License"),
+}
+IDENTIFIERS = ("MIT", "Apache-2.0", "ISC", "Unlicense", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0",
+               "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+               "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later",
+               "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")
+TAG = "spdx-license-identifier"
+TEMPLATES |= {f"{name} identifier": (f"{TAG} {name.lower()}", f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS}
+
 DISCLAIMER = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
               "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
               "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
@@ -217,37 +238,40 @@ def place(template: Template, block: list[str], free: list[int], settings: Setti
         free = [place for i, place in enumerate(free) if i not in used]
 
 
-def row_of(license_id: str | None, template: Template, data: bytes, share: float, missing: list[str], extra: list[str]) -> dict:
-    size = len(compressors()[0].compress(data))
-    return {"license_id": license_id, "candidate": template.name,
-            "size_reduction": round((size - len(template.compressor.compress(data))) / size, 4),
+def row_of(license_id: str | None, template: Template, sizes: tuple[int, int], share: float, missing: list[str], extra: list[str]) -> dict:
+    plain, known = sizes
+    return {"license_id": license_id, "candidate": template.name, "size_reduction": round((plain - known) / plain, 4),
             "matched_share": round(share, 4), "missing": missing, "extra": extra}
 
 
+def ranked(words_: list[str], known: list[Template]) -> list[tuple[int, int, Template]]:
+    """(compressed size plain, with the template as dictionary, template), the largest reduction first, ties by name."""
+    data = " ".join(words_).encode("utf-8", "surrogatepass")
+    plain = len(compressors()[0].compress(data))
+    return sorted(((plain, len(t.compressor.compress(data)), t) for t in known), key=lambda r: (r[1], r[2].name))
+
+
 def confirm(block: list[str], known: list[Template], settings: Settings) -> tuple[list[tuple[dict, set[int]]], set[int]]:
-    """The confirmed licenses of a window with the places of their words, best first, and all places taken. Every template that can hold is compared,
-    first with all words and then with those not yet taken, until none is confirmed."""
+    """The confirmed licenses of a window with the places of their words, in the order of their reductions, and all places taken.
+    After each the words left are compressed and ranked anew. A template that saves nothing explains nothing and ends the walk;
+    those that lack words are not compressed, as they cannot hold."""
     found: list[tuple[dict, set[int]]] = []
-    taken: set[int] = set()
-    data = " ".join(block).encode("utf-8", "surrogatepass")
+    free = list(range(len(block)))
     while True:
-        free = [i for i in range(len(block)) if i not in taken]
-        bag = Counter(block[i] for i in free)
-        compared = []
-        for t in known:
-            held = place(t, block, free, settings) if t.may_hold(bag, settings.least_share) else None
+        rest = [block[i] for i in free]
+        bag = Counter(rest)
+        held = None
+        for plain, size, t in ranked(rest, [t for t in known if t.may_hold(bag, settings.least_share)]):
+            if size >= plain:
+                break
+            held = place(t, block, free, settings)
             if held:
-                share, used, missing, extra = held
-                compared.append((row_of(t.name, t, data, share, missing, extra), share * len(t.words), used))
-        confirmed = False
-        # of two licenses on the same words the one that explains more of them is meant
-        for row, explained, used in sorted(compared, key=lambda r: (-r[1], -r[0]["size_reduction"], r[0]["candidate"])):
-            if len(used & taken) <= 0.5 * len(used):
-                taken |= used
-                confirmed = True
-                found.append((row, used))
-        if not confirmed:
-            return found, taken
+                break
+        if not held:
+            return found, set(range(len(block))) - set(free)
+        share, used, missing, extra = held
+        found.append((row_of(t.name, t, (plain, size), share, missing, extra), used))
+        free = [i for i in free if i not in used]
 
 
 def scan_window(block: list[str], settings: Settings) -> list[dict]:
@@ -256,15 +280,31 @@ def scan_window(block: list[str], settings: Settings) -> list[dict]:
     found, _ = confirm(block, known, settings)
     if found:
         return list({row["license_id"]: row for row, _ in reversed(found)}.values())[::-1]
-    data = " ".join(block).encode("utf-8", "surrogatepass")
-    best = min(known, key=lambda t: (len(t.compressor.compress(data)), t.name))
+    plain, size, best = ranked(block, known)[0]
     share, _, missing, extra = compare(best.words, block)
-    return [row_of(None, best, data, share, missing, extra)]
+    return [row_of(None, best, (plain, size), share, missing, extra)]
+
+
+def spelled_out(found: list[str]) -> list[str]:
+    """The words with the tag repeated before each further identifier of an SPDX expression."""
+    out: list[str] = []
+    expression = False  # whether the word before is an identifier of an expression
+    for w in found:
+        before, expression = expression, bool(out) and out[-1] == TAG
+        if before and w in ("or", "and"):
+            out += [w, TAG]
+        else:
+            out.append(w)
+            if before and w == "with":
+                expression = None  # what follows names an exception, and the expression may go on after it
+            elif before is None:
+                expression = True
+    return out
 
 
 def scan_block(block: str, settings: Settings) -> dict[str | None, dict]:
     """The best row for each license found in the windows of a block; None stands for no license."""
-    all_words, step = words(block), settings.window // 2
+    all_words, step = spelled_out(words(block)), settings.window // 2
     best: dict[str | None, dict] = {}
     for at in range(0, max(1, len(all_words) - step), step):
         for row in scan_window(all_words[at:at + settings.window], settings) if all_words else []:

@@ -1,5 +1,6 @@
 """SimHash groups, decontamination, licenses and revisits against brute force and SQL; the pipeline against its parts."""
 
+import random
 import re
 from datetime import datetime
 from pathlib import Path
@@ -208,6 +209,50 @@ def test_full_license_texts_are_found():
     assert "GPL-3.0" not in {r["license_id"] for r in licenses.scan_text(affero, licenses.Settings())}
 
 
+def test_spdx_expressions_and_short_names():
+    found = lambda text: sorted(str(r["license_id"]) for r in licenses.scan_text(text, licenses.Settings()))
+    assert found("SPDX-License-Identifier: MIT") == ["MIT identifier"]
+    assert found("// SPDX-License-Identifier: (Apache-2.0 OR MIT)\nint x;") == ["Apache-2.0 identifier", "MIT identifier"]
+    assert found("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT") == ["GPL-2.0-only identifier", "MIT identifier"]
+    assert found("Licensed under the Apache License, Version 2.0 or the MIT license") == ["Apache-2.0 notice", "MIT alternative"]
+    assert found("Licensed under the Creative Commons Attribution 4.0 International License.") == ["CC-BY-4.0 name"]
+    assert found("Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.") == ["CC-BY-SA-4.0 name"]
+    assert found("Released under the GNU GPL v3.") == ["GPL-3.0 name"]
+    assert found("SPDX-License-Identifier: NONE") == ["None"]
+
+
+def test_license_rank_is_the_size_reduction():
+    plain, known = licenses.compressors()[:2]
+    block = licenses.words(licenses.TEMPLATES["BSD-3-Clause"][1])
+    data = " ".join(block).encode()
+    order = licenses.ranked(block, known)
+    assert [r[1] for r in order] == sorted(len(t.compressor.compress(data)) for t in known) and order[0][0] == len(plain.compress(data))
+    assert order[0][2].name == "BSD-3-Clause"
+
+
+def test_ranked_licenses_are_those_of_comparing_every_template():
+    """Random mixtures of templates and other words, against the template that explains most words in each round."""
+    draw, settings, known = random.Random(5), licenses.Settings(), licenses.compressors()[1]
+
+    def compared(block):
+        free, names = list(range(len(block))), set()
+        while True:
+            held = [(-share * len(t.words), t.name, used) for t in known for share, used, _, _ in [licenses.place(t, block, free, settings) or (0, set(), [], [])] if used]
+            if not held:
+                return names
+            _, name, used = min(held, key=lambda h: h[:2])
+            names.add(name)
+            free = [i for i in free if i not in used]
+
+    for _ in range(150):
+        names = draw.sample(sorted(licenses.TEMPLATES), draw.randint(1, 4))
+        block = []
+        for name in names:
+            block += draw.choices(["alpha", "beta", "code", "the", "of", "file"], k=draw.randint(0, 8)) + licenses.words(licenses.TEMPLATES[name][1])
+        found = {row["license_id"] for row in licenses.scan_window(block, settings)}
+        assert found == compared(block), names
+
+
 def test_licenses_of_the_table(documents, texts):
     line = re.compile(r"^(Licensed under CC BY-NC 4.0|This work is licensed under the GNU General Public License, version 3|"
                       r"Licensed under the Apache License, Version 2.0|Released under the MIT License)\.$", re.M)
