@@ -1,7 +1,7 @@
 """Spark ML estimators by problem and name, with the defaults of the models they stand for.
 
-Exact counterparts do not exist for kernel SVMs and boosted trees: the RBF kernel is approximated by random Fourier
-features, boosting is Spark's own.
+An exact counterpart does not exist for kernel SVMs: the RBF kernel is approximated by random Fourier features. Boosted trees
+are those of `boosting`.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ import math
 import random
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor)
+from pyspark.ml.regression import (DecisionTreeRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame, functions as F
 
 from colsift.functions.values import ref
+from colsift.ml.boosting import Boosting
 
 SEED = 42
 TREE_DEPTH = 10
@@ -34,8 +35,7 @@ def _svm(n_classes, n_rows, **options):
 
 
 def _boosted(n_classes, n_rows, **options):
-    settings = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED, **options}
-    return GBTClassifier(**settings) if n_classes <= 2 else OneVsRest(classifier=GBTClassifier(**settings))
+    return Boosting(classes=n_classes, **options)
 
 
 MODELS = {
@@ -52,7 +52,7 @@ MODELS = {
         "random_forest": lambda classes, rows, **o: RandomForestRegressor(**{"numTrees": 100, "maxDepth": TREE_DEPTH, "seed": SEED, **o}),
         "decision_tree": lambda classes, rows, **o: DecisionTreeRegressor(**{"maxDepth": TREE_DEPTH, "seed": SEED, **o}),
         "svr": lambda classes, rows, **o: LinearRegression(**{"loss": "huber", "solver": "l-bfgs", "regParam": 1 / max(rows, 1), **o}),
-        "xgboost": lambda classes, rows, **o: GBTRegressor(**{"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED, **o}),
+        "xgboost": _boosted,
     },
     "clustering": {
         "kmeans": lambda classes, rows, **o: KMeans(**{"k": 8, "seed": SEED, **o}),
