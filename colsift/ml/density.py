@@ -5,19 +5,22 @@ therefore holds core points only, and no pairs inside it are needed, however man
 min_samples points of a thin cell are compared with the neighbouring cells, which is linear work. Whether two cells with
 core points are linked is decided on bounding boxes; those that leave it open are split until few points are left in a pair.
 
-Up to four features the neighbouring cells are listed. Beyond, neighbours are looked for in blocks of cells over the four
-features of the widest spread, and the distance over all features decides; the more features, the more this compares.
+Up to four features the neighbouring cells are listed. Beyond, there are too many of them: a tree of cuts deals the points out to
+leaves of about `leaf_rows` points over all features, each with the points in reach of it, and pairs are formed inside leaves
+only. `compared_pairs` tells beforehand how many: at most the points of thin cells times the largest leaf with its guests.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colsift.functions.values import ref
 from colsift.ml.components import components
+from colsift.ml.spacetree import LEAF_ROWS, with_leaves
 from colsift.plans.ordering import dense_codes
 from colsift.plans.session import cut_lineage
 
@@ -27,8 +30,13 @@ SPLIT = 4
 PAIRS_COMPARED = 4096
 
 
-def _distance2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+def _squares(steps: list[Column]) -> Column:
+    return reduce(lambda total, step: total + step * step, steps, F.lit(0.0))
+
+
+def _distance2(a: str, b: str, d: int) -> Column:
+    """Written out feature by feature, so that it is compiled."""
+    return _squares([F.col(a)[i] - F.col(b)[i] for i in range(d)])
 
 
 def _offsets(dimensions: int, side: float, eps: float) -> list[tuple]:
@@ -47,56 +55,64 @@ def _shifted(cell: Column, offsets: list[tuple]) -> Column:
     return F.transform(table, lambda o: F.zip_with(cell, o, lambda a, b: a + b))
 
 
-def _neighbourhood(d: int, side: float, eps: float):
-    """How a cell's key follows from it, and the key offsets that lead to all cells with points within eps."""
+def _points(df: DataFrame, x: Column, side: float) -> DataFrame:
+    """Distinct points `x` with their number of rows `w`, their cell and the rows of the cell."""
+    points = df.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("w")).withColumn("cell", _cell_of(F.col("x"), side))
+    return points.join(points.groupBy("cell").agg(F.sum("w").alias("cell_w")), "cell")
+
+
+def _entries(points: DataFrame, d: int, side: float, eps: float, leaf_rows: int):
+    """The points by the key they are found at (one of them `home`), and the function from home rows to keys to look at."""
     if d <= LISTED_DIMENSIONS:
-        return (lambda cell: cell), _offsets(d, side, eps)
-    cells = math.ceil(eps / side)
-    block = lambda cell: F.transform(F.slice(cell, 1, LISTED_DIMENSIONS), lambda c: F.floor(c / F.lit(cells)))
-    return block, list(product((-1, 0, 1), repeat=LISTED_DIMENSIONS))
+        offsets = _offsets(d, side, eps)
+        return (cut_lineage(points.withColumns({"key": F.col("cell"), "home": F.lit(True)}), "points"),
+                lambda rows: rows.withColumn("key", F.explode(_shifted(F.col("key"), offsets))))
+    return cut_lineage(with_leaves(cut_lineage(points, "points"), d, eps, leaf_rows), "leaves"), lambda rows: rows
+
+
+def _grid(features: list[str], eps: float) -> tuple[Column, int, float]:
+    if not features:
+        raise ValueError("dbscan needs a feature")
+    return (F.array(*[ref(c).cast("double") + F.lit(0.0) for c in features]), len(features),
+            eps / math.sqrt(len(features)) * (1 - 1e-9))
 
 
-def _widest_first(df: DataFrame, features: list[str]) -> list[str]:
-    if len(features) <= LISTED_DIMENSIONS:
-        return features
-    row = df.agg(*[F.stddev_pop(ref(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    return [c for _, _, c in sorted((-(s or 0.0), i, c) for i, (s, c) in enumerate(zip(row, features)))]
+def compared_pairs(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, leaf_rows: int = LEAF_ROWS) -> int:
+    """How many pairs of points `dbscan` compares to count neighbours: per key, points of thin cells times points found there."""
+    x, d, side = _grid(features, eps)
+    entries, look = _entries(_points(df, x, side), d, side, eps, leaf_rows)
+    looking = look(entries.filter(F.col("home") & (F.col("cell_w") < min_samples))).groupBy("key").agg(F.count("*").alias("a"))
+    found = entries.groupBy("key").agg(F.count("*").alias("b"))
+    return looking.join(found, "key").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
 
 
-def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """The rows with `prediction`: a cluster number from 0, or -1 for noise.
 
     A border point within reach of several clusters takes the one whose cells come first.
     """
-    if not features:
-        raise ValueError("dbscan needs a feature")
-    features, d = _widest_first(df, features), len(features)
-    side = eps / math.sqrt(d) * (1 - 1e-9)
-    key_of, offsets = _neighbourhood(d, side, eps)
-    x = F.array(*[ref(c).cast("double") + F.lit(0.0) for c in features])
-    points = df.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("w")).withColumn("cell", _cell_of(F.col("x"), side))
-    weights = points.groupBy("cell").agg(F.sum("w").alias("cell_w"))
-    points = cut_lineage(points.join(weights, "cell").withColumn("key", key_of(F.col("cell"))), "points")
+    x, d, side = _grid(features, eps)
+    entries, look = _entries(_points(df, x, side), d, side, eps, leaf_rows)
 
-    thin = points.filter(F.col("cell_w") < min_samples)
-    around = thin.select(F.col("x").alias("p"), F.explode(_shifted(F.col("key"), offsets)).alias("key"))
-    near = around.join(points.select("key", "x", "w"), "key").filter(_distance2(F.col("p"), F.col("x")) <= eps * eps)
+    thin = entries.filter(F.col("cell_w") < min_samples)
+    around = look(thin.filter("home").select(F.col("x").alias("p"), "key"))
+    near = around.join(entries.select("key", "x", "w"), "key").filter(_distance2("p", "x", d) <= eps * eps)
     counted = near.groupBy("p").agg(F.sum("w").alias("near_w")).filter(F.col("near_w") >= min_samples)
-    core = points.filter(F.col("cell_w") >= min_samples).select("cell", "key", "x").unionAll(
-        thin.join(counted, F.col("x") == F.col("p"), "left_semi").select("cell", "key", "x"))
+    core = entries.filter(F.col("cell_w") >= min_samples).select("cell", "key", "home", "x").unionAll(
+        thin.join(counted, F.col("x") == F.col("p"), "left_semi").select("cell", "key", "home", "x"))
     core = cut_lineage(core, "core")
 
-    nodes = core.select(F.col("cell").alias("node")).distinct()
-    labels = components(nodes, _linked_cells(core, d, offsets, side, eps))
+    nodes = core.filter("home").select(F.col("cell").alias("node")).distinct()
+    labels = components(nodes, _linked_cells(core, d, look, side, eps))
     labels = labels.select(F.col("node").alias("cell"), F.col("root"))
     numbers = dense_codes(labels, "root")
     labels = labels.join(numbers, F.col("root") == F.col("level")).select("cell", F.col("code").alias("prediction"))
     core_labels = cut_lineage(core.join(labels, "cell"), "core-labels")
 
-    rest = around.join(core.select(F.col("x").alias("p")), "p", "left_anti")
-    border = (rest.join(core_labels, "key").filter(_distance2(F.col("p"), F.col("x")) <= eps * eps)
+    rest = around.join(core.filter("home").select(F.col("x").alias("p")), "p", "left_anti")
+    border = (rest.join(core_labels, "key").filter(_distance2("p", "x", d) <= eps * eps)
               .groupBy("p").agg(F.min("prediction").alias("prediction")).select(F.col("p").alias("_x"), "prediction"))
-    found = core_labels.select(F.col("x").alias("_x"), "prediction").unionAll(border)
+    found = core_labels.filter("home").select(F.col("x").alias("_x"), "prediction").unionAll(border)
     return (df.withColumn("_key", x).join(found, F.col("_key") == F.col("_x"), "left")
             .select(*[ref(c) for c in df.columns], F.coalesce("prediction", F.lit(-1)).cast("bigint").alias("prediction")))
 
@@ -109,30 +125,33 @@ def _boxes(core: DataFrame, d: int, side: float, level: int) -> DataFrame:
             .agg(corner(F.min).alias("low"), corner(F.max).alias("high"), F.min("x").alias("some"), F.count("*").alias("n")))
 
 
-def _linked_cells(core: DataFrame, d: int, offsets: list[tuple], side: float, eps: float) -> DataFrame:
-    """(u, v) of the cell pairs, u before v, with core points within eps of each other."""
+def _linked_cells(core: DataFrame, d: int, look, side: float, eps: float) -> DataFrame:
+    """(u, v) of the cell pairs, u before v, with core points within eps of each other.
+
+    A cell cut by the tree comes as one box for each leaf at first; the boxes it is split into later are whole ones.
+    """
+    at_home = core.filter("home")
     side_of = lambda boxes, tag: boxes.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("cell", "box", "low", "high", "some", "n")])
-    boxes = _boxes(core, d, side, 0)
-    left = boxes.select(
-        F.explode(_shifted(F.col("key"), offsets)).alias("key"), *[F.col(c).alias(f"{c}_u") for c in ("cell", "box", "low", "high", "some", "n")])
-    right = boxes.select("key", *[F.col(c).alias(f"{c}_v") for c in ("cell", "box", "low", "high", "some", "n")])
+    left = look(_boxes(at_home, d, side, 0)).select(
+        "key", *[F.col(c).alias(f"{c}_u") for c in ("cell", "box", "low", "high", "some", "n")])
+    right = _boxes(core, d, side, 0).select("key", *[F.col(c).alias(f"{c}_v") for c in ("cell", "box", "low", "high", "some", "n")])
     pairs = left.join(right, "key").filter(F.col("cell_u") < F.col("cell_v"))
     links, level = None, 0
     while True:
-        gap = F.aggregate(F.zip_with(
-            F.zip_with("low_u", "high_v", lambda a, b: a - b), F.zip_with("low_v", "high_u", lambda a, b: a - b),
-            lambda p, q: F.greatest(p, q, F.lit(0.0)) * F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-        met = _distance2(F.col("some_u"), F.col("some_v")) <= eps * eps
+        gap = _squares([F.greatest(F.col("low_u")[i] - F.col("high_v")[i], F.col("low_v")[i] - F.col("high_u")[i], F.lit(0.0))
+                        for i in range(d)])
+        met = _distance2("some_u", "some_v", d) <= eps * eps
         judged = cut_lineage(pairs.withColumn("linked", met).filter(F.col("linked") | (gap <= eps * eps * (1 + 1e-9)))
-                             .select("cell_u", "box_u", "cell_v", "box_v", "linked", (F.col("n_u") * F.col("n_v")).alias("n")), "boxes")
+                             .groupBy("cell_u", "box_u", "cell_v", "box_v")
+                             .agg(F.bool_or("linked").alias("linked"), F.max(F.col("n_u") * F.col("n_v")).alias("n")), "boxes")
         sure = judged.filter("linked").select(F.col("cell_u").alias("u"), F.col("cell_v").alias("v")).distinct()
         undecided = judged.filter("not linked").join(
             sure, (F.col("cell_u") == F.col("u")) & (F.col("cell_v") == F.col("v")), "left_anti").drop("linked")
         # pairs of few points are compared now, the others split
-        few, close = core.withColumn("box", _cell_of(F.col("x"), side / SPLIT**level)), undecided.filter(F.col("n") <= PAIRS_COMPARED)
+        few, close = at_home.withColumn("box", _cell_of(F.col("x"), side / SPLIT**level)), undecided.filter(F.col("n") <= PAIRS_COMPARED)
         for tag in ("u", "v"):
             close = close.join(few.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("cell", "box", "x")]), [f"cell_{tag}", f"box_{tag}"])
-        close = close.filter(_distance2(F.col("x_u"), F.col("x_v")) <= eps * eps)
+        close = close.filter(_distance2("x_u", "x_v", d) <= eps * eps)
         found = sure.unionAll(close.select(F.col("cell_u").alias("u"), F.col("cell_v").alias("v"))).distinct()
         links = found if links is None else links.unionAll(found)
         undecided = cut_lineage(undecided.filter(F.col("n") > PAIRS_COMPARED).drop("n"), "undecided")
@@ -140,7 +159,7 @@ def _linked_cells(core: DataFrame, d: int, offsets: list[tuple], side: float, ep
             return links
         level += 1
         parent = lambda tag: F.transform(f"box_{tag}", lambda b: F.floor(b / SPLIT))
-        finer = _boxes(core, d, side, level)
+        finer = _boxes(at_home, d, side, level)
         pairs = undecided.withColumnsRenamed({"box_u": "up_u", "box_v": "up_v"})
         for tag in ("u", "v"):
             pairs = pairs.join(side_of(finer, tag).withColumn(f"up_{tag}", parent(tag)), [f"cell_{tag}", f"up_{tag}"])

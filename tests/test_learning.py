@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colsift.ml import components, density, engine, metrics, models, prepare
+from colsift.ml import components, density, engine, metrics, models, prepare, spacetree
 
 
 @pytest.fixture(scope="module")
@@ -119,14 +119,14 @@ def brute_force(points, eps, min_samples):
 
 
 @pytest.mark.parametrize("dimensions,eps", [(1, 0.05), (2, 0.3), (3, 0.8), (6, 1.6)])
-def test_dbscan_matches_brute_force(spark, dimensions, eps):
+def test_dbscan_matches_brute_force(spark, dimensions, eps, **options):
     draw = random.Random(dimensions)
     points = [tuple(draw.gauss(3 * (i % 4), 0.6) for _ in range(dimensions)) for i in range(300)]
     # a third of the table is one point, and some pairs lie exactly eps apart
     points += [(1.0,) * dimensions] * 150 + [tuple([10.0 + k * eps] + [5.0] * (dimensions - 1)) for k in range(8)]
     names = [f"x{i}" for i in range(dimensions)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, " + ", ".join(f"{n} double" for n in names))
-    got = {r["id"]: r["prediction"] for r in density.dbscan(df, names, eps, 5).collect()}
+    got = {r["id"]: r["prediction"] for r in density.dbscan(df, names, eps, 5, **options).collect()}
     core, label, near = brute_force(points, eps, 5)
     assert len(got) == len(points)
     renamed = {}
@@ -147,6 +147,35 @@ def test_dbscan_splits_crowded_boxes(spark, monkeypatch):
     test_dbscan_matches_brute_force(spark, 2, 0.7)
 
 
+@pytest.mark.parametrize("dimensions,eps", [(5, 1.3), (8, 1.9)])
+def test_dbscan_on_small_leaves(spark, monkeypatch, dimensions, eps):
+    monkeypatch.setattr(density, "PAIRS_COMPARED", 4)
+    test_dbscan_matches_brute_force(spark, dimensions, eps, leaf_rows=12)
+
+
+def test_leaves_hold_all_neighbours(spark):
+    draw = random.Random(9)
+    points = [tuple(draw.choice([draw.gauss(0, 3), float(draw.randrange(-4, 5)), 2.0]) for _ in range(6)) for _ in range(900)]
+    points = sorted(set(points))
+    df = spark.createDataFrame([(list(p), i) for i, p in enumerate(points)], "x array<double>, i int")
+    eps = 1.0
+    rows = spacetree.with_leaves(df, 6, eps, 40).collect()
+    home = {r["i"]: r["key"] for r in rows if r["home"]}
+    found = {(r["key"], r["i"]) for r in rows}
+    assert len(home) == len(points) == sum(r["home"] for r in rows) and len(found) == len(rows) and len(set(home.values())) > 10
+    x = np.array(points)
+    for i, j in np.argwhere(((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps):
+        assert (home[i], j) in found
+
+
+def test_dbscan_compares_few_pairs_in_six_dimensions(spark):
+    draw = random.Random(2)
+    points = [tuple(draw.uniform(0, 100) for _ in range(6)) for _ in range(6000)]
+    df = spark.createDataFrame(points, "a double, b double, c double, d double, e double, f double")
+    pairs = density.compared_pairs(df, df.columns, 2.0, 5, leaf_rows=100)
+    assert 6000 <= pairs <= 6000 * 4 * 100
+
+
 def test_dbscan_needs_a_feature(spark):
     with pytest.raises(ValueError):
         density.dbscan(spark.range(1), [])
