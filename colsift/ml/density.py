@@ -67,7 +67,10 @@ def _entries(points: DataFrame, d: int, side: float, eps: float, leaf_rows: int)
         offsets = _offsets(d, side, eps)
         return (cut_lineage(points.withColumns({"key": F.col("cell"), "home": F.lit(True)}), "points"),
                 lambda rows: rows.withColumn("key", F.explode(_shifted(F.col("key"), offsets))))
-    return cut_lineage(with_leaves(cut_lineage(points, "points"), d, eps, leaf_rows), "leaves"), lambda rows: rows
+    # rows are few and pairs many: a fixed number of partitions, as adaptive merging goes by bytes alone
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (cut_lineage(with_leaves(cut_lineage(points, "points"), d, eps, leaf_rows), "leaves"),
+            lambda rows: rows.repartition(spread, "key"))
 
 
 def _grid(features: list[str], eps: float) -> tuple[Column, int, float]:
@@ -86,8 +89,9 @@ def compared_pairs(df: DataFrame, features: list[str], eps: float = 0.5, min_sam
     return looking.join(found, "key").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
 
 
-def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """The rows with `prediction`: a cluster number from 0, or -1 for noise.
+def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, leaf_rows: int = LEAF_ROWS,
+           core_column: str | None = None) -> DataFrame:
+    """The rows with `prediction`: a cluster number from 0, or -1 for noise; `core_column` names a flag of core points, if wished.
 
     A border point within reach of several clusters takes the one whose cells come first.
     """
@@ -111,10 +115,11 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
 
     rest = around.join(core.filter("home").select(F.col("x").alias("p")), "p", "left_anti")
     border = (rest.join(core_labels, "key").filter(_distance2("p", "x", d) <= eps * eps)
-              .groupBy("p").agg(F.min("prediction").alias("prediction")).select(F.col("p").alias("_x"), "prediction"))
-    found = core_labels.filter("home").select(F.col("x").alias("_x"), "prediction").unionAll(border)
+              .groupBy("p").agg(F.min("prediction").alias("prediction")).select(F.col("p").alias("_x"), "prediction", F.lit(False).alias("_core")))
+    found = core_labels.filter("home").select(F.col("x").alias("_x"), "prediction", F.lit(True).alias("_core")).unionAll(border)
+    flag = [F.coalesce("_core", F.lit(False)).alias(core_column)] if core_column else []
     return (df.withColumn("_key", x).join(found, F.col("_key") == F.col("_x"), "left")
-            .select(*[ref(c) for c in df.columns], F.coalesce("prediction", F.lit(-1)).cast("bigint").alias("prediction")))
+            .select(*[ref(c) for c in df.columns], F.coalesce("prediction", F.lit(-1)).cast("bigint").alias("prediction"), *flag))
 
 
 def _boxes(core: DataFrame, d: int, side: float, level: int) -> DataFrame:

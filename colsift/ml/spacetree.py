@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colsift.plans.session import cut_lineage
 
 FAN = 16
-LEAF_ROWS = 512
+LEAF_ROWS = 256
 
 
 def _cuts(entries: DataFrame, d: int, eps: float, leaf_rows: int) -> DataFrame:
