@@ -81,22 +81,18 @@ def fill_along(df: DataFrame, column: str, order_by: list[str], backward: bool =
     keys = [*order_by, "_tie", "_copy"]
     points = split_points(keyed, keys, df.count(), rows_per_bucket)
     marked = keyed.withColumn("_bucket", bucket_of(keyed, keys, points))
-    inside = Window.partitionBy("_bucket").orderBy(*[ref(k) for k in keys])
-    if backward:
-        filled = F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        filled = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    # backward is forward along the descending order: frames that grow are linear, those that shrink start anew at every row
+    along = (lambda k: ref(k).desc()) if backward else ref
+    inside = Window.partitionBy("_bucket").orderBy(*[along(k) for k in keys])
+    filled = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     result = marked.withColumn("_filled", filled)
     if points:
         edge = F.min_by if backward else F.max_by
         key = F.struct(*[ref(k) for k in keys])
         # one row per bucket, at most MAX_BUCKETS of them: a single window task and a broadcast are bounded
         edges = marked.groupBy("_bucket").agg(edge(value, F.when(value.isNotNull(), key)).alias("_edge"))
-        across = Window.orderBy("_bucket")
-        if backward:
-            carry = F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-        else:
-            carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+        across = Window.orderBy(along("_bucket"))
+        carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
         carried = edges.select("_bucket", carry.alias("_carry"))
         result = result.join(F.broadcast(carried), "_bucket", "left").withColumn("_filled", F.coalesce("_filled", "_carry"))
     return result.select(*[F.col("_filled").alias(c) if c == column else ref(c) for c in df.columns])

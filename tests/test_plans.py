@@ -212,3 +212,19 @@ def test_materialized_leaves_one_table(spark):
     assert kept.count() == 4 and len(set(here.glob("*")) - before) == 1
     discard(kept)
     assert set(here.glob("*")) == before
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_fill_along_has_growing_frames_only(spark, backward, capsys):
+    # a frame that ends at the last row is summed up anew at every row, which takes the square of a bucket's rows
+    df = spark.createDataFrame([(i, None if i % 3 else float(i)) for i in range(400)], "k int, v double")
+    ordering.fill_along(df, "v", ["k"], backward, rows_per_bucket=100).explain()
+    assert "unboundedpreceding" in (plan := capsys.readouterr().out) and "unboundedfollowing" not in plan
+
+
+def test_fill_backward_takes_missing_keys_where_ascending_order_has_them(spark):
+    rows = [(None, 1, None), (None, 2, 5.0), (1, 3, None), (2, 4, None), (2, 5, 7.0), (3, 6, None)]
+    df = spark.createDataFrame(rows, "t int, k int, v double").repartition(3)
+    for per_bucket in (2, 100):
+        got = {r["k"]: r["v"] for r in ordering.fill_along(df, "v", ["t", "k"], True, rows_per_bucket=per_bucket).collect()}
+        assert got == {1: 5.0, 2: 5.0, 3: 7.0, 4: 7.0, 5: 7.0, 6: None}
