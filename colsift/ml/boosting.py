@@ -8,7 +8,9 @@ A level is one job, whatever the number of classes and features; the driver sees
 rows would spend its time on starting jobs, so one task takes all its rows and up to `REWRITE` rounds at once, with the same functions.
 
 Scores are not kept up to date in place: the written rows carry those of some rounds before, and the tasks add the trees since.
-Every `REWRITE` rounds the rows are written anew, so lost executors cost no more than the job they were in.
+Every few rounds (`REWRITE`) the rows are written anew, so lost executors cost no more than the job they were in. They are spread over
+tasks by their number and written in blocks of up to BLOCK rows, whose numbers are one byte string each, as a level
+takes little more than the time to hand rows over.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, functions as F
 
 from colsift.ml.prepare import FEATURES, LABEL
-from colsift.plans.session import cut_lineage, discard
+from colsift.plans.session import ROWS_PER_TASK, cut_lineage, discard, spread_rows
 
 BINS, GAP = 256, 255
-REWRITE = 10
+REWRITE = 10  # rounds of one task
+REWRITE_LEVELS = 3  # rounds by levels: every level adds the trees since
+BLOCK = 65_536
+# sums of one node by feature, bin and task that one task may add
+SUMS_AT_ONCE = 2_000_000
 LEAST_GAIN = 1e-6
 
 
@@ -46,12 +52,14 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node that each row of `bins` (rows x features) reaches after so many levels."""
-        at, every = np.ones(len(bins), np.int64), np.arange(len(bins))
+        at, every = np.ones(len(bins), np.int64), np.arange(len(bins)) * bins.shape[1]
+        # where a row of each bin goes from each node, by node and bin: a step is three lookups
+        left = np.where(np.arange(BINS) == GAP, self.gap_left[:, None], np.arange(BINS) <= self.bin[:, None])
+        own = np.arange(len(self.feature))[:, None]
+        onward = np.where(self.feature[:, None] < 0, own, 2 * own + 1 - left).ravel()
+        feature, seen = np.maximum(self.feature, 0).astype(np.int64), np.ascontiguousarray(bins).ravel()
         for _ in range(levels):
-            feature = self.feature[at]
-            seen = bins[every, np.maximum(feature, 0)]
-            left = np.where(seen == GAP, self.gap_left[at], seen <= self.bin[at])
-            at = np.where(feature < 0, at, 2 * at + 1 - left)
+            at = onward.take(at * BINS + seen.take(every + feature.take(at)))
         return at
 
 
@@ -152,11 +160,9 @@ def scored(bins: np.ndarray, margins: np.ndarray, rounds: list[list[Tree]], sett
     return margins
 
 
-def _matrix(column, width: int, dtype) -> np.ndarray:
-    """Rows x width from an Arrow column of lists or of byte strings of equal length."""
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, width)
+def _matrix(column, width: int) -> np.ndarray:
+    """Rows x width from an Arrow column of lists of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
 @dataclass
@@ -211,15 +217,19 @@ class Boosting:
         if not n:
             raise ValueError("boosting needs rows")
         model = BoostedModel(settings, _edges(df.select(x.alias("x")), len(some)), 0.0 if settings.classes else mean)
-        rows, pending = cut_lineage(_written_form(df.select(x.alias("x"), LABEL), model), "boosting"), []
+        rows, pending = cut_lineage(_written_form(spread_rows(df.select(x.alias("x"), LABEL), n), model), "boosting"), []
+        small = n <= settings.rows_in_task
+        rewrite = REWRITE if small else REWRITE_LEVELS
+        # where the tasks' sums of a node are few they are dealt out by node at once, in one shuffle instead of two
+        few = -(-n // ROWS_PER_TASK) * len(some) * GAP <= SUMS_AT_ONCE
         while len(model.rounds) < settings.maxIter:
-            if n <= settings.rows_in_task:
-                new = _rounds_in_task(rows, pending, model, min(REWRITE - len(pending), settings.maxIter - len(model.rounds)))
+            if small:
+                new = _rounds_in_task(rows, pending, model, min(rewrite - len(pending), settings.maxIter - len(model.rounds)))
             else:
-                new = [_grow_by_levels(rows, pending, model)]
+                new = [_grow_by_levels(rows, pending, model, few)]
             model.rounds += new
             pending += new
-            if len(pending) == REWRITE and len(model.rounds) < settings.maxIter:
+            if len(pending) == rewrite and len(model.rounds) < settings.maxIter:
                 newer = cut_lineage(_with_scores(rows, pending, model), "boosting")
                 discard(rows)
                 rows, pending = newer, []
@@ -235,32 +245,42 @@ def _edges(x: DataFrame, d: int) -> list[np.ndarray]:
     return [np.unique(np.array(e or [0.0])) for e in row]
 
 
-ROWS = "bins binary, label double, margins array<double>"
+ROWS = "bins binary, label binary, margins binary"
 
 
-def _table(bins, label, margins) -> pa.RecordBatch:
-    n, d = bins.shape
-    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(d), n, [None, pa.py_buffer(np.ascontiguousarray(bins))]).cast(pa.binary())
-    starts = pa.array(np.arange(n + 1, dtype=np.int32) * margins.shape[1])
-    return pa.RecordBatch.from_arrays([raw, pa.array(label), pa.ListArray.from_arrays(starts, pa.array(margins.ravel()))],
-                                      ["bins", "label", "margins"])
+def _block(bins, label, margins) -> pa.RecordBatch:
+    """One row: up to BLOCK rows of the table, each kind of numbers as one byte string."""
+    kinds = zip(("bins", "label", "margins"), (bins, label, margins), (np.uint8, float, float))
+    return pa.RecordBatch.from_pydict({k: pa.array([np.ascontiguousarray(v, t).tobytes()], pa.binary()) for k, v, t in kinds})
 
 
 def _written_form(df: DataFrame, model: BoostedModel) -> DataFrame:
+    def block(parts):
+        x, label = (np.concatenate(p) for p in zip(*parts))
+        return _block(binned(x, model.edges), label, np.full((len(x), model.settings.scores), model.base))
+
     def add(batches):
+        held, n = [], 0
         for batch in filter(len, batches):
-            x = _matrix(batch.column(0), len(model.edges), float)
-            yield _table(binned(x, model.edges), batch.column(1).to_numpy(zero_copy_only=False),
-                         np.full((len(x), model.settings.scores), model.base))
+            for part in (batch.slice(i, BLOCK) for i in range(0, len(batch), BLOCK)):
+                if n + len(part) > BLOCK:
+                    yield block(held)
+                    held, n = [], 0
+                held.append((_matrix(part.column(0), len(model.edges)), part.column(1).to_numpy(zero_copy_only=False)))
+                n += len(part)
+        if held:
+            yield block(held)
 
     return df.mapInArrow(add, ROWS)
 
 
-def _parts(batch, pending: list, model: BoostedModel):
-    """(bins, label, scores with the pending rounds) of a batch of written rows."""
-    bins = _matrix(batch.column("bins"), len(model.edges), np.uint8)
-    margins = _matrix(batch.column("margins"), model.settings.scores, float)
-    return bins, batch.column("label").to_numpy(zero_copy_only=False), scored(bins, margins, pending, model.settings)
+def _parts(batches, pending: list, model: BoostedModel):
+    """(bins, label, scores with the pending rounds) of each written block."""
+    for batch in batches:
+        for block in zip(*(batch.column(c) for c in ("bins", "label", "margins"))):
+            bins, label, margins = (np.frombuffer(v.as_buffer(), t) for v, t in zip(block, (np.uint8, float, float)))
+            bins = bins.reshape(-1, len(model.edges))
+            yield bins, label, scored(bins, margins.reshape(-1, model.settings.scores), pending, model.settings)
 
 
 def _slim(model: BoostedModel) -> BoostedModel:
@@ -272,8 +292,8 @@ def _with_scores(rows: DataFrame, pending: list, model: BoostedModel) -> DataFra
     slim = _slim(model)
 
     def add(batches):
-        for batch in filter(len, batches):
-            yield _table(*_parts(batch, pending, slim))
+        for parts in _parts(batches, pending, slim):
+            yield _block(*parts)
 
     return rows.mapInArrow(add, ROWS)
 
@@ -287,7 +307,7 @@ def _rounds_in_task(rows: DataFrame, pending: list, model: BoostedModel, n: int)
     slim, settings = _slim(model), model.settings
 
     def grow(batches):
-        parts = [_parts(batch, pending, slim) for batch in filter(len, batches)]
+        parts = list(_parts(batches, pending, slim))
         if not parts:
             return
         bins, label, margins = (np.concatenate(p) for p in zip(*parts))
@@ -306,15 +326,14 @@ def _rounds_in_task(rows: DataFrame, pending: list, model: BoostedModel, n: int)
     return [trees[i:i + settings.scores] for i in range(0, len(trees), settings.scores)]
 
 
-def _grow_by_levels(rows: DataFrame, pending: list, model: BoostedModel) -> list[Tree]:
+def _grow_by_levels(rows: DataFrame, pending: list, model: BoostedModel, few: bool) -> list[Tree]:
     """The trees of a round level by level from sums over all rows."""
     slim, settings, d = _slim(model), model.settings, len(model.edges)
     trees = [Tree.empty(settings.maxDepth) for _ in range(settings.scores)]
     for level in range(settings.maxDepth + 1):
         def sums_of(batches):
             sums = None
-            for batch in filter(len, batches):
-                bins, label, margins = _parts(batch, pending, slim)
+            for bins, label, margins in _parts(batches, pending, slim):
                 g, h = derivatives(margins, label, settings)
                 part = np.stack([level_sums(bins, g[:, k], h[:, k], t.nodes(bins, level), level) for k, t in enumerate(trees)])
                 sums = part if sums is None else sums + part
@@ -332,7 +351,8 @@ def _grow_by_levels(rows: DataFrame, pending: list, model: BoostedModel) -> list
             return pa.table({"tree": table.column("tree")[:1], "node": table.column("node")[:1]} |
                             {c: pa.array([found[c].item() if hasattr(found[c], "item") else found[c]], t) for c, t in zip(TREE_COLUMNS, types)})
 
-        added = rows.mapInArrow(sums_of, "tree int, node int, cell int, g double, h double").groupBy("tree", "node", "cell").agg(
+        parts = rows.mapInArrow(sums_of, "tree int, node int, cell int, g double, h double")
+        added = (parts.repartition("tree", "node") if few else parts).groupBy("tree", "node", "cell").agg(
             F.sum("g").alias("g"), F.sum("h").alias("h"))
         splits = added.groupBy("tree", "node").applyInArrow(
             split, "tree int, node int, feature int, bin int, gap_left boolean, gain double, value double").collect()

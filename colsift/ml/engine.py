@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colsift.functions.values import ref
 from colsift.ml import density, metrics, models, prepare
-from colsift.plans.session import cut_lineage, discard, small_frame
+from colsift.plans.session import cut_lineage, discard, small_frame, spread_rows
 from colsift.plans.stats import TableStats
 
 SMALL_SAMPLE = 1000
@@ -104,7 +104,10 @@ class ModelBench:
             scored = clustered.agg(F.lit(None).cast("double").alias("inertia"),
                                    F.count_distinct("prediction").alias("n_clusters"))
             return Trained(key, None, clustered, scored, seconds, scaler, options=options)
-        data = self._assembled(train, key)
+        has_label = self.problem != "clustering" and self.prepared.has_label
+        n_rows, top = train.agg(F.count("*"), F.max(prepare.LABEL) if has_label else F.lit(None)).first()
+        # fits keep the rows in their own form, wide or with a number for each tree; they are dealt out while they are narrow
+        data = self._assembled(spread_rows(train, n_rows), key)
         if self.problem == "clustering":
             model = models.estimator(self.problem, name, **options).fit(data)
             seconds = time.time() - started
@@ -113,11 +116,11 @@ class ModelBench:
             return Trained(key, model, predictions, scored, seconds, scaler, options=options)
         if not self.prepared.has_label:
             raise ValueError(f"{self.problem} needs a target column")
-        n_rows, top = data.agg(F.count("*"), F.max(prepare.LABEL)).first()
         n_classes = int(top) + 1 if self.problem == "classification" else 0
         model = models.estimator(self.problem, name, n_classes, n_rows, **options).fit(data)
         seconds = time.time() - started
-        predictions = model.transform(self._assembled(test, key)).select(prepare.LABEL, "prediction")
+        n_test = round(n_rows * test_size / (1 - test_size)) if test_size < 1 else n_rows
+        predictions = model.transform(self._assembled(spread_rows(test, n_test), key)).select(prepare.LABEL, "prediction")
         score = metrics.classification_metrics if self.problem == "classification" else metrics.regression_metrics
         return Trained(key, model, predictions, score(predictions), seconds, scaler, self._importance(model), options)
 

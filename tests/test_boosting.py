@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 
+from colsift.ml import boosting, engine
 from colsift.ml.boosting import Boosting, Settings, derivatives
+from colsift.plans import session
 
 
 def table(spark, x, y):
@@ -73,3 +75,34 @@ def test_tables_without_rows_or_without_a_split(spark):
     with pytest.raises(ValueError):
         Boosting().fit(flat.limit(0))
     assert Boosting(maxIter=1).fit(flat).transform(flat.limit(0)).count() == 0
+
+
+def test_rows_are_written_in_spread_blocks_and_sums_meet_either_way(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 9, (500, 2)).astype(float)
+    df = table(spark, x, x[:, 0] * 2 + x[:, 1]).coalesce(1)
+    written = []
+    real = boosting._written_form
+    monkeypatch.setattr(boosting, "_written_form", lambda rows, model: written.append(real(rows, model)) or written[-1])
+    monkeypatch.setattr(boosting, "BLOCK", 60)
+    monkeypatch.setattr(boosting, "spread_rows", lambda rows, n: session.spread_rows(rows, n, 100))
+    options = {"maxIter": 4, "maxDepth": 3, "rows_in_task": 10}
+    fits = []
+    for bound in (0, 10**9):
+        monkeypatch.setattr(boosting, "SUMS_AT_ONCE", bound)
+        fits.append(Boosting(**options).fit(df))
+    assert written[0].rdd.getNumPartitions() == 5 and all(len(r["bins"]) <= 120 for r in written[0].collect())
+    assert np.allclose(fits[0].margins(x), fits[1].margins(x))
+    assert np.allclose(fits[0].margins(x), plain_scores(x, x[:, 0] * 2 + x[:, 1], Settings(maxIter=4, maxDepth=3)))
+
+
+def test_fits_deal_rows_out_by_their_number(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(engine, "spread_rows", lambda df, n: seen.append(session.spread_rows(df, n, 100)) or seen[-1])
+    df = spark.createDataFrame([(i / 7, i / 7 + i % 3) for i in range(900)], "a double, y double").coalesce(1)
+    with engine.ModelBench(df, "y", "regression", ["a"]) as bench:
+        found = bench.train("svr").metrics.first()
+        # asked while the bench is open, as it removes what the rows are read from
+        assert seen[0].rdd.getNumPartitions() == -(-seen[0].count() // 100) and seen[1].rdd.getNumPartitions() > 1
+        assert seen[0].count() + seen[1].count() == 900
+    assert found["r2"] > 0
