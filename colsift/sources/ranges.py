@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from colsift.plans.session import cut_lineage
 
 WHOLE, OPENS, WITHIN, CLOSES = 0, 1, 2, 3
+# records are handed on in batches of at most so many, or as soon as they have so many characters
+RECORDS_HELD, CHARACTERS_HELD = 10_000, 4_000_000
+# pieces taken out of Arrow at a time
+PIECES_AT_ONCE = 500
 CUT = "file string, begin bigint, number bigint, kind int, first boolean, text string"
 CUT_ARROW = pa.schema([("file", pa.string()), ("begin", pa.int64()), ("number", pa.int64()), ("kind", pa.int32()), ("first", pa.bool_()),
                        ("text", pa.string())])
@@ -69,18 +73,24 @@ def cut(parts: DataFrame, states: dict[tuple, object], cutter: Callable) -> Data
     """Written records and fragments (CUT). `cutter(state, batches)` yields (kind, text) of a range in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, begin), group in _by_range(batches):
-            number, held = 0, []
+            number, held, size = 0, [], 0
             for kind, text in cutter(states[file, begin], group):
                 held.append((file, begin, number, kind, begin == 0 and number == 0, text))
-                number += 1
-                if len(held) == 10_000:
+                number, size = number + 1, size + len(text)
+                if len(held) == RECORDS_HELD or size >= CHARACTERS_HELD:
                     yield _rows(held)
-                    held = []
+                    held, size = [], 0
             yield _rows(held)
 
     return cut_lineage(parts.mapInArrow(run, CUT), "records")
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    """The pieces of a batch, a few at a time: a batch has a number of rows, whatever their length."""
+    for i in range(0, len(batch), PIECES_AT_ONCE):
+        yield from batch.column("piece").slice(i, PIECES_AT_ONCE).to_pylist()
+
+
 def _rows(held: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*held)) or [()] * len(CUT_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CUT_ARROW)], schema=CUT_ARROW)
@@ -140,7 +150,7 @@ def _cut_lines(state: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[
     for batch in batches:
         after = _states(batch, state)
         state = int(after[-1])
-        for line, inside in zip(batch.column("piece").to_pylist(), after.tolist()):
+        for line, inside in zip(_texts(batch), after.tolist()):
             if inside or held or continued:
                 held.append(line)
                 if inside:
@@ -178,7 +188,7 @@ def _scan_json(closing: bool) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> list:
         odd, depth = 0, [0, 0]
         for batch in batches:
-            for piece in batch.column("piece").to_pylist():
+            for piece in _texts(batch):
                 for token in TOKEN.findall(piece):
                     if token == '"':
                         odd ^= 1
@@ -211,7 +221,7 @@ def _cut_elements(state: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tu
     (inside, depth), held = state, []
     continued = bool(inside) or depth > 1
     for batch in batches:
-        for piece in batch.column("piece").to_pylist():
+        for piece in _texts(batch):
             inside, depth = _after(piece, inside, depth)
             held.append(piece + "}")
             if not inside:
@@ -242,7 +252,7 @@ def _cut_cells(state: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
     continued = bool(inside) or depth > 2
     begun = depth
     for batch in batches:
-        for piece in batch.column("piece").to_pylist():
+        for piece in _texts(batch):
             if not held:
                 begun = depth
             inside, depth = _after(piece, inside, depth)

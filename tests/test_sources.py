@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,25 @@ def test_descriptor(spark, tmp_path):
     row = readers.descriptor(spark, str(path)).first()
     assert (row["filename"], row["rows"], row["columns"], row["column_names"]) == ("t.csv", 1, 2, "a,b")
     assert row["size_mb"] == pytest.approx(len(json.dumps("a,b 1,2 ")[1:-1]) / 1024**2, rel=0.01)
+
+
+def test_records_are_handed_on_by_size_as_well(spark, tmp_path, monkeypatch):
+    # long records: a batch by number alone would hold all of them at once
+    texts = [f"{i} " + f"line {i}\n" * 40 for i in range(300)]
+    (tmp_path / "long.csv").write_text("k,t\n" + "".join(f'{i},"{t}"\n' for i, t in enumerate(texts)))
+    sizes, real = [], ranges._rows
+    monkeypatch.setattr(ranges, "CHARACTERS_HELD", 5000)
+    monkeypatch.setattr(ranges, "PIECES_AT_ONCE", 7)
+    lines = pa.record_batch({"file": ["f"] * 12_000, "begin": pa.array([0] * 12_000), "piece": ["x" * 100] * 12_000,
+                             "a": pa.array([False] * 12_000), "b": pa.array([True] * 12_000)})
+    monkeypatch.setattr(ranges, "_rows", lambda held: sizes.append(sum(len(h[5]) for h in held)) or real(held))
+    monkeypatch.setattr(ranges, "cut_lineage", lambda df, label: df)
+
+    class Parts:
+        def mapInArrow(self, run, schema):
+            return [r for b in run(iter([lines])) for r in b.column("text").to_pylist()]
+
+    assert ranges.cut(Parts(), {("f", 0): 0}, ranges._cut_lines) == ["x" * 100] * 12_000 and max(sizes) <= 5100
+    monkeypatch.undo()
+    got = readers.read_csv(spark, str(tmp_path / "long.csv"))
+    assert {r["k"]: r["t"] for r in got.collect()} == dict(enumerate(texts))
