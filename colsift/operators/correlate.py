@@ -99,7 +99,9 @@ def spearman_pairs(stats: TableStats, rows_per_bucket: int = ordering.ROWS_PER_B
     rank = lambda v: F.when(F.col(f"n{v}") > 0, F.col(f"below{v}") + (F.col(f"n{v}") + 1) / 2)
     ranks = below.select("c", "x", *[rank(v).alias(f"v{v}") for v in rankings])
     needed = sorted({(i, variant(a, b)) for i, a in enumerate(columns) for b in columns if a != b})
-    wide = long.select("id", "c", "x").join(ranks, ["c", "x"]).groupBy("id").agg(
+    # the narrow rows are dealt out by row before they are laid side by side: partial rows would be as wide as whole ones
+    narrow = long.select("id", "c", "x").join(ranks, ["c", "x"]).select("id", "c", *[f"v{v}" for v in rankings]).repartition("id")
+    wide = narrow.groupBy("id").agg(
         *[F.max(F.when(F.col("c") == i, F.col(f"v{v}"))).alias(f"r{i}_{v}") for i, v in needed])
     wide = cut_lineage(wide.drop("id"), "ranks")
     pairs = list(combinations(range(len(columns)), 2))

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colsift.operators import correlate
 from colsift.plans import frequencies, ordering, quantiles
 from colsift.plans.fingerprints import duplicate_count
 from colsift.plans.session import scratch_path, shared_folder
@@ -228,3 +229,16 @@ def test_fill_backward_takes_missing_keys_where_ascending_order_has_them(spark):
     for per_bucket in (2, 100):
         got = {r["k"]: r["v"] for r in ordering.fill_along(df, "v", ["t", "k"], True, rows_per_bucket=per_bucket).collect()}
         assert got == {1: 5.0, 2: 5.0, 3: 7.0, 4: 7.0, 5: 7.0, 6: None}
+
+
+def test_spearman_deals_out_narrow_rows(spark, monkeypatch, capsys):
+    # rows partly laid side by side before the shuffle are as wide as whole ones, once for each column
+    real, seen = correlate.cut_lineage, []
+    monkeypatch.setattr(correlate, "cut_lineage", lambda df, label: (seen.append(df) if label == "ranks" else None) or real(df, label))
+    monkeypatch.setattr(correlate, "discard", lambda *frames: None)
+    df = spark.createDataFrame([(float(i % 5), float(i), None if i % 4 else float(-i)) for i in range(40)], "a double, b double, c double")
+    found = correlate.spearman_pairs(TableStats(df))
+    seen[0].explain()
+    assert "REPARTITION_BY_COL" in capsys.readouterr().out
+    want = df.toPandas().corr("spearman")
+    assert found == pytest.approx([want.loc[p] for p in (("a", "b"), ("a", "c"), ("b", "c"))])
