@@ -23,27 +23,32 @@ from colsift.plans.session import cut_lineage, discard, together
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 32_768
 STRIPE = 64
+COMPARED = 16
 
 Bounds = list[tuple[np.ndarray, np.ndarray]]
 
 
 def inversions(ranks: np.ndarray) -> int:
-    """Pairs of places whose later number is smaller: blocks are merged by sorting, and what comes over from the right half of
-    a block before a number of the left half is counted."""
-    n, width, total = len(ranks), 1, 0
+    """Pairs of places whose later number is smaller. Short blocks are compared place by place; then two neighbouring blocks at a time
+    are merged by sorting, and what comes over from the right one before a number of the left one is counted."""
+    n, width = len(ranks), COMPARED
     if n < 2:
         return 0
-    place, bits = np.arange(n, dtype=np.int64), int(ranks.max()).bit_length() + 1
-    now = ranks.astype(np.int64)
-    while width < n:
-        block = place // (2 * width)
-        key = (block << bits) | (now << 1) | ((place // width) & 1)
-        key.sort()
-        right = key & 1
-        before = np.cumsum(right) - block * width
-        total += int(before[right == 0].sum())
-        now = (key & ((1 << bits) - 1)) >> 1
-        width *= 2
+    filler = int(ranks.max()) + 1  # behind all others and larger: in no such pair
+    now = np.full(-(-n // width) * width, filler, np.int32 if filler < 1 << 30 else np.int64)
+    now[:n] = ranks
+    now = now.reshape(-1, width)
+    total = sum(int(np.count_nonzero(now[:, :-s] > now[:, s:])) for s in range(1, width))
+    while len(now) > 1:
+        if len(now) % 2:
+            now = np.concatenate([now, np.full((1, width), filler, now.dtype)])
+        key = now << 1
+        key[1::2] |= 1
+        key = key.reshape(-1, 2 * width)
+        key.sort(axis=1)
+        # a number of the right block is before all that follow it; those of its own block are taken off
+        total += int((key & 1).sum(axis=0, dtype=np.int64) @ np.arange(2 * width, 0, -1)) - len(key) * (width * (width + 1) // 2)
+        now, width = key >> 1, 2 * width
     return total
 
 

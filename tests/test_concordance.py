@@ -47,3 +47,12 @@ def test_inversions():
 def test_kendall_of_empty_and_single_columns(spark):
     assert concordance.kendall_pairs(spark.createDataFrame([], "a double, b double")) == [None]
     assert concordance.kendall_pairs(spark.createDataFrame([(1.0,)], "a double")) == []
+
+
+def test_inversions_of_any_length_and_of_large_numbers():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 15, 16, 17, 33, 100, 700):
+        for most in (1, 3, 50, 1 << 29, 1 << 60):
+            ranks = draw.integers(0, most, n)
+            want = sum(int((ranks[i] > ranks[i + 1:]).sum()) for i in range(n))
+            assert concordance.inversions(ranks) == want
