@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colsift.functions.values import ref
 from colsift.ml.components import components
-from colsift.ml.spacetree import LEAF_ROWS, with_leaves
+from colsift.ml.spacetree import LEAF_ROWS, meet, with_leaves
 from colsift.plans.ordering import dense_codes
 from colsift.plans.session import cut_lineage
 
@@ -73,6 +73,17 @@ def _entries(points: DataFrame, d: int, side: float, eps: float, leaf_rows: int)
             lambda rows: rows.repartition(spread, "key"))
 
 
+def _same(a: str, b: str) -> Column:
+    """Whether two points are equal; a hash goes first, as sorting by arrays is slow."""
+    return (F.xxhash64(a) == F.xxhash64(b)) & (F.col(a) == F.col(b))
+
+
+def _near(around: DataFrame, found: DataFrame, d: int, eps: float) -> DataFrame:
+    """The pairs of `around` (p, key) and `found` (key, x and more) within eps of each other."""
+    met = around.join(found, "key") if d <= LISTED_DIMENSIONS else meet(around, found, (("p", "p"), ("x", "x")), d, eps * eps)
+    return met.filter(_distance2("p", "x", d) <= eps * eps)
+
+
 def _grid(features: list[str], eps: float) -> tuple[Column, int, float]:
     if not features:
         raise ValueError("dbscan needs a feature")
@@ -100,10 +111,10 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
 
     thin = entries.filter(F.col("cell_w") < min_samples)
     around = look(thin.filter("home").select(F.col("x").alias("p"), "key"))
-    near = around.join(entries.select("key", "x", "w"), "key").filter(_distance2("p", "x", d) <= eps * eps)
+    near = _near(around, entries.select("key", "x", "w"), d, eps)
     counted = near.groupBy("p").agg(F.sum("w").alias("near_w")).filter(F.col("near_w") >= min_samples)
     core = entries.filter(F.col("cell_w") >= min_samples).select("cell", "key", "home", "x").unionAll(
-        thin.join(counted, F.col("x") == F.col("p"), "left_semi").select("cell", "key", "home", "x"))
+        thin.join(counted, _same("x", "p"), "left_semi").select("cell", "key", "home", "x"))
     core = cut_lineage(core, "core")
 
     nodes = core.filter("home").select(F.col("cell").alias("node")).distinct()
@@ -113,12 +124,12 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     labels = labels.join(numbers, F.col("root") == F.col("level")).select("cell", F.col("code").alias("prediction"))
     core_labels = cut_lineage(core.join(labels, "cell"), "core-labels")
 
-    rest = around.join(core.filter("home").select(F.col("x").alias("p")), "p", "left_anti")
-    border = (rest.join(core_labels, "key").filter(_distance2("p", "x", d) <= eps * eps)
+    rest = around.join(core.filter("home").select(F.col("x").alias("_x")), _same("p", "_x"), "left_anti")
+    border = (_near(rest, core_labels.select("key", "x", "prediction"), d, eps)
               .groupBy("p").agg(F.min("prediction").alias("prediction")).select(F.col("p").alias("_x"), "prediction", F.lit(False).alias("_core")))
     found = core_labels.filter("home").select(F.col("x").alias("_x"), "prediction", F.lit(True).alias("_core")).unionAll(border)
     flag = [F.coalesce("_core", F.lit(False)).alias(core_column)] if core_column else []
-    return (df.withColumn("_key", x).join(found, F.col("_key") == F.col("_x"), "left")
+    return (df.withColumn("_key", x).join(found, _same("_key", "_x"), "left")
             .select(*[ref(c) for c in df.columns], F.coalesce("prediction", F.lit(-1)).cast("bigint").alias("prediction"), *flag))
 
 
@@ -126,8 +137,9 @@ def _boxes(core: DataFrame, d: int, side: float, level: int) -> DataFrame:
     """Per cell and box of the given level: lower corner, upper corner, one of its points and how many there are."""
     fine = side / SPLIT**level
     corner = lambda f: F.array(*[f(F.col("x")[i]) for i in range(d)])
-    return (core.withColumn("box", _cell_of(F.col("x"), fine)).groupBy("key", "cell", "box")
-            .agg(corner(F.min).alias("low"), corner(F.max).alias("high"), F.min("x").alias("some"), F.count("*").alias("n")))
+    # the minimum of an array sorts the rows, a hash before the arrays makes that quick
+    return (core.withColumn("box", _cell_of(F.col("x"), fine)).groupBy(F.xxhash64("key", "cell", "box").alias("_hash"), "key", "cell", "box")
+            .agg(corner(F.min).alias("low"), corner(F.max).alias("high"), F.min("x").alias("some"), F.count("*").alias("n")).drop("_hash"))
 
 
 def _linked_cells(core: DataFrame, d: int, look, side: float, eps: float) -> DataFrame:
@@ -140,7 +152,11 @@ def _linked_cells(core: DataFrame, d: int, look, side: float, eps: float) -> Dat
     left = look(_boxes(at_home, d, side, 0)).select(
         "key", *[F.col(c).alias(f"{c}_u") for c in ("cell", "box", "low", "high", "some", "n")])
     right = _boxes(core, d, side, 0).select("key", *[F.col(c).alias(f"{c}_v") for c in ("cell", "box", "low", "high", "some", "n")])
-    pairs = left.join(right, "key").filter(F.col("cell_u") < F.col("cell_v"))
+    if d <= LISTED_DIMENSIONS:
+        pairs = left.join(right, "key")
+    else:
+        pairs = meet(left, right, (("low_u", "high_u"), ("low_v", "high_v")), d, eps * eps * (1 + 1e-9))
+    pairs = pairs.filter(F.col("cell_u") < F.col("cell_v"))
     links, level = None, 0
     while True:
         gap = _squares([F.greatest(F.col("low_u")[i] - F.col("high_v")[i], F.col("low_v")[i] - F.col("high_u")[i], F.lit(0.0))

@@ -168,6 +168,25 @@ def test_leaves_hold_all_neighbours(spark):
         assert (home[i], j) in found
 
 
+def test_coarse_leaves_and_those_passed_on_hold_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(spacetree, "SAMPLE_PER_LEAF", 8)
+    monkeypatch.setattr(spacetree, "COARSE_ROWS", 60)
+    monkeypatch.setattr(spacetree.with_leaves, "__defaults__", (40, 60))
+    test_leaves_hold_all_neighbours(spark)
+    for large in (8, 0.5):
+        monkeypatch.setattr(spacetree, "TOO_LARGE", large)
+        test_dbscan_on_small_leaves(spark, monkeypatch, 5, 1.3)
+
+
+def test_cuts_in_gaps_make_no_guests(spark):
+    # steps wider than eps in two dimensions: rows meet only those of their own step
+    draw = random.Random(4)
+    points = [(float(draw.randrange(7)), float(draw.randrange(9)), *(draw.uniform(0, 3) for _ in range(6))) for _ in range(6300)]
+    df = spark.createDataFrame([(list(p),) for p in points], "x array<double>")
+    rows = spacetree.with_leaves(df, 8, 0.9, 200).agg({"*": "count"}).first()[0]
+    assert rows == len(points)
+
+
 def test_dbscan_compares_few_pairs_in_six_dimensions(spark):
     draw = random.Random(2)
     points = [tuple(draw.uniform(0, 100) for _ in range(6)) for _ in range(6000)]
