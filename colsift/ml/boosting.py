@@ -15,6 +15,7 @@ takes little more than the time to hand rows over.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from colsift.functions.values import ref
 from colsift.ml.prepare import FEATURES, LABEL
 from colsift.plans.session import ROWS_PER_TASK, cut_lineage, discard, spread_rows
 
@@ -180,17 +183,20 @@ class BoostedModel:
         """The rows with `prediction`: a number, or the code of the likeliest class, the first one at ties."""
         model = self
 
-        @F.pandas_udf("double")
-        def predict(x):
-            import pandas as pd
-            if not len(x):
-                return pd.Series([], dtype="float64")
-            found = model.margins(np.stack(x.to_numpy()).astype(float))
-            if not model.settings.classes:
-                return pd.Series(found[:, 0])
-            return pd.Series((found[:, 0] > 0 if found.shape[1] == 1 else found.argmax(axis=1)).astype(float))
-
-        return df.withColumn("prediction", predict(vector_to_array(FEATURES)))
+        others = df.drop("prediction")
+        schema = StructType([*others.schema.fields, StructField("prediction", DoubleType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = model.margins(_matrix(batch.column(batch.num_columns - 1), len(model.edges)))
+                if not model.settings.classes:
+                    codes = found[:, 0]
+                else:
+                    codes = (found[:, 0] > 0 if found.shape[1] == 1 else found.argmax(axis=1)).astype(float)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(codes, pa.float64())], names=schema.names)
+
+        return others.select("*", vector_to_array(FEATURES).alias("_features")).mapInArrow(run, schema).select(
+            *[ref(c) for c in df.columns], *["prediction"] * ("prediction" not in df.columns))
 
     @property
     def featureImportances(self) -> DenseVector:
