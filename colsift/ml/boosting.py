@@ -327,8 +327,9 @@ def _rounds_in_task(rows: DataFrame, pending: list, model: BoostedModel, n: int)
                     {"round": np.full(size, r, np.int32), "tree": np.full(size, k, np.int32), "node": np.arange(size, dtype=np.int32)}
                     | {c: getattr(tree, c) for c in TREE_COLUMNS})
 
-    found = rows.coalesce(1).mapInArrow(grow, TREES).toPandas().sort_values(["round", "tree", "node"])
-    trees = [Tree(*(part[c].to_numpy().copy() for c in TREE_COLUMNS)) for _, part in found.groupby(["round", "tree"])]
+    found = rows.coalesce(1).mapInArrow(grow, TREES).toArrow().sort_by([(c, "ascending") for c in ("round", "tree", "node")])
+    begins = np.flatnonzero(found.column("node").to_numpy() == 0)[1:]
+    trees = [Tree(*(part.copy() for part in parts)) for parts in zip(*(np.split(found.column(c).to_numpy(), begins) for c in TREE_COLUMNS))] if len(found) else []
     return [trees[i:i + settings.scores] for i in range(0, len(trees), settings.scores)]
 
 
