@@ -116,14 +116,20 @@ def opens_quote(piece: Column, sep: str) -> tuple[Column, Column]:
     """Whether a line ends inside a quoted field, if it begins outside and if it begins inside one.
 
     A field is quoted if it begins with a quote; two quotes inside are one; what follows a closing quote up to the delimiter, and
-    quotes in other fields, are plain text.
+    quotes in other fields, are plain text. A line without a quote is settled by that.
     """
     s = re.escape(sep)
     quoted = r'[^"]*+(?:""[^"]*+)*+'
     fields = f'(?:(?:"{quoted}"[^{s}]*+|[^"{s}][^{s}]*+|){s})*+'
     outside = f'^{fields}"{quoted}\\z'
     inside = f'^{quoted}(?:\\z|"[^{s}]*+{s}{fields}"{quoted}\\z)'
-    return piece.rlike(outside), piece.rlike(inside)
+    quotes = F.contains(piece, F.lit('"'))
+    return quotes & piece.rlike(outside), ~quotes | piece.rlike(inside)
+
+
+def without_end(text: Column, end: str) -> Column:
+    """The text less one `end`, a character, at its end."""
+    return F.when(F.endswith(text, F.lit(end)), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
 def _states(batch: pa.RecordBatch, before: int) -> np.ndarray:
@@ -166,14 +172,14 @@ def csv_records(spark: SparkSession, path: str, sep: str) -> DataFrame | None:
     """(text) of the records after the header of each file, quoted line breaks inside them; None if no line ends inside quotes,
     so that each line is a record."""
     lines = pieces(spark, path, "\n")
-    outside, inside = opens_quote(F.regexp_replace("piece", r"\r\z", ""), sep)
+    outside, inside = opens_quote(without_end(F.col("piece"), "\r"), sep)
     if lines.filter(outside).isEmpty():
         return None
     marked = lines.withColumns({"a": outside, "b": inside})
     states = composed(marked.select("file", "begin", "a", "b"), _scan_lines, lambda state, after: after[state], 0)
     written = cut(marked.select("file", "begin", "piece", "a", "b"), states, _cut_lines)
-    text = F.regexp_replace("text", r"\n\z", "")
-    plain = F.when(F.endswith(text, F.lit("\r")), F.replace(F.regexp_replace(text, r"\r\z", ""), F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+    text = without_end(F.col("text"), "\n")
+    plain = F.when(F.endswith(text, F.lit("\r")), F.replace(without_end(text, "\r"), F.lit("\r\n"), F.lit("\n"))).otherwise(text)
     return stitched(written, True).filter("NOT first").select(plain.alias("text")).filter(F.trim("text") != "")
 
 

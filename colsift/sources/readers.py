@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from colsift.functions.values import NA_TOKENS, ref, to_number
 from colsift.plans.session import scratch_path, small_frame
@@ -13,6 +13,15 @@ from colsift.sources.ranges import array_records, column_cells, csv_records, pie
 CSV_OPTIONS = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
                "ignoreTrailingWhiteSpace": False}
 COLUMNS_PER_SCAN = 60
+# white space of the patterns, signs, digits, the point and infinity
+NUMBERS_BEGIN = list(" \t\n\x0b\f\r+-.0123456789iI")
+
+
+def value_kind(value: Column) -> Column:
+    """1 whole number, 2 other number, 3 truth value, 4 other text, NULL for none. What a number cannot begin with is seen at once."""
+    whole = value.rlike(r"^\s*[+-]?[0-9]+\s*$") & value.try_cast("bigint").isNotNull()
+    return (F.when(value.isNull(), None).when(value.isin("True", "TRUE", "true", "False", "FALSE", "false"), 3)
+            .when(~F.substring(value, 1, 1).isin(NUMBERS_BEGIN), 4).when(whole, 1).when(to_number(value).isNotNull(), 2).otherwise(4))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -25,22 +34,14 @@ def infer_types(df: DataFrame) -> DataFrame:
     target: dict[str, str] = {}
     for start in range(0, len(texts), COLUMNS_PER_SCAN):
         part = texts[start:start + COLUMNS_PER_SCAN]
-        fits = []
-        for c in part:
-            value = ref(c)
-            whole = value.rlike(r"^\s*[+-]?[0-9]+\s*$") & value.try_cast("bigint").isNotNull()
-            flag = value.isin("True", "TRUE", "true", "False", "FALSE", "false")
-            fits.append(F.struct(*[F.bool_and(F.when(value.isNotNull(), test)).alias(name) for name, test in (
-                ("whole", whole), ("number", to_number(value).isNotNull()), ("flag", flag))]))
-        row = clean.agg(*fits).first()
-        for c, (whole, number, flag) in zip(part, row):
-            if whole is None:
-                target[c] = "double"
-            elif whole:
-                target[c] = "bigint"
-            elif number:
+        kinds = clean.select(*[value_kind(ref(c)).alias(f"k{i}") for i, c in enumerate(part)])
+        row = kinds.agg(*[F.struct(F.min(k), F.max(k)) for k in kinds.columns]).first()
+        for c, (low, high) in zip(part, row):
+            if high is None:
                 target[c] = "double"
-            elif flag:
+            elif high <= 2:
+                target[c] = "bigint" if high == 1 else "double"
+            elif low == high == 3:
                 target[c] = "boolean"
     casts = {"bigint": lambda c: ref(c).try_cast("bigint"), "double": lambda c: to_number(ref(c)),
              "boolean": lambda c: ref(c).try_cast("boolean")}

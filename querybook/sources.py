@@ -1,10 +1,12 @@
 """Sources, sinks, ingest and column typing. Files are written from the test tables and read back."""
 
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colsift.functions.values import lenient_number, to_number
 from colsift.plans.roles import roles_frame
-from colsift.plans.session import scratch_path, small_frame
+from colsift.plans.session import scratch_path, small_frame, together
 from colsift.plans.stats import TableStats
 from colsift.sources import readers, sinks
 from querybook.base import LINEITEM, ORDERS, each, given, query, r, read
@@ -124,14 +126,17 @@ def preview(spark, folder):
     f" UNION ALL SELECT '{f}', count(*), count(DISTINCT nullif(text, '')), CAST(sum(n_chars) AS DOUBLE) FROM documents"
     for f in sinks.FORMATS))
 def sink(spark, folder):
-    orders, documents, found = _dated(read(spark, folder, "orders")), read(spark, folder, "documents"), None
-    for f in sinks.FORMATS:
-        for table, key, amount in ((orders, "o_custkey", "o_totalprice"), (documents, "text", "n_chars")):
-            back = readers.load(spark, _written(spark, table, f)).agg(
-                F.lit(f).alias("format"), F.count("*").alias("n"), F.count_distinct(F.expr(f"nullif({key}, '')") if key == "text" else F.col(key))
-                .alias("customers"), F.round(F.sum(amount).cast("double"), 2).alias("total"))
-            found = back if found is None else found.unionAll(back)
-    return found
+    orders, documents = _dated(read(spark, folder, "orders")), read(spark, folder, "documents")
+    digest = F.unhex(F.md5(F.expr("nullif(text, '')")))  # texts are told apart by 128 bits, so that these are shuffled
+
+    def back(format, table, key, amount):
+        return readers.load(spark, _written(spark, table, format)).agg(
+            F.lit(format).alias("format"), F.count("*").alias("n"), F.count_distinct(key).alias("customers"),
+            F.round(F.sum(amount).cast("double"), 2).alias("total"))
+
+    found = together(spark, [partial(back, f, *table) for f in sinks.FORMATS for table in (
+        (orders, F.col("o_custkey"), "o_totalprice"), (documents, digest, "n_chars"))])
+    return reduce(DataFrame.unionAll, found)
 
 
 @query("column_roles", each(LINEITEM, """

@@ -169,3 +169,42 @@ def test_records_are_handed_on_by_size_as_well(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     got = readers.read_csv(spark, str(tmp_path / "long.csv"))
     assert {r["k"]: r["t"] for r in got.collect()} == dict(enumerate(texts))
+
+
+def test_records_of_lines_are_put_right_without_patterns(spark, tmp_path):
+    # each pattern over a record cost a pass over its characters, four times a read
+    text = "a,b\n1,\"two\nlines\"\n2,\"c\"\r\n3,\"d\r\ne\"\r\n4,f\n"
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    records = ranges.csv_records(spark, str(tmp_path / "t.csv"), ",")
+    assert "regexp" not in records._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["text"] for r in records.collect()) == ['1,"two\nlines"', '2,"c"', '3,"d\ne"', "4,f"]
+
+
+def test_lines_without_quotes_need_no_pattern(spark):
+    lines = ["", "a,b", 'a,"b', 'a"b,c', '"', '""', '"a""', 'a,"b"', '"a\t,"b']
+    for sep in (",", "\t"):
+        outside, inside = ranges.opens_quote(F.col("l"), sep)
+        assert "contains" in str(outside) and "contains" in str(inside)
+        for line, a, b in spark.createDataFrame([(x,) for x in lines], "l string").select("l", outside, inside).collect():
+            state = []
+            for quoted in (False, True):  # character by character
+                at, fresh = 0, not quoted
+                while at < len(line):
+                    if quoted and line[at:at + 2] == '""':
+                        at += 1
+                    elif quoted and line[at] == '"':
+                        quoted = False
+                    elif not quoted:
+                        quoted = fresh and line[at] == '"'
+                        fresh = line[at] == sep
+                    at += 1
+                state.append(quoted)
+            assert [a, b] == state, (line, sep)
+
+
+def test_kinds_of_texts(spark):
+    texts = {1: ["1", "-3", "+04", " 5 ", "\t6\n", "9223372036854775807"], 2: ["9223372036854775808", "1.", ".5", "-1e5", "inf", "Infinity", " +INF"],
+             3: ["True", "false", "TRUE"], 4: ["x", "1d", "0x1", "tRue", "1 2", "", "infinite", "١", "NaN", "-", "e5"], None: [None]}
+    rows = [(kind, t) for kind, some in texts.items() for t in some]
+    got = spark.createDataFrame(rows, "kind int, t string").select("kind", "t", readers.value_kind(F.col("t")).alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["kind"]) for r in got]
