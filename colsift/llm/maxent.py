@@ -25,11 +25,13 @@ by one. A null id is held out. Without training documents every word is unknown.
 from __future__ import annotations
 
 import zlib
-from hashlib import blake2b
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,6 +41,7 @@ from colsift.llm.texts import is_fold, narrow, slices
 from colsift.plans.session import cut_lineage
 
 FIGURES = 4  # a class's training tokens, distinct words, words met once, words met twice
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -65,12 +68,17 @@ class Settings:
 
 
 def packed(values: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(values if isinstance(values, bytes) else values.tobytes())
+    """Compressed; of numbers first all lowest bytes, then all next ones, as most numbers are small."""
+    if not isinstance(values, bytes):
+        values = values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(values)
 
 
 def unpacked(data: bytes, kind=None):
     raw = zstandard.ZstdDecompressor().decompress(data)
-    return raw if kind is None else np.frombuffer(raw, kind)
+    if kind is None:
+        return raw
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def shape_key(word: bytes, keys: int) -> int:
@@ -80,6 +88,17 @@ def shape_key(word: bytes, keys: int) -> int:
     return zlib.crc32(word[-3:] + kind) % keys
 
 
+def shape_keys(words: list[bytes], keys: int) -> np.ndarray:
+    """The shape key of each word, worked out once for words alike in what it depends on."""
+    data, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    ends, tail = np.cumsum(sizes), np.minimum(sizes, 3)
+    shape = data[ends - sizes].astype(np.uint64) << np.uint64(2) | tail.astype(np.uint64)
+    for k in (1, 2, 3):
+        shape = shape << np.uint64(8) | np.where(tail >= k, data[ends - np.minimum(tail, k)], 0).astype(np.uint64)
+    _, first, of = np.unique(shape, return_index=True, return_inverse=True)
+    return np.array([shape_key(words[i], keys) for i in first.tolist()], np.uint16)[of]
+
+
 def lowered_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -98,28 +117,21 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
             for part in slices(batch, place, settings.block_bytes):
                 rows = part.to_pydict()
                 held = np.array(rows["held_out"], bool)
-                index: dict[bytes, int] = {}
-                add, size = index.setdefault, index.__len__
-                numbers, sizes = [], []
+                index: dict[bytes, int] = defaultdict(count().__next__)
+                number, numbers, sizes = index.__getitem__, [], []
                 for text in rows["text"]:
-                    found = [add(w, size()) for w in lowered_words(text)]
-                    found.append(-1)
-                    numbers.append(np.array(found, np.int64))
-                    sizes.append(len(found))
+                    found = lowered_words(text)
+                    numbers.append(np.fromiter(map(number, found), np.int64, len(found)))
+                    numbers.append(np.full(1, -1))
+                    sizes.append(len(found) + 1)
                 words = sorted(index)
                 rank = np.zeros(len(words) + 1, np.uint32)  # the last is the end, number -1
-                rank[[index[w] for w in words]] = np.arange(1, len(words) + 1, dtype=np.uint32)
+                rank[np.fromiter(map(number, words), np.int64, len(words))] = np.arange(1, len(words) + 1, dtype=np.uint32)
                 tokens = rank[np.concatenate(numbers)]
                 learned = tokens[~np.repeat(held, sizes)]
                 counts = np.bincount(learned, minlength=len(words) + 1).astype(np.uint32)
-                shapes: dict[tuple[bytes, bytes], int] = {}
                 keys = np.full(len(words) + 1, settings.keys, np.uint16)  # the end has a key of its own
-                for i, w in enumerate(words, 1):
-                    shape = (w[-3:], w[:1])
-                    key = shapes.get(shape)
-                    if key is None:
-                        key = shapes[shape] = shape_key(w, settings.keys)
-                    keys[i] = key
+                keys[1:] = shape_keys(words, settings.keys)
                 hashes = np.zeros(len(words) + 1, np.uint32)
                 hashes[1:] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
                 yield pa.RecordBatch.from_arrays([
@@ -151,17 +163,46 @@ def histories(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, hashes
     return c, [(rows.astype(np.int64) + start).astype(np.uint16) for rows, start in zip((w1, w2, pair, triple), starts)]
 
 
-def chances(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-    """The softmax over the classes, a line per token: of the prior's logarithms plus the rows' weights."""
-    z = weights[rows[0]] + prior
+def odds(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """What the chances of the classes are in proportion to, a line per token, from the prior's logarithms plus the rows' weights."""
+    z = weights.take(rows[0], axis=0)
+    z += prior
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
+    return np.exp(z, out=z)
+
+
+def chances(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    """The softmax over the classes, a line per token."""
+    z = odds(weights, rows, prior)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
 
+def row_sums(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different feature rows, how often each is there, and the sum of its lines of `slope`. Most rows are there a few times:
+    these are added side by side, in the order in which numpy adds so many."""
+    order = np.argsort(rows, kind="stable")
+    line = rows[order]
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    n = np.diff(np.r_[first, len(line)])
+    total = slope.take(order[first], axis=0)
+    few = np.flatnonzero((n > 1) & (n <= FEW))
+    if len(few):
+        rest = slope.take(order[first[few] + 1], axis=0)
+        for k in range(2, FEW):
+            some = np.flatnonzero(n[few] > k)
+            if not len(some):
+                break
+            rest[some] += slope.take(order[first[few[some]] + k], axis=0)
+        total[few] += rest
+    many = n > FEW
+    if many.any():
+        total[many] = np.add.reduceat(slope.take(order[np.repeat(many, n)], axis=0), np.cumsum(n[many]) - n[many], axis=0)
+    return line[first], n, total
+
+
 class Learner:
     """Adagrad on the class weights, from given weights; each feature row has one sum of squared slopes."""
 
@@ -177,16 +218,12 @@ class Learner:
             slope = chances(self.weights, some, self.prior)
             slope[np.arange(len(target)), target] -= 1
             for r in some:
-                order = np.argsort(r, kind="stable")
-                line = r[order]
-                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                own = line[first]
-                step = np.add.reduceat(slope[order], first, axis=0)
+                own, n, step = row_sums(slope, r)
                 squares = self.squares[own] + np.einsum("ij,ij->i", step, step)
                 self.squares[own] = squares
                 step *= (self.settings.rate / np.sqrt(squares))[:, None]
-                self.weights[own] -= step
-                self.seen[own] += np.diff(np.r_[first, len(line)])
+                self.weights[own] = self.weights.take(own, axis=0) - step
+                self.seen[own] += n
 
 
 def block_rows(batches, *names):
@@ -318,7 +355,7 @@ def count_buckets(dealt: DataFrame, classes: np.ndarray, settings: Settings) ->
             for w, n in zip(own, unpacked(counts, np.uint32).tolist()):
                 total[w] = total.get(w, 0) + n
         counts = np.fromiter(total.values(), np.int64, len(total))
-        own_class = classes[np.fromiter((shape_key(w, settings.keys) for w in total), np.int64, len(total))]
+        own_class = classes[shape_keys(list(total), settings.keys)]
         figures = np.stack([np.bincount(own_class, weights=x, minlength=settings.classes)
                             for x in (counts, counts > 0, counts == 1, counts == 2)], axis=1).astype(np.int64)
         bucket = table.column("bucket")[0].as_py()
@@ -344,7 +381,7 @@ class Pairs:
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, words: list[bytes], buckets: int):
         marks = np.ones(len(words) + 1, np.uint64)  # the first is the end, which also stands before a text
-        marks[1:] = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+        marks[1:] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         contexts, own, self.of, size = [], [], [], 0
         for k in (1, 2):
@@ -406,11 +443,11 @@ def count_pairs(dealt: DataFrame) -> DataFrame:
         contexts, runs, marks = [np.cumsum(c, dtype=np.uint64) for c in column("contexts", np.uint64)], column("runs", np.uint32), column("marks", np.uint32)
         own, context_of = np.unique(np.concatenate(contexts), return_inverse=True)
         of_run = np.repeat(context_of, np.concatenate(runs))
-        pair = mixed(own[of_run], np.concatenate(marks).astype(np.uint64))
-        _, first, of = np.unique(pair, return_index=True, return_inverse=True)
+        pair, of = np.unique(of_run.astype(np.uint64) << np.uint64(32) | np.concatenate(marks), return_inverse=True)
         n = np.bincount(of, weights=np.concatenate(column("counts", np.uint32)))
-        totals = np.bincount(of_run[first], weights=n, minlength=len(own)).astype(np.uint64)
-        kinds = np.bincount(of_run[first], weights=n > 0, minlength=len(own)).astype(np.uint64)
+        context_of_pair = (pair >> np.uint64(32)).astype(np.int64)
+        totals = np.bincount(context_of_pair, weights=n, minlength=len(own)).astype(np.uint64)
+        kinds = np.bincount(context_of_pair, weights=n > 0, minlength=len(own)).astype(np.uint64)
         once, twice = int((n == 1).sum()), int((n == 2).sum())
         back = n[of].astype(np.uint64)
         cut = lambda values, sizes: [packed(x) for x in np.split(values, np.cumsum(sizes)[:-1])]
@@ -490,8 +527,8 @@ def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, fi
                 del pairs, back, n, all_n, kinds, run_of, value["returned_pairs"], value["words"]
                 for at in range(0, len(c), settings.batch):
                     some = slice(at, at + settings.batch)
-                    line = chances(weights, [r[some] for r in rows], prior)
-                    gained[some] += np.log10(np.maximum(line[np.arange(len(line)), c[some]], 1e-30))
+                    line = odds(weights, [r[some] for r in rows], prior)
+                    gained[some] += np.log10(np.maximum(line[np.arange(len(line)), c[some]] / line.sum(axis=1), 1e-30))
                 first = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((
                     value["doc_ids"], value["held"], sizes, np.add.reduceat(known[tokens].astype(np.int64), first),

@@ -243,3 +243,32 @@ def test_numbers_are_no_letters(spark):
     rows = [(i, t, "en") for i, t in enumerate(["the words of a text", "½ ² ① Ⅷ", "x²", "漢"])]
     found = {r["doc_id"]: r["lang_pred"] for r in language.predict_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert found[1] == "und" and found[2] != "und" and found[3] != "und"
+
+
+def test_sums_of_feature_rows_are_numpys_own():
+    """To the bit, with rows met once, a few times and often."""
+    pick = np.random.default_rng(8)
+    for n in (1, 2, 7, 400):
+        rows, slope = (pick.zipf(1.4, n) % 60).astype(np.uint16), pick.normal(size=(n, 5)).astype(np.float32)
+        order = np.argsort(rows, kind="stable")
+        own, first = np.unique(rows[order], return_index=True)
+        got = maxent.row_sums(slope, rows)
+        assert (got[0] == own).all() and (got[1] == np.bincount(rows)[own]).all()
+        assert (got[2] == np.add.reduceat(slope[order], first, axis=0)).all()
+
+
+def test_shape_keys_are_those_of_single_words():
+    words = [b"a", b"ab", b"\x00ab", b"ab\x00", b"abc", b"Abc", b"xbc", "\u00fcber".encode(), "\u00e9".encode(), b"7", b"17", b"-17", b"walking", b"talking"]
+    assert maxent.shape_keys(words, 1024).tolist() == [maxent.shape_key(w, 1024) for w in words]
+    assert len(maxent.shape_keys([], 1024)) == 0
+
+
+def test_small_numbers_are_packed_by_their_bytes():
+    numbers = (np.random.default_rng(9).zipf(1.5, 20000) % 50000).astype(np.uint64)
+    for kind in (np.uint64, np.uint32, np.uint16, np.float32):
+        values = numbers.astype(kind)
+        assert (maxent.unpacked(maxent.packed(values), kind) == values).all()
+        assert len(maxent.unpacked(maxent.packed(values[:0]), kind)) == 0
+    assert maxent.unpacked(maxent.packed(b"a b")) == b"a b"
+    import zstandard
+    assert len(maxent.packed(numbers)) < 0.9 * len(zstandard.ZstdCompressor(level=3).compress(numbers.tobytes()))
