@@ -70,7 +70,10 @@ class Settings:
 def packed(values: np.ndarray | bytes) -> bytes:
     """Compressed; of numbers first all lowest bytes, then all next ones, as most numbers are small."""
     if not isinstance(values, bytes):
-        values = values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+        whole = values.reshape(-1).view(f"u{values.itemsize}")
+        top = int(whole.max()).bit_length() if len(whole) else 0
+        values = b"".join((whole >> whole.dtype.type(8 * i)).astype(np.uint8).tobytes() if 8 * i < top else bytes(len(whole))
+                          for i in range(values.itemsize))
     return zstandard.ZstdCompressor(level=3).compress(values)
 
 
@@ -78,7 +81,12 @@ def unpacked(data: bytes, kind=None):
     raw = zstandard.ZstdDecompressor().decompress(data)
     if kind is None:
         return raw
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    whole = planes[0].astype(f"u{len(planes)}")
+    for i, plane in enumerate(planes[1:], 1):
+        if plane.any():
+            whole |= plane.astype(whole.dtype) << whole.dtype.type(8 * i)
+    return whole.view(kind)
 
 
 def shape_key(word: bytes, keys: int) -> int:
@@ -516,10 +524,10 @@ def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, fi
                 back = sorted(value["returned_pairs"], key=lambda r: r["bucket"])
                 n, all_n, kinds = (np.concatenate([unpacked(r[k], np.uint64) for r in back]) for k in ("counts", "totals", "kinds"))
                 run_of = np.repeat(np.arange(len(pairs.runs), dtype=np.int32), pairs.runs)
-                gained = np.empty(len(tokens))
+                gained, word = np.empty(len(tokens)), 10 ** word
                 for at in range(0, len(tokens), 1 << 16):
                     some = slice(at, at + (1 << 16))
-                    chance = 10 ** word[tokens[some]]
+                    chance = word[tokens[some]]
                     for of in reversed(pairs.of):
                         own = run_of[of[some]]
                         chance = with_context(chance, n[of[some]].astype(float), all_n[own], kinds[own], pair_discount)
