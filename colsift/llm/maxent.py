@@ -25,12 +25,11 @@ by one. A null id is held out. Without training documents every word is unknown.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -38,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from colsift.llm.texts import is_fold, narrow, slices
-from colsift.plans.session import cut_lineage
+from colsift.plans.session import cut_lineage, release_shuffles
 
 FIGURES = 4  # a class's training tokens, distinct words, words met once, words met twice
 FEW = 8
@@ -89,6 +88,38 @@ def unpacked(data: bytes, kind=None):
     return whole.view(kind)
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """np.argsort(values, kind="stable") of whole numbers from 0. As many of their highest bits as fit beside a place are sorted
+    as plain numbers, which takes a fraction of the time; numbers that differ in lower bits only are put right afterwards."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    places = len(values).bit_length()
+    low = np.uint64(max(0, int(values.max()).bit_length() + places - 64))
+    line = values.astype(np.uint64)
+    line >>= low
+    line <<= np.uint64(places)
+    line |= np.arange(len(values), dtype=np.uint64)
+    line.sort()
+    line &= np.uint64((1 << places) - 1)
+    order = line.view(np.int64)
+    if low:
+        line = values[order]
+        if (line[1:] < line[:-1]).any():
+            order = order[np.argsort(line, kind="stable")]
+    return order
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(values, return_inverse=True) of whole numbers from 0."""
+    order = stable_order(values)
+    line = values[order]
+    begins = np.r_[True, line[1:] != line[:-1]][:len(line)]
+    line = line[begins]
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(begins, dtype=np.int32) - np.int32(1)
+    return line, of
+
+
 def shape_key(word: bytes, keys: int) -> int:
     """The hashed shape of a word: its last three bytes and the kind of the first."""
     first = word[:1]
@@ -107,8 +138,17 @@ def shape_keys(words: list[bytes], keys: int) -> np.ndarray:
     return np.array([shape_key(words[i], keys) for i in first.tolist()], np.uint16)[of]
 
 
-def lowered_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def lowered_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(d) + 1 for d in data])
+    raw = np.frombuffer(b" ".join(data).lower(), np.uint8)
+    solid = (raw != 32) & (raw - np.uint8(9) > 4)
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    offsets = np.zeros(len(edges) // 2 + 1, np.int64)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])])
+    return words, np.diff(np.searchsorted(edges[::2], ends), prepend=0)
 
 
 def encode(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -125,17 +165,15 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
             for part in slices(batch, place, settings.block_bytes):
                 rows = part.to_pydict()
                 held = np.array(rows["held_out"], bool)
-                index: dict[bytes, int] = defaultdict(count().__next__)
-                number, numbers, sizes = index.__getitem__, [], []
-                for text in rows["text"]:
-                    found = lowered_words(text)
-                    numbers.append(np.fromiter(map(number, found), np.int64, len(found)))
-                    numbers.append(np.full(1, -1))
-                    sizes.append(len(found) + 1)
-                words = sorted(index)
-                rank = np.zeros(len(words) + 1, np.uint32)  # the last is the end, number -1
-                rank[np.fromiter(map(number, words), np.int64, len(words))] = np.arange(1, len(words) + 1, dtype=np.uint32)
-                tokens = rank[np.concatenate(numbers)]
+                found, sizes = lowered_words(rows["text"])
+                found = found.dictionary_encode()
+                order = pc.sort_indices(found.dictionary).to_numpy()
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(order)], found.dictionary.take(order)), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+                words = joined.split()
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(1, len(words) + 1, dtype=np.uint32)
+                tokens = np.insert(rank[found.indices.to_numpy()], np.cumsum(sizes), 0)  # an end after each text
+                sizes = sizes + 1
                 learned = tokens[~np.repeat(held, sizes)]
                 counts = np.bincount(learned, minlength=len(words) + 1).astype(np.uint32)
                 keys = np.full(len(words) + 1, settings.keys, np.uint16)  # the end has a key of its own
@@ -145,7 +183,7 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([rows["doc_id"]], schema.field("doc_ids").type), pa.array([held.tolist()], pa.list_(pa.bool_())),
                     pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()),
-                    *(pa.array([packed(x)], pa.binary()) for x in (tokens, b" ".join(words), counts, keys, hashes))],
+                    *(pa.array([packed(x)], pa.binary()) for x in (tokens, joined, counts, keys, hashes))],
                     schema=schema)
 
     return docs.mapInArrow(run, out)
@@ -189,26 +227,33 @@ def chances(weights: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> n
 
 
 def row_sums(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different feature rows, how often each is there, and the sum of its lines of `slope`. Most rows are there a few times:
-    these are added side by side, in the order in which numpy adds so many."""
+    """The different feature rows, how often each is there, and the sum of its lines of `slope` (entry i of `rows` is for line i
+    modulo the lines). Most rows are there a few times: these are added side by side, in the order in which numpy adds so many."""
     order = np.argsort(rows, kind="stable")
     line = rows[order]
+    order %= len(slope)
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     n = np.diff(np.r_[first, len(line)])
+    own, times = line[first], n
+    by = np.argsort((len(line) - n).astype(np.uint16 if len(line) < 1 << 16 else np.int64), kind="stable")
+    first, n = first[by], n[by]  # those there most often come first
+    more = [int(k) for k in np.searchsorted(-n, -np.arange(FEW + 1))]  # how many rows are there more than 0, 1, 2... times
     total = slope.take(order[first], axis=0)
-    few = np.flatnonzero((n > 1) & (n <= FEW))
-    if len(few):
-        rest = slope.take(order[first[few] + 1], axis=0)
+    many, some = more[FEW], more[1]
+    if some > many:
+        rest = slope.take(order[first[many:some] + 1], axis=0)
         for k in range(2, FEW):
-            some = np.flatnonzero(n[few] > k)
-            if not len(some):
+            if more[k] == many:
                 break
-            rest[some] += slope.take(order[first[few[some]] + k], axis=0)
-        total[few] += rest
-    many = n > FEW
-    if many.any():
-        total[many] = np.add.reduceat(slope.take(order[np.repeat(many, n)], axis=0), np.cumsum(n[many]) - n[many], axis=0)
-    return line[first], n, total
+            rest[:more[k] - many] += slope.take(order[first[many:more[k]] + k], axis=0)
+        total[many:some] += rest
+    if many:
+        ends = np.cumsum(n[:many])
+        at = np.arange(ends[-1]) + np.repeat(first[:many] - ends + n[:many], n[:many])
+        total[:many] = np.add.reduceat(slope.take(order[at], axis=0), ends - n[:many], axis=0)
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    return own, times, total.take(back, axis=0)
 
 
 class Learner:
@@ -225,13 +270,12 @@ class Learner:
             some = [r[at:at + self.settings.batch] for r in rows]
             slope = chances(self.weights, some, self.prior)
             slope[np.arange(len(target)), target] -= 1
-            for r in some:
-                own, n, step = row_sums(slope, r)
-                squares = self.squares[own] + np.einsum("ij,ij->i", step, step)
-                self.squares[own] = squares
-                step *= (self.settings.rate / np.sqrt(squares))[:, None]
-                self.weights[own] = self.weights.take(own, axis=0) - step
-                self.seen[own] += n
+            own, n, step = row_sums(slope, np.concatenate(some))  # no two features share a row
+            squares = self.squares[own] + np.einsum("ij,ij->i", step, step)
+            self.squares[own] = squares
+            step *= (self.settings.rate / np.sqrt(squares))[:, None]
+            self.weights[own] = np.subtract(self.weights.take(own, axis=0), step, out=step)
+            self.seen[own] += n
 
 
 def block_rows(batches, *names):
@@ -340,7 +384,7 @@ def deal(blocks: DataFrame, buckets: int) -> DataFrame:
                 words = unpacked(batch.column("words")[row].as_py()).split()
                 counts = unpacked(batch.column("counts")[row].as_py(), np.uint32)[1:]
                 bucket = unpacked(batch.column("hashes")[row].as_py(), np.uint32)[1:] % buckets
-                order = np.argsort(bucket, kind="stable")
+                order = stable_order(bucket)
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 some = [(b, order[ends[b]:ends[b + 1]]) for b in range(buckets) if ends[b + 1] > ends[b]]
                 yield pa.RecordBatch.from_arrays([
@@ -396,16 +440,17 @@ class Pairs:
             before = np.zeros(len(tokens), np.uint64)
             before[k:] = tokens[:-k] if len(tokens) > k else tokens[:0]
             before[place < k] = 0
-            code, of = np.unique(before << np.uint64(32) | tokens.astype(np.uint64), return_inverse=True)
-            word = (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            contexts.append(mixed(marks[(code >> np.uint64(32)).astype(np.int64)], classes[word].astype(np.uint64) * np.uint64(2) + np.uint64(k - 1)) >> np.uint64(16))
+            code, of = distinct(before * np.uint64(len(marks)) + tokens)
+            before = code // np.uint64(len(marks))
+            word = (code - before * np.uint64(len(marks))).astype(np.int64)
+            contexts.append(mixed(marks[before.astype(np.int64)], classes[word].astype(np.uint64) * np.uint64(2) + np.uint64(k - 1)) >> np.uint64(16))
             own.append((marks[word] >> np.uint64(32)).astype(np.uint32))
-            self.of.append((of + size).astype(np.int32))
+            self.of.append(of + np.int32(size))
             size += len(code)
             del before, code, of, word
         context, mark = np.concatenate(contexts), np.concatenate(own)
         del contexts, own
-        order = np.argsort(context, kind="stable")
+        order = stable_order(context)
         self.contexts, self.marks = context[order], mark[order]
         del context, mark
         back = np.empty(size, np.int32)
@@ -449,9 +494,9 @@ def count_pairs(dealt: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         column = lambda name, kind: [unpacked(x, kind) for x in table.column(name).to_pylist()]
         contexts, runs, marks = [np.cumsum(c, dtype=np.uint64) for c in column("contexts", np.uint64)], column("runs", np.uint32), column("marks", np.uint32)
-        own, context_of = np.unique(np.concatenate(contexts), return_inverse=True)
+        own, context_of = distinct(np.concatenate(contexts))
         of_run = np.repeat(context_of, np.concatenate(runs))
-        pair, of = np.unique(of_run.astype(np.uint64) << np.uint64(32) | np.concatenate(marks), return_inverse=True)
+        pair, of = distinct(of_run.astype(np.uint64) << np.uint64(32) | np.concatenate(marks))
         n = np.bincount(of, weights=np.concatenate(column("counts", np.uint32)))
         context_of_pair = (pair >> np.uint64(32)).astype(np.int64)
         totals = np.bincount(context_of_pair, weights=n, minlength=len(own)).astype(np.uint64)
@@ -472,10 +517,24 @@ def count_pairs(dealt: DataFrame) -> DataFrame:
         run, "bucket int, block bigint, counts binary, totals binary, kinds binary, figures array<bigint>")
 
 
+def context_shares(counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, runs: np.ndarray, discount: float) -> np.ndarray:
+    """A line per pair, side by side what `interpolated` needs: the pair's tokens less a discount, what the discounts in its
+    context add up to, and the context's tokens. A context without training tokens leaves a chance as it is."""
+    known = totals > 0
+    shares = np.empty((len(counts), 3))
+    shares[:, 0] = np.maximum(counts - discount, 0)
+    shares[:, 1] = np.repeat(np.where(known, discount * kinds, 1), runs)
+    shares[:, 2] = np.repeat(np.where(known, totals, 1), runs)
+    return shares
+
+
+def interpolated(chance: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    return (shares[:, 0] + shares[:, 1] * chance) / shares[:, 2]
+
+
 def with_context(chance: np.ndarray, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, discount: float) -> np.ndarray:
     """P(word | class, context): the word's share of the context's tokens, less a discount that goes to `chance`."""
-    known = totals > 0
-    return np.where(known, (np.maximum(counts - discount, 0) + discount * kinds * chance) / np.where(known, totals, 1), chance)
+    return interpolated(chance, context_shares(counts, totals, kinds, np.ones(len(counts), np.int64), discount))
 
 
 SCORED = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -514,25 +573,27 @@ def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, fi
                 if len(classes) > 1:
                     bucket = hashes[1:] % value["buckets"]
                     back = sorted(value["returned"], key=lambda r: r["bucket"])
-                    counts[1 + np.argsort(bucket, kind="stable")] = np.concatenate([unpacked(r["counts"], np.uint64) for r in back])
+                    counts[1 + stable_order(bucket)] = np.concatenate([unpacked(r["counts"], np.uint64) for r in back])
                 known = counts > 0
                 of = classes.astype(np.int64)
                 word = np.where(known, np.log10(np.maximum(counts - discount[of], 1e-9) / np.maximum(total[of], 1)), lost[of])
                 base = np.log10((counts + 0.1) / (all_tokens + 0.1 * (distinct + 1)))
-                c, rows = histories(tokens, sizes, classes, hashes, settings)
                 pairs = Pairs(tokens, sizes, classes, unpacked(value["words"]).split(), value["pair_buckets"])
-                back = sorted(value["returned_pairs"], key=lambda r: r["bucket"])
+                runs, of_pairs = pairs.runs, pairs.of[::-1]
+                del pairs, value["words"]
+                back = sorted(value.pop("returned_pairs"), key=lambda r: r["bucket"])
                 n, all_n, kinds = (np.concatenate([unpacked(r[k], np.uint64) for r in back]) for k in ("counts", "totals", "kinds"))
-                run_of = np.repeat(np.arange(len(pairs.runs), dtype=np.int32), pairs.runs)
+                shares = context_shares(n, all_n, kinds, runs, pair_discount)
+                del back, n, all_n, kinds, runs
                 gained, word = np.empty(len(tokens)), 10 ** word
                 for at in range(0, len(tokens), 1 << 16):
                     some = slice(at, at + (1 << 16))
                     chance = word[tokens[some]]
-                    for of in reversed(pairs.of):
-                        own = run_of[of[some]]
-                        chance = with_context(chance, n[of[some]].astype(float), all_n[own], kinds[own], pair_discount)
+                    for of in of_pairs:
+                        chance = interpolated(chance, shares.take(of[some], axis=0))
                     gained[some] = np.log10(np.maximum(chance, 1e-300))
-                del pairs, back, n, all_n, kinds, run_of, value["returned_pairs"], value["words"]
+                del shares, of_pairs
+                c, rows = histories(tokens, sizes, classes, hashes, settings)
                 for at in range(0, len(c), settings.batch):
                     some = slice(at, at + settings.batch)
                     line = odds(weights, [r[some] for r in rows], prior)
@@ -564,9 +625,11 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
     figures[0] = (ends, ends > 0, ends == 1, ends == 2)  # the end is no word of a bucket
     pair_buckets = max(8, -(-2 * tokens // settings.bucket_pairs))
     pairs = cut_lineage(count_pairs(deal_pairs(blocks, classes, pair_buckets)), "pairs")
+    release_shuffles(docs.sparkSession)
     once, twice = pairs.filter(F.col("block").isNull()).agg(F.sum(F.col("figures")[0]), F.sum(F.col("figures")[1])).first()
     pair_discount = ((once or 0) + 0.5) / ((once or 0) + 2 * (twice or 0) + 1)
     weights = train(blocks, classes, class_prior(figures), settings)
+    release_shuffles(docs.sparkSession)
     back_pairs = pairs.filter(F.col("block").isNotNull()).groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts", "totals", "kinds")).alias("returned_pairs"))
     back = returned.filter(F.col("block").isNotNull()).groupBy("block").agg(

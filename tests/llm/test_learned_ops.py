@@ -148,6 +148,37 @@ def test_probabilities_sum_to_one():
     assert all(r[60] == r[61] == r[0] for r in rows)
 
 
+def test_orders_and_numbers_are_those_of_numpy():
+    pick = np.random.default_rng(3)
+    for top, n in ((1 << 63, 5000), (1 << 48, 5000), (7, 5000), (1, 3), (5, 1), (5, 0)):
+        for kind in (np.uint64, np.uint32):
+            values = (pick.integers(0, top, n, dtype=np.uint64) & np.uint64(np.iinfo(kind).max)).astype(kind)
+            values[::3] = values[:1]  # many copies
+            values[1::3] ^= kind(1)  # and numbers that differ in the lowest bit
+            assert (maxent.stable_order(values) == np.argsort(values, kind="stable")).all()
+            want, found = np.unique(values, return_inverse=True), maxent.distinct(values)
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(want, found))
+
+
+def test_words_are_cut_at_ascii_white_space_only():
+    texts = [None, "", " ", "Ab  c\t\x0bD\r\n", "a\xa0b\u2003c\x1cd\x85e\x08f\x0eg\x00h \u00c4\u00c9Z", "end", "\n\x0c", "end \U0001f600 x"]
+    words, sizes = maxent.lowered_words(texts)
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for found in want for w in found] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_row_sums_of_all_features_at_once():
+    """Each sum to the bit what numpy adds up for the row alone."""
+    pick = np.random.default_rng(4)
+    slope = pick.normal(size=(2048, 6)).astype(np.float32)
+    rows = [(np.minimum(pick.zipf(1.4, 2048), 500) + 1000 * k).astype(np.uint16) for k in range(3)]
+    own, n, total = maxent.row_sums(slope, np.concatenate(rows))
+    assert len(own) == sum(len(np.unique(r)) for r in rows)
+    for r, k, line in zip(own, n, total):
+        at = np.flatnonzero(rows[r // 1000] == r)
+        assert len(at) == k and (line == np.add.reduceat(slope[at], [0], axis=0)[0]).all()
+
+
 def test_training_learns_an_order():
     settings = maxent.Settings(classes=6, batch=64)
     tokens = np.array([1, 2, 3, 4, 5] * 400, np.uint32)
