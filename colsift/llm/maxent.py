@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from colsift.llm.texts import is_fold, narrow, slices
-from colsift.plans.session import cut_lineage, release_shuffles
+from colsift.plans.session import cut_lineage
 
 FIGURES = 4  # a class's training tokens, distinct words, words met once, words met twice
 FEW = 8
@@ -160,31 +160,34 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     schema = to_arrow_schema(out)
     place = docs.columns.index("text")
 
+    def block(part):  # a function, so that nothing of a block is left when the next one is made
+        rows = part.to_pydict()
+        held = np.array(rows["held_out"], bool)
+        found, sizes = lowered_words(rows["text"])
+        found = found.dictionary_encode()
+        order = pc.sort_indices(found.dictionary).to_numpy()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(order)], found.dictionary.take(order)), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+        words = joined.split()
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(1, len(words) + 1, dtype=np.uint32)
+        tokens = np.insert(rank[found.indices.to_numpy()], np.cumsum(sizes), 0)  # an end after each text
+        sizes = sizes + 1
+        learned = tokens[~np.repeat(held, sizes)]
+        counts = np.bincount(learned, minlength=len(words) + 1).astype(np.uint32)
+        keys = np.full(len(words) + 1, settings.keys, np.uint16)  # the end has a key of its own
+        keys[1:] = shape_keys(words, settings.keys)
+        hashes = np.zeros(len(words) + 1, np.uint32)
+        hashes[1:] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        return pa.RecordBatch.from_arrays([
+            pa.array([rows["doc_id"]], schema.field("doc_ids").type), pa.array([held.tolist()], pa.list_(pa.bool_())),
+            pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()),
+            *(pa.array([packed(x)], pa.binary()) for x in (tokens, joined, counts, keys, hashes))],
+            schema=schema)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, place, settings.block_bytes):
-                rows = part.to_pydict()
-                held = np.array(rows["held_out"], bool)
-                found, sizes = lowered_words(rows["text"])
-                found = found.dictionary_encode()
-                order = pc.sort_indices(found.dictionary).to_numpy()
-                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(order)], found.dictionary.take(order)), pa.scalar(b" ", pa.large_binary()))[0].as_py()
-                words = joined.split()
-                rank = np.empty(len(words), np.uint32)
-                rank[order] = np.arange(1, len(words) + 1, dtype=np.uint32)
-                tokens = np.insert(rank[found.indices.to_numpy()], np.cumsum(sizes), 0)  # an end after each text
-                sizes = sizes + 1
-                learned = tokens[~np.repeat(held, sizes)]
-                counts = np.bincount(learned, minlength=len(words) + 1).astype(np.uint32)
-                keys = np.full(len(words) + 1, settings.keys, np.uint16)  # the end has a key of its own
-                keys[1:] = shape_keys(words, settings.keys)
-                hashes = np.zeros(len(words) + 1, np.uint32)
-                hashes[1:] = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([rows["doc_id"]], schema.field("doc_ids").type), pa.array([held.tolist()], pa.list_(pa.bool_())),
-                    pa.array([sizes], pa.list_(pa.int32())), pa.array([len(words)], pa.int32()),
-                    *(pa.array([packed(x)], pa.binary()) for x in (tokens, joined, counts, keys, hashes))],
-                    schema=schema)
+                yield block(part)
 
     return docs.mapInArrow(run, out)
 
@@ -467,22 +470,25 @@ def deal_pairs(blocks: DataFrame, classes: np.ndarray, buckets: int) -> DataFram
     and their training counts."""
     shared = blocks.sparkSession.sparkContext.broadcast(classes)
 
+    def dealt(block, held, sizes, tokens, words, keys):  # nothing of a block is left when the next one is dealt
+        sizes, tokens = np.array(sizes, np.int64), unpacked(tokens, np.uint32)
+        pairs = Pairs(tokens, sizes, shared.value[unpacked(keys, np.uint16)], unpacked(words).split(), buckets)
+        used = ~np.repeat(np.array(held, bool), sizes)
+        counts = sum(np.bincount(of[used], minlength=len(pairs.marks)) for of in pairs.of).astype(np.uint32)
+        ends = np.searchsorted(pairs.bucket, np.arange(buckets + 1))
+        starts = np.r_[pairs.first, len(pairs.marks)]
+        some = [b for b in range(buckets) if ends[b + 1] > ends[b]]
+        run_of, pair_of = lambda b: slice(ends[b], ends[b + 1]), lambda b: slice(starts[ends[b]], starts[ends[b + 1]])
+        return pa.RecordBatch.from_arrays([
+            pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()),
+            *(pa.array([packed(x) for x in column], pa.binary()) for column in (
+                [np.diff(pairs.contexts[pairs.first[run_of(b)]], prepend=np.uint64(0)) for b in some], [pairs.runs[run_of(b)] for b in some],
+                [pairs.marks[pair_of(b)] for b in some], [counts[pair_of(b)] for b in some]))],
+            ["bucket", "block", "contexts", "runs", "marks", "counts"])
+
     def run(batches):
-        for block, held, sizes, tokens, words, keys in block_rows(batches, "block", "held", "sizes", "tokens", "words", "keys"):
-            sizes, tokens = np.array(sizes, np.int64), unpacked(tokens, np.uint32)
-            pairs = Pairs(tokens, sizes, shared.value[unpacked(keys, np.uint16)], unpacked(words).split(), buckets)
-            used = ~np.repeat(np.array(held, bool), sizes)
-            counts = sum(np.bincount(of[used], minlength=len(pairs.marks)) for of in pairs.of).astype(np.uint32)
-            ends = np.searchsorted(pairs.bucket, np.arange(buckets + 1))
-            starts = np.r_[pairs.first, len(pairs.marks)]
-            some = [b for b in range(buckets) if ends[b + 1] > ends[b]]
-            run_of, pair_of = lambda b: slice(ends[b], ends[b + 1]), lambda b: slice(starts[ends[b]], starts[ends[b + 1]])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()),
-                *(pa.array([packed(x) for x in column], pa.binary()) for column in (
-                    [np.diff(pairs.contexts[pairs.first[run_of(b)]], prepend=np.uint64(0)) for b in some], [pairs.runs[run_of(b)] for b in some],
-                    [pairs.marks[pair_of(b)] for b in some], [counts[pair_of(b)] for b in some]))],
-                ["bucket", "block", "contexts", "runs", "marks", "counts"])
+        for row in block_rows(batches, "block", "held", "sizes", "tokens", "words", "keys"):
+            yield dealt(*row)
 
     return blocks.select("block", "held", "sizes", "tokens", "words", "keys").mapInArrow(
         run, "bucket int, block bigint, contexts binary, runs binary, marks binary, counts binary")
@@ -559,50 +565,52 @@ def score_blocks(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray, fi
     lost = np.log10(np.where(total > 0, discount * kept / np.maximum(total, 1), 1.0))
     shared = blocks.sparkSession.sparkContext.broadcast((classes, weights, class_prior(figures), discount, total, lost))
 
-    def run(batches):
+    def scored(value):  # nothing of a block is left when the next one is scored
         class_of, weights, prior, discount, total, lost = shared.value
+        sizes = np.array(value["sizes"], np.int64)
+        tokens, keys, hashes = (unpacked(value[n], k) for n, k in (
+            ("tokens", np.uint32), ("keys", np.uint16), ("hashes", np.uint32)))
+        classes = class_of[keys]
+        counts = np.zeros(len(classes), np.int64)
+        counts[0] = ends
+        if len(classes) > 1:
+            bucket = hashes[1:] % value["buckets"]
+            back = sorted(value["returned"], key=lambda r: r["bucket"])
+            counts[1 + stable_order(bucket)] = np.concatenate([unpacked(r["counts"], np.uint64) for r in back])
+        known = counts > 0
+        of = classes.astype(np.int64)
+        word = np.where(known, np.log10(np.maximum(counts - discount[of], 1e-9) / np.maximum(total[of], 1)), lost[of])
+        base = np.log10((counts + 0.1) / (all_tokens + 0.1 * (distinct + 1)))
+        pairs = Pairs(tokens, sizes, classes, unpacked(value["words"]).split(), value["pair_buckets"])
+        runs, of_pairs = pairs.runs, pairs.of[::-1]
+        del pairs, value["words"]
+        back = sorted(value.pop("returned_pairs"), key=lambda r: r["bucket"])
+        n, all_n, kinds = (np.concatenate([unpacked(r[k], np.uint64) for r in back]) for k in ("counts", "totals", "kinds"))
+        shares = context_shares(n, all_n, kinds, runs, pair_discount)
+        del back, n, all_n, kinds, runs
+        gained, word = np.empty(len(tokens)), 10 ** word
+        for at in range(0, len(tokens), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            chance = word[tokens[some]]
+            for of in of_pairs:
+                chance = interpolated(chance, shares.take(of[some], axis=0))
+            gained[some] = np.log10(np.maximum(chance, 1e-300))
+        del shares, of_pairs
+        c, rows = histories(tokens, sizes, classes, hashes, settings)
+        for at in range(0, len(c), settings.batch):
+            some = slice(at, at + settings.batch)
+            line = odds(weights, [r[some] for r in rows], prior)
+            gained[some] += np.log10(np.maximum(line[np.arange(len(line)), c[some]] / line.sum(axis=1), 1e-30))
+        first = np.cumsum(sizes) - sizes
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((
+            value["doc_ids"], value["held"], sizes, np.add.reduceat(known[tokens].astype(np.int64), first),
+            [all_tokens] * len(sizes), np.add.reduceat(base[tokens], first), np.add.reduceat(gained, first)),
+            schema.types)], schema=schema)
+
+    def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                value = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-                sizes = np.array(value["sizes"], np.int64)
-                tokens, keys, hashes = (unpacked(value[n], k) for n, k in (
-                    ("tokens", np.uint32), ("keys", np.uint16), ("hashes", np.uint32)))
-                classes = class_of[keys]
-                counts = np.zeros(len(classes), np.int64)
-                counts[0] = ends
-                if len(classes) > 1:
-                    bucket = hashes[1:] % value["buckets"]
-                    back = sorted(value["returned"], key=lambda r: r["bucket"])
-                    counts[1 + stable_order(bucket)] = np.concatenate([unpacked(r["counts"], np.uint64) for r in back])
-                known = counts > 0
-                of = classes.astype(np.int64)
-                word = np.where(known, np.log10(np.maximum(counts - discount[of], 1e-9) / np.maximum(total[of], 1)), lost[of])
-                base = np.log10((counts + 0.1) / (all_tokens + 0.1 * (distinct + 1)))
-                pairs = Pairs(tokens, sizes, classes, unpacked(value["words"]).split(), value["pair_buckets"])
-                runs, of_pairs = pairs.runs, pairs.of[::-1]
-                del pairs, value["words"]
-                back = sorted(value.pop("returned_pairs"), key=lambda r: r["bucket"])
-                n, all_n, kinds = (np.concatenate([unpacked(r[k], np.uint64) for r in back]) for k in ("counts", "totals", "kinds"))
-                shares = context_shares(n, all_n, kinds, runs, pair_discount)
-                del back, n, all_n, kinds, runs
-                gained, word = np.empty(len(tokens)), 10 ** word
-                for at in range(0, len(tokens), 1 << 16):
-                    some = slice(at, at + (1 << 16))
-                    chance = word[tokens[some]]
-                    for of in of_pairs:
-                        chance = interpolated(chance, shares.take(of[some], axis=0))
-                    gained[some] = np.log10(np.maximum(chance, 1e-300))
-                del shares, of_pairs
-                c, rows = histories(tokens, sizes, classes, hashes, settings)
-                for at in range(0, len(c), settings.batch):
-                    some = slice(at, at + settings.batch)
-                    line = odds(weights, [r[some] for r in rows], prior)
-                    gained[some] += np.log10(np.maximum(line[np.arange(len(line)), c[some]] / line.sum(axis=1), 1e-30))
-                first = np.cumsum(sizes) - sizes
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((
-                    value["doc_ids"], value["held"], sizes, np.add.reduceat(known[tokens].astype(np.int64), first),
-                    [all_tokens] * len(sizes), np.add.reduceat(base[tokens], first), np.add.reduceat(gained, first)),
-                    schema.types)], schema=schema)
+                yield scored({n: batch.column(n)[row].as_py() for n in batch.schema.names})
 
     return blocks.mapInArrow(run, out)
 
@@ -625,11 +633,9 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
     figures[0] = (ends, ends > 0, ends == 1, ends == 2)  # the end is no word of a bucket
     pair_buckets = max(8, -(-2 * tokens // settings.bucket_pairs))
     pairs = cut_lineage(count_pairs(deal_pairs(blocks, classes, pair_buckets)), "pairs")
-    release_shuffles(docs.sparkSession)
     once, twice = pairs.filter(F.col("block").isNull()).agg(F.sum(F.col("figures")[0]), F.sum(F.col("figures")[1])).first()
     pair_discount = ((once or 0) + 0.5) / ((once or 0) + 2 * (twice or 0) + 1)
     weights = train(blocks, classes, class_prior(figures), settings)
-    release_shuffles(docs.sparkSession)
     back_pairs = pairs.filter(F.col("block").isNotNull()).groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts", "totals", "kinds")).alias("returned_pairs"))
     back = returned.filter(F.col("block").isNotNull()).groupBy("block").agg(
