@@ -6,8 +6,8 @@ min_samples points of a thin cell are compared with the neighbouring cells, whic
 core points are linked is decided on bounding boxes; those that leave it open are split until few points are left in a pair.
 
 Up to four features the neighbouring cells are listed. Beyond, there are too many of them: a tree of cuts deals the points out to
-leaves of about `leaf_rows` points over all features, each with the points in reach of it, and pairs are formed inside leaves
-only. `compared_pairs` tells beforehand how many: at most the points of thin cells times the largest leaf with its guests.
+leaves over all features, each with the points in reach of it, and `leafwise` clusters each leaf in one task. Where the tree finds a
+leaf too large for that, finer leaves of about `leaf_rows` points are written out and pairs are formed inside leaves only. `compared_pairs` tells beforehand how many: at most the points of thin cells times the largest leaf with its guests.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colsift.functions.values import ref
+from colsift.ml import leafwise
 from colsift.ml.components import components
 from colsift.ml.spacetree import LEAF_ROWS, meet, with_leaves
 from colsift.plans.ordering import dense_codes
@@ -84,10 +85,14 @@ def _near(around: DataFrame, found: DataFrame, d: int, eps: float) -> DataFrame:
     return met.filter(_distance2("p", "x", d) <= eps * eps)
 
 
+def _feature(name: str) -> Column:
+    return ref(name).cast("double") + F.lit(0.0)
+
+
 def _grid(features: list[str], eps: float) -> tuple[Column, int, float]:
     if not features:
         raise ValueError("dbscan needs a feature")
-    return (F.array(*[ref(c).cast("double") + F.lit(0.0) for c in features]), len(features),
+    return (F.array(*[_feature(c) for c in features]), len(features),
             eps / math.sqrt(len(features)) * (1 - 1e-9))
 
 
@@ -107,6 +112,10 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     A border point within reach of several clusters takes the one whose cells come first.
     """
     x, d, side = _grid(features, eps)
+    if d > LISTED_DIMENSIONS:
+        by_leaf = leafwise.clusters(df, [_feature(c) for c in features], side, eps, min_samples, leaf_rows)
+        if by_leaf:
+            return _with_predictions(df.withColumn("_key", by_leaf[0]), by_leaf[1], F.col("_key") == F.col("_id"), df.columns, core_column)
     entries, look = _entries(_points(df, x, side), d, side, eps, leaf_rows)
 
     thin = entries.filter(F.col("cell_w") < min_samples)
@@ -128,9 +137,13 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     border = (_near(rest, core_labels.select("key", "x", "prediction"), d, eps)
               .groupBy("p").agg(F.min("prediction").alias("prediction")).select(F.col("p").alias("_x"), "prediction", F.lit(False).alias("_core")))
     found = core_labels.filter("home").select(F.col("x").alias("_x"), "prediction", F.lit(True).alias("_core")).unionAll(border)
+    return _with_predictions(df.withColumn("_key", x), found, _same("_key", "_x"), df.columns, core_column)
+
+
+def _with_predictions(rows: DataFrame, found: DataFrame, same: Column, columns: list[str], core_column: str | None) -> DataFrame:
     flag = [F.coalesce("_core", F.lit(False)).alias(core_column)] if core_column else []
-    return (df.withColumn("_key", x).join(found, _same("_key", "_x"), "left")
-            .select(*[ref(c) for c in df.columns], F.coalesce("prediction", F.lit(-1)).cast("bigint").alias("prediction"), *flag))
+    return rows.join(found, same, "left").select(
+        *[ref(c) for c in columns], F.coalesce("prediction", F.lit(-1)).cast("bigint").alias("prediction"), *flag)
 
 
 def _boxes(core: DataFrame, d: int, side: float, level: int) -> DataFrame:

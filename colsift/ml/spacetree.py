@@ -156,16 +156,15 @@ def _boxes(points: DataFrame, root: Node, d: int) -> dict[int, tuple[np.ndarray,
     return {r[0]: (np.array([number(v) for v in r[1:d + 1]]), np.array([number(v) for v in r[d + 1:]])) for r in rows}
 
 
-def with_leaves(points: DataFrame, d: int, eps: float, leaf_rows: int = LEAF_ROWS, coarse_rows: int = COARSE_ROWS) -> DataFrame:
-    """The points (x: array of d doubles, other columns kept) once for each leaf in reach: `key`, the leaf, and `home`."""
-    kept, size = points.columns, points.count()
-    coarse = max(coarse_rows, leaf_rows, -(-size // MAX_LEAVES))
-    root, large = Node(leaf=0), []
+def dealt(points: DataFrame, size: int, d: int, eps: float, coarse: int) -> tuple[DataFrame, list[int], int]:
+    """The `size` points (x: array of d doubles, other columns kept) once for each coarse leaf in reach: `home` and `leaf`; the leaves
+    far beyond `coarse` points, and how many leaves there are."""
+    kept, root, large = points.columns, Node(leaf=0), []
     if size > coarse:
         sample = points.select("x").sample(fraction=min(1.0, SAMPLE_PER_LEAF / coarse), seed=7).toArrow().column("x").combine_chunks()
         root, large = grown(_coordinates(sample, d), eps, SAMPLE_PER_LEAF)
-    boxed = _boxed(root, _boxes(points, root, d))
-    own, home_field = list(points.schema.fields), StructField("home", BooleanType())
+    boxes = _boxes(points, root, d)
+    boxed = _boxed(root, boxes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +175,16 @@ def with_leaves(points: DataFrame, d: int, eps: float, leaf_rows: int = LEAF_ROW
                     yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(mine[rows] == leaf), pa.array(np.full(len(rows), leaf))],
                                                      [*kept, "home", "leaf"])
 
+    schema = StructType([*points.schema.fields, StructField("home", BooleanType()), StructField("leaf", LongType())])
+    return points.mapInArrow(deal, schema), large, len(boxes)
+
+
+def with_leaves(points: DataFrame, d: int, eps: float, leaf_rows: int = LEAF_ROWS, coarse_rows: int = COARSE_ROWS) -> DataFrame:
+    """The points (x: array of d doubles, other columns kept) once for each leaf in reach: `key`, the leaf, and `home`."""
+    kept, size = points.columns, points.count()
+    leaves, large, _ = dealt(points, size, d, eps, max(coarse_rows, leaf_rows, -(-size // MAX_LEAVES)))
+    own, home_field = list(points.schema.fields), StructField("home", BooleanType())
+
     def refine(table: pa.Table) -> pa.Table:
         x, home = _coordinates(table.column("x").combine_chunks(), d), table.column("home").to_numpy(zero_copy_only=False).astype(bool)
         lower, _ = grown(x[home], eps, leaf_rows)
@@ -189,7 +198,6 @@ def with_leaves(points: DataFrame, d: int, eps: float, leaf_rows: int = LEAF_ROW
         keys = pa.array([f"{name}.{i}" for i in range(int(leaf.max()) + 1)]).take(pa.array(leaf))
         return out.append_column("key", keys).append_column("home", pa.array(home[rows] & (mine[rows] == leaf)))
 
-    leaves = points.mapInArrow(deal, StructType([*own, home_field, StructField("leaf", LongType())]))
     fine = leaves.filter(~F.col("leaf").isin(large)).groupBy("leaf").applyInArrow(refine, StructType([*own, StructField("key", StringType()), home_field]))
     if not large:
         return fine

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colsift.ml import components, density, engine, metrics, models, prepare, spacetree
+from colsift.ml import components, density, engine, leafwise, metrics, models, prepare, spacetree
 
 
 @pytest.fixture(scope="module")
@@ -195,6 +195,52 @@ def test_dbscan_compares_few_pairs_in_six_dimensions(spark):
     assert 6000 <= pairs <= 6000 * 4 * 100
 
 
+def test_dbscan_writes_no_pairs_of_many_features(spark, monkeypatch):
+    # every point has hundreds of neighbours: what is written must follow the points and not their pairs
+    draw = random.Random(5)
+    points = [tuple(draw.uniform(0, 1) for _ in range(6)) for _ in range(1500)]
+    df = spark.createDataFrame(points, "a double, b double, c double, d double, e double, f double")
+    written = {}
+    for module in (density, leafwise, components):
+        def noted(frame, label="step", real=module.cut_lineage):
+            kept = real(frame, label)
+            written[label] = max(written.get(label, 0), kept.count())
+            return kept
+        monkeypatch.setattr(module, "cut_lineage", noted)
+    sizes = sorted(r["count"] for r in density.dbscan(df, df.columns, 0.5, 2).groupBy("prediction").count().collect())
+    core, label, _ = brute_force(points, 0.5, 2)
+    assert sizes == sorted([n for n in np.unique(np.array(label)[core], return_counts=True)[1]] + [np.count_nonzero(~core)] * (not core.all()))
+    assert written and max(written.values()) <= 2 * len(points), written
+
+
+@pytest.mark.parametrize("coarse", [20_000, 60])
+def test_leaf_by_leaf_agrees_with_joins(spark, monkeypatch, coarse):
+    # copies, missing, infinite and undefined coordinates; clusters and border points have the same numbers either way
+    draw = random.Random(coarse)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 1e12]
+    points = [tuple(draw.choice(odd) if draw.random() < 0.02 else draw.gauss(2.5 * (i % 3), 0.7) for _ in range(5)) for i in range(300)]
+    points += points[::4] + [(1.0, 1.0, None, 1.0, 1.0), (1.0, 1.0, None, 1.0, 1.05), (None, 1.0, 1.0, 1.0, 1.0)] * 3
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, a double, b double, c double, d double, e double")
+    monkeypatch.setattr(spacetree, "COARSE_ROWS", coarse)
+    monkeypatch.setattr(spacetree, "SAMPLE_PER_LEAF", 8)
+    clustered = lambda: [tuple(r) for r in density.dbscan(df, list("abcde"), 1.1, 4, 30, "core").select("id", "prediction", "core").orderBy("id").collect()]
+    got = clustered()
+    assert len(got) == len(points) and len({p for _, p, _ in got}) > 3 and {c for _, _, c in got} == {True, False}
+    monkeypatch.setattr(leafwise, "clusters", lambda *_: None)
+    assert got == clustered()
+
+
+@pytest.mark.parametrize("far", [0.0, 1e7])
+def test_near_points_agree_with_plain_sums(far):
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 9, (400, 6)) * 0.1 + far  # many pairs lie exactly eps apart
+    rows = np.arange(400)
+    for eps in (0.1, 0.3, 0.5):
+        want = sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(6)) <= eps * eps
+        got = np.concatenate([near for _, near in leafwise.near_blocks(x, rows, rows, eps)])
+        assert (got == want).all()
+
+
 def test_dbscan_needs_a_feature(spark):
     with pytest.raises(ValueError):
         density.dbscan(spark.range(1), [])
