@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from functools import partial
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from colsift.functions.values import as_double, is_missing, ref
-from colsift.plans import concordance, ordering
+from colsift.plans import concordance, ordering, rankings
 from colsift.plans.pairs import Moments, pair_correlations
-from colsift.plans.session import cut_lineage, discard, together
+from colsift.plans.session import cut_lineage, discard
 from colsift.plans.stats import TableStats
 
 
-PAIRS_PER_SCAN = 12
-
-
 def correlation_matrix(stats: TableStats, method: str = "pearson") -> DataFrame:
     """(c1, c2, r) of every ordered pair, the diagonal included; NULL where it is undefined."""
     pairs = correlation_pairs(stats, method).select("c1", "c2", "r")
@@ -75,55 +71,30 @@ def spearman_pairs(stats: TableStats, rows_per_bucket: int = ordering.ROWS_PER_B
     """Spearman's r of every pair of numeric columns in column order, from shared jobs.
 
     A column's ranks depend on its partner only through the partner's gaps. So each column has one ranking over all its rows,
-    and one for each column with gaps over the rows where that is present; all rankings are made by running totals over
-    (column, value), joined to the rows once, and every pair is read off the same table of ranks.
+    and one for each column with gaps over the rows where that is present. Blocks of rows learn the ranks of their values from
+    buckets of values, and every pair is summed up inside the blocks.
     """
     columns = stats.roles.numeric
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return []
     stats.need("nulls")
-    gaps = [c for c in columns if stats.fact(c, "n_null")]
-    variant = lambda column, partner: 1 + gaps.index(partner) if partner in gaps else 0
-    x = [stats.numeric(c) for c in columns]
-    # one bit per ranking that a row takes part in; the first is that of all rows
-    mask = sum((F.when(stats.numeric(c).isNotNull(), 2 << i).otherwise(0) for i, c in enumerate(gaps)), F.lit(1)).cast("bigint")
-    rows = cut_lineage(stats.df.select(mask.alias("mask"), *[v.alias(f"x{i}") for i, v in enumerate(x)]).withColumn(
-        "id", F.monotonically_increasing_id()), "cells")
-    stacked = ", ".join(f"{i}, x{i}" for i in range(len(columns)))
-    long = rows.selectExpr("id", "mask", f"stack({len(columns)}, {stacked}) as (c, x)").filter("x is not null")
-    rankings = range(len(gaps) + 1)
-    counted = lambda v: F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << v)) != 0, 1).otherwise(0))
-    values = cut_lineage(long.groupBy("c", "x").agg(*[counted(v).alias(f"n{v}") for v in rankings]), "values")
-    totals = values.groupBy("c").agg(*[F.sum(f"n{v}").alias(f"n{v}") for v in rankings], F.count("*").alias("rows")).collect()
-    sizes = {(r["c"], v): r[f"n{v}"] for r in totals for v in rankings}
-    below = ordering.running_totals(values, "x", {f"n{v}": f"below{v}" for v in rankings}, sum(r["rows"] for r in totals),
-                                    rows_per_bucket, group="c")
-    rank = lambda v: F.when(F.col(f"n{v}") > 0, F.col(f"below{v}") + (F.col(f"n{v}") + 1) / 2)
-    ranks = below.select("c", "x", *[rank(v).alias(f"v{v}") for v in rankings])
-    needed = sorted({(i, variant(a, b)) for i, a in enumerate(columns) for b in columns if a != b})
-    # the narrow rows are dealt out by row before they are laid side by side: partial rows would be as wide as whole ones
-    narrow = long.select("id", "c", "x").join(ranks, ["c", "x"]).select("id", "c", *[f"v{v}" for v in rankings]).repartition("id")
-    wide = narrow.groupBy("id").agg(
-        *[F.max(F.when(F.col("c") == i, F.col(f"v{v}"))).alias(f"r{i}_{v}") for i, v in needed])
-    wide = cut_lineage(wide.drop("id"), "ranks")
-    pairs = list(combinations(range(len(columns)), 2))
-
-    def scan(some: list[tuple[int, int]]) -> list[float | None]:
-        sums = []
-        for a, b in some:
-            va, vb = variant(columns[a], columns[b]), variant(columns[b], columns[a])
-            n = sizes.get((a, va), 0)  # the rows where both are present
-            dx, dy = F.col(f"r{a}_{va}") - (n + 1) / 2, F.col(f"r{b}_{vb}") - (n + 1) / 2
-            dx, dy = F.when(dy.isNotNull(), dx), F.when(dx.isNotNull(), dy)
-            sums += [F.sum(dx * dy), F.sum(dx * dx), F.sum(dy * dy)]
-        row = wide.agg(*[e.alias(f"s{i}") for i, e in enumerate(sums)]).first()
-        found = []
-        for i in range(len(some)):
-            sxy, sxx, syy = row[3 * i:3 * i + 3]
-            found.append(max(-1.0, min(1.0, sxy / (sxx**0.5 * syy**0.5))) if sxx and syy else None)
-        return found
-
-    parts = [pairs[i:i + PAIRS_PER_SCAN] for i in range(0, len(pairs), PAIRS_PER_SCAN)]
-    result = [r for part in together(stats.spark, [partial(scan, p) for p in parts]) for r in part] if pairs else []
-    discard(rows, values, wide)
+    missing = [stats.fact(c, "n_null") for c in columns]
+    plan = rankings.Rankings(len(columns), [i for i, n in enumerate(missing) if n])
+    names = [f"x{i}" for i in range(len(columns))]
+    rows = stats.df.select(*[stats.numeric(c).alias(n) for c, n in zip(columns, names)])
+    stacked = ", ".join(f"{i}, {n}" for i, n in enumerate(names))
+    long = rows.selectExpr(f"stack({len(columns)}, {stacked}) as (c, x)").filter("x is not null")
+    points = ordering.split_points(long, ["c", "x"], sum(stats.n_rows - n for n in missing), rows_per_bucket)
+    cells = cut_lineage(rankings.blocks(rows, plan, points), "cells")
+    below, sizes = rankings.totals(cells, plan)
+    ranks = cut_lineage(rankings.pair_sums(rankings.ranked(cells, plan, below), plan, sizes), "ranks")
+    sums = {r["pos"]: r["s"] for r in ranks.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
+    result = []
+    for i in range(len(pairs)):
+        sxy, sxx, syy = (sums.get(3 * i + k) for k in range(3))
+        result.append(max(-1.0, min(1.0, sxy / (sxx**0.5 * syy**0.5))) if sxx and syy else None)
+    discard(cells, ranks)
     return result
 
 

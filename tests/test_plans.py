@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colsift.operators import correlate
-from colsift.plans import frequencies, ordering, quantiles
+from colsift.plans import frequencies, ordering, quantiles, rankings
 from colsift.plans.fingerprints import duplicate_count
 from colsift.plans.session import scratch_path, shared_folder
 from colsift.plans.stats import TableStats
@@ -242,3 +242,46 @@ def test_spearman_deals_out_narrow_rows(spark, monkeypatch, capsys):
     assert "REPARTITION_BY_COL" in capsys.readouterr().out
     want = df.toPandas().corr("spearman")
     assert found == pytest.approx([want.loc[p] for p in (("a", "b"), ("a", "c"), ("b", "c"))])
+
+
+def test_spearman_keeps_rows_in_blocks(spark, monkeypatch):
+    # neither rows nor their ranks are written one by one: they were, with all columns side by side
+    real, written = correlate.cut_lineage, {}
+
+    def noted(df, label):
+        kept = real(df, label)
+        written[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(correlate, "cut_lineage", noted)
+    df = spark.range(4000).selectExpr("(id * 7919) % 4000 as a", "cast(id % 13 as double) as b", "if(id % 3 = 0, null, -sqrt(id)) as c").repartition(2)
+    found = correlate.spearman_pairs(TableStats(df))
+    want = df.toPandas().corr("spearman")
+    assert found == pytest.approx([want.loc[p] for p in (("a", "b"), ("a", "c"), ("b", "c"))])
+    assert set(written) == {"cells", "ranks"} and max(written.values()) < 100
+
+
+@pytest.mark.parametrize("per_bucket", [7, 100_000])
+def test_spearman_over_many_blocks(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(rankings, "BLOCK_ROWS", 37)
+    draw = random.Random(per_bucket)
+    rows = []
+    for i in range(500):
+        a = draw.choice([0.0, -0.0, float("inf"), float("-inf"), 1e300, -5e-324]) if i % 4 == 0 else draw.gauss(0, 9)
+        rows.append((a, draw.randrange(2**53) if i % 3 else None, float(i // 400), None, float("nan") if i % 7 == 0 else a + draw.gauss(0, 5), i if i % 5 else None))
+    df = spark.createDataFrame(rows, "a double, b bigint, c double, d double, e double, f int").repartition(5)
+    want = pd.DataFrame([[float("nan") if v is None else v for v in r] for r in rows], columns=list("abcdef")).rank()
+    got = correlate.spearman_pairs(TableStats(df), per_bucket)
+    for (x, y), r in zip(combinations("abcdef", 2), got):
+        both = want[[x, y]].dropna().index
+        p = pd.DataFrame([[float("nan") if v is None else v for v in rows[i]] for i in both], columns=list("abcdef"))[[x, y]].rank() if len(both) else None
+        if p is None or p[x].std() == 0 or p[y].std() == 0:
+            assert r is None
+        else:
+            assert r == pytest.approx(p[x].corr(p[y]), abs=1e-12)
+
+
+def test_spearman_of_nothing(spark):
+    assert correlate.spearman_pairs(TableStats(spark.createDataFrame([], "a double, b double"))) == [None]
+    assert correlate.spearman_pairs(TableStats(spark.createDataFrame([(1.0,)], "a double"))) == []
+    assert correlate.spearman_pairs(TableStats(spark.createDataFrame([(None, None)] * 3, "a double, b double"))) in ([None], [])
