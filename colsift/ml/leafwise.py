@@ -164,6 +164,7 @@ def clusters(df: DataFrame, x: list[Column], side: float, eps: float, min_sample
         if (most or 0) <= 1:
             break
     else:
+        discard(points)
         return None
     coarse = max(spacetree.COARSE_ROWS, leaf_rows, min(MOST_COARSE_ROWS, (size or 0) // LEAVES_WANTED), -(-(size or 0) // spacetree.MAX_LEAVES))
     leaves, large, count = spacetree.dealt(known, size or 0, d, eps, coarse)
